@@ -53,7 +53,8 @@ def blast_radius(spark, sf):
 
 
 def sole_subject(spark, sf):
-    return graph.sole_subject(*_segments(spark, sf))
+    entries, edges = _segments(spark, sf)
+    return graph.sole_subject(entries.withColumn("kind", F.lit("segment")), edges)
 
 
 def evidence_paths(spark, sf):
@@ -100,7 +101,7 @@ ORACLES = {
                           extra=_INPUT_CLOSURE, recursive=True),
     "blast_radius": oracle("SELECT subject, 'r0' AS run_id, task, exclusive FROM radius", "edges",
                            "segment_entries", extra=CLOSURE, recursive=True),
-    "sole_subject": oracle("""SELECT 'r0' AS run_id, task, CASE WHEN count(*) = 1 THEN min(subject) END AS subject
+    "sole_subject": oracle("""SELECT 'segment' AS kind, 'r0' AS run_id, task, CASE WHEN count(*) = 1 THEN min(subject) END AS subject
         FROM closure GROUP BY task""", "edges", "segment_entries", extra=CLOSURE, recursive=True),
     "evidence_paths": oracle("""SELECT 'r0' AS run_id, task, CAST(hops AS BIGINT) AS hops,
         array_to_string(path, '>') AS path FROM paths""", "edges", extra=PATHS, recursive=True),

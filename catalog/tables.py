@@ -59,6 +59,41 @@ FROM {orders} CROSS JOIN (VALUES (0), (1), (2)) f(k)""",
 SELECT 'log' AS log_id, event_id + 1 AS seq, concat('u', user_id) AS subject, event_type, ts AS effective_ts,
   concat('a', user_id % 7) AS actor, props AS body, value
 FROM {events}""",
+    # The same orders with image references in the spellings engines write.
+    "images": """
+SELECT 'r0' AS run_id, concat('o', o_orderkey) AS task,
+  CASE o_orderkey % 8
+    WHEN 0 THEN concat('quay.io/bio/', lower(c_mktsegment), ':1.', o_custkey % 12, '--h50ea8bc_0')
+    WHEN 1 THEN concat('docker://org/aln_', lower(c_mktsegment), ':27211b8c0000aa-0')
+    WHEN 2 THEN concat('depot/galaxy-', lower(c_mktsegment), '-1.', o_custkey % 12, '.sif')
+    WHEN 3 THEN concat(lower(c_mktsegment), '-1.', o_custkey % 12)
+    WHEN 4 THEN concat('reg:5000/org/', lower(c_mktsegment), ':latest')
+    WHEN 5 THEN concat('org/', lower(c_mktsegment), '@sha256:ab', o_custkey)
+    WHEN 6 THEN ''
+    ELSE concat('oras://org/', lower(c_mktsegment), ':1.', o_custkey % 12) END AS container
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+    # The launch sheet: every customer under its nation.
+    "sheet": """
+SELECT concat('C', c_custkey) AS member, n_name AS owner FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # What was found on storage, in the published tree and in the release record, per task.
+    "sightings": """
+SELECT 'r0' AS run_id, concat('o', o_orderkey) AS task,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'DESTROYED'
+       WHEN o_orderkey % 9 = 0 THEN 'WORM' ELSE 'WRITABLE' END AS storage,
+  o_orderkey % 3 = 0 AS has_copies, o_orderkey % 2 = 0 AS published_checked,
+  o_orderkey % 13 = 0 AS released, concat('ref-', o_custkey) AS what, concat('u', o_custkey % 5) AS asserted_by,
+  '2024-01-02' AS date
+FROM {orders}""",
+    # Every nation is a removable subject, every segment a label that can be traced.
+    "triggers": """
+SELECT concat('nation:', n_name) AS trigger_id, 'nation' AS kind, n_name AS value, 'remove' AS mode FROM {nation}
+UNION ALL
+SELECT DISTINCT concat('segment:', c_mktsegment), 'segment', c_mktsegment, 'trace' FROM {customer}""",
+    "trigger_entries": """
+SELECT concat('nation:', n_name) AS trigger_id, 'r0' AS run_id, concat('o', o_orderkey) AS task
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL
+SELECT concat('segment:', c_mktsegment), 'r0', concat('o', o_orderkey) FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     # One entry task set per customer segment.
     "segment_entries": """
 SELECT DISTINCT c_mktsegment AS subject, 'r0' AS run_id, concat('o', o_orderkey) AS task

@@ -40,27 +40,36 @@ def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def let(value: Column, body) -> Column:
+    """`body` over a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def image_parts(image: Column) -> Column:
     """
     struct(name, version, components) of an image reference; version is NULL
     when the reference confirms none (no tag, `latest`, or a content hash).
     """
-    text = F.regexp_replace(F.trim(F.coalesce(image, F.lit(""))), IMAGE_SCHEMES, "")
-    text = F.substring_index(text, "@", 1)
-    text = F.when(text.rlike(r"\.(img|sif)$"), F.regexp_replace(basename(text), r"\.[^.]*$", "")).otherwise(text)
-    last = F.substring_index(text, "/", -1)
-    tagged = last.contains(":")
-    dashed = last.rlike(NAME_DASH_VERSION)
-    name = (
-        F.when(tagged, F.regexp_replace(last, ":[^:]*$", ""))
-        .when(dashed, F.regexp_extract(last, NAME_DASH_VERSION, 1))
-        .otherwise(last)
-    )
-    said = F.when(tagged, F.substring_index(last, ":", -1)).when(
-        dashed, F.regexp_extract(last, NAME_DASH_VERSION, 2))
-    version = F.when((said != "latest") & ~F.substring_index(said, "-", 1).rlike(HASH_TAG), said)
-    components = F.array_remove(F.array_distinct(F.concat(F.array(name), F.split(name, "[_-]+"))), "")
-    return F.struct(name.alias("name"), version.alias("version"), components.alias("components"))
+    bare = F.substring_index(F.regexp_replace(F.trim(F.coalesce(image, F.lit(""))), IMAGE_SCHEMES, ""), "@", 1)
+    last = let(bare, lambda text: F.when(
+        text.rlike(r"\.(img|sif)$"), F.regexp_replace(basename(text), r"\.[^.]*$", "")
+    ).otherwise(F.substring_index(text, "/", -1)))
+
+    def split(last: Column) -> Column:
+        tagged, dashed = last.contains(":"), last.rlike(NAME_DASH_VERSION)
+        name = (F.when(tagged, F.regexp_replace(last, ":[^:]*$", ""))
+                .when(dashed, F.regexp_extract(last, NAME_DASH_VERSION, 1)).otherwise(last))
+        said = F.when(tagged, F.substring_index(last, ":", -1)).when(
+            dashed, F.regexp_extract(last, NAME_DASH_VERSION, 2))
+        return F.struct(name.alias("name"), said.alias("said"))
+
+    def parts(found: Column) -> Column:
+        name, said = found["name"], found["said"]
+        version = F.when((said != "latest") & ~F.substring_index(said, "-", 1).rlike(HASH_TAG), said)
+        words = F.array_remove(F.array_distinct(F.concat(F.array(name), F.split(name, "[_-]+"))), "")
+        return F.struct(name.alias("name"), version.alias("version"), words.alias("components"))
+
+    return let(let(last, split), parts)
 
 
 def version_agrees(wanted: Column, have: Column) -> Column:

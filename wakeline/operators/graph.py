@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.session import cut, hold
+from wakeline.session import RoundLog, hold
 
 EXTERNAL = "EXTERNAL"
 NODE = ["run_id", "task"]
@@ -35,28 +35,19 @@ def _step(frontier: DataFrame, forward: DataFrame) -> DataFrame:
     return frontier.join(forward, NODE).select("run_id", F.col("next").alias("task"), *carried)
 
 
-def reach(entries: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+def reach(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """
     Every (subject, run_id, task) reachable from `entries` of the same shape,
     entries included.
-
-    One round moves `hops` edges, with duplicates dropped between hops, before
-    it is held against what was seen: fewer rounds for the price of meeting
-    some nodes twice.
     """
     keys = ["subject", *NODE]
     forward = hold(forward_edges(edges))
-    fresh, rows = cut(entries.select(keys).distinct(), "reach")
-    seen = fresh
+    log = RoundLog(edges.sparkSession, "reach")
+    fresh, rows = log.add(entries.select(keys).distinct())
     while rows:
-        front, found = fresh, None
-        for _ in range(hops):
-            front = _step(front, forward).select(keys).distinct()
-            found = front if found is None else found.unionByName(front)
-        fresh, rows = cut(found.distinct().join(seen, keys, "left_anti"), "reach")
-        seen = seen.unionByName(fresh)
+        fresh, rows = log.add(_step(fresh, forward).select(keys).distinct().join(log.rows(), keys, "left_anti"))
     forward.unpersist()
-    return seen
+    return log.rows()
 
 
 def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,55 +63,53 @@ def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
     keys = ["subject", *NODE]
     forward = hold(forward_edges(edges))
     start = entries.select(keys).distinct().withColumn("hops", F.lit(0)).withColumn("path", F.array("task"))
-    fresh, rows = cut(start, "paths")
-    seen, level = fresh, 0
+    log, level = RoundLog(edges.sparkSession, "paths"), 0
+    fresh, rows = log.add(start)
     while rows:
         level += 1
         moved = (
             _step(fresh, forward).groupBy(keys).agg(F.min("path").alias("path"))
-            .join(seen, keys, "left_anti")
+            .join(log.rows(), keys, "left_anti")
             .select(*keys, F.lit(level).alias("hops"), F.concat("path", F.array("task")).alias("path"))
         )
-        fresh, rows = cut(moved, "paths")
-        seen = seen.unionByName(fresh)
+        fresh, rows = log.add(moved)
     forward.unpersist()
-    return seen
+    return log.rows()
 
 
-def sole_subject(entries: DataFrame, edges: DataFrame) -> DataFrame:
+def sole_subject(peers: DataFrame, edges: DataFrame) -> DataFrame:
     """
-    (run_id, task, subject): which single subject reaches each task, NULL where
-    several do. The same answer a closure over every peer would give, with one
-    row per task instead of one per subject and task: a task is unreached,
-    reached by one, or by several, so it changes at most twice.
+    (kind, run_id, task, subject) from `peers` of the same columns: which
+    single subject of a kind reaches each task, NULL where several do.
+
+    The same answer a closure over every peer would give, with one row per
+    task instead of one per subject and task: a task is unreached, reached by
+    one, or by several, so it changes at most twice.
     """
+    keys = ["kind", *NODE]
     forward = hold(forward_edges(edges))
 
     def by_node(rows: DataFrame) -> DataFrame:
         # `several` is already known for some rows; otherwise two ends that differ show it.
-        return rows.groupBy(NODE).agg(
-            F.min("subject").alias("low"), F.max("subject").alias("high"),
-            F.max("several").alias("several"),
-        ).select(*NODE, F.when(~F.col("several") & (F.col("low") == F.col("high")), F.col("low")).alias("subject"),
-                 (F.col("several") | (F.col("low") != F.col("high"))).alias("several"))
-
-    start = entries.select(*NODE, "subject").withColumn("several", F.lit(False))
-    fresh, rows = cut(by_node(start), "sole")
-    told = fresh
+        ends = rows.groupBy(keys).agg(
+            F.min("subject").alias("low"), F.max("subject").alias("high"), F.max("several").alias("known"))
+        several = F.col("known") | (F.col("low") != F.col("high"))
+        return ends.select(*keys, F.when(~several, F.col("low")).alias("subject"), several.alias("several"))
+
+    log = RoundLog(edges.sparkSession, "sole")
+    fresh, rows = log.add(by_node(peers.select(*keys, "subject").withColumn("several", F.lit(False))))
     while rows:
         arriving = by_node(_step(fresh, forward))
-        known = by_node(told).select(*NODE, F.col("subject").alias("was"), F.col("several").alias("was_several"))
+        told = by_node(log.rows()).select(*keys, F.col("subject").alias("was"), F.col("several").alias("was_several"))
+        unmet = F.col("was_several").isNull()
         changed = (
-            arriving.join(known, NODE, "left")
-            .where(F.col("was_several").isNull()
-                   | (~F.col("was_several") & (F.col("several") | (F.col("subject") != F.col("was")))))
-            .select(*NODE, F.when(F.col("was_several").isNull(), F.col("subject")).alias("subject"),
-                    (F.col("was_several").isNotNull() | F.col("several")).alias("several"))
+            arriving.join(told, keys, "left")
+            .where(unmet | (~F.col("was_several") & (F.col("several") | (F.col("subject") != F.col("was")))))
+            .select(*keys, F.when(unmet, F.col("subject")).alias("subject"), (~unmet | F.col("several")).alias("several"))
         )
-        fresh, rows = cut(changed, "sole")
-        told = told.unionByName(fresh)
+        fresh, rows = log.add(changed)
     forward.unpersist()
-    return by_node(told).select(*NODE, "subject")
+    return by_node(log.rows()).select(*keys, "subject")
 
 
 def blast_radius(reached: DataFrame) -> DataFrame:

@@ -58,11 +58,33 @@ def cut(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     is cut, and the rows outlive any executor. The row count rides along with
     the write, so no second pass is made for it.
     """
-    spark = df.sparkSession
-    seen = Observation()
-    path = scratch_path(spark, label)
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    log = RoundLog(df.sparkSession, label)
+    return log.add(df)
+
+
+class RoundLog:
+    """
+    The rows a loop has found so far, one written table per round. `add`
+    writes a round and returns it with its row count; `rows` reads every
+    round in one scan.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, scratch_path(spark, label)
+        self.paths, self.schema = [], None
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        self.schema = self.schema or df.schema
+        self.paths.append(f"{self.root}/{len(self.paths)}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(self.paths[-1])
+        return self._read(self.paths[-1:]), seen.get["rows"]
+
+    def rows(self) -> DataFrame:
+        return self._read(self.paths)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
 
 def hold(df: DataFrame) -> DataFrame:
