@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.text import basename, dotted_prefixes, image_parts, version_agrees
 from wakeline.operators.graph import EXTERNAL, NODE
+from wakeline.session import cut
 
 TRACE, REMOVE = "trace", "remove"
 EXACT, NAME_ONLY = "exact", "name-only"
@@ -165,6 +166,8 @@ def resolve_triggers(triggers: DataFrame, tasks: DataFrame, edges: DataFrame,
     they come before the engine's kinds, and any other kind is a label key.
     """
     declared = declared or {}
+    # Written once: every kind reads the batch, and its size tells Spark how to join.
+    triggers, _ = cut(triggers.select("trigger_id", "kind", "value"), "triggers")
     found = []
     for kind, entries in declared.items():
         own = triggers.where(F.col("kind") == kind).select("trigger_id", "value")
