@@ -94,6 +94,47 @@ SELECT concat('nation:', n_name) AS trigger_id, 'r0' AS run_id, concat('o', o_or
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 UNION ALL
 SELECT concat('segment:', c_mktsegment), 'r0', concat('o', o_orderkey) FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+    # Two runs of the whole workflow: rb before, ra after, with tasks that came and went.
+    "run_tasks": """
+SELECT 'rb' AS run_id, concat('b', okey) AS task, name, process, container, script, target, superseded
+FROM {T:tasks} b WHERE okey % 41 <> 0
+UNION ALL
+SELECT 'ra', concat('a', okey), name, process, CASE WHEN okey % 53 = 0 THEN concat(container, '-x') ELSE container END,
+  CASE WHEN okey % 59 = 0 THEN 'cmd2' ELSE script END, target, superseded
+FROM {T:tasks} a WHERE okey % 47 <> 0""",
+    "run_edges": """
+SELECT 'rb' AS run_id, concat('b', substring(consumer, 2)) AS consumer,
+  CASE WHEN producer = 'EXTERNAL' THEN producer ELSE concat('b', substring(producer, 2)) END AS producer,
+  filename, target, digest, edge_ix
+FROM {T:edges} b
+UNION ALL
+SELECT 'ra', concat('a', substring(consumer, 2)),
+  CASE WHEN producer = 'EXTERNAL' THEN producer ELSE concat('a', substring(producer, 2)) END,
+  filename, target, CASE WHEN digest IS NOT NULL AND edge_ix % 1000000000000 % 52 = 8 THEN concat(digest, 'x') ELSE digest END, edge_ix
+FROM {T:edges} a""",
+    "run_outputs": """
+SELECT 'rb' AS run_id, concat('b', okey) AS task, file, k AS file_ix, size, digest_before AS digest FROM {T:outputs} b
+UNION ALL
+SELECT 'ra', concat('a', okey), file, k, size, digest_after FROM {T:outputs} a""",
+    "pairs": """
+SELECT concat('p', r_regionkey) AS pair_id, CASE WHEN r_regionkey % 2 = 0 THEN 'rb' ELSE 'ra' END AS before_run,
+  CASE WHEN r_regionkey % 2 = 0 THEN 'ra' ELSE 'rb' END AS after_run,
+  concat('s', r_regionkey) AS before_session, concat('s', r_regionkey % 3 + r_regionkey % 2) AS after_session
+FROM {region}""",
+    # Documents as files: each source is a run, its documents the outputs of one task per language.
+    "doc_outputs": """
+SELECT source AS run_id, concat(lang, doc_id % 50) AS task, concat('doc-', doc_id, '.txt') AS file,
+  concat('sha256:', {H}(text)) AS digest FROM {documents}""",
+    "doc_edges": """
+SELECT source AS run_id, doc_id AS edge_ix, concat('reader', doc_id % 20) AS consumer, 'EXTERNAL' AS producer,
+  concat('doc-', doc_id, '.txt') AS filename, concat('/in/', doc_id) AS target,
+  CASE WHEN doc_id % 10 = 0 THEN NULL ELSE concat('sha256:', {H}(text)) END AS digest FROM {documents}""",
+    # A listing of a published tree: files of every third task and a folder per process.
+    "inventory": """
+SELECT 'r0' AS run_id, concat(task, '/', file) AS path, CASE WHEN okey % 33 = 0 THEN size + 1 ELSE size END AS size, false AS is_dir
+FROM {T:outputs} f WHERE okey % 3 = 0
+UNION ALL
+SELECT DISTINCT 'r0', concat('dirs/', lower(c_mktsegment), '/out-2.dat'), CAST(NULL AS BIGINT), true FROM {customer}""",
     # One entry task set per customer segment.
     "segment_entries": """
 SELECT DISTINCT c_mktsegment AS subject, 'r0' AS run_id, concat('o', o_orderkey) AS task
@@ -105,8 +146,16 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _expand(text: str) -> str:
+    """Mapped tables named inside a mapping, put in as subqueries."""
+    while "{T:" in text:
+        text = re.sub(r"\{T:(\w+)\}", lambda m: f"({TABLES[m[1]]})", text)
+    return text
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     use_utc(spark)
+    text = _expand(text)
     used = {n: source(spark, sf_dir, n) for n in SOURCES if "{" + n + "}" in text}
     return spark.sql(HASH_CALL.sub(r"sha2(\1, 256)", text), **used)
 
@@ -124,7 +173,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(text: str) -> str:
     """The same text as DuckDB reads it."""
-    text = text.replace("{H}", "sha256")
+    text = _expand(text).replace("{H}", "sha256")
     for n in SOURCES:
         text = text.replace("{" + n + "}", n)
     return text
