@@ -1,6 +1,7 @@
 """
 The driver's tables read as lineage. Each mapping is one SQL text that both
-Spark and DuckDB run; {H} is the engine's SHA-256 and {name} a source table.
+Spark and DuckDB run; {H} is the engine's SHA-256, {each:...} one row per listed
+value, {name} a source table and {T:name} another mapped table.
 """
 
 from __future__ import annotations
@@ -9,14 +10,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from wakeline.session import use_utc
+from wakeline.session import scratch_path, use_utc
 
 SOURCES = ("region nation customer supplier part orders lineitem events documents embeddings "
            "pages benchmark labels conversations").split()
 
 HASH_CALL = re.compile(r"\{H\}\(((?:[^()]|\([^()]*\))*)\)")
 
+EACH = re.compile(r"\{each:([^}]*)\}")
+
 TABLES = {
     # One task per order.
     "tasks": """
@@ -53,7 +57,7 @@ SELECT 'r0' AS run_id, concat('o', o_orderkey) AS task, concat('out-', k, '.dat'
   CASE WHEN o_orderkey % 31 = 0 AND k = 2 THEN NULL
        WHEN o_orderkey % 23 = 0 THEN concat('sha256:', {H}(concat('x', o_orderkey, '/', k)))
        ELSE concat('sha256:', {H}(concat('o', o_orderkey, '/', k))) END AS digest_after
-FROM {orders} CROSS JOIN (VALUES (0), (1), (2)) f(k)""",
+FROM (SELECT o_orderkey, {each:0, 1, 2} AS k FROM {orders}) f""",
     # The append-only log.
     "facts": """
 SELECT 'log' AS log_id, event_id + 1 AS seq, concat('u', user_id) AS subject, event_type, ts AS effective_ts,
@@ -135,6 +139,29 @@ SELECT 'r0' AS run_id, concat(task, '/', file) AS path, CASE WHEN okey % 33 = 0
 FROM {T:outputs} f WHERE okey % 3 = 0
 UNION ALL
 SELECT DISTINCT 'r0', concat('dirs/', lower(c_mktsegment), '/out-2.dat'), CAST(NULL AS BIGINT), true FROM {customer}""",
+    # Listings of the work tree and of the published tree, and the published digests.
+    "work": """
+SELECT DISTINCT 'r0' AS run_id, workpath AS path, CAST(NULL AS BIGINT) AS size, CAST(NULL AS BIGINT) AS links,
+  CAST(NULL AS BIGINT) AS inode, CAST(NULL AS {TEXT}) AS link_target, true AS is_dir
+FROM {T:tasks} t WHERE workpath IS NOT NULL AND okey % 7 <> 0
+UNION ALL
+SELECT 'r0', concat('w/', okey, '/sub/', file), size, CASE WHEN okey % 8 = 0 AND k = 1 THEN 2 ELSE 1 END, okey * 10 + k,
+  CASE WHEN okey % 10 = 3 AND k = 2 THEN '/data/in' END, false
+FROM {T:outputs} o WHERE okey % 7 <> 0
+UNION ALL
+SELECT 'r0', concat('w/', okey, '/', file), size, 1, okey * 10 + k + 5, CAST(NULL AS {TEXT}), false
+FROM {T:outputs} o WHERE okey % 7 <> 0""",
+    "published": """
+SELECT 'r0' AS run_id, concat(task, '/', file) AS path, size, digest_before AS digest, okey, k FROM {T:outputs} o WHERE okey % 3 = 0
+UNION ALL
+SELECT 'r0', concat('copy/', task, '.', k), size, digest_before, okey, k FROM {T:outputs} o WHERE okey % 15 = 0""",
+    "results": """
+SELECT run_id, path, CASE WHEN okey % 33 = 0 THEN size + 1 ELSE size END AS size,
+  CASE WHEN okey % 27 = 0 THEN okey * 10 + k + 5 ELSE -1 END AS inode,
+  CASE WHEN okey % 51 = 0 AND k = 0 THEN concat('w/', okey, '/out-', k, '.dat') END AS link_target
+FROM {T:published} p WHERE okey % 21 <> 0""",
+    "present": """
+SELECT 'r0' AS run_id, concat('/data/part-', p_partkey, '.dat') AS target FROM {part} WHERE p_partkey % 9 <> 0""",
     # One entry task set per customer segment.
     "segment_entries": """
 SELECT DISTINCT c_mktsegment AS subject, 'r0' AS run_id, concat('o', o_orderkey) AS task
@@ -157,23 +184,39 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     use_utc(spark)
     text = _expand(text)
     used = {n: source(spark, sf_dir, n) for n in SOURCES if "{" + n + "}" in text}
-    return spark.sql(HASH_CALL.sub(r"sha2(\1, 256)", text), **used)
+    text = text.replace("{TEXT}", "STRING")
+    text = HASH_CALL.sub(r"sha2(\1, 256)", EACH.sub(r"explode(array(\1))", text))
+    return spark.sql(text, **used)
+
+
+_STAGED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One lineage table; maps and the closed status word are put on in Spark."""
-    df = run_sql(spark, sf_dir, TABLES[name])
-    if name == "tasks":
-        df = df.withColumn("labels", F.create_map(F.lit("segment"), "segment")).withColumn(
-            "metrics", F.when(F.col("okey") % 5 != 0, F.create_map(F.lit("price"), "price")))
-    if name == "edges":
-        df = df.withColumn("labels", F.create_map(F.lit("flag"), "flag"))
-    return df
+    """
+    One lineage table, mapped once per application and written to the shared
+    folder, as an ingest job would leave it; every query then reads it from
+    there with its size and columns known.
+    """
+    use_utc(spark)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        df = run_sql(spark, sf_dir, TABLES[name])
+        if name == "tasks":
+            df = df.withColumn("labels", F.create_map(F.lit("segment"), "segment")).withColumn(
+                "metrics", F.when(F.col("okey") % 5 != 0, F.create_map(F.lit("price"), "price")))
+        if name == "edges":
+            df = df.withColumn("labels", F.create_map(F.lit("flag"), "flag"))
+        path = scratch_path(spark, f"table-{name}")
+        df.write.parquet(path)
+        _STAGED[key] = (path, df.schema)
+    path, schema = _STAGED[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def duck(text: str) -> str:
     """The same text as DuckDB reads it."""
-    text = _expand(text).replace("{H}", "sha256")
+    text = EACH.sub(r"unnest([\1])", _expand(text)).replace("{H}", "sha256").replace("{TEXT}", "VARCHAR")
     for n in SOURCES:
         text = text.replace("{" + n + "}", n)
     return text

@@ -7,7 +7,7 @@ from wakeline.functions.text import ignored
 from wakeline.operators import triggers as t
 
 CONTAINER_NEEDLES = """SELECT DISTINCT concat('container:', lower(c_mktsegment), v) AS trigger_id, concat(lower(c_mktsegment), v) AS needle
-FROM {customer} CROSS JOIN (VALUES (''), (':1.2'), (':1.1'), (':1.11')) x(v)"""
+FROM (SELECT c_mktsegment, {each:'', ':1.2', ':1.1', ':1.11'} AS v FROM {customer}) x"""
 # Every word of a part name and every process word is looked for.
 FIELD_NEEDLES = """SELECT DISTINCT concat('process:', o_orderpriority) AS trigger_id, o_orderpriority AS needle FROM {orders}
 UNION SELECT DISTINCT concat('process:', substring(o_orderpriority, 3, 2)), substring(o_orderpriority, 3, 2) FROM {orders}"""

@@ -11,21 +11,16 @@ def recorded(digest: Column) -> Column:
     return digest.isNotNull() & (digest != "")
 
 
-def _word(text: Column, n: int) -> Column:
-    """The n-th 60-bit word of sha256(text), as a number that sums without overflow."""
-    return F.conv(F.substring(F.sha2(text, 256), 15 * n + 1, 15), 16, 10).cast("decimal(38,0)")
-
-
 def bag(text: Column) -> Column:
     """
     Aggregate: a fixed-width stand-in for the sorted list of all values in a
-    group. Equal bags give equal values, and different bags collide with the
-    odds of a 240-bit hash. It sums, so the work is done before the shuffle
-    and one huge group never has to sit in one task.
+    group. Equal bags give equal values; different ones collide with the odds
+    of two independent 64-bit hash sums and the count all agreeing. It sums,
+    so the work is done before the shuffle and one huge group never has to
+    sit in one task.
     """
-    return F.concat_ws(
-        ":", F.count(text).cast("string"),
-        *[F.coalesce(F.sum(_word(text, n)), F.lit(0)).cast("string") for n in range(4)])
+    sums = [F.sum(F.xxhash64(F.lit(seed), text).cast("decimal(20,0)")) for seed in (1, 2)]
+    return F.concat_ws(":", F.count(text).cast("string"), *[F.coalesce(s, F.lit(0)).cast("string") for s in sums])
 
 
 def well_formed(digest: Column) -> Column:
