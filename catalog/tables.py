@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wakeline.operators.ledger import chain_events
 from wakeline.session import scratch_path, use_utc
 
 SOURCES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -19,6 +20,7 @@ SOURCES = ("region nation customer supplier part orders lineitem events document
 
 HASH_CALL = re.compile(r"\{H\}\(((?:[^()]|\([^()]*\))*)\)")
 
+ISO = re.compile(r"\{ISO:([^}]*)\}")
 EACH = re.compile(r"\{each:([^}]*)\}")
 
 TABLES = {
@@ -58,11 +60,6 @@ SELECT 'r0' AS run_id, concat('o', o_orderkey) AS task, concat('out-', k, '.dat'
        WHEN o_orderkey % 23 = 0 THEN concat('sha256:', {H}(concat('x', o_orderkey, '/', k)))
        ELSE concat('sha256:', {H}(concat('o', o_orderkey, '/', k))) END AS digest_after
 FROM (SELECT o_orderkey, {each:0, 1, 2} AS k FROM {orders}) f""",
-    # The append-only log.
-    "facts": """
-SELECT 'log' AS log_id, event_id + 1 AS seq, concat('u', user_id) AS subject, event_type, ts AS effective_ts,
-  concat('a', user_id % 7) AS actor, props AS body, value
-FROM {events}""",
     # The same orders with image references in the spellings engines write.
     "images": """
 SELECT 'r0' AS run_id, concat('o', o_orderkey) AS task,
@@ -162,6 +159,20 @@ SELECT run_id, path, CASE WHEN okey % 33 = 0 THEN size + 1 ELSE size END AS size
 FROM {T:published} p WHERE okey % 21 <> 0""",
     "present": """
 SELECT 'r0' AS run_id, concat('/data/part-', p_partkey, '.dat') AS target FROM {part} WHERE p_partkey % 9 <> 0""",
+    # Facts with their times spelled as people spell them: a date, Z, another offset, no offset.
+    "facts": """
+SELECT 'log' AS log_id, event_id + 1 AS seq, concat('u', user_id) AS subject, event_type, concat('a', user_id % 7) AS actor,
+  CASE event_id % 5 WHEN 0 THEN substring({ISO:ts}, 1, 10) WHEN 1 THEN concat(substring({ISO:ts}, 1, 19), 'Z')
+    WHEN 2 THEN concat(substring({ISO:ts + INTERVAL '330' MINUTE}, 1, 19), '+05:30') WHEN 3 THEN substring({ISO:ts}, 1, 19)
+    ELSE {ISO:ts} END AS effective_from,
+  {ISO:ts} AS recorded_at, props AS body, concat('h', event_id) AS hash,
+  CASE WHEN event_id % 5 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) ELSE CAST(substring({ISO:ts}, 1, 19) AS TIMESTAMP) END AS ets
+FROM {events}""",
+    # One log per user, to be chained in order of its events.
+    "new_facts": """
+SELECT concat('log', user_id) AS log_id, event_id AS ord, concat('u', user_id) AS subject, event_type, concat('a', user_id % 7) AS actor,
+  {ISO:ts} AS effective_from, {ISO:ts} AS recorded_at, CASE WHEN event_id % 3 = 0 THEN concat('["é', event_id, '"]') ELSE props END AS body
+FROM {events}""",
     # One entry task set per customer segment.
     "segment_entries": """
 SELECT DISTINCT c_mktsegment AS subject, 'r0' AS run_id, concat('o', o_orderkey) AS task
@@ -184,7 +195,7 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     use_utc(spark)
     text = _expand(text)
     used = {n: source(spark, sf_dir, n) for n in SOURCES if "{" + n + "}" in text}
-    text = text.replace("{TEXT}", "STRING")
+    text = ISO.sub(r"concat(date_format(\1, 'yyyy-MM-dd\\'T\\'HH:mm:ss'), '+00:00')", text.replace("{TEXT}", "STRING"))
     text = HASH_CALL.sub(r"sha2(\1, 256)", EACH.sub(r"explode(array(\1))", text))
     return spark.sql(text, **used)
 
@@ -201,10 +212,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_utc(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        df = run_sql(spark, sf_dir, TABLES[name])
+        df = run_sql(spark, sf_dir, TABLES[name]) if name in TABLES else None
         if name == "tasks":
             df = df.withColumn("labels", F.create_map(F.lit("segment"), "segment")).withColumn(
                 "metrics", F.when(F.col("okey") % 5 != 0, F.create_map(F.lit("price"), "price")))
+        if name == "chain":
+            df = chain_events(table(spark, sf_dir, "new_facts"))
         if name == "edges":
             df = df.withColumn("labels", F.create_map(F.lit("flag"), "flag"))
         path = scratch_path(spark, f"table-{name}")
@@ -216,7 +229,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(text: str) -> str:
     """The same text as DuckDB reads it."""
-    text = EACH.sub(r"unnest([\1])", _expand(text)).replace("{H}", "sha256").replace("{TEXT}", "VARCHAR")
+    text = ISO.sub(r"strftime(\1, '%Y-%m-%dT%H:%M:%S+00:00')", _expand(text))
+    text = EACH.sub(r"unnest([\1])", text).replace("{H}", "sha256").replace("{TEXT}", "VARCHAR")
     for n in SOURCES:
         text = text.replace("{" + n + "}", n)
     return text
