@@ -18,7 +18,10 @@ from wakeline.session import scratch_path, use_utc
 SOURCES = ("region nation customer supplier part orders lineitem events documents embeddings "
            "pages benchmark labels conversations").split()
 
-HASH_CALL = re.compile(r"\{H\}\(((?:[^()]|\([^()]*\))*)\)")
+_INNER = r"[^()]*"
+for _ in range(4):
+    _INNER = rf"(?:[^()]|\({_INNER}\))*"
+HASH_CALL = re.compile(r"\{H\}\((" + _INNER + r")\)")
 
 ISO = re.compile(r"\{ISO:([^}]*)\}")
 EACH = re.compile(r"\{each:([^}]*)\}")

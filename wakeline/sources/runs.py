@@ -20,25 +20,25 @@ def resolve_runs(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     a run's or session's id. A session stands for its newest run. NULL asks
     for the newest run there is. Anything but one match is refused.
 
-    Ids are cut at the lengths that were asked for, so a request meets its
-    runs in an equi-join instead of a comparison with every run.
+    Every run offers its name and the starts of its ids, at most an id's length
+    each, so a request meets its runs in an equi-join.
     """
     rows = runs.withColumn("place", F.struct((F.coalesce("timestamp", F.lit("")) == "").alias("by_mtime"),
                                              F.coalesce("timestamp", F.lit("")).alias("at"), F.col("mtime"), F.col("id")))
-    sizes = wanted.where("request IS NOT NULL").agg(F.sort_array(F.collect_set(F.length("request"))).alias("sizes"))
-    starts = lambda c: F.transform(F.filter("sizes", lambda n: n <= F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))
-    keys = rows.join(F.broadcast(sizes)).select("id", "session", "place", F.explode(F.array_distinct(F.concat(
-        F.array("name"), starts("id"), F.coalesce(starts("session"), F.array().cast("array<string>"))))).alias("request"))
+    starts = lambda c: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(F.coalesce(c, F.lit(""))), F.lit(1))), lambda n: F.substring(F.coalesce(c, F.lit("")), F.lit(1), n))
+    keys = rows.select("id", "session", "place", F.explode(F.array_distinct(F.concat(
+        F.array("name"), starts("id"), starts("session")))).alias("request")).where("request <> ''")
     hits = wanted.where("request IS NOT NULL").distinct().join(keys, "request", "left")
     found = hits.groupBy("request").agg(
         F.count("id").alias("matches"), F.max_by("id", "place").alias("newest"),
         ((F.min("session") == F.max("session")) & (F.count("session") == F.count("id"))).alias("one_session"))
     ok = (F.col("matches") == 1) | ((F.col("matches") > 1) & F.col("one_session"))
     named = found.select("request", F.when(ok, F.col("newest")).alias("id"), "matches",
-                         F.when(~ok, F.concat(F.lit("matched "), "matches", F.lit(" runs"))).alias("problem"))
-    latest = rows.agg(F.max_by("id", "place").alias("id"), F.count("*").alias("matches"))
-    unnamed = wanted.where("request IS NULL").distinct().join(F.broadcast(latest)).select(
-        F.lit(None).cast("string").alias("request"), "id", "matches", F.when(F.col("matches") == 0, "no runs").alias("problem"))
+                         F.when(~ok, F.concat(F.lit("matched "), F.col("matches").cast("string"), F.lit(" runs"))).alias("problem"))
+    latest = rows.agg(F.max_by("id", "place").alias("id"), F.count("*").alias("matches")).withColumn("k", F.lit(0))
+    unnamed = wanted.where("request IS NULL").distinct().withColumn("k", F.lit(0)).join(latest, "k").select(
+        "request", "id", "matches", F.when(F.col("matches") == 0, "no runs").alias("problem"))
     return named.unionByName(unnamed)
 
 
