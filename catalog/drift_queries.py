@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.tables import oracle, table
+from catalog.tables import oracle, staged, table
 from wakeline.operators import drift as d
 from wakeline.operators import graph, stitch
 
@@ -22,6 +22,10 @@ def _drift(spark, sf, pairs=None):
     return d.drift(pairs, *[table(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs")])
 
 
+def _items(spark, sf):
+    return staged(spark, sf, "drift-items", lambda: _drift(spark, sf).items)
+
+
 def input_signature(spark, sf):
     (_, tasks), (_, edges), (_, outputs) = (_side(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs"))
     signed = d.input_signature(edges, outputs, tasks)
@@ -40,11 +44,11 @@ def pair_tasks(spark, sf):
 
 
 def drift_verdicts(spark, sf):
-    return _drift(spark, sf).items.select("task", "before", "after", "process", "verdict", "cause", "n_follows")
+    return _items(spark, sf).select("task", "before", "after", "process", "verdict", "cause", "n_follows")
 
 
 def drift_cause(spark, sf):
-    return _drift(spark, sf).items.where("verdict = 'DRIFTED'").select("task", "cause", "inputs_changed", "first_input")
+    return _items(spark, sf).where("verdict = 'DRIFTED'").select("task", "cause", "inputs_changed", "first_input")
 
 
 def drift_files(spark, sf):
@@ -60,11 +64,11 @@ def drift_inputs(spark, sf):
 
 
 def drift_summary(spark, sf):
-    return d.drift_summary(_drift(spark, sf).items)
+    return d.drift_summary(_items(spark, sf))
 
 
 def drift_by_cause(spark, sf):
-    return d.drift_by_cause(_drift(spark, sf).items).groupBy("verdict", "cause", "process").agg(
+    return d.drift_by_cause(_items(spark, sf)).groupBy("verdict", "cause", "process").agg(
         F.sum("tasks").alias("tasks"), F.count("*").alias("input_sets"))
 
 
@@ -91,6 +95,10 @@ def digest_index(spark, sf):
     return stitch.digest_index(table(spark, sf, "run_outputs"))
 
 
+def published_index(spark, sf):
+    return stitch.published_index(table(spark, sf, "published"))
+
+
 def bridges(spark, sf):
     return stitch.bridges(*_docs(spark, sf)).select(
         "run_id", "edge_ix", "consumer", "producer_run", "producer", "digest", "target", "candidates")
@@ -126,7 +134,7 @@ def published_copies_by_size(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     input_signature, output_signature, pair_tasks, drift_verdicts, drift_cause, drift_files, drift_follows, drift_inputs,
-    drift_summary, drift_by_cause, fleet_drift, refused_pairs, coverage_of, digest_index, bridges, stitch_runs,
+    drift_summary, drift_by_cause, fleet_drift, refused_pairs, coverage_of, digest_index, published_index, bridges, stitch_runs,
     stitched_reach, ambiguous_bridges, digest_coverage, results_index, published_copies_by_size)}
 
 
@@ -221,6 +229,7 @@ ORACLES = {
     "coverage_of": oracle("""SELECT DISTINCT pair_id, concat('ran on ', target) AS note FROM pairs
         JOIN run_tasks ON run_id IN (before_run, after_run)""", "pairs", "run_tasks"),
     "digest_index": oracle("SELECT digest, run_id, task, file FROM run_outputs WHERE digest IS NOT NULL", "run_outputs"),
+    "published_index": oracle("SELECT digest, run_id, path FROM published WHERE digest IS NOT NULL", "published"),
     "bridges": oracle("SELECT run_id, edge_ix, consumer, producer_run, producer, digest, target, candidates FROM found", *_D, extra=BRIDGES),
     "stitch_runs": oracle("SELECT * FROM stitched", *_D, extra=BRIDGES),
     "stitched_reach": oracle("""SELECT subject, count(*) AS reached FROM reached GROUP BY subject""", *_D, extra=BRIDGES + """

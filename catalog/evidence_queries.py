@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.ledger_queries import CHAIN, TAMPERED, _tampered
 from catalog.policy_queries import ACTION, FACTS, V2, decided
-from catalog.tables import oracle, run_sql, table
+from catalog.tables import oracle, run_sql, staged, table
 from wakeline.operators import evidence as e
 from wakeline.operators import ledger, policy
 
@@ -76,6 +76,10 @@ def bundle_integrity(spark, sf):
 
 
 def _items(spark, sf):
+    return staged(spark, sf, "bundle-items", lambda: _items_made(spark, sf))
+
+
+def _items_made(spark, sf):
     items = policy.decide(run_sql(spark, sf, FACTS), policy.decision_table(spark))
     return items.withColumn("bundle", F.expr("concat('b', CAST(substring(task, 2) AS BIGINT) % 50)"))
 
@@ -126,6 +130,11 @@ def verify_gate(spark, sf):
     return e.verify_gate(gates, subjects, types, facts)
 
 
+def gate_result(spark, sf):
+    sealed = ledger.gate(table(spark, sf, "facts").select("subject").distinct(), table(spark, sf, "facts"), ["error"], ["purchase"], "2024-01-14")
+    return e.gate_result(run_sql(spark, sf, GATES), sealed.select("subject", "status", F.explode(F.array(*[F.lit(f"g{i}") for i in range(5)])).alias("bundle")))
+
+
 def verify_decision(spark, sf):
     return e.verify_decision(run_sql(spark, sf, DECISIONS), run_sql(spark, sf, RECORDS), run_sql(spark, sf, DECIDED_PLANS))
 
@@ -193,7 +202,7 @@ def manifest_table(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     load_bundles, verify_files, verify_log_window, witness, bundle_integrity, verify_replay, replay_lines, verify_policy, verify_gate,
-    verify_decision, merge_entries, log_conflicts, log_timeline, verdict_lookup, was_affected, plan_summary, bundle_listing,
+    verify_decision, merge_entries, log_conflicts, log_timeline, verdict_lookup, was_affected, plan_summary, gate_result, bundle_listing,
     incident_summary, unknowns_rollup, manifest_table)}
 
 # ------------------------------------------------------------------ oracles
@@ -262,6 +271,8 @@ ORACLES = {
     "was_affected": oracle("SELECT a.bundle, a.task, i.task IS NOT NULL AS affected FROM asked a LEFT JOIN items i ON i.bundle = a.bundle AND i.task = a.task",
                            extra=ITEMS + "asked AS (" + ASKED + ")"),
     "plan_summary": oracle("SELECT bundle, concat('nation:', n) AS trigger, coalesce(action, 'UNDETERMINED') AS verdict, count(*) AS tasks FROM items GROUP BY ALL", extra=ITEMS),
+    "gate_result": oracle("""SELECT g.bundle, g.as_of, g.passed, count(*) FILTER (WHERE sealed = 'BLOCKED') AS blocked, count(*) FILTER (WHERE sealed = 'CLEARED') AS cleared,
+        count(*) FILTER (WHERE sealed = 'UNKNOWN') AS unknown FROM (""" + GATES + """) g JOIN lined l ON l.bundle = g.bundle GROUP BY ALL""", extra=FACTS_LOG + GATED),
     "bundle_listing": oracle(f"""SELECT bundle, 'plan' AS kind, concat('nation:', n) AS trigger, {_V} AS policy_version FROM lines
         UNION ALL SELECT bundle, 'gate', NULL, NULL FROM ({GATES}) UNION ALL SELECT bundle, 'unknown', NULL, NULL FROM ({DECISIONS})""", extra=ITEMS),
     "incident_summary": oracle(f"""SELECT l.bundle, 'plan' AS kind, concat('nation:', n) AS trigger, concat('asked, ', CASE WHEN n % 10 = 4 THEN l.items + 1 ELSE l.items END, ' of ', l.items, ' tasks') AS outcome,

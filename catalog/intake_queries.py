@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.tables import oracle, run_sql, table
+from catalog.tables import oracle, run_sql, staged, table
 from wakeline.operators import intake as t
 from wakeline.operators import quality, triggers
 
@@ -27,6 +27,10 @@ def _tables(spark, sf):
 
 
 def _options(spark, sf):
+    return staged(spark, sf, "options", lambda: _options_made(spark, sf))
+
+
+def _options_made(spark, sf):
     tasks, edges = _tables(spark, sf)
     owners = triggers.entries_by_tag(tasks, table(spark, sf, "sheet").withColumnRenamed("member", "label"))
     declared = owners.select("run_id", F.lit("nation").alias("kind"), F.col("owner").alias("value"), "task")
@@ -34,6 +38,10 @@ def _options(spark, sf):
 
 
 def _offered(spark, sf):
+    return staged(spark, sf, "offered", lambda: _offered_made(spark, sf))
+
+
+def _offered_made(spark, sf):
     return t.offer_options(_incidents(spark, sf), _options(spark, sf))
 
 
@@ -47,6 +55,10 @@ def _checked(spark, sf):
 
 
 def _triaged(spark, sf):
+    return staged(spark, sf, "triaged", lambda: _triaged_made(spark, sf))
+
+
+def _triaged_made(spark, sf):
     good = _checked(spark, sf).where("problem IS NULL").select("incident", "run_id", "choice", "confidence", F.lit(0).cast("bigint").alias("named"))
     ids = t.ids_named_in_run(_incidents(spark, sf), *_tables(spark, sf))
     return t.triage_outcomes(_incidents(spark, sf), good, _offered(spark, sf), ids, REMOVES)

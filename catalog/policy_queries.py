@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.graph_queries import FWD
-from catalog.tables import oracle, run_sql, table
+from catalog.tables import oracle, run_sql, staged, table
 from wakeline.operators import policy
 from wakeline.plans.impact import impact_plan
 
@@ -34,6 +34,10 @@ def _assertions(spark, sf):
 
 
 def _plan(spark, sf):
+    return staged(spark, sf, "impact-plan", lambda: _plan_made(spark, sf))
+
+
+def _plan_made(spark, sf):
     seen = _sightings(spark, sf)
     triggers = table(spark, sf, "triggers")
     entries = table(spark, sf, "trigger_entries")

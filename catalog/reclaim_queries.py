@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.tables import oracle, table
+from catalog.tables import oracle, staged, table
 from wakeline.operators import reclaim as r
 
 
@@ -15,15 +15,27 @@ def _outputs(spark, sf):
 
 
 def _resolved(spark, sf):
+    return staged(spark, sf, "resolved", lambda: _resolved_made(spark, sf))
+
+
+def _resolved_made(spark, sf):
     return r.resolve_workpaths(_tasks(spark, sf), table(spark, sf, "work"))
 
 
 def _copies(spark, sf):
+    return staged(spark, sf, "copies", lambda: _copies_made(spark, sf))
+
+
+def _copies_made(spark, sf):
     return r.published_copies_by_digest(_outputs(spark, sf), table(spark, sf, "published"), _resolved(spark, sf),
                                         table(spark, sf, "work"), table(spark, sf, "results"))
 
 
 def _rerun(spark, sf):
+    return staged(spark, sf, "rerun", lambda: _rerun_made(spark, sf))
+
+
+def _rerun_made(spark, sf):
     return r.recomputable(_tasks(spark, sf), table(spark, sf, "edges"), _resolved(spark, sf), table(spark, sf, "present"))
 
 

@@ -7,6 +7,7 @@ value, {name} a source table and {T:name} another mapped table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,30 +207,39 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 _STAGED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """
-    One lineage table, mapped once per application and written to the shared
-    folder, as an ingest job would leave it; every query then reads it from
-    there with its size and columns known.
+    A table made once per application and written to the shared folder, as the
+    job that makes it would leave it; what asks for it later reads it from
+    there, with its size and columns known.
     """
     use_utc(spark)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        df = run_sql(spark, sf_dir, TABLES[name]) if name in TABLES else None
-        if name == "tasks":
-            df = df.withColumn("labels", F.create_map(F.lit("segment"), "segment")).withColumn(
-                "metrics", F.when(F.col("okey") % 5 != 0, F.create_map(F.lit("price"), "price")))
-        if name == "chain":
-            df = chain_events(table(spark, sf_dir, "new_facts"))
-        if name == "edges":
-            df = df.withColumn("labels", F.create_map(F.lit("flag"), "flag"))
-        path = scratch_path(spark, f"table-{name}")
+        df, path = build(), scratch_path(spark, f"table-{name}")
         df.write.parquet(path)
         _STAGED[key] = (path, df.schema)
     path, schema = _STAGED[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def _mapped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "chain":
+        return chain_events(table(spark, sf_dir, "new_facts"))
+    df = run_sql(spark, sf_dir, TABLES[name])
+    if name == "tasks":
+        df = df.withColumn("labels", F.create_map(F.lit("segment"), "segment")).withColumn(
+            "metrics", F.when(F.col("okey") % 5 != 0, F.create_map(F.lit("price"), "price")))
+    if name == "edges":
+        df = df.withColumn("labels", F.create_map(F.lit("flag"), "flag"))
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One lineage table; maps are put on in Spark, and the chained log is chained there."""
+    return staged(spark, sf_dir, name, lambda: _mapped(spark, sf_dir, name))
+
+
 def duck(text: str) -> str:
     """The same text as DuckDB reads it."""
     text = ISO.sub(r"strftime(\1, '%Y-%m-%dT%H:%M:%S+00:00')", _expand(text))

@@ -301,6 +301,12 @@ def plan_summary(plans: DataFrame, items: DataFrame) -> DataFrame:
     return policy.plan_actions(items, "bundle").join(plans.select("bundle", "trigger", "policy_version", "policy_hash"), "bundle")
 
 
+def gate_result(gates: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Every sealed gate with its date, whether it passed, and its subjects per status."""
+    counted = ledger.gate_decision(subjects, by=("bundle",)).select("bundle", "blocked", "cleared", "unknown")
+    return gates.select("bundle", "as_of", "passed").join(counted, "bundle", "left").na.fill(0, ["blocked", "cleared", "unknown"])
+
+
 def bundle_listing(anchors: DataFrame, plans: DataFrame, gates: DataFrame) -> DataFrame:
     """One row per bundle: what kind of answer it seals, about what, and the log head it saw."""
     rows = anchors.select("bundle", "head_seq", "head_hash").join(plans.select("bundle", "trigger", "policy_version"), "bundle", "left").join(

@@ -50,6 +50,11 @@ def reach(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return log.rows()
 
 
+# Stands between the tasks of a path while it grows. It sorts before any other
+# character, so paths compare as text exactly as they do task by task.
+STEP = "\x00"
+
+
 def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """
     (subject, run_id, task, hops, path): one shortest chain from an entry to
@@ -62,19 +67,19 @@ def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """
     keys = ["subject", *NODE]
     forward = hold(forward_edges(edges))
-    start = entries.select(keys).distinct().withColumn("hops", F.lit(0)).withColumn("path", F.array("task"))
+    start = entries.select(keys).distinct().withColumn("hops", F.lit(0)).withColumn("path", F.col("task"))
     log, level = RoundLog(edges.sparkSession, "paths"), 0
     fresh, rows = log.add(start)
     while rows:
         level += 1
         moved = (
-            _step(fresh, forward).groupBy(keys).agg(F.min("path").alias("path"))
-            .join(log.rows(), keys, "left_anti")
-            .select(*keys, F.lit(level).alias("hops"), F.concat("path", F.array("task")).alias("path"))
+            _step(fresh.drop("hops"), forward).groupBy(keys).agg(F.min("path").alias("path"))
+            .join(log.rows().select(keys), keys, "left_anti")
+            .select(*keys, F.lit(level).alias("hops"), F.concat_ws(STEP, "path", "task").alias("path"))
         )
         fresh, rows = log.add(moved)
     forward.unpersist()
-    return log.rows()
+    return log.rows().withColumn("path", F.split("path", STEP))
 
 
 def sole_subject(peers: DataFrame, edges: DataFrame) -> DataFrame:
