@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.session import RoundLog, hold
+from wakeline.session import RoundLog, cut
 
 EXTERNAL = "EXTERNAL"
 NODE = ["run_id", "task"]
@@ -41,12 +41,11 @@ def reach(entries: DataFrame, edges: DataFrame) -> DataFrame:
     entries included.
     """
     keys = ["subject", *NODE]
-    forward = hold(forward_edges(edges))
+    forward, _ = cut(forward_edges(edges), "forward")
     log = RoundLog(edges.sparkSession, "reach")
     fresh, rows = log.add(entries.select(keys).distinct())
     while rows:
         fresh, rows = log.add(_step(fresh, forward).select(keys).distinct().join(log.rows(), keys, "left_anti"))
-    forward.unpersist()
     return log.rows()
 
 
@@ -66,7 +65,7 @@ def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
     the shuffle.
     """
     keys = ["subject", *NODE]
-    forward = hold(forward_edges(edges))
+    forward, _ = cut(forward_edges(edges), "forward")
     start = entries.select(keys).distinct().withColumn("hops", F.lit(0)).withColumn("path", F.col("task"))
     log, level = RoundLog(edges.sparkSession, "paths"), 0
     fresh, rows = log.add(start)
@@ -78,7 +77,6 @@ def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
             .select(*keys, F.lit(level).alias("hops"), F.concat_ws(STEP, "path", "task").alias("path"))
         )
         fresh, rows = log.add(moved)
-    forward.unpersist()
     return log.rows().withColumn("path", F.split("path", STEP))
 
 
@@ -92,7 +90,7 @@ def sole_subject(peers: DataFrame, edges: DataFrame) -> DataFrame:
     one, or by several, so it changes at most twice.
     """
     keys = ["kind", *NODE]
-    forward = hold(forward_edges(edges))
+    forward, _ = cut(forward_edges(edges), "forward")
 
     def by_node(rows: DataFrame) -> DataFrame:
         # `several` is already known for some rows; otherwise two ends that differ show it.
@@ -113,7 +111,6 @@ def sole_subject(peers: DataFrame, edges: DataFrame) -> DataFrame:
             .select(*keys, F.when(unmet, F.col("subject")).alias("subject"), (~unmet | F.col("several")).alias("several"))
         )
         fresh, rows = log.add(changed)
-    forward.unpersist()
     return by_node(log.rows()).select(*keys, "subject")
 
 

@@ -16,7 +16,7 @@ from wakeline.functions.text import ancestors, basename, ignored, short_process
 from wakeline.operators.drift import BOOKKEEPING
 from wakeline.operators.graph import EXTERNAL, NODE, forward_edges
 from wakeline.operators.triggers import normalise_status
-from wakeline.session import RoundLog, hold
+from wakeline.session import RoundLog, cut
 
 REMOVABLE = ("REDUNDANT", "SUPERSEDED", "FAILED", "INTERMEDIATE")
 
@@ -176,13 +176,13 @@ def recomputable(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, presen
         .when(F.col("first").isNotNull(), F.concat(F.lit("external input not found at its recorded path: "),
                                                   F.when(F.col("first.name") == "", "?").otherwise(F.col("first.name"))))
         .when(F.col("dangling"), "producer not in graph"))
-    start = (
+    start, _ = cut(
         tasks.join(missing, NODE, "left").join(dangling, NODE, "left").join(counts, NODE, "left")
-        .select(*NODE, why.alias("why"), F.coalesce("waiting", F.lit(0)).alias("waiting")))
+        .select(*NODE, why.alias("why"), F.coalesce("waiting", F.lit(0)).alias("waiting")), "recompute-start")
 
-    waits = hold(needs)
+    waits, _ = cut(needs, "waits")
     log = RoundLog(edges.sparkSession, "recompute")
-    pending = hold(start.where("why IS NULL AND waiting > 0").select(*NODE, "waiting"))
+    pending, _ = cut(start.where("why IS NULL AND waiting > 0").select(*NODE, "waiting"), "pending")
     fresh, rows = log.add(start.where("why IS NOT NULL OR waiting = 0").select(*NODE, F.col("why").isNull().alias("good"), "why"))
     while rows:
         arrived = fresh.select("run_id", F.col("task").alias("producer"), "good").join(waits, ["run_id", "producer"])
@@ -197,8 +197,6 @@ def recomputable(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, presen
                     F.when(F.col("blocker").isNotNull(), F.concat(F.lit("input from "), "blocker", F.lit(" gone and not recomputable"))).alias("why")))
         fresh, rows = log.add(settled)
     done = log.rows()
-    waits.unpersist()
-    pending.unpersist()
     return tasks.select(NODE).join(done, NODE, "left").select(
         *NODE, F.coalesce("good", F.lit(False)).alias("recomputable"),
         F.when(F.col("good"), "recipe recorded").when(F.col("good").isNull(), "input chain loops").otherwise(F.col("why")).alias("why"))

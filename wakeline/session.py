@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,11 +84,3 @@ class RoundLog:
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*paths)
-
-
-def hold(df: DataFrame) -> DataFrame:
-    """
-    Keep a table that a loop reads many times, on disk where memory is short.
-    Its plan stays short, so a lost block is recomputed from the source.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
