@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.ledger_queries import CHAIN, TAMPERED, _tampered
+from catalog.ledger_queries import CHAIN, _tampered
 from catalog.policy_queries import ACTION, FACTS, V2, decided
 from catalog.tables import oracle, run_sql, staged, table
 from wakeline.operators import evidence as e
