@@ -2,28 +2,87 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash
-from .common import documents
+from . import exact_dedup, langid, mixing, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, token_rollups
+from .common import documents, scratch_path
+
+
+def _is(kind, span):
+    return span["kind"] == kind
+
+
+def op1_secret_scan(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    ledger = secret_scan.Ledger(spark, scratch_path(spark, "blob-ledger"))
+    ledger.commit(docs, "first")
+    rows = ledger.by_path(docs)
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return rows.select(
+        F.col("path").alias("doc_id"),
+        *(F.size(F.filter("spans", partial(_is, k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS),
+        F.sha2(said, 256).alias("base_sha256"), said.alias("spans"))
 
 
 def op2_mix_sources(spark, sf_dir):
     return mixing.Mix(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicated(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.members(documents(spark, sf_dir))
 
 
+def trusted(spark, sf_dir):
+    """The ids of documents labelled good and not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op6_quality(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), trusted(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "lang", "perplexity", "threshold", "kept")
+
+
+def op7_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    known = langid.prototypes(docs.where(~held_out))
+    rows = langid.identify(docs, known)
+    return rows.select(F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_sentencepiece(spark, sf_dir):
+    coded = sentencepiece_codec.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    back = sentencepiece_codec.decode(coded)
+    return back.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("ids_chunks").alias("n_chunks"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+
+
+def op9_token_counts(spark, sf_dir):
+    totals = token_rollups.Rollup(spark, scratch_path(spark, "token-rollup"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    totals.commit(docs.select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), "*"), "first")
+    return totals.totals()
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.groups(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_mix_sources": op2_mix_sources,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
 
