@@ -86,14 +86,13 @@ class Mix:
     text: str = "text"
     source: str = "source"
     in_bucket: int = 4096
-    carry: bool = False
 
     @cached_property
     def _sized(self) -> tuple[DataFrame, int]:
         body = text_of(self.text)
         return cut(self.docs.select(
             F.col(self.id_col).alias("doc_id"), F.col(self.source).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(body).alias("digest"), *([F.struct("*").alias("row")] if self.carry else [])), "mix-sizes")
+            F.xxhash64(body).alias("digest")), "mix-sizes")
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -166,13 +165,22 @@ class Mix:
         return rows.join(sums, ["source_no", "start"], "left").select(
             "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
-    def _words(self) -> DataFrame:
-        return self.placed.where("size > 0").select("source_no", "start", "row", F.regexp_extract_all(F.col(f"row.{self.text}"), F.lit(WORD), F.lit(0)).alias("list"))
+    def _texts(self, narrow: DataFrame) -> DataFrame:
+        """`narrow` (with doc_id, source and digest) beside the row and words of its document; texts move once, keyed by all three."""
+        rows = self.docs.select(F.col(f"`{self.id_col}`").alias("i"), F.col(f"`{self.source}`").alias("s"), F.xxhash64(text_of(self.text)).alias("d"), F.struct("*").alias("row"))
+        rows = rows.groupBy("i", "s", "d").agg(F.first("row").alias("row"))
+        on = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d"))
+        return narrow.join(rows, on).drop("i", "s", "d").withColumn("list", F.regexp_extract_all(F.col(f"row.`{self.text}`"), F.lit(WORD), F.lit(0)))
+
+    def _spans(self) -> DataFrame:
+        """(doc_id, source, digest, source_no, start, spans) of documents that the mix takes something of."""
+        spans = self.takes.groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct("skip", "words", "times", "block"))).alias("spans"))
+        return self.placed.where("size > 0").select("doc_id", "source", "digest", "source_no", "start").join(spans, ["source_no", "start"])
 
     def blocks(self) -> DataFrame:
-        """The mix itself: (shard, position, source_no, block, text), one row per output position. Needs carry=True."""
-        parts = self.pieces.join(self._words(), ["source_no", "start"]).select(
-            "source_no", "block", "start", F.array_join(F.slice("list", (F.col("skip") + 1).cast("int"), F.col("words").cast("int")), " ").alias("part"))
+        """The mix itself: (shard, position, source_no, block, text), one row per output position."""
+        parts = self._texts(self._spans()).select("source_no", "start", "list", F.explode("spans").alias("p")).select(
+            "source_no", "p.block", "start", F.array_join(F.slice("list", (F.col("p.skip") + 1).cast("int"), F.col("p.words").cast("int")), " ").alias("part"))
         texts = parts.groupBy("source_no", "block").agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), " ").alias("text"))
         return self.slots.join(texts, ["source_no", "block"]).select("shard", "position", "source_no", "block", "text")
@@ -181,15 +189,15 @@ class Mix:
         """
         The rows of `docs` as the mix takes them: one row for each pass that
         takes something of a document, its text the words taken in that pass
-        (the text as it was, where all are). Needs carry=True.
+        (the text as it was, where all are). Rows that repeat id, source and
+        text have the other columns of any one of them.
         """
         most = int(-(-self.most // 1))
-        spans = self.takes.groupBy("source_no", "start").agg(F.array_sort(F.collect_list(F.struct("skip", "words", "times"))).alias("spans"))
-        rows = self._words().join(spans, ["source_no", "start"]).withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(most))))
+        rows = self._texts(self._spans()).withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(most))))
         rows = rows.withColumn("spans", F.filter("spans", lambda s: s["times"] >= F.col("pass"))).where(F.size("spans") > 0)
         got = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
         some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("list"), (s["skip"] + 1).cast("int"), s["words"].cast("int")))), " ")
-        whole = F.col(f"row.{self.text}")
+        whole = F.col(f"row.`{self.text}`")
         new = F.when(got == F.size("list"), whole).otherwise(some)
         return rows.withColumn("new", new).select(*(
             F.col("new").alias(c) if c == self.text else F.col(f"row.`{c}`").alias(c) for c in self.docs.columns))

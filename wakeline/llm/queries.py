@@ -6,7 +6,9 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, token_rollups
+import corpus_pipeline
+
+from . import exact_dedup, langid, mixing, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, token_rollups, topk
 from .common import documents, scratch_path
 
 
@@ -34,17 +36,18 @@ def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.deduplicated(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-def op5_exact_dedup(spark, sf_dir):
-    return exact_dedup.members(documents(spark, sf_dir))
+def op4_top_k(spark, sf_dir):
+    vectors = topk.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    pages, trees = topk.build(vectors)
+    return topk.search(pages, trees, vectors.where("vec_id % 50 = 0"), k=5)
 
 
-def trusted(spark, sf_dir):
-    """The ids of documents labelled good and not toxic."""
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+def op5_exact_dedup(spark, sf_dir):
+    return exact_dedup.members(documents(spark, sf_dir))
 
 
 def op6_quality(spark, sf_dir):
-    return quality.classify(documents(spark, sf_dir), trusted(spark, sf_dir)).select(
+    return quality.classify(documents(spark, sf_dir), corpus_pipeline.trusted(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "lang", "perplexity", "threshold", "kept")
 
 
@@ -74,19 +77,54 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_top_k": op4_top_k,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
+def _secret_spans(kind, no, pattern, group, least):
+    """Spans of one kind in DuckDB: what lies between matches and the matches' lengths give the places."""
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, {no} AS k, a, a + length(m) AS b FROM (
+            SELECT doc_id, m, g, sum(length(between_) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS a FROM (
+                SELECT doc_id, unnest(string_split_regex(body, '{pattern}')[:len(ms)]) AS between_, unnest(ms) AS m, unnest(gs) AS g, unnest(range(len(ms))) AS i FROM (
+                    SELECT doc_id, body, regexp_extract_all(body, '{pattern}') AS ms, regexp_extract_all(body, '{pattern}', {group}) AS gs
+                    FROM d WHERE regexp_matches(body, '{pattern}'))))
+        WHERE length(g) >= {least}"""
+
+
+_ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + (
+    """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
+
 ORACLES = {
+    "op1_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        s AS ({" UNION ALL ".join((_secret_spans("assign", 0, _ASSIGN, 2, 8), _secret_spans("access", 1, "AKIA[A-Z0-9]+", 0, 16), _secret_spans("hex", 2, "[0-9a-f]{32,}", 0, 32)))}),
+        g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                  string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+            sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (doc_id)""",
+    "op4_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, 1 + len(q.v)), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY body)
