@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, scratch_path
 
-__all__ = ["components", "cut", "documents", "flat", "scratch_path", "text_of"]
+__all__ = ["components", "cut", "documents", "flat", "rows_by", "scratch_path", "text_of"]
 
 #: Runs of anything but white space of the ASCII range, as a Java pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[-1]], ends - ends[0]
 
 
+def rows_by(docs: DataFrame, decided: DataFrame, how: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with (left_semi) or without (left_anti) their id and text's XXH64 in `decided` (id, digest); any column names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.xxhash64(text_of(text)).alias("d"))
+    on = F.col("i").eqNullSafe(F.col("id")) & (F.col("d") == F.col("digest"))
+    return rows.join(decided.select("id", "digest"), on, how).select("row.*")
+
+
 def _sum(df: DataFrame, *columns: str):
     """Count and order-free checksum of the rows; two numbers, whatever the size."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, flat, text_of
+from .common import cut, flat, rows_by, text_of
 
 #: Bytes of text that are worked on at once, and that a pack holds.
 PACK = 4 << 20
@@ -98,9 +98,11 @@ def count_grams(texts: DataFrame, order: int, body: str = "body") -> DataFrame:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """The three discounts from the numbers of n-grams seen once to four times."""
+    """The three discounts from the numbers of n-grams seen once to four times; one half where those say none, so that every context leaves something."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    return (max(0.0, 1 - 2 * y * n2 / n1) if n1 else 0.0, max(0.0, 2 - 3 * y * n3 / n2) if n2 else 0.0, max(0.0, 3 - 4 * y * n4 / n3) if n3 else 0.0)
+    ratios = ((1, n2, n1), (2, n3, n2), (3, n4, n3))
+    found = (k - (k + 1) * y * more / less if less else 0.0 for k, more, less in ratios)
+    return tuple(d if d > 0 else 0.5 for d in found)
 
 
 def train(texts: DataFrame, order: int = 4, body: str = "body") -> tuple[DataFrame, int]:
@@ -282,6 +284,4 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = 4, quantile: floa
 
 def survivors(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` that `classify` keeps."""
-    out = classify(docs, trusted, id_col=id_col, text=text, **options).where("NOT kept").select(F.col("id").alias("out_id"), F.col("digest").alias("out_digest"))
-    gone = F.col(f"`{id_col}`").eqNullSafe(F.col("out_id")) & (F.xxhash64(text_of(text)) == F.col("out_digest"))
-    return docs.join(out, gone, "left_anti")
+    return rows_by(docs, classify(docs, trusted, id_col=id_col, text=text, **options).where("NOT kept"), "left_anti", id_col, text)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, text_of
+from .common import components, cut, rows_by, text_of
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at once.
@@ -318,6 +318,6 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed:
     id; rows that repeat id and text count as one document and all stay, rows
     without an id in a group that has none too.
     """
-    keep = near_groups(docs, shingle, similarity, seed, id_col, text).where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(
-        F.min("digest").alias("keep_digest")).withColumnRenamed("component", "keep_id")
-    return docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.xxhash64(text_of(text)) == F.col("keep_digest")), "left_semi")
+    groups_ = near_groups(docs, shingle, similarity, seed, id_col, text)
+    keep = groups_.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.min("digest").alias("digest"))
+    return rows_by(docs, keep, "left_semi", id_col, text)
