@@ -170,9 +170,9 @@ def compared(before: str, after: str, out: str) -> str:
 @ext AS (SELECT consumer AS task, filename, arg_max(coalesce(digest, ''), edge_ix) AS digest FROM run_edges WHERE producer = 'EXTERNAL' GROUP BY ALL),
 @inputs AS (SELECT b.after AS task, x.filename FROM @base b JOIN @ext x ON x.task = b.after
   LEFT JOIN @ext y ON y.task = b.before AND y.filename = x.filename WHERE state = 'DIFF' AND x.digest <> coalesce(y.digest, '')),
-@why AS (SELECT b.after, i.n, i.first, i.names, CASE WHEN i.n > 0 THEN 'input changed'
-    WHEN tb.container <> ta.container THEN concat('container changed: ', tb.container, ' -> ', ta.container)
-    WHEN tb.script <> ta.script THEN 'script changed' ELSE 'same inputs and recipe, different outputs' END AS why
+@why AS (SELECT b.after, i.n, i.first, i.names, CASE WHEN i.n > 0 THEN 'input'
+    WHEN tb.container <> ta.container THEN concat('container: ', tb.container, ' -> ', ta.container)
+    WHEN tb.script <> ta.script THEN 'script' ELSE 'unexplained' END AS why
   FROM @base b JOIN run_tasks tb ON tb.task = b.before JOIN run_tasks ta ON ta.task = b.after
   LEFT JOIN (SELECT task, count(*) AS n, min(filename) AS first, list(filename ORDER BY filename) AS names FROM @inputs GROUP BY task) i ON i.task = b.after
   WHERE state = 'DIFF'),
@@ -180,10 +180,10 @@ def compared(before: str, after: str, out: str) -> str:
     WHEN state = 'SAME' THEN 'REPRODUCED' WHEN state <> 'DIFF' THEN state WHEN nd > 0 THEN 'DOWNSTREAM' WHEN nu > 0 THEN 'UNSETTLED' ELSE 'DRIFTED' END AS verdict
   FROM @base b LEFT JOIN @met m ON m.after = b.after),
 @items AS (SELECT j.task, j.before, j.after, t.process, verdict, CASE verdict WHEN 'DRIFTED' THEN why
-    WHEN 'UNVERIFIED' THEN CASE WHEN unpaired THEN 'several tasks share this name and their input digests do not tell them apart' ELSE 'an output has no digest' END
-    WHEN 'DOWNSTREAM' THEN 'follows a task that drifted' WHEN 'UNSETTLED' THEN 'an upstream task could not be verified'
-    WHEN 'REPRODUCED' THEN 'same digests' WHEN 'ADDED' THEN 'no task with this name in the before run'
-    ELSE 'no task with this name in the after run' END AS cause,
+    WHEN 'UNVERIFIED' THEN CASE WHEN unpaired THEN 'ambiguous name' ELSE 'output without digest' END
+    WHEN 'DOWNSTREAM' THEN 'upstream drifted' WHEN 'UNSETTLED' THEN 'upstream unverified'
+    WHEN 'REPRODUCED' THEN 'equal digests' WHEN 'ADDED' THEN 'only after'
+    ELSE 'only before' END AS cause,
   CASE state WHEN 'DIFF' THEN CASE WHEN nd > 0 THEN nd ELSE nu END WHEN 'SAME' THEN nd ELSE 0 END AS n_follows,
   CASE WHEN verdict = 'DRIFTED' THEN n END AS inputs_changed, CASE WHEN verdict = 'DRIFTED' THEN first END AS first_input,
   CASE WHEN verdict = 'DRIFTED' THEN names END AS names

@@ -157,15 +157,15 @@ ids AS (SELECT incident, word FROM words w WHERE EXISTS (SELECT 1 FROM said WHER
 ans AS (SELECT incident, c, text, CASE WHEN c % 11 = 0 THEN 'newest' WHEN c % 13 = 0 THEN 'm-2' ELSE 'm-1' END AS model,
   CASE c % 4 WHEN 0 THEN concat('part-', c * 4 % 200, '.dat') WHEN 1 THEN concat('NATION_', (c + c % 3) % 25) WHEN 2 THEN 'building' ELSE 'none' END AS choice,
   CASE WHEN c % 17 = 0 THEN NULL WHEN c % 19 = 0 THEN 1.5 ELSE CAST(concat('0.', 40 + c % 60) AS DOUBLE) END AS confidence FROM inc),
-checked AS (SELECT a.*, o.kind, o.value, o.trigger, CASE WHEN model = 'newest' THEN 'names an alias' WHEN model = 'm-2' THEN 'another model'
-    WHEN a.choice <> 'none' AND o.option IS NULL THEN 'choice was not offered' WHEN a.c % 17 = 0 OR a.c % 19 = 0 THEN 'confidence is not a number from 0 to 1'
-    WHEN a.c % 23 = 0 THEN 'weighs options that were not offered' END AS problem FROM ans a LEFT JOIN offered o ON o.incident = a.incident AND o.option = a.choice),
-judged AS (SELECT *, CASE WHEN choice = 'none' THEN CASE WHEN confidence < 0.9 THEN 'none, below the dismissal bar' WHEN incident IN (SELECT incident FROM ids) THEN 'the incident names an id this run contains' ELSE 'none, at or above the dismissal bar' END
-    WHEN confidence < 0.6 THEN 'below the asking bar' WHEN kind = 'nation' AND NOT regexp_matches(text, concat('(?i)(^|[^A-Za-z0-9])', value, '($|[^A-Za-z0-9])')) THEN 'a removal needs its id as written' ELSE 'at or above the asking bar' END AS reason FROM checked WHERE problem IS NULL),
-triaged AS (SELECT *, CASE reason WHEN 'at or above the asking bar' THEN 'ask' WHEN 'none, at or above the dismissal bar' THEN 'dismissed' ELSE 'held' END AS outcome FROM judged),
+checked AS (SELECT a.*, o.kind, o.value, o.trigger, CASE WHEN model = 'newest' THEN 'model: alias' WHEN model = 'm-2' THEN 'model: other'
+    WHEN a.choice <> 'none' AND o.option IS NULL THEN 'choice: unoffered' WHEN a.c % 17 = 0 OR a.c % 19 = 0 THEN 'confidence: range'
+    WHEN a.c % 23 = 0 THEN 'weights: unoffered' END AS problem FROM ans a LEFT JOIN offered o ON o.incident = a.incident AND o.option = a.choice),
+judged AS (SELECT *, CASE WHEN choice = 'none' THEN CASE WHEN confidence < 0.9 THEN 'none, confidence low' WHEN incident IN (SELECT incident FROM ids) THEN 'id found in text' ELSE 'none, confidence high' END
+    WHEN confidence < 0.6 THEN 'confidence low' WHEN kind = 'nation' AND NOT regexp_matches(text, concat('(?i)(^|[^A-Za-z0-9])', value, '($|[^A-Za-z0-9])')) THEN 'removal without its id' ELSE 'confidence high' END AS reason FROM checked WHERE problem IS NULL),
+triaged AS (SELECT *, CASE reason WHEN 'confidence high' THEN 'ask' WHEN 'none, confidence high' THEN 'dismissed' ELSE 'held' END AS outcome FROM judged),
 decided AS (SELECT d.incident, trim(actor) AS actor, CASE WHEN ask IS NOT NULL THEN 'ask' ELSE 'dismiss' END AS decision, ask AS trigger,
-  CASE WHEN trim(actor) = '' THEN 'no person named' WHEN coalesce(t.outcome, '') <> 'held' THEN 'only a held incident takes a decision' WHEN (ask IS NOT NULL) = dismiss THEN 'ask or dismiss, one of them'
-    WHEN ask IS NOT NULL AND NOT EXISTS (SELECT 1 FROM offered o WHERE o.incident = d.incident AND o.trigger = d.ask) THEN 'trigger was not offered' END AS refused
+  CASE WHEN trim(actor) = '' THEN 'actor: absent' WHEN coalesce(t.outcome, '') <> 'held' THEN 'not held' WHEN (ask IS NOT NULL) = dismiss THEN 'decision: neither'
+    WHEN ask IS NOT NULL AND NOT EXISTS (SELECT 1 FROM offered o WHERE o.incident = d.incident AND o.trigger = d.ask) THEN 'trigger: unoffered' END AS refused
   FROM (""" + DECISIONS.replace("{incidents_sql}", INCIDENTS) + """) d LEFT JOIN triaged t ON t.incident = d.incident),"""
 _T = ("tasks", "edges", "sheet")
 BROKEN = """spoiled AS (""" + SPOILED + """),"""
@@ -178,27 +178,27 @@ ORACLES = {
     "check_answers": oracle("SELECT incident, choice, CASE WHEN c % 17 <> 0 THEN confidence WHEN c % 17 = 0 THEN 1.0 END AS confidence, problem FROM checked", *_T, extra=OPTIONS),
     "triage_outcomes": oracle("SELECT incident, choice, outcome, reason, CASE WHEN outcome = 'ask' THEN trigger END AS trigger FROM triaged", *_T, extra=OPTIONS),
     "triage_by_name": oracle("""SELECT b.incident, b.choice, CASE WHEN o.kind = 'nation' AND b.choice <> 'none' THEN 'ask' WHEN b.choice <> 'none' THEN 'ask' ELSE 'held' END AS outcome,
-        CASE WHEN b.choice <> 'none' THEN 'the incident names it' WHEN named > 0 THEN 'the incident names several' ELSE 'nothing in this run is named' END AS reason, o.trigger
+        CASE WHEN b.choice <> 'none' THEN 'name found' WHEN named > 0 THEN 'several names found' ELSE 'no name found' END AS reason, o.trigger
         FROM byname b LEFT JOIN offered o ON o.incident = b.incident AND o.option = b.choice""", *_T, extra=OPTIONS),
     "record_decisions": oracle("SELECT * FROM decided", *_T, extra=OPTIONS),
     "facts_from_decisions": oracle("""SELECT 'Withdrawn' AS event_type, split_part(trigger, ':', 2) AS subject, actor, incident, trigger FROM decided
         WHERE refused IS NULL AND decision = 'ask' AND trigger LIKE 'nation:%'""", *_T, extra=OPTIONS),
-    "inbox_state": oracle("""SELECT i.incident, CASE WHEN t.outcome IS NULL THEN 'waiting' WHEN d.decision IS NOT NULL THEN concat('held, then decided: ', d.decision) ELSE t.outcome END AS state
+    "inbox_state": oracle("""SELECT i.incident, CASE WHEN t.outcome IS NULL THEN 'waiting' WHEN d.decision IS NOT NULL THEN concat('held first: ', d.decision) ELSE t.outcome END AS state
         FROM inc i LEFT JOIN triaged t ON t.incident = i.incident LEFT JOIN decided d ON d.incident = i.incident AND d.refused IS NULL""", *_T, extra=OPTIONS),
     "grade_triage": oracle("""SELECT concat('form', c % 2) AS form, count(*) AS cases, count(*) FILTER (WHERE choice = want) AS right, count(*) FILTER (WHERE outcome = 'held') AS held,
         count(*) FILTER (WHERE choice <> want AND outcome = 'ask') AS acted_wrongly, count(*) FILTER (WHERE choice <> want AND outcome = 'dismissed') AS dismissed_wrongly FROM
         (SELECT *, CASE c % 4 WHEN 0 THEN concat('part-', c * 4 % 200, '.dat') WHEN 1 THEN concat('NATION_', c % 25) WHEN 2 THEN 'BUILDING' ELSE 'none' END AS want FROM triaged) GROUP BY c % 2""", *_T, extra=OPTIONS),
     "contract_violations": oracle("""
-        SELECT 'r0' AS run_id, 'tasks' AS source, task AS key, 'status is not upper-case' AS problem FROM tasks WHERE okey % 7 = 0
-        UNION ALL SELECT 'r0', 'tasks', task, 'workpath must be relative and stay under the root' FROM tasks WHERE okey % 50 = 1
+        SELECT 'r0' AS run_id, 'tasks' AS source, task AS key, 'status:case' AS problem FROM tasks WHERE okey % 7 = 0
+        UNION ALL SELECT 'r0', 'tasks', task, 'workpath:escapes' FROM tasks WHERE okey % 50 = 1
         UNION ALL SELECT 'r0', 'tasks', task, 'container is missing' FROM tasks WHERE okey % 60 = 1
-        UNION ALL SELECT 'r0', 'tasks', task, 'metrics must be non-negative numbers' FROM tasks WHERE okey % 70 = 1
-        UNION ALL SELECT 'r0', 'edges', CAST(edge_ix AS VARCHAR), 'task feeds itself' FROM spoiled WHERE producer = consumer
-        UNION ALL SELECT 'r0', 'edges', CAST(edge_ix AS VARCHAR), 'producer is not a task' FROM spoiled WHERE producer = 'o-1'
+        UNION ALL SELECT 'r0', 'tasks', task, 'metrics:value' FROM tasks WHERE okey % 70 = 1
+        UNION ALL SELECT 'r0', 'edges', CAST(edge_ix AS VARCHAR), 'edge:self' FROM spoiled WHERE producer = consumer
+        UNION ALL SELECT 'r0', 'edges', CAST(edge_ix AS VARCHAR), 'producer:unknown' FROM spoiled WHERE producer = 'o-1'
         UNION ALL SELECT 'r0', 'edges', CAST(edge_ix AS VARCHAR), 'target is missing' FROM spoiled WHERE target IS NULL
-        UNION ALL SELECT 'r0', 'edges', CAST(edge_ix AS VARCHAR), 'digest is not ''<algorithm>:<value>''' FROM spoiled WHERE digest = 'bare'
-        UNION ALL SELECT 'r0', 'outputs', concat('lost', okey, '/', file), 'outputs of something that is not a task' FROM outputs WHERE okey % 40 = 1
-        UNION ALL SELECT 'r0', 'outputs', concat(CASE WHEN okey % 40 = 1 THEN concat('lost', okey) ELSE task END, '/', file), 'digest is not ''<algorithm>:<value>''' FROM outputs WHERE okey % 30 = 1""",
+        UNION ALL SELECT 'r0', 'edges', CAST(edge_ix AS VARCHAR), 'digest:form' FROM spoiled WHERE digest = 'bare'
+        UNION ALL SELECT 'r0', 'outputs', concat('lost', okey, '/', file), 'outputs:unknown' FROM outputs WHERE okey % 40 = 1
+        UNION ALL SELECT 'r0', 'outputs', concat(CASE WHEN okey % 40 = 1 THEN concat('lost', okey) ELSE task END, '/', file), 'digest:form' FROM outputs WHERE okey % 30 = 1""",
         "tasks", "edges", "outputs", extra=BROKEN),
     "extract_summary": oracle("""SELECT 'r0' AS run_id, t.tasks, t.superseded, t.cached, e.edges, e.resolved, e.external, e.dangling FROM
         (SELECT count(*) AS tasks, count(*) FILTER (WHERE superseded) AS superseded, count(*) FILTER (WHERE okey % 6 = 0) AS cached FROM tasks) t,

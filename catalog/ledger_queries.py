@@ -12,8 +12,9 @@ SUBJECTS = "SELECT concat('u', c_custkey) AS subject FROM {customer}"
 # Every moment a sale was made is asked about, once as its day and once as itself.
 DATES = """SELECT DISTINCT 'log' AS log_id, substring({ISO:ts}, 1, 10) AS as_of FROM {events}
 UNION SELECT 'log', {ISO:ts} FROM {events}"""
-# Tampering: a log with an entry edited, one cut, one with an entry gone.
-TAMPERED = """CASE WHEN user_no % 5 = 1 AND seq = 4 THEN 'edited' WHEN user_no % 5 = 2 AND seq = 3 THEN 'cut' WHEN user_no % 5 = 3 AND seq = 2 THEN 'gone' END"""
+# Tampering: logs with an entry edited, cut or gone, and logs where an entry has no link or no hash.
+TAMPERED = """CASE WHEN user_no % 5 = 1 AND seq = 4 THEN 'edited' WHEN user_no % 5 = 2 AND seq = 3 THEN 'cut' WHEN user_no % 5 = 3 AND seq = 2 THEN 'gone'
+  WHEN user_no % 10 = 4 AND seq = 5 THEN 'unlinked' WHEN user_no % 10 = 9 AND seq = 6 THEN 'unhashed' END"""
 
 
 def _facts(spark, sf):
@@ -28,7 +29,8 @@ def _tampered(spark, sf):
     rows = _chain(spark, sf).withColumn("user_no", F.substring_index("log_id", "log", -1).cast("bigint"))
     rows = rows.withColumn("how", F.expr(TAMPERED)).where("how IS NULL OR how <> 'gone'")
     return rows.withColumn("actor", F.when(F.col("how") == "edited", "someone").otherwise(F.col("actor"))).withColumn(
-        "prev_hash", F.when(F.col("how") == "cut", "0").otherwise(F.col("prev_hash")))
+        "prev_hash", F.when(F.col("how") == "cut", "0").when(F.col("how") == "unlinked", F.lit(None)).otherwise(F.col("prev_hash"))).withColumn(
+        "hash", F.when(F.col("how") == "unhashed", F.lit(None)).otherwise(F.col("hash")))
 
 
 def _gate(spark, sf):
@@ -135,9 +137,9 @@ ORACLES = {
     "verify_chain": oracle("""SELECT log_id, true AS ok, count(*) AS entries, arg_max(hash, seq) AS head, CAST(NULL AS BIGINT) AS broken_at,
         CAST(NULL AS VARCHAR) AS reason FROM chain GROUP BY log_id""", "new_facts", extra=CHAIN, recursive=True),
     "verify_chain_tampered": oracle(f"""SELECT log_id, broken_at IS NULL AS ok, CASE WHEN how = 'gone' THEN 1 WHEN broken_at IS NULL THEN n ELSE broken_at - 1 END AS entries, broken_at,
-        CASE how WHEN 'edited' THEN 'content does not match its own hash' WHEN 'cut' THEN 'prev_hash does not match the previous entry''s hash'
-          WHEN 'gone' THEN 'sequence jumps: an entry was removed or inserted' END AS reason FROM (
-        SELECT log_id, count(*) AS n, max(how) AS how, CASE max(how) WHEN 'edited' THEN 4 WHEN 'cut' THEN 3 WHEN 'gone' THEN CASE WHEN count(*) > 2 THEN 3 END END::BIGINT AS broken_at
+        CASE how WHEN 'edited' THEN 'content' WHEN 'cut' THEN 'link' WHEN 'unlinked' THEN 'link' WHEN 'unhashed' THEN 'content'
+          WHEN 'gone' THEN 'sequence' END AS reason FROM (
+        SELECT log_id, count(*) AS n, max(how) AS how, CASE max(how) WHEN 'edited' THEN 4 WHEN 'cut' THEN 3 WHEN 'unlinked' THEN 5 WHEN 'unhashed' THEN 6 WHEN 'gone' THEN CASE WHEN count(*) > 2 THEN 3 END END::BIGINT AS broken_at
         FROM (SELECT *, {TAMPERED} AS how FROM (SELECT *, CAST(substring(log_id, 4) AS BIGINT) AS user_no FROM chain)) GROUP BY log_id)""",
         "new_facts", extra=CHAIN, recursive=True),
     "in_effect_rows": oracle("SELECT seq, ets < TIMESTAMP '2024-01-16 00:00:00' AS by_day, ets <= TIMESTAMP '2024-01-15 10:00:00' AS by_time FROM facts", "facts"),

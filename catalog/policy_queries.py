@@ -130,9 +130,9 @@ QUERIES = {f.__name__: f for f in (
 SETTLED = """settled AS (SELECT run_id, task, released, what, asserted_by, date,
   CASE WHEN (storage IS NULL OR storage = 'DESTROYED') AND has_copies THEN 'WRITABLE'
        WHEN storage = 'DESTROYED' AND NOT published_checked THEN NULL ELSE storage END AS storage,
-  concat('seen', CASE WHEN storage = 'DESTROYED' AND has_copies THEN '; workdir removed, published copies exist'
-       WHEN storage IS NULL AND has_copies THEN '; published copies found'
-       WHEN storage = 'DESTROYED' AND NOT published_checked THEN '; workdir removed, published tree not checked' ELSE '' END) AS evidence
+  concat('seen', CASE WHEN storage = 'DESTROYED' AND has_copies THEN '; work gone, copies stand'
+       WHEN storage IS NULL AND has_copies THEN '; copies stand'
+       WHEN storage = 'DESTROYED' AND NOT published_checked THEN '; work gone, copies unchecked' ELSE '' END) AS evidence
   FROM sightings),"""
 LADDER = """CASE WHEN rel THEN 'R1' WHEN st = 'DESTROYED' THEN 'R2' WHEN sc = 'exclusive' AND st = 'WRITABLE' THEN 'R3'
   WHEN sc = 'exclusive' THEN 'R4' WHEN cl = 'SEPARABLE' AND md = 'trace' THEN 'R5' WHEN cl = 'SEPARABLE' AND st = 'WRITABLE' THEN 'R6'
@@ -156,8 +156,8 @@ byaction_{out} AS (SELECT {key}, {action} AS act, arg_min({rule}, ord) AS rl FRO
 
 
 CLASSIFIED = """classified AS (SELECT t.run_id, t.task, CASE WHEN script <> '' AND container <> '' THEN 'REGENERABLE' ELSE 'IRREDUCIBLE' END AS contribution,
-  s.released, CASE WHEN s.released THEN concat('published (', what, '), asserted by ', asserted_by, ' on ', date)
-    WHEN script = '' THEN 'not recorded: script' ELSE 'script and container recorded' END AS evidence
+  s.released, CASE WHEN s.released THEN concat('released (', what, '), by ', asserted_by, ' on ', date)
+    WHEN script = '' THEN 'unknown: script' ELSE 'recipe known' END AS evidence
   FROM tasks t JOIN sightings s ON t.task = s.task),"""
 OVER = "overrides AS (" + OVERRIDES + "),"
 # The flagship, whole: closure with paths per trigger, exclusivity per nation, class, storage, decision.
@@ -185,7 +185,7 @@ _LABEL = "COALESCE(action, regexp_replace(replace(possible, ',', ' or '), '=[^ ]
 ORACLES = {
     "classify": oracle("SELECT * FROM classified", "tasks", "sightings", extra=CLASSIFIED),
     "assert_class": oracle("""SELECT c.task, COALESCE(o.contribution, c.contribution) AS contribution, o.asserted_by AS class_asserted_by,
-        CASE WHEN o.contribution <> c.contribution THEN concat('class SEPARABLE asserted by sheet (evidence alone said ', c.contribution, '); ', evidence)
+        CASE WHEN o.contribution <> c.contribution THEN concat('class SEPARABLE asserted by sheet (by evidence ', c.contribution, '); ', evidence)
              ELSE evidence END AS evidence
         FROM classified c JOIN tasks t ON c.task = t.task LEFT JOIN overrides o ON o.process = t.process AND o.kind = 'nation'""",
         "tasks", "sightings", extra=CLASSIFIED + OVER),

@@ -88,25 +88,18 @@ def loose_outputs(spark, sf):
 
 
 def recomputable(spark, sf):
-    done = _rerun(spark, sf)
-    return done.select("run_id", "task", "recomputable",
-                       F.when(~F.startswith("why", F.lit("input from")), F.col("why")).alias("why"))
+    return _rerun(spark, sf).select("run_id", "task", "recomputable", "why")
 
 
 _ITEM = ["run_id", "task", "process", "target", "rel", "verdict", "cause", "files", "bytes"]
 
 
-def _said(plan):
-    # Which of several gone inputs is named is not part of the comparison.
-    return plan.withColumn("cause", F.when(F.startswith("cause", F.lit("input from")), "input gone").otherwise(F.col("cause"))).select(_ITEM)
-
-
 def reclaim_plan(spark, sf):
-    return _said(_plan(spark, sf))
+    return _plan(spark, sf).select(_ITEM)
 
 
 def reclaim_plan_cautious(spark, sf):
-    return _said(_plan(spark, sf, intermediates=False, target="host3"))
+    return _plan(spark, sf, intermediates=False, target="host3").select(_ITEM)
 
 
 def reclaim_cause_files(spark, sf):
@@ -154,14 +147,15 @@ FED = """consumed AS (SELECT DISTINCT run_id, producer AS task, filename AS file
 """
 RERUN = """ext AS (SELECT consumer AS task, edge_ix, target, contains(target, '://') AS remote, p.target IS NOT NULL AS there
   FROM (SELECT consumer, edge_ix, target FROM edges WHERE producer = 'EXTERNAL') e LEFT JOIN present p USING (target)),
-bad AS (SELECT task, arg_min(CASE WHEN remote THEN concat('external input is remote, not verified: ', regexp_extract(target, '[^/]*$'))
-    ELSE concat('external input not found at its recorded path: ', coalesce(nullif(regexp_extract(target, '[^/]*$'), ''), '?')) END, edge_ix) AS why
-  FROM ext WHERE remote OR NOT there GROUP BY task),
-base AS (SELECT t.task, CASE WHEN script = '' THEN 'script or container not recorded' ELSE bad.why END AS why FROM tasks t LEFT JOIN bad USING (task)),
-gone AS (SELECT DISTINCT e.consumer, e.producer FROM edges e JOIN resolved r ON r.task = e.producer WHERE NOT r.on_disk AND e.consumer <> e.producer),
-blocked(task) AS (SELECT task FROM base WHERE why IS NOT NULL UNION SELECT g.consumer FROM blocked b JOIN gone g ON g.producer = b.task),
-rerun AS (SELECT task, b.task IS NULL AS recomputable, CASE WHEN base.why IS NOT NULL THEN base.why WHEN b.task IS NULL THEN 'recipe recorded' END AS why
-  FROM base LEFT JOIN blocked b USING (task)),"""
+failing AS (SELECT task, edge_ix, CASE WHEN remote THEN concat('remote-input:', regexp_extract(target, '[^/]*$'))
+    ELSE concat('absent-input:', coalesce(nullif(regexp_extract(target, '[^/]*$'), ''), '?')) END AS code FROM ext WHERE remote OR NOT there),
+base AS (SELECT t.task, script <> '' AS recipe, script = '' OR t.task IN (SELECT task FROM failing) AS own FROM tasks t),
+gone AS (SELECT e.consumer, e.producer, e.edge_ix FROM edges e JOIN resolved r ON r.task = e.producer WHERE NOT r.on_disk AND e.consumer <> e.producer),
+blocked(task) AS (SELECT task FROM base WHERE own UNION SELECT g.consumer FROM blocked b JOIN gone g ON g.producer = b.task),
+causes AS (SELECT task, arg_min(code, edge_ix) AS code FROM (SELECT * FROM failing
+  UNION ALL SELECT consumer, edge_ix, concat('blocked-by:', producer) FROM gone WHERE producer IN (SELECT task FROM blocked)) GROUP BY task),
+rerun AS (SELECT base.task, b.task IS NULL AS recomputable, CASE WHEN NOT recipe THEN 'no-recipe' WHEN b.task IS NULL THEN 'recipe-known' ELSE c.code END AS why
+  FROM base LEFT JOIN blocked b USING (task) LEFT JOIN causes c USING (task)),"""
 PLAN = RESOLVED + _LOCAL_BYTES + COPIES + FED + RERUN + """
 flags AS (SELECT o.task, count(*) AS n, count(*) FILTER (WHERE o.digest_before IS NULL) AS nodig,
   count(*) FILTER (WHERE c.verdict = 'symlink') AS sym, count(*) FILTER (WHERE c.verdict = 'changed') AS chg,
@@ -169,7 +163,7 @@ flags AS (SELECT o.task, count(*) AS n, count(*) FILTER (WHERE o.digest_before I
   count(*) FILTER (WHERE coalesce(c.verdict, '') NOT IN ('digest', 'hardlink') AND u.file IS NULL) AS loose
   FROM outputs o LEFT JOIN copies c ON c.task = o.task AND c.file = o.file LEFT JOIN consumed u ON u.task = o.task AND u.file = o.file GROUP BY o.task),
 facts AS (SELECT t.run_id, t.task, t.process, t.target, r.rel, r.on_disk, superseded, engine_status, t.task IN (SELECT task FROM consumed) AS fed,
-  f.*, q.recomputable, coalesce(q.why, 'input gone') AS why, coalesce(b.bytes, 0) AS bytes
+  f.*, q.recomputable, q.why, coalesce(b.bytes, 0) AS bytes
   FROM tasks t JOIN resolved r ON r.task = t.task JOIN flags f ON f.task = t.task JOIN rerun q ON q.task = t.task LEFT JOIN sized b ON b.task = t.task),
 ruled AS (SELECT *, CASE WHEN rel IS NULL THEN 1 WHEN NOT on_disk THEN 2 WHEN superseded AND fed THEN 3 WHEN superseded THEN 4
   WHEN engine_status = 'FAILED' AND fed THEN 5 WHEN engine_status = 'FAILED' THEN 6 WHEN engine_status = 'RUNNING' THEN 7
@@ -177,11 +171,11 @@ ruled AS (SELECT *, CASE WHEN rel IS NULL THEN 1 WHEN NOT on_disk THEN 2 WHEN su
   WHEN {stop} THEN 12 WHEN loose > 0 THEN 13 WHEN recomputable THEN 14 ELSE 15 END AS rule FROM facts),
 plan AS (SELECT run_id, task, process, target, rel, CASE rule WHEN 2 THEN 'GONE' WHEN 4 THEN 'SUPERSEDED' WHEN 6 THEN 'FAILED'
     WHEN 11 THEN 'REDUNDANT' WHEN 14 THEN 'INTERMEDIATE' ELSE 'KEEP' END AS verdict,
-  CASE rule WHEN 1 THEN 'task directory not placed' WHEN 2 THEN 'directory not found' WHEN 3 THEN 'marked superseded but downstream tasks consumed it'
-    WHEN 4 THEN 'marked superseded by the extractor' WHEN 5 THEN 'status FAILED but downstream tasks consumed it' WHEN 6 THEN 'status FAILED'
-    WHEN 7 THEN 'status RUNNING is not a finished state' WHEN 8 THEN 'no content digest' WHEN 9 THEN 'published copy is a symlink into work'
-    WHEN 10 THEN 'published copy is not the size that was digested' WHEN 11 THEN 'every output published, same digest'
-    WHEN 12 THEN 'not published' WHEN 13 THEN 'terminal output without a published copy' ELSE why END AS cause,
+  CASE rule WHEN 1 THEN 'no-place' WHEN 2 THEN 'no-directory' WHEN 3 THEN 'superseded-but-read'
+    WHEN 4 THEN 'superseded-mark' WHEN 5 THEN 'failed-but-read:FAILED' WHEN 6 THEN 'failed:FAILED'
+    WHEN 7 THEN 'unfinished:RUNNING' WHEN 8 THEN 'no-digest' WHEN 9 THEN 'copy-is-link'
+    WHEN 10 THEN 'copy-size-differs' WHEN 11 THEN 'all-published'
+    WHEN 12 THEN 'unpublished' WHEN 13 THEN 'end-unpublished' ELSE why END AS cause,
   CASE rule WHEN 8 THEN nodig WHEN 9 THEN sym WHEN 10 THEN chg WHEN 12 THEN n - settled WHEN 13 THEN loose ELSE 0 END AS files,
   CAST(CASE WHEN rule = 2 THEN 0 ELSE bytes END AS BIGINT) AS bytes FROM ruled),"""
 FULL, CAUTIOUS = PLAN.replace("{stop}", "false"), PLAN.replace("{stop}", "true")
@@ -208,17 +202,17 @@ ORACLES = {
     "reclaim_plan": oracle("SELECT * FROM plan", *_P, extra=FULL, recursive=True),
     "reclaim_plan_cautious": oracle("SELECT * FROM plan WHERE target = 'host3'", *_P, extra=CAUTIOUS, recursive=True),
     "reclaim_cause_files": oracle("""SELECT p.run_id, p.task, o.file FROM plan p JOIN outputs o ON o.task = p.task
-        LEFT JOIN copies c ON c.task = o.task AND c.file = o.file WHERE CASE cause WHEN 'no content digest' THEN digest_before IS NULL
-          WHEN 'published copy is a symlink into work' THEN c.verdict = 'symlink'
-          WHEN 'published copy is not the size that was digested' THEN c.verdict = 'changed'
-          WHEN 'not published' THEN coalesce(c.verdict, '') NOT IN ('digest', 'hardlink') ELSE false END""", *_P, extra=CAUTIOUS, recursive=True),
+        LEFT JOIN copies c ON c.task = o.task AND c.file = o.file WHERE CASE cause WHEN 'no-digest' THEN digest_before IS NULL
+          WHEN 'copy-is-link' THEN c.verdict = 'symlink'
+          WHEN 'copy-size-differs' THEN c.verdict = 'changed'
+          WHEN 'unpublished' THEN coalesce(c.verdict, '') NOT IN ('digest', 'hardlink') ELSE false END""", *_P, extra=CAUTIOUS, recursive=True),
     "reclaim_summary": oracle("""SELECT run_id, verdict, count(*) AS tasks, CAST(sum(bytes) AS BIGINT) AS bytes,
         verdict NOT IN ('KEEP', 'GONE') AS reclaimable FROM plan GROUP BY ALL""", *_P, extra=FULL, recursive=True),
     "reclaim_by_cause": oracle("""SELECT run_id, verdict, cause, process, count(*) AS tasks, CAST(sum(bytes) AS BIGINT) AS bytes
         FROM plan GROUP BY ALL""", *_P, extra=CAUTIOUS, recursive=True),
     "recheck_before_removal": oracle("""SELECT p.run_id, p.task, rel, verdict, bytes, b.refused FROM plan p LEFT JOIN (
-          SELECT h.task, arg_min(CASE WHEN o.okey % 14 = 0 THEN concat('published copy gone since the plan: ', h.path)
-              ELSE concat('published copy changed since it was digested: ', h.path) END, concat(h.file, h.path)) AS refused
+          SELECT h.task, arg_min(CASE WHEN o.okey % 14 = 0 THEN concat('copy-gone: ', h.path)
+              ELSE concat('copy-changed: ', h.path) END, concat(h.file, h.path)) AS refused
           FROM held h JOIN outputs o ON o.task = h.task AND o.file = h.file
           WHERE held IN ('digest', 'hardlink') AND (o.okey % 14 = 0 OR o.okey % 5 = 4) GROUP BY h.task) b ON b.task = p.task AND verdict = 'REDUNDANT'
         WHERE verdict NOT IN ('KEEP', 'GONE')""", *_P, extra=CAUTIOUS, recursive=True),

@@ -28,7 +28,7 @@ def test_root_downstream_unsettled_and_reproduced(spark):
     outputs = [(r, f"{r}{n}", "o", 0, None if n == "blind" else "sha256:1" if n == "same" or r == "b" else "sha256:2") for r in "ba" for n in names]
     found, verdicts = runs(spark, tasks, edges, outputs)
     assert {k: v[0] for k, v in verdicts.items()} == {"aroot": "DRIFTED", "adown": "DOWNSTREAM", "asame": "REPRODUCED", "ablind": "UNVERIFIED", "aafter_blind": "UNSETTLED"}
-    assert verdicts["aroot"][1] == "script changed"
+    assert verdicts["aroot"][1] == "script"
     assert sorted((r.task, r.producer) for r in found.follows.collect()) == [("aafter_blind", "ablind"), ("adown", "aroot"), ("asame", "aroot")]
 
 
@@ -56,7 +56,7 @@ def test_a_loop_of_gone_producers_is_not_recomputable(spark):
     resolved = spark.createDataFrame([("r", t, t, t == "w") for t in "xyzw"], "run_id string, task string, rel string, on_disk boolean")
     present = spark.createDataFrame([("r", "/in/f")], "run_id string, target string")
     done = {r.task: (r.recomputable, r.why) for r in reclaim.recomputable(tasks, edges, resolved, present).collect()}
-    assert done == {"x": (False, "input chain loops"), "y": (False, "input chain loops"), "z": (False, "input chain loops"), "w": (True, "recipe recorded")}
+    assert done == {"x": (False, "loop"), "y": (False, "loop"), "z": (False, "loop"), "w": (True, "recipe-known")}
 
 
 def test_nothing_found_under_a_root_says_the_root_is_wrong(spark):

@@ -22,7 +22,7 @@ from wakeline.session import cut
 # Output names that are bookkeeping, and the bag of nothing.
 BOOKKEEPING = ("versions.yml",)
 EMPTY_BAG = "0:0:0"
-UNPAIRED = "several tasks share this name and their input digests do not tell them apart"
+UNPAIRED = "ambiguous name"
 
 PAIR = ["pair_id", "task"]
 
@@ -195,11 +195,11 @@ def drift(pairs: DataFrame, tasks: DataFrame, edges: DataFrame, outputs: DataFra
     shown = lambda c: F.when(F.col(c) == "", "?").otherwise(F.col(c))
     causes = causes.select(
         "pair_id", "after", "inputs_changed", "first_input", "inputs_key",
-        F.when(F.col("inputs_changed") > 0, "input changed")
+        F.when(F.col("inputs_changed") > 0, "input")
         .when(F.col("container_before") != F.col("container_after"),
-              F.concat(F.lit("container changed: "), shown("container_before"), F.lit(" -> "), shown("container_after")))
-        .when(F.col("script_before") != F.col("script_after"), "script changed")
-        .otherwise("same inputs and recipe, different outputs").alias("why"))
+              F.concat(F.lit("container: "), shown("container_before"), F.lit(" -> "), shown("container_after")))
+        .when(F.col("script_before") != F.col("script_after"), "script")
+        .otherwise("unexplained").alias("why"))
 
     verdict = (
         F.when(F.col("state").isin("UNPAIRED", "NODIGEST"), "UNVERIFIED").when(F.col("state") == "SAME", "REPRODUCED")
@@ -208,12 +208,12 @@ def drift(pairs: DataFrame, tasks: DataFrame, edges: DataFrame, outputs: DataFra
     rooted = F.col("verdict") == "DRIFTED"
     cause = (
         F.when(rooted, F.col("why")).when(F.col("state") == "UNPAIRED", UNPAIRED)
-        .when(F.col("state") == "NODIGEST", "an output has no digest")
-        .when(F.col("verdict") == "DOWNSTREAM", "follows a task that drifted")
-        .when(F.col("verdict") == "UNSETTLED", "an upstream task could not be verified")
-        .when(F.col("verdict") == "REPRODUCED", "same digests")
-        .when(F.col("verdict") == "ADDED", "no task with this name in the before run")
-        .otherwise("no task with this name in the after run"))
+        .when(F.col("state") == "NODIGEST", "output without digest")
+        .when(F.col("verdict") == "DOWNSTREAM", "upstream drifted")
+        .when(F.col("verdict") == "UNSETTLED", "upstream unverified")
+        .when(F.col("verdict") == "REPRODUCED", "equal digests")
+        .when(F.col("verdict") == "ADDED", "only after")
+        .otherwise("only before"))
     about = lambda t: t.select(*PAIR, "process", "target")
     judged = base.join(met, ["pair_id", "after"], "left").na.fill(0, ["n_differ", "n_unknown"]).join(
         causes, ["pair_id", "after"], "left").withColumn("verdict", verdict)

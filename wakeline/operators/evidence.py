@@ -139,18 +139,18 @@ def verify_files(listed: DataFrame, actual: DataFrame) -> DataFrame:
     failing class is told: unsafe, missing, altered, unlisted. `actual` is
     (bundle, name, sha256).
     """
-    there = actual.where(~F.col("name").isin(*UNLISTED))
-    both = listed.join(there, ["bundle", "name"], "full")
+    there = actual.where(~F.coalesce(F.col("name").isin(*UNLISTED), F.lit(False)))
+    both = listed.withColumn("is_listed", F.lit(True)).join(there, ["bundle", "name"], "full")
     fault = (
-        F.when(F.col("recorded").isNotNull() & ~safe_name(F.col("name")), 1).when(F.col("sha256").isNull(), 2)
-        .when(F.col("sha256") != F.col("recorded"), 3).when(F.col("recorded").isNull(), 4))
+        F.when(F.col("name").isNull() | (F.col("is_listed") & ~safe_name(F.col("name"))), 1).when(F.col("sha256").isNull(), 2)
+        .when(F.col("is_listed").isNull(), 4).when(~F.col("sha256").eqNullSafe(F.col("recorded")), 3))
     rows = both.withColumn("fault", fault).groupBy("bundle").agg(
         F.min("fault").alias("fault"), F.min_by("name", F.when(F.col("fault").isNotNull(), F.struct("fault", "name"))).alias("first"),
-        F.count("recorded").alias("files"))
-    said = F.element_at(F.array(*map(F.lit, ("names a file outside the bundle", "missing from the bundle",
-                                             "content does not match the manifest", "present but not listed"))), F.col("fault"))
-    return _check(rows, "files", F.when(F.col("fault").isNotNull(), F.concat(said, F.lit(": "), "first")),
-                  F.concat(F.col("files").cast("string"), F.lit(" files match")))
+        F.count("is_listed").alias("files"))
+    said = F.element_at(F.array(*map(F.lit, ("unsafe", "absent",
+                                             "altered", "extra"))), F.col("fault"))
+    return _check(rows, "files", F.when(F.col("fault").isNotNull(), F.concat(said, F.lit(": "), F.coalesce("first", F.lit("?")))),
+                  F.concat(F.col("files").cast("string"), F.lit(" files same")))
 
 
 def verify_log_window(entries: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -159,26 +159,31 @@ def verify_log_window(entries: DataFrame, anchors: DataFrame) -> DataFrame:
     chain = ledger.verify_chain(entries.withColumnRenamed("bundle", "log_id"), starts).withColumnRenamed("log_id", "bundle")
     last = entries.groupBy("bundle").agg(F.max("seq").alias("last_seq"))
     rows = anchors.join(chain, "bundle", "left").join(last, "bundle", "left")
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    empty = F.col("ok").isNull()
     problem = (
-        F.when((F.col("since_seq") == 0) & (F.col("since_hash") != GENESIS), "starts at the beginning but not from genesis")
-        .when((F.col("since_seq") > 0) & (F.col("previous_bundle").isNull() | F.col("previous_seq").isNull()), "does not name the bundle it continues")
-        .when((F.col("since_seq") > 0) & ((F.col("previous_seq") != F.col("since_seq")) | (F.col("previous_hash") != F.col("since_hash"))),
-              "start does not match the previous bundle's head")
-        .when(F.col("ok").isNull() & ~((F.col("head_seq") == F.col("since_seq")) & (F.col("head_hash") == F.col("since_hash"))), "no entries for the claimed head")
-        .when(~F.col("ok"), F.concat(F.lit("broken at "), F.col("broken_at").cast("string"), F.lit(": "), "reason"))
-        .when(F.col("head") != F.col("head_hash"), "entries do not end at the recorded head")
-        .when(F.col("last_seq") != F.col("head_seq"), "last entry is not the recorded head"))
-    return _check(rows, "log", problem, F.concat(F.coalesce("entries", F.lit(0)).cast("string"), F.lit(" entries re-chain")))
+        F.when(F.col("since_seq").isNull() | F.col("since_hash").isNull(), "start:unrecorded")
+        .when(F.col("head_seq").isNull() | F.col("head_hash").isNull(), "head:unrecorded")
+        .when((F.col("since_seq") == 0) & (F.col("since_hash") != GENESIS), "start:genesis")
+        .when((F.col("since_seq") > 0) & (F.col("previous_bundle").isNull() | F.col("previous_seq").isNull()), "start:unnamed")
+        .when((F.col("since_seq") > 0) & (differ("previous_seq", "since_seq") | differ("previous_hash", "since_hash")),
+              "start:differs")
+        .when(empty & (differ("head_seq", "since_seq") | differ("head_hash", "since_hash")), "head:no-entries")
+        .when(~empty & ~F.col("ok"), F.concat_ws(":", F.lit("broken"), F.col("broken_at").cast("string"), "reason"))
+        .when(~empty & differ("head", "head_hash"), "head:hash")
+        .when(~empty & differ("last_seq", "head_seq"), "head:seq"))
+    return _check(rows, "log", problem, F.concat(F.coalesce("entries", F.lit(0)).cast("string"), F.lit(" entries chain")))
 
 
 def witness(anchors: DataFrame, live: DataFrame) -> DataFrame:
     """The head each bundle saw, held against the live log (bundle, seq, hash): truncated, rewritten, or still there."""
     heads = anchors.select("bundle", F.col("head_seq").alias("seq"), "head_hash")
     rows = heads.join(live.select("bundle", "seq", F.col("hash").alias("live")), ["bundle", "seq"], "left")
-    detail = (F.when(F.col("seq") == 0, "anchors to no log head").when(F.col("live").isNull(), "truncated: the log has no such entry")
-              .when(F.col("live") != F.col("head_hash"), "rewritten: the entry hashes differently").otherwise("the log still holds the head"))
+    unrecorded = F.col("seq").isNull() | F.col("head_hash").isNull()
+    detail = (F.when(F.col("seq") == 0, "no head").when(unrecorded, "head unrecorded").when(F.col("live").isNull(), "live log shorter")
+              .when(F.col("live") != F.col("head_hash"), "live log differs").otherwise("live log has it"))
     return rows.select("bundle", F.lit("witness").alias("check"),
-                       F.when(F.col("seq") > 0, F.coalesce(F.col("live") == F.col("head_hash"), F.lit(False))).alias("ok"), detail.alias("detail"))
+                       F.when(unrecorded | (F.col("seq") != 0), F.coalesce(F.col("live") == F.col("head_hash"), F.lit(False))).alias("ok"), detail.alias("detail"))
 
 
 @F.pandas_udf(StringType())
@@ -191,8 +196,8 @@ def verify_policy(plans: DataFrame, policies: DataFrame) -> DataFrame:
     """The table a plan cites by hash is the one sealed beside it; `policies` is (bundle, content)."""
     actual = policies.select("bundle", F.sha2(canonical_text("content"), 256).alias("actual"))
     rows = plans.select("bundle", "policy_hash").join(actual, "bundle", "left")
-    problem = F.when(~F.col("policy_hash").eqNullSafe(F.col("actual")), "the sealed policy is not the one the plan cites")
-    return _check(rows, "policy", problem, F.lit("matches the hash the plan cites"))
+    problem = F.when(~F.coalesce(F.col("policy_hash") == F.col("actual"), F.lit(False)), "policy:differs")
+    return _check(rows, "policy", problem, F.lit("policy:same"))
 
 
 def _pairs_text(column: str):
@@ -215,17 +220,17 @@ def verify_replay(plans: DataFrame, items: DataFrame, header_counts: DataFrame,
     totals too: a header that disagrees with its items is two documents.
     """
     again = replay(items.join(plans.select("bundle", "policy_hash"), "bundle"), decisions)
-    lines = again.groupBy("bundle").agg(F.count("*").alias("items"), F.count_if(~F.col("agrees")).alias("mismatches"))
+    lines = again.groupBy("bundle").agg(F.count("*").alias("items"), F.count_if(~F.coalesce("agrees", F.lit(False))).alias("mismatches"))
     counted = again.groupBy("bundle", F.coalesce("action", F.lit(UNDETERMINED)).alias("verdict")).agg(F.count("*").alias("n"))
     totals = header_counts.join(counted, ["bundle", "verdict"], "full").groupBy("bundle").agg(
         F.count_if(~F.col("tasks").eqNullSafe(F.col("n"))).alias("wrong_counts"))
     rows = plans.join(lines, "bundle", "left").join(totals, "bundle", "left").na.fill(0, ["items", "mismatches", "wrong_counts"])
     number = lambda c: F.col(c).cast("string")
     problem = (
-        F.when(F.col("mismatches") > 0, F.concat(number("mismatches"), F.lit(" of "), number("items"), F.lit(" items do not recompute")))
-        .when(~F.col("tasks_affected").eqNullSafe(F.col("items")), F.concat(F.lit("header says "), F.coalesce(number("tasks_affected"), F.lit("?")), F.lit(", plan lists "), number("items")))
-        .when(F.col("wrong_counts") > 0, "header counts do not match the items"))
-    return _check(rows, "replay", problem, F.concat(number("items"), F.lit(" verdicts recompute")))
+        F.when(F.col("mismatches") > 0, F.concat(number("mismatches"), F.lit(" of "), number("items"), F.lit(" items differ")))
+        .when(~F.col("tasks_affected").eqNullSafe(F.col("items")), F.concat(F.lit("header:"), F.coalesce(number("tasks_affected"), F.lit("?")), F.lit(" items:"), number("items")))
+        .when(F.col("wrong_counts") > 0, "header:counts"))
+    return _check(rows, "replay", problem, F.concat(number("items"), F.lit(" items same")))
 
 
 def verify_gate(gates: DataFrame, subjects: DataFrame, types: DataFrame, entries: DataFrame) -> DataFrame:
@@ -238,13 +243,13 @@ def verify_gate(gates: DataFrame, subjects: DataFrame, types: DataFrame, entries
         in_effect(F.col("effective_ts"), F.col("as_of")))
     again = ledger.gate_over(subjects, facts, F.col("blocks"), by=("bundle",)).withColumnRenamed("status", "again")
     lines = subjects.join(again.select("bundle", "subject", "again"), ["bundle", "subject"]).groupBy("bundle").agg(
-        F.count("*").alias("subjects"), F.count_if(F.col("status") != F.col("again")).alias("differ"),
+        F.count("*").alias("subjects"), F.count_if(~F.coalesce(F.col("status") == F.col("again"), F.lit(False))).alias("differ"),
         F.count_if(F.col("again") == ledger.BLOCKED).alias("blocked"), F.count_if(F.col("again") == ledger.UNKNOWN).alias("unknown"))
     rows = gates.join(lines, "bundle", "left").na.fill(0, ["subjects", "differ", "blocked", "unknown"])
-    passed = ~((F.col("blocked") > 0) | (F.col("unknown_blocks") & (F.col("unknown") > 0)))
-    problem = (F.when(F.col("passed") != passed, F.concat(F.lit("recomputes to passed="), passed.cast("string")))
-               .when(F.col("differ") > 0, F.concat(F.col("differ").cast("string"), F.lit(" subjects disagree"))))
-    return _check(rows, "gate", problem, F.concat(F.col("subjects").cast("string"), F.lit(" subjects recompute")))
+    passed = ~((F.col("blocked") > 0) | (F.coalesce("unknown_blocks", F.lit(True)) & (F.col("unknown") > 0)))
+    problem = (F.when(~F.col("passed").eqNullSafe(passed), F.concat(F.lit("passed:"), passed.cast("string")))
+               .when(F.col("differ") > 0, F.concat(F.col("differ").cast("string"), F.lit(" subjects differ"))))
+    return _check(rows, "gate", problem, F.concat(F.col("subjects").cast("string"), F.lit(" subjects same")))
 
 
 def verify_decision(decisions: DataFrame, records: DataFrame, plans: DataFrame) -> DataFrame:
@@ -253,19 +258,20 @@ def verify_decision(decisions: DataFrame, records: DataFrame, plans: DataFrame)
     settings_hash) is about the sealed record, by a named person, and asks what
     the plan answers; without a plan it is a dismissal.
     """
-    records = records.select("bundle", *[F.col(c).alias(f"record_{c}") for c in ("incident", "request_sha256", "settings_hash")])
+    records = records.select("bundle", F.lit(True).alias("has_record"), *[F.col(c).alias(f"record_{c}") for c in ("incident", "request_sha256", "settings_hash")])
     rows = decisions.join(records, "bundle", "left").join(
         plans.select("bundle", F.col("trigger").alias("answered"), F.lit(True).alias("has_plan")), "bundle", "left")
     planned = F.col("has_plan").isNotNull()
-    same = lambda c: F.col(c).eqNullSafe(F.col(f"record_{c}"))
+    same = lambda c: F.coalesce(F.col(c) == F.col(f"record_{c}"), F.lit(False)) | F.col("has_record").isNull()
     problems = F.array_compact(F.array(
-        F.when(~planned & ~F.col("decision").eqNullSafe("dismiss"), "without a plan only a dismissal can be sealed"),
-        F.when(planned & ~(F.col("decision").eqNullSafe("ask") & F.col("trigger").eqNullSafe(F.col("answered"))), "the plan answers another trigger"),
-        F.when(~same("incident"), "names another incident"),
-        F.when(F.trim(F.coalesce("actor", F.lit(""))) == "", "names nobody"),
-        F.when(~same("request_sha256"), "made on another request"),
-        F.when(~same("settings_hash"), "made under other settings")))
-    return _check(rows, "decision", F.when(F.size(problems) > 0, F.array_join(problems, "; ")), F.lit("about the sealed record"))
+        F.when(F.col("has_record").isNull(), "no-record"),
+        F.when(~planned & ~F.col("decision").eqNullSafe("dismiss"), "ask-without-plan"),
+        F.when(planned & ~(F.col("decision").eqNullSafe("ask") & F.col("trigger").eqNullSafe(F.col("answered"))), "other-trigger"),
+        F.when(~same("incident"), "other-incident"),
+        F.when(F.trim(F.coalesce("actor", F.lit(""))) == "", "no-actor"),
+        F.when(~same("request_sha256"), "other-request"),
+        F.when(~same("settings_hash"), "other-settings")))
+    return _check(rows, "decision", F.when(F.size(problems) > 0, F.array_join(problems, "; ")), F.lit("record:same"))
 
 
 def bundle_integrity(*checks: DataFrame) -> DataFrame:
@@ -348,7 +354,7 @@ def manifest_table(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """
     hashed = documents.select("bundle", "name", F.sha2("content", 256).alias("sha256"))
     problem = (
-        F.when(~safe_name(F.col("name")), "unsafe name").when(F.col("since_seq") > F.col("head_seq"), "window starts past the log head")
-        .when((F.col("since_seq") > 0) & ~F.col("previous_seq").eqNullSafe(F.col("since_seq")), "window does not continue the previous head")
-        .when((F.col("since_seq") > 0) & F.col("previous_bundle").isNull(), "window names no previous bundle"))
+        F.when(~safe_name(F.col("name")), "name:unsafe").when(F.col("since_seq") > F.col("head_seq"), "window:past-head")
+        .when((F.col("since_seq") > 0) & ~F.col("previous_seq").eqNullSafe(F.col("since_seq")), "window:gap")
+        .when((F.col("since_seq") > 0) & F.col("previous_bundle").isNull(), "window:unnamed"))
     return hashed.join(anchors, "bundle").select("bundle", "name", "sha256", "head_seq", "since_seq", problem.alias("problem"))

@@ -22,9 +22,9 @@ BLOCKED, CLEARED, UNKNOWN = "BLOCKED", "CLEARED", "UNKNOWN"
 POLICY_ADOPTED = "PolicyAdopted"
 
 # Why a chain stops verifying.
-SEQUENCE = "sequence jumps: an entry was removed or inserted"
-CUT = "prev_hash does not match the previous entry's hash"
-EDITED = "content does not match its own hash"
+SEQUENCE = "sequence"
+CUT = "link"
+EDITED = "content"
 
 
 def with_instant(entries: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def verify_chain(entries: DataFrame, starts: DataFrame | None = None) -> DataFra
     """
     (log_id, ok, entries, head, broken_at, reason) per log, with the first
     failure only. `starts` (log_id, start_seq, start_prev) anchors a window;
-    without it a log starts at 1 from genesis.
+    without it a log starts at 1 from genesis. An entry without a number breaks
+    its log at 0.
 
     Each entry meets its predecessor by an equi-join on (log_id, seq), so one
     long log is verified by every executor at once.
@@ -78,11 +79,12 @@ def verify_chain(entries: DataFrame, starts: DataFrame | None = None) -> DataFra
     repeated = entries.groupBy("log_id", "seq").agg(F.count("*").alias("copies")).where("copies > 1")
     checked = rows.join(previous, ["log_id", "seq"], "left").join(repeated, ["log_id", "seq"], "left")
     first = F.col("seq") == F.col("start_seq")
+    # What is missing never counts as a match: an entry without a number, a link or a hash is broken.
     reason = (
-        F.when((F.col("seq") < F.col("start_seq")) | (~first & F.col("expected").isNull()) | F.col("copies").isNotNull(), SEQUENCE)
-        .when(F.col("prev_hash") != F.when(first, F.col("start_prev")).otherwise(F.col("expected")), CUT)
-        .when(event_hash() != F.col("hash"), EDITED))
-    judged = checked.select("log_id", "seq", "hash", reason.alias("reason"))
+        F.when(F.col("seq").isNull() | (F.col("seq") < F.col("start_seq")) | (~first & F.col("expected").isNull()) | F.col("copies").isNotNull(), SEQUENCE)
+        .when(~F.col("prev_hash").eqNullSafe(F.when(first, F.col("start_prev")).otherwise(F.col("expected"))) | F.col("prev_hash").isNull(), CUT)
+        .when(~event_hash().eqNullSafe(F.col("hash")) | F.col("hash").isNull(), EDITED))
+    judged = checked.select("log_id", F.coalesce("seq", F.lit(0)).alias("seq"), "hash", reason.alias("reason"))
     bad = judged.where("reason IS NOT NULL").groupBy("log_id").agg(
         F.min("seq").alias("broken_at"), F.min_by("reason", "seq").alias("reason"))
     totals = judged.drop("reason").join(bad, "log_id", "left").groupBy("log_id", "broken_at", "reason").agg(

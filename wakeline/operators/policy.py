@@ -76,13 +76,13 @@ def validate(policy) -> dict:
     def text(value):
         return isinstance(value, str) and value.strip() != ""
 
-    need(isinstance(policy, dict), "policy must be an object")
-    need(text(policy.get("version")), "policy needs a version")
-    need(isinstance(policy.get("rules"), list) and policy["rules"], "policy needs rules")
+    need(isinstance(policy, dict), "answer: no object")
+    need(text(policy.get("version")), "version: absent")
+    need(isinstance(policy.get("rules"), list) and policy["rules"], "rules: absent")
     ids = [r.get("id") if isinstance(r, dict) else None for r in policy["rules"]]
-    need(all(text(i) for i in ids), "every rule needs an id")
+    need(all(text(i) for i in ids), "rule without id")
     need(FALLTHROUGH["id"] not in ids, f"the id {FALLTHROUGH['id']!r} is reserved")
-    need(len(set(ids)) == len(ids), "rule ids must differ")
+    need(len(set(ids)) == len(ids), "rule id used twice")
     for rule in policy["rules"]:
         where = f"rule {rule['id']!r}"
         need(rule.get("action") in ACTIONS, f"{where} has unknown action {rule.get('action')!r}")
@@ -176,10 +176,10 @@ def classify(tasks: DataFrame, assertions: DataFrame) -> DataFrame:
     said = lambda c, blank: F.coalesce(F.col(c), F.lit(blank))
     evidence = (
         F.when(F.col("asserted"), F.concat(
-            F.lit("published ("), said("what", "unspecified"), F.lit("), asserted by "),
+            F.lit("released ("), said("what", "unspecified"), F.lit("), by "),
             said("asserted_by", "?"), F.lit(" on "), said("date", "?")))
-        .when(script & container, "script and container recorded")
-        .otherwise(F.concat(F.lit("not recorded: "), F.concat_ws(
+        .when(script & container, "recipe known")
+        .otherwise(F.concat(F.lit("unknown: "), F.concat_ws(
             " or ", F.when(~script, F.lit("script")), F.when(~container, F.lit("container")))))
     )
     return tasks.join(assertions.withColumn("asserted", F.lit(True)), NODE, "left").select(
@@ -196,7 +196,7 @@ def assert_class(facts: DataFrame, overrides: DataFrame) -> DataFrame:
     theirs = overrides.where(F.col("contribution").isin(*CLASSES)).select(
         "kind", "process", F.col("contribution").alias("_class"), F.col("asserted_by").alias("class_asserted_by"))
     note = F.concat(F.lit("class "), F.col("_class"), F.lit(" asserted by "), F.col("class_asserted_by"),
-                    F.lit(" (evidence alone said "), F.col("contribution"), F.lit("); "), F.col("evidence"))
+                    F.lit(" (by evidence "), F.col("contribution"), F.lit("); "), F.col("evidence"))
     return facts.join(theirs, ["kind", "process"], "left").withColumn(
         "evidence", F.when(F.col("_class") != F.col("contribution"), note).otherwise(F.col("evidence"))
     ).withColumn("contribution", F.coalesce("_class", "contribution")).drop("_class")
@@ -217,9 +217,9 @@ def settle_storage(facts: DataFrame, published_checked) -> DataFrame:
     open_or_gone = F.col("storage").isNull() | (F.col("storage") == "DESTROYED")
     unchecked = (F.col("storage") == "DESTROYED") & ~checked
     note = (
-        F.when(open_or_gone & F.col("has_copies") & F.col("storage").isNotNull(), "; workdir removed, published copies exist")
-        .when(open_or_gone & F.col("has_copies"), "; published copies found")
-        .when(unchecked, "; workdir removed, published tree not checked").otherwise("")
+        F.when(open_or_gone & F.col("has_copies") & F.col("storage").isNotNull(), "; work gone, copies stand")
+        .when(open_or_gone & F.col("has_copies"), "; copies stand")
+        .when(unchecked, "; work gone, copies unchecked").otherwise("")
     )
     storage = F.when(open_or_gone & F.col("has_copies"), "WRITABLE").when(~unchecked | unchecked.isNull(), F.col("storage"))
     return facts.withColumn("evidence", F.concat("evidence", note)).withColumn("storage", storage)

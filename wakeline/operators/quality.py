@@ -36,22 +36,22 @@ def contract_violations(tasks: DataFrame, edges: DataFrame, outputs: DataFrame,
     bad_digest = F.col("digest").isNotNull() & ~well_formed(F.col("digest"))
     rows = [
         missing(tasks, TASK_FIELDS, "tasks", task),
-        _found(repeated, F.col("n") > 1, "tasks", task, "task appears more than once"),
-        _found(tasks, F.coalesce(rooted, F.lit(False)), "tasks", task, "workpath must be relative and stay under the root"),
-        _found(tasks, status != F.upper(status), "tasks", task, "status is not upper-case"),
-        _found(tasks, F.coalesce(negative, F.lit(False)), "tasks", task, "metrics must be non-negative numbers"),
-        _found(tasks, F.exists(F.map_values("labels"), lambda v: v.isNull()), "tasks", task, "labels must map strings to strings"),
+        _found(repeated, F.col("n") > 1, "tasks", task, "task:repeated"),
+        _found(tasks, F.coalesce(rooted, F.lit(False)), "tasks", task, "workpath:escapes"),
+        _found(tasks, status != F.upper(status), "tasks", task, "status:case"),
+        _found(tasks, F.coalesce(negative, F.lit(False)), "tasks", task, "metrics:value"),
+        _found(tasks, F.exists(F.map_values("labels"), lambda v: v.isNull()), "tasks", task, "labels:value"),
         missing(edges, EDGE_FIELDS, "edges", edge),
-        _found(side("consumer"), F.lit(True), "edges", edge, "consumer is not a task"),
-        _found(side("producer"), ~F.col("producer").eqNullSafe(EXTERNAL), "edges", edge, "producer is not a task"),
-        _found(edges, F.col("consumer").eqNullSafe(F.col("producer")), "edges", edge, "task feeds itself"),
-        _found(edges, bad_digest, "edges", edge, "digest is not '<algorithm>:<value>'"),
-        _found(stray, F.lit(True), "outputs", file, "outputs of something that is not a task"),
-        _found(outputs, F.col("file").isNull(), "outputs", task, "entry without a file name"),
-        _found(outputs, bad_digest, "outputs", file, "digest is not '<algorithm>:<value>'"),
+        _found(side("consumer"), F.lit(True), "edges", edge, "consumer:unknown"),
+        _found(side("producer"), ~F.col("producer").eqNullSafe(EXTERNAL), "edges", edge, "producer:unknown"),
+        _found(edges, F.col("consumer").eqNullSafe(F.col("producer")), "edges", edge, "edge:self"),
+        _found(edges, bad_digest, "edges", edge, "digest:form"),
+        _found(stray, F.lit(True), "outputs", file, "outputs:unknown"),
+        _found(outputs, F.col("file").isNull(), "outputs", task, "outputs:unnamed"),
+        _found(outputs, bad_digest, "outputs", file, "digest:form"),
     ]
     if published is not None:
-        rows.append(_found(published, bad_digest, "published", F.col("path"), "digest is not '<algorithm>:<value>'"))
+        rows.append(_found(published, bad_digest, "published", F.col("path"), "digest:form"))
     return reduce(DataFrame.unionByName, rows)
 
 

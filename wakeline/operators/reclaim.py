@@ -148,11 +148,14 @@ def recomputable(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, presen
     (run_id, task, recomputable, why): whether a task could be run again from
     what is on disk: recipe recorded, outside inputs present (`present` is
     (run_id, target) found at its recorded place), and every gone producer
-    itself recomputable. A loop of gone producers is not.
+    itself recomputable. A loop of gone producers is not. `why` names the
+    first failing input in the order of the task's edges.
 
     Tasks settle from the leaves: a blocked task blocks the consumers that
     need it, and a task is good once all its gone producers are good. What
-    never settles is part of a loop.
+    never settles is part of a loop. A round touches only the consumers of
+    what settled in the round before: each keeps a counter of the answers it
+    still waits for, so earlier rounds are not read again.
     """
     local = F.regexp_replace(F.substring_index("target", "#", 1), "^file://", "")
     remote = F.contains("target", F.lit("://")) & ~F.startswith("target", F.lit("file://"))
@@ -161,45 +164,42 @@ def recomputable(tasks: DataFrame, edges: DataFrame, resolved: DataFrame, presen
         "run_id", F.col("consumer").alias("task"), "edge_ix", F.coalesce("target", F.lit("")).alias("target"))
     outside = outside.withColumn("remote", remote).withColumn("place", local).join(
         present.select("run_id", F.col("target").alias("place"), F.lit(True).alias("there")).distinct(), ["run_id", "place"], "left")
-    missing = outside.where(F.col("remote") | F.col("there").isNull()).groupBy(NODE).agg(
-        F.min(F.struct("edge_ix", "remote", basename(F.col("place")).alias("name"))).alias("first"))
-    needs = forward_edges(edges).join(resolved.where("NOT on_disk").select(NODE), NODE).select(
-        "run_id", F.col("next").alias("task"), F.col("task").alias("producer"))
+    name = basename(F.col("place"))
+    missing = outside.where(F.col("remote") | F.col("there").isNull()).select(*NODE, "edge_ix", F.when(
+        F.col("remote"), F.concat(F.lit("remote-input:"), name)).otherwise(F.concat(F.lit("absent-input:"), F.when(name == "", "?").otherwise(name))).alias("code"))
     dangling = own.where(F.col("producer") != EXTERNAL).join(
         tasks.select("run_id", F.col("task").alias("producer")), ["run_id", "producer"], "left_anti").select(
-        "run_id", F.col("consumer").alias("task")).distinct().withColumn("dangling", F.lit(True))
+        "run_id", F.col("consumer").alias("task"), "edge_ix", F.lit("unknown-producer").alias("code"))
+    failing, _ = cut(missing.unionByName(dangling), "failing-inputs")
+    needs = own.join(resolved.where("NOT on_disk").select("run_id", F.col("task").alias("producer")), ["run_id", "producer"]).select(
+        "run_id", F.col("consumer").alias("task"), "producer", "edge_ix")
     recipe = (F.coalesce("script", F.lit("")) != "") & (F.coalesce("container", F.lit("")) != "")
-    counts = needs.groupBy(NODE).agg(F.count("*").alias("waiting"))
-    why = (
-        F.when(~recipe, "script or container not recorded")
-        .when(F.col("first.remote"), F.concat(F.lit("external input is remote, not verified: "), F.col("first.name")))
-        .when(F.col("first").isNotNull(), F.concat(F.lit("external input not found at its recorded path: "),
-                                                  F.when(F.col("first.name") == "", "?").otherwise(F.col("first.name"))))
-        .when(F.col("dangling"), "producer not in graph"))
-    start, _ = cut(
-        tasks.join(missing, NODE, "left").join(dangling, NODE, "left").join(counts, NODE, "left")
-        .select(*NODE, why.alias("why"), F.coalesce("waiting", F.lit(0)).alias("waiting")), "recompute-start")
-
-    waits, _ = cut(needs, "waits")
+    start, _ = cut(tasks.select(*NODE, recipe.alias("recipe")).join(
+        failing.select(NODE).distinct().withColumn("fails", F.lit(True)), NODE, "left").select(
+        *NODE, "recipe", (F.col("recipe") & F.col("fails").isNull()).alias("may")), "recompute-start")
+    pairs = needs.select(*NODE, "producer").distinct().join(start.where("may").select(NODE), NODE)
+    waits, _ = cut(pairs.join(pairs.groupBy(NODE).agg(F.count("*").alias("waiting")), NODE), "waits")
+
     log = RoundLog(edges.sparkSession, "recompute")
-    pending, _ = cut(start.where("why IS NULL AND waiting > 0").select(*NODE, "waiting"), "pending")
-    fresh, rows = log.add(start.where("why IS NOT NULL OR waiting = 0").select(*NODE, F.col("why").isNull().alias("good"), "why"))
+    idle = start.join(waits.select(NODE).distinct(), NODE, "left_anti")
+    fresh, rows = log.add(idle.select(*NODE, F.col("may").alias("good")))
+    waiting_on, sums = None, [F.max("waiting").alias("waiting"), F.sum("came").alias("came"), F.sum("stop").alias("stop"), F.max("done").alias("done")]
     while rows:
         arrived = fresh.select("run_id", F.col("task").alias("producer"), "good").join(waits, ["run_id", "producer"])
-        touched = arrived.select(NODE).distinct()
-        everything = waits.join(touched, NODE, "left_semi").join(
-            log.rows().select("run_id", F.col("task").alias("producer"), "good"), ["run_id", "producer"]).groupBy(NODE).agg(
-            F.count_if("good").alias("ready"), F.min(F.when(~F.col("good"), F.col("producer"))).alias("blocker"))
-        settled = (
-            everything.join(pending, NODE).join(log.rows(), NODE, "left_anti")
-            .where(F.col("blocker").isNotNull() | (F.col("ready") == F.col("waiting")))
-            .select(*NODE, F.col("blocker").isNull().alias("good"),
-                    F.when(F.col("blocker").isNotNull(), F.concat(F.lit("input from "), "blocker", F.lit(" gone and not recomputable"))).alias("why")))
-        fresh, rows = log.add(settled)
+        step = arrived.select(*NODE, "waiting", F.col("good").cast("int").alias("came"), (~F.col("good")).cast("int").alias("stop"), F.lit(False).alias("done"))
+        if waiting_on is not None:
+            step = step.unionByName(waiting_on)
+        step, _ = cut(step.groupBy(NODE).agg(*sums), "answers")
+        settles = ~F.col("done") & ((F.col("stop") > 0) | (F.col("came") == F.col("waiting")))
+        fresh, rows = log.add(step.where(settles).select(*NODE, (F.col("stop") == 0).alias("good")))
+        waiting_on = step.where(F.col("came") + F.col("stop") < F.col("waiting")).withColumn("done", F.col("done") | settles)
+
     done = log.rows()
-    return tasks.select(NODE).join(done, NODE, "left").select(
-        *NODE, F.coalesce("good", F.lit(False)).alias("recomputable"),
-        F.when(F.col("good"), "recipe recorded").when(F.col("good").isNull(), "input chain loops").otherwise(F.col("why")).alias("why"))
+    blocked = needs.join(done.where("NOT good").select("run_id", F.col("task").alias("producer")), ["run_id", "producer"]).select(
+        *NODE, "edge_ix", F.concat(F.lit("blocked-by:"), "producer").alias("code"))
+    first = failing.unionByName(blocked).groupBy(NODE).agg(F.min(F.struct("edge_ix", "code"))["code"].alias("code"))
+    why = F.when(~F.col("recipe"), "no-recipe").when(F.col("good").isNull(), "loop").when(F.col("good"), "recipe-known").otherwise(F.col("code"))
+    return start.join(done, NODE, "left").join(first, NODE, "left").select(*NODE, F.coalesce("good", F.lit(False)).alias("recomputable"), why.alias("why"))
 
 
 # ------------------------------------------------------------------ the plan
@@ -241,25 +241,25 @@ def reclaim_plan(tasks: DataFrame, edges: DataFrame, outputs: DataFrame, resolve
     # In order: the first that holds decides. (condition, verdict, cause, files named)
     none = F.lit(0)
     rules = [
-        (F.col("rel").isNull(), "KEEP", F.lit("task directory not placed"), none),
-        (~F.col("on_disk"), "GONE", F.lit("directory not found"), none),
-        (F.col("superseded") & F.col("fed"), "KEEP", F.lit("marked superseded but downstream tasks consumed it"), none),
-        (F.col("superseded"), "SUPERSEDED", F.lit("marked superseded by the extractor"), none),
-        ((F.col("state") == "FAILED") & F.col("fed"), "KEEP", F.concat(F.lit("status "), word, F.lit(" but downstream tasks consumed it")), none),
-        (F.col("state") == "FAILED", "FAILED", F.concat(F.lit("status "), word), none),
-        (F.col("state") == "UNKNOWN", "KEEP", F.concat(F.lit("status "), word, F.lit(" is not a finished state")), none),
-        (F.col("nodigest") > 0, "KEEP", F.lit("no content digest"), F.col("nodigest")),
-        (F.col("symlink") > 0, "KEEP", F.lit("published copy is a symlink into work"), F.col("symlink")),
-        (F.col("changed") > 0, "KEEP", F.lit("published copy is not the size that was digested"), F.col("changed")),
-        (F.col("unverified") > 0, "KEEP", F.lit("published copies recorded but not checked"), F.col("unverified")),
-        ((F.col("outputs") > 0) & (unpublished == 0), "REDUNDANT", F.lit("every output published, same digest"), none),
+        (F.col("rel").isNull(), "KEEP", F.lit("no-place"), none),
+        (~F.col("on_disk"), "GONE", F.lit("no-directory"), none),
+        (F.col("superseded") & F.col("fed"), "KEEP", F.lit("superseded-but-read"), none),
+        (F.col("superseded"), "SUPERSEDED", F.lit("superseded-mark"), none),
+        ((F.col("state") == "FAILED") & F.col("fed"), "KEEP", F.concat(F.lit("failed-but-read:"), word), none),
+        (F.col("state") == "FAILED", "FAILED", F.concat(F.lit("failed:"), word), none),
+        (F.col("state") == "UNKNOWN", "KEEP", F.concat(F.lit("unfinished:"), word), none),
+        (F.col("nodigest") > 0, "KEEP", F.lit("no-digest"), F.col("nodigest")),
+        (F.col("symlink") > 0, "KEEP", F.lit("copy-is-link"), F.col("symlink")),
+        (F.col("changed") > 0, "KEEP", F.lit("copy-size-differs"), F.col("changed")),
+        (F.col("unverified") > 0, "KEEP", F.lit("copy-unchecked"), F.col("unverified")),
+        ((F.col("outputs") > 0) & (unpublished == 0), "REDUNDANT", F.lit("all-published"), none),
     ]
     if rerun is None:
-        rules.append((F.lit(True), "KEEP", F.lit("not published"), unpublished))
+        rules.append((F.lit(True), "KEEP", F.lit("unpublished"), unpublished))
     else:
         rules += [
-            (F.col("loose") > 0, "KEEP", F.lit("terminal output without a published copy"), F.col("loose")),
-            (F.col("outputs") == 0, "KEEP", F.lit("no outputs recorded"), none),
+            (F.col("loose") > 0, "KEEP", F.lit("end-unpublished"), F.col("loose")),
+            (F.col("outputs") == 0, "KEEP", F.lit("no-outputs"), none),
             (F.col("recomputable"), "INTERMEDIATE", F.col("rerun_why"), none),
             (F.lit(True), "KEEP", F.col("rerun_why"), none),
         ]
@@ -286,12 +286,12 @@ def cause_files(plan: DataFrame, outputs: DataFrame, copies: DataFrame, edges: D
     known = F.coalesce("known", F.lit(False))
     open_copy = ~(known & F.coalesce(F.col("held").isin("digest", "hardlink"), F.lit(False)))
     concerned = (
-        ((F.col("cause") == "no content digest") & ~known)
-        | ((F.col("cause") == "published copy is a symlink into work") & known & (F.col("held") == "symlink"))
-        | ((F.col("cause") == "published copy is not the size that was digested") & known & (F.col("held") == "changed"))
-        | ((F.col("cause") == "published copies recorded but not checked") & known & (F.col("held") == "unverified"))
-        | ((F.col("cause") == "not published") & open_copy)
-        | ((F.col("cause") == "terminal output without a published copy") & open_copy & F.col("read").isNull()))
+        ((F.col("cause") == "no-digest") & ~known)
+        | ((F.col("cause") == "copy-is-link") & known & (F.col("held") == "symlink"))
+        | ((F.col("cause") == "copy-size-differs") & known & (F.col("held") == "changed"))
+        | ((F.col("cause") == "copy-unchecked") & known & (F.col("held") == "unverified"))
+        | ((F.col("cause") == "unpublished") & open_copy)
+        | ((F.col("cause") == "end-unpublished") & open_copy & F.col("read").isNull()))
     return files.where(concerned).select(*NODE, "file")
 
 
@@ -322,13 +322,13 @@ def recheck_before_removal(plan: DataFrame, copies: DataFrame, published: DataFr
         rests_on.join(published.select("run_id", "path", F.col("digest").alias("recorded")), ["run_id", "path"], "left")
         .join(fresh.select("run_id", "path", F.col("digest").alias("now"), F.lit(True).alias("there")), ["run_id", "path"], "left"))
     problem = (
-        F.when(F.col("there").isNull(), "published copy gone since the plan")
-        .when(~F.startswith(F.coalesce("recorded", F.lit("")), F.lit("sha256:")), "published copy digest is not sha256, cannot re-hash")
-        .when(~F.col("now").eqNullSafe(F.col("recorded")), "published copy changed since it was digested"))
+        F.when(F.col("there").isNull(), "copy-gone")
+        .when(~F.startswith(F.coalesce("recorded", F.lit("")), F.lit("sha256:")), "copy-unhashable")
+        .when(~F.col("now").eqNullSafe(F.col("recorded")), "copy-changed"))
     bad = checked.withColumn("problem", problem).where("problem IS NOT NULL").groupBy(NODE).agg(
         F.min(F.struct("file", "path", "problem")).alias("first"))
     outside = F.startswith("rel", F.lit("/")) | F.col("rel").rlike(r"(^|/)\.\.(/|$)") | (F.coalesce("rel", F.lit("")) == "")
     return proposed.join(bad, NODE, "left").select(
         *NODE, "rel", "verdict", "bytes",
-        F.when(outside, "outside the root").otherwise(F.concat_ws(": ", "first.problem", "first.path")).alias("refused")
+        F.when(outside, "outside").otherwise(F.concat_ws(": ", "first.problem", "first.path")).alias("refused")
     ).withColumn("refused", F.when(F.col("refused") != "", F.col("refused")))
