@@ -79,7 +79,7 @@ def files_of(spark, sf):
 
 def first_files(spark, sf):
     return graph.first_files(files_of(spark, sf), 20).select(
-        "subject", "scope", "file", F.col("place").cast("bigint").alias("place"))
+        "subject", "scope", "file", F.col("place").cast("bigint").alias("place"), "total")
 
 
 QUERIES = {
@@ -116,6 +116,6 @@ ORACLES = {
     "files_of": oracle(f"SELECT subject, scope, 'r0' AS run_id, file FROM ({_FILES})", "edges", "segment_entries",
                        "outputs", extra=CLOSURE, recursive=True),
     "first_files": oracle(f"""SELECT * FROM (SELECT subject, scope, file,
-        row_number() OVER (PARTITION BY subject, scope ORDER BY file) AS place FROM ({_FILES})) WHERE place <= 20""",
+        row_number() OVER (PARTITION BY subject, scope ORDER BY file) AS place, count(*) OVER (PARTITION BY subject, scope) AS total FROM ({_FILES})) WHERE place <= 20""",
         "edges", "segment_entries", "outputs", extra=CLOSURE, recursive=True),
 }

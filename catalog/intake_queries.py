@@ -144,7 +144,7 @@ opt0 AS (SELECT 'container' AS kind, split_part(split_part(container, '/', 3), '
   UNION ALL SELECT 'segment', segment, NULL FROM tasks UNION ALL SELECT 'flag', flag, NULL FROM edges
   UNION ALL SELECT 'nation', owner, process FROM tasks JOIN sheet ON regexp_extract(name, '\\(([^()]+)\\)', 1) = member),
 opts AS (SELECT 'r0' AS run_id, kind, value, count(DISTINCT step) AS steps, kind = 'input' AND value = 'part-4.dat' AS load_bearing FROM opt0 GROUP BY kind, value),
-wide AS (SELECT *, count(*) OVER (PARTITION BY kind) > 50 AS wide FROM opts),
+wide AS (SELECT *, kind = 'input' AS wide FROM opts),
 off0 AS (SELECT incident, text, c, kind, value FROM inc, wide WHERE NOT wide OR load_bearing
     OR regexp_matches(text, concat('(?i)(^|[^A-Za-z0-9])', replace(value, '.', '\\.'), '($|[^A-Za-z0-9])'))),
 offered AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY incident, value) = 1 THEN value ELSE concat(kind, ' ', value) END AS option, concat(kind, ':', value) AS trigger FROM off0),

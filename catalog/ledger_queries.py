@@ -90,7 +90,7 @@ def gate_decision(spark, sf):
 
 
 def gate_report(spark, sf):
-    return g.gate_report(_gate(spark, sf)).select("status", "subject", F.col("place").cast("bigint").alias("place"))
+    return g.gate_report(_gate(spark, sf), 20).select("status", "subject", F.col("place").cast("bigint").alias("place"), "total")
 
 
 def policy_history(spark, sf):
@@ -148,7 +148,7 @@ ORACLES = {
     "gate_decision": oracle("""SELECT count(*) FILTER (WHERE status = 'BLOCKED') AS blocked, count(*) FILTER (WHERE status = 'CLEARED') AS cleared,
         count(*) FILTER (WHERE status = 'UNKNOWN') AS unknown, bool_and(status = 'CLEARED') AS passed, bool_and(status = 'UNKNOWN') AS none_recognised FROM statuses""",
         "facts", extra=GATE),
-    "gate_report": oracle("""SELECT * FROM (SELECT status, subject, row_number() OVER (PARTITION BY status ORDER BY subject) AS place FROM statuses) WHERE place <= 20""",
+    "gate_report": oracle("""SELECT * FROM (SELECT status, subject, row_number() OVER (PARTITION BY status ORDER BY subject) AS place, count(*) OVER (PARTITION BY status) AS total FROM statuses) WHERE place <= 20""",
                           "facts", extra=GATE),
     "policy_history": oracle("SELECT log_id, seq, subject AS version, effective_from, actor FROM facts WHERE event_type = 'signup'", "facts"),
     "policy_in_force": oracle("""SELECT d.log_id, d.as_of, a.subject AS version, a.seq FROM (

@@ -56,6 +56,58 @@ def read_assertions(spark, sf):
     return graphs.read_assertions(docs)
 
 
+# Unreadable documents among good ones; what a reader says of both.
+
+def _spoiled(spark, sf, run_id, value, *more):
+    text = F.when(F.col("k") % 29 == 0, F.lit('{"broken": ')).when(F.col("k") % 31 == 0, F.lit("[1]")).when(F.col("k") % 37 == 0, F.lit(None)).otherwise(F.expr(value))
+    return _jobs(spark, sf).select(*([F.expr(run_id).alias("run_id")] if run_id else []), text.alias("value"), *(F.expr(m) for m in more))
+
+
+def _both(lineage):
+    tasks = lineage.tasks.select("run_id", F.col("task").alias("what"), F.lit("task").alias("said"))
+    return tasks.unionByName(lineage.refused.select("run_id", F.col("path").alias("what"), F.col("problem").alias("said")))
+
+
+def refused_graphs(spark, sf):
+    return _both(graphs.read_graphs(_spoiled(spark, sf, "concat('g', k)", """'{"tasks":{"a":{"name":"x"}}}'""")))
+
+
+def refused_crates(spark, sf):
+    doc = """concat('{"@graph":[{"@id":"#task/', fid, '","@type":"CreateAction","name":"S"}]}')"""
+    return _both(crates.ingest_rocrate(_spoiled(spark, sf, "concat('g', k)", doc)))
+
+
+def refused_rules(spark, sf):
+    doc = """concat('{"rule":"r","job_hash":', k, ',"record_format_version":', CASE WHEN k % 41 = 0 THEN 99 ELSE 6 END, '}')"""
+    return _both(rules.ingest_rule_metadata(_spoiled(spark, sf, "'r0'", doc, "concat('o', k) AS output")))
+
+
+def refused_calls(spark, sf):
+    doc = """'{"calls":{"wf.a":[{"shardIndex":-1,"attempt":1,"executionStatus":"Done"}]}}'"""
+    return _both(calls.ingest_call_metadata(_spoiled(spark, sf, "concat('g', k)", doc)))
+
+
+def refused_records(spark, sf):
+    declared = spark.createDataFrame([], "run_id string, source string, target string, target_input string")
+    runs_ = spark.createDataFrame([], "run_id string, run_directory string")
+    return _both(records.ingest_run_records(_spoiled(spark, sf, None, """concat('{"run":"r0","task":{"id":"o', k, '"}}')""", "k AS record_ix"), declared, runs_))
+
+
+def refused_job_describes(spark, sf):
+    return _both(platforms.ingest_job_describes(_spoiled(spark, sf, "'r0'", """concat('{"id":"job-', k, '","state":"done"}')"""),
+                                                _doc(spark, sf, "'r0'", """concat('{"id":"file-', k, '"}')""")))
+
+
+def refused_execution_graph(spark, sf):
+    none = spark.createDataFrame([], "run_id string, value string")
+    literals = spark.createDataFrame([], "run_id string, task string, side string, value string")
+    return _both(platforms.ingest_execution_graph(_spoiled(spark, sf, "'r0'", """concat('{"id":"n', k, '"}')"""), none, literals))
+
+
+def refused_assertions(spark, sf):
+    return graphs.refused_assertions(_spoiled(spark, sf, "concat('g', k)", """'{"released":[]}'"""))
+
+
 # ------------------------------------------------------------- lineage store
 
 def _history(spark, sf):
@@ -138,7 +190,10 @@ LINKS = """SELECT 'r0' AS run_id, concat('t', l_orderkey % 10, '/', lpad(CAST(l_
 
 def edges_from_link_inventory(spark, sf):
     roots = run_sql(spark, sf, "SELECT DISTINCT 'r0' AS run_id, '/w/r0' AS root FROM {region}")
-    return workdirs.edges_from_link_inventory(run_sql(spark, sf, LINKS), roots).select("consumer", "producer", "filename", "target")
+    homes = run_sql(spark, sf, """SELECT DISTINCT 'r0' AS run_id, task, concat('/w/r0/', task, 'ffff/') AS workdir FROM (
+      SELECT concat('t', l_suppkey % 10, '/', lpad(CAST(l_suppkey AS {TEXT}), 6, '0')) AS task FROM {lineitem}
+      UNION SELECT concat('t', l_orderkey % 10, '/', lpad(CAST(l_orderkey AS {TEXT}), 6, '0')) FROM {lineitem})""")
+    return workdirs.edges_from_link_inventory(run_sql(spark, sf, LINKS), roots, homes).select("consumer", "producer", "filename", "target")
 
 
 def missing_directories(spark, sf):
@@ -311,6 +366,14 @@ def digest_files(spark, sf):
     return _digested(spark, sf)
 
 
+def hash_files(spark, sf):
+    """One file per nation, hashed where it lies: those above 110 bytes from the mount, the others as values."""
+    root = scratch_path(spark, "hash-files").replace("file://", "").replace("file:", "")
+    run_sql(spark, sf, "SELECT n_nationkey AS k, repeat(n_name, 1 + n_nationkey) AS value FROM {nation}").repartition(1).write.partitionBy("k").text(root)
+    found = files.hash_files(spark, root, mount=root, whole=110)
+    return found.select(F.regexp_extract("path", r"k=(\d+)", 1).cast("bigint").alias("k"), "size", "digest", "problem")
+
+
 def digest_counts(spark, sf):
     return files.digest_counts(_digested(spark, sf))
 
@@ -340,7 +403,8 @@ def write_plan(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    read_graphs_tasks, read_graphs_edges, read_graphs_outputs, read_assertions, parse_history, ingest_lineage_store_tasks,
+    refused_graphs, refused_crates, refused_rules, refused_calls, refused_records, refused_job_describes, refused_execution_graph,
+    refused_assertions, hash_files, read_graphs_tasks, read_graphs_edges, read_graphs_outputs, read_assertions, parse_history, ingest_lineage_store_tasks,
     ingest_lineage_store_edges, ingest_lineage_store_outputs, ingest_lineage_store_published, mark_superseded, trusted_digest, ingest_weblog,
     edges_from_link_inventory, missing_directories, ingest_rocrate_tasks, ingest_rocrate_edges, ingest_rule_metadata_tasks,
     ingest_rule_metadata_edges, digests_from_consumers, decode_key, ingest_call_metadata_tasks, ingest_call_metadata_edges,
@@ -372,7 +436,27 @@ keyed AS (SELECT id, session, (timestamp = '', timestamp, mtime, id) AS place, u
 hits AS (SELECT q.request, count(id) AS matches, arg_max(id, place) AS newest, coalesce(min(session) = max(session) AND count(session) = count(id), false) AS one
   FROM (SELECT DISTINCT request FROM requests WHERE request IS NOT NULL) q LEFT JOIN keyed y ON y.request = q.request GROUP BY q.request),"""
 
+_BAD = "(k % 29 = 0 OR k % 31 = 0 OR k % 37 = 0)"
+# Without a name of its own a refused document is known by its text.
+_TEXT = "sha256(CASE WHEN k % 29 = 0 THEN '{\"broken\": ' WHEN k % 31 = 0 THEN '[1]' ELSE '' END)"
+
+
+def _refusals(run, good, bad, extra="FALSE"):
+    return oracle(f"""SELECT {run} AS run_id, CASE WHEN {_BAD} OR {extra} THEN {bad} ELSE {good} END AS what,
+        CASE WHEN {_BAD} THEN 'not a JSON object' WHEN {extra} THEN 'newer format' ELSE 'task' END AS said FROM ({JOBS}) jobs""")
+
+
 ORACLES = {
+    "refused_graphs": _refusals("concat('g', k)", "'a'", "concat('g', k)"),
+    "refused_crates": _refusals("concat('g', k)", "concat(substring(fid, 1, 2), '/', substring(fid, 3))", "concat('g', k)"),
+    "refused_rules": _refusals("'r0'", "concat('r/o', k)", "concat('o', k)", "k % 41 = 0"),
+    "refused_calls": _refusals("concat('g', k)", "'wf.a'", "concat('g', k)"),
+    "refused_records": _refusals(f"CASE WHEN NOT {_BAD} THEN 'r0' END", "concat('r0/o', k)", "CAST(k AS VARCHAR)"),
+    "refused_job_describes": _refusals("'r0'", "concat('job-', k)", _TEXT),
+    "refused_execution_graph": _refusals("'r0'", "concat('n', k)", _TEXT),
+    "refused_assertions": oracle(f"SELECT concat('g', k) AS run_id, concat('g', k) AS path, 'not a JSON object' AS problem FROM ({JOBS}) jobs WHERE {_BAD}"),
+    "hash_files": """SELECT n_nationkey::BIGINT AS k, octet_length(encode(v)) + 1 AS size, concat('sha256:', sha256(concat(v, chr(10)))) AS digest, NULL::VARCHAR AS problem
+        FROM (SELECT n_nationkey, repeat(n_name, 1 + n_nationkey) AS v FROM nation)""",
     "read_graphs_tasks": oracle("""SELECT concat('g', k) AS run_id, 'a' AS task, concat('A (C', c, ')') AS name, 'x:1' AS container, 'COMPLETED' AS status, k % 3 = 0 AS superseded, CAST(k * 0.5 AS DOUBLE) AS cost FROM jobs
         UNION ALL SELECT concat('g', k), 'b', 'B', '', '', false, 1.0 FROM jobs""", extra=J),
     "read_graphs_edges": oracle("""SELECT concat('g', k) AS run_id, CAST(0 AS BIGINT) AS edge_ix, 'b' AS consumer, 'a' AS producer, 'out.txt' AS filename, NULL AS digest FROM jobs
@@ -403,7 +487,7 @@ ORACLES = {
         UNION ALL SELECT concat('c', k), {SELF}, 'EXTERNAL', concat('c', c, '.fa'), concat('/data/c', c, '.fa?x=1') FROM jobs
         UNION ALL SELECT concat('c', k), {SELF}, 'EXTERNAL', concat('r', c, '.gz'), concat('https://h/r', c, '.gz') FROM jobs""", extra=J),
     "ingest_rule_metadata_tasks": oracle("""SELECT task, concat('r', k % 3, ' (o', k, '/out-0.dat)') AS name, concat('r', k % 3) AS process,
-        CASE k % 5 WHEN 0 THEN 'conda@abcdefabcdef' WHEN 1 THEN 'img:1' ELSE '' END AS container, CASE WHEN k % 17 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+        CASE k % 5 WHEN 0 THEN 'conda@abcdefabcdefabcdef' WHEN 1 THEN 'img:1' ELSE '' END AS container, CASE WHEN k % 17 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
         concat('cmd ', k) AS script, CAST(2.5 AS DOUBLE) AS duration FROM outs""", extra=RULED),
     "ingest_rule_metadata_edges": oracle("SELECT * FROM rule_edges", extra=RULED),
     "digests_from_consumers": oracle("""SELECT 'r0' AS run_id, o.task, concat('out-', i, '.dat') AS file, d.digest FROM (SELECT *, unnest([0, 1, 2]) AS i FROM outs) o
@@ -417,7 +501,7 @@ ORACLES = {
     "ingest_call_metadata_edges": oracle("""SELECT concat('m', k) AS run_id, 'wf.sub/shard-0/sub.b/shard-1' AS consumer, 'wf.a' AS producer, 'out.txt' AS filename, concat('/cr/o', k, '/a/out.txt') AS target FROM jobs
         UNION ALL SELECT concat('m', k), 'wf.sub/shard-0/sub.b/shard-1', 'wf.a', '1.txt', concat('/cr/o', k, '/a/dir/part/1.txt') FROM jobs
         UNION ALL SELECT concat('m', k), 'wf.sub/shard-0/sub.b/shard-1', 'EXTERNAL', concat('c', c, '.fa'), concat('/data/c', c, '.fa') FROM jobs""", extra=J),
-    "ingest_run_records_tasks": oracle("""SELECT concat('r0/o', k) AS task, concat('step', k % 4) AS process, 'docker@0123456789ab' AS container, CASE WHEN k % 9 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, 'main.py' AS script,
+    "ingest_run_records_tasks": oracle("""SELECT concat('r0/o', k) AS task, concat('step', k % 4) AS process, 'docker@0123456789abcdef' AS container, CASE WHEN k % 9 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, 'main.py' AS script,
         concat('host', c % 3) AS target, concat('t', k) AS workpath, CASE WHEN k % 2 = 0 THEN 'late' ELSE concat('b', c % 3) END AS batch FROM jobs""", extra=J),
     "ingest_run_records_edges": oracle("""SELECT concat('r0/o', j.k) AS consumer, CASE WHEN j.k % 6 <> 0 AND m.k <> j.k THEN concat('r0/o', m.k) WHEN j.k % 8 = 0 THEN 'EXTERNAL' ELSE concat('r0/o', p) END AS producer,
         concat('o', p, '.out') AS filename, CASE WHEN j.k % 6 <> 0 THEN concat('sha256:', pfid) END AS digest, concat('b', c % 3) AS batch FROM jobs j LEFT JOIN made m ON m.sha = j.pfid""", extra=REC),

@@ -128,7 +128,11 @@ def test_files_hash_the_same_whole_or_in_pieces(spark, tmp_path):
     (tmp_path / "sub dir").mkdir()
     (tmp_path / "sub dir" / "a é.bin").write_bytes(b"x" * 3_000_000)
     want = "sha256:" + hashlib.sha256(b"x" * 3_000_000).hexdigest()
-    small = files.hash_small(spark, str(tmp_path)).collect()
+    small = files.hash_files(spark, str(tmp_path)).collect()
+    pieces = files.hash_files(spark, str(tmp_path), mount=str(tmp_path), whole=1000).collect()
+    refused = files.hash_files(spark, str(tmp_path), largest=1000).collect()
+    assert [tuple(r) for r in pieces] == [tuple(r) for r in small]
+    assert [(r.path, r.size, r.digest, r.problem) for r in refused] == [("sub dir/a é.bin", 3_000_000, None, "too large to read without a mount")]
     listed = spark.createDataFrame([("a", str(tmp_path / "sub dir" / "a é.bin"))], "path string, local string")
     large = files.hash_large(listed).collect()
     assert [(r.path, r.size, r.digest) for r in small] == [("sub dir/a é.bin", 3_000_000, want)]
@@ -141,5 +145,6 @@ def test_graph_documents_and_receipts_as_files(spark, tmp_path):
     tables = graphs.read_graphs(graphs.graphs_in(spark, str(tmp_path / "g")))
     assert [(r.run_id, r.task, r.name) for r in tables.tasks.collect()] == [("run1", "a", "A")]
     approved = spark.createDataFrame([("r", "a", None), ("r", "b", "no")], "run_id string, task string, refused string")
-    graphs.write_receipt(approved, str(tmp_path / "receipt"))
+    for _ in range(2):  # a job that runs again writes the same receipt
+        graphs.write_receipt(approved, str(tmp_path / "receipt"), "first")
     assert [r.task for r in spark.read.json(str(tmp_path / "receipt")).collect()] == ["a"]

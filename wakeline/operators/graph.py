@@ -146,8 +146,9 @@ def files_of(radius: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def first_files(files: DataFrame, most: int) -> DataFrame:
-    """The first `most` files of each subject and scope in name order, for a report."""
+    """The first `most` files of each subject and scope in name order, for a report, beside the total."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("subject", "scope", "run_id").orderBy("file")
-    return files.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    totals = files.groupBy("subject", "scope", "run_id").agg(F.count("*").alias("total"))
+    return files.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).join(totals, ["subject", "scope", "run_id"])

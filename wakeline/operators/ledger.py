@@ -188,10 +188,11 @@ def gate_decision(statuses: DataFrame, unknown_blocks: bool = True, by: tuple[st
     return counted.withColumn("passed", ~stopped).withColumn("none_recognised", none)
 
 
-def gate_report(statuses: DataFrame, most: int = 20) -> DataFrame:
-    """The first subjects of each status, for a reader."""
+def gate_report(statuses: DataFrame, most: int) -> DataFrame:
+    """The first `most` subjects of each status, for a reader, beside the status's total."""
     order = Window.partitionBy("status").orderBy("subject")
-    return statuses.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    totals = statuses.groupBy("status").agg(F.count("*").alias("total"))
+    return statuses.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).join(totals, "status")
 
 
 # ------------------------------------------------------------------ histories

@@ -16,12 +16,29 @@ EXTERNAL = "EXTERNAL"
 
 
 class Lineage(NamedTuple):
-    """tasks, edges (consumer to producer), outputs with size and digest, and coverage notes."""
+    """tasks, edges (consumer to producer), outputs with size and digest, coverage notes, and documents nobody could read."""
     tasks: DataFrame
     edges: DataFrame
     outputs: DataFrame
     coverage: DataFrame | None = None
     published: DataFrame | None = None
+    refused: DataFrame | None = None
+
+
+UNREADABLE = "not a JSON object"
+
+
+def readable(documents: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """
+    The documents whose `value` is a JSON object, and (run_id, path, problem)
+    of the others, which are thus rows and neither lost nor half read. Without
+    a column for the path the text's SHA-256 stands in.
+    """
+    broken = F.coalesce(~F.startswith(F.ltrim("value"), F.lit("{")) | F.try_parse_json("value").isNull(), F.lit(True))
+    run = F.col("run_id") if "run_id" in documents.columns else F.lit(None).cast("string")
+    where = F.col(path).cast("string") if path else F.sha2(F.coalesce("value", F.lit("")), 256)
+    refused = documents.where(broken).select(run.alias("run_id"), where.alias("path"), F.lit(UNREADABLE).alias("problem"))
+    return documents.where(~broken), refused
 
 
 TASK_DEFAULTS = {

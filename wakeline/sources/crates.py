@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.text import basename
-from wakeline.sources.common import EXTERNAL, Lineage, task_table
+from wakeline.sources.common import EXTERNAL, Lineage, readable, task_table
 from wakeline.sources.lineage_store import folder_id
 
 # How a crate names tasks, files and parameters.
@@ -21,6 +21,7 @@ def _ids(column: str):
 
 def ingest_rocrate(documents: DataFrame) -> Lineage:
     """Tables out of crates (run_id, value). An id nobody recognises is an outside input, never dropped."""
+    documents, refused = readable(documents, "run_id")
     entities = documents.select("run_id", F.explode(F.try_variant_get(F.try_parse_json("value"), '$["@graph"]', "array<variant>")).alias("e"))
     text = lambda path: F.try_variant_get("e", path, "string")
     kinds = F.coalesce(F.try_variant_get("e", '$["@type"]', "array<string>"), F.array(text('$["@type"]')))
@@ -47,4 +48,4 @@ def ingest_rocrate(documents: DataFrame) -> Lineage:
         F.when(inside, folder_id(maker)).otherwise(EXTERNAL).alias("producer"),
         F.when(inside, name).otherwise(basename(F.substring_index(path, "?", 1))).alias("filename"), F.when(inside, F.col("id")).otherwise(path).alias("target"))
     outputs = actions.select("run_id", "task", F.explode("made").alias("id")).where(inside & (name != "")).select("run_id", "task", name.alias("file"))
-    return Lineage(tasks, edges, outputs)
+    return Lineage(tasks, edges, outputs, refused=refused)

@@ -11,15 +11,29 @@ from pyspark.sql import functions as F
 
 from wakeline.operators.graph import NODE
 
-# A file up to this size is read whole by one task; a larger one is streamed.
+# A file up to this size is read whole by one task; a larger one is streamed where executors mount it.
 WHOLE_UP_TO = 64 * 1024 * 1024
+# Fixed value: the largest file that Spark reads as one value.
+LARGEST_VALUE = (1 << 31) - 1
 
 
-def hash_small(spark: SparkSession, root: str, largest: int = WHOLE_UP_TO) -> DataFrame:
-    """(path, size, digest) of every file under a root up to `largest` bytes."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= largest)
-    return found.select(_below(F.col("path"), root).alias("path"), F.col("length").alias("size"),
-                        F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
+def hash_files(spark: SparkSession, root: str, mount: str | None = None, whole: int = WHOLE_UP_TO, largest: int = LARGEST_VALUE) -> DataFrame:
+    """
+    (path, size, digest, problem) of every file under a root, whatever its
+    size. `mount` is where every executor sees the root as a folder: files
+    above `whole` bytes are streamed from there. Without it they are read as
+    one value, and those too large for that keep a row that says so.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    path, size = _below(F.col("path"), root).alias("path"), F.col("length").alias("size")
+    most = whole if mount else largest
+    read = listed.where(F.col("length") <= most).select(
+        path, size, F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), F.lit(None).cast("string").alias("problem"))
+    above = listed.where(F.col("length") > most).select(path, size)
+    if mount is None:
+        return read.unionByName(above.withColumn("digest", F.lit(None).cast("string")).withColumn("problem", F.lit("too large to read without a mount")))
+    streamed = hash_large(above.withColumn("local", F.concat(F.lit(mount.rstrip("/") + "/"), "path")))
+    return read.unionByName(streamed.withColumn("problem", F.lit(None).cast("string")))
 
 
 def hash_large(files: DataFrame) -> DataFrame:

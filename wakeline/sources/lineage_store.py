@@ -24,7 +24,7 @@ RECORD = (f"version string, kind string, spec struct<sessionId: string, workflow
 
 def folder_id(full: Column) -> Column:
     """A store hash as the work folder spells it, whole, so that a fleet's ids stay apart."""
-    return F.concat(F.substring(full, 1, 2), F.lit("/"), F.substring(full, 3, 64))
+    return F.concat(F.substring(full, 1, 2), F.lit("/"), F.substr(full, F.lit(3)))
 
 
 def parse_history(files: DataFrame) -> DataFrame:

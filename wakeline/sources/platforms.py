@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.instants import instant
 from wakeline.functions.text import basename
 from wakeline.operators.triggers import normalise_status
 from wakeline.sources.calls import path_edges
-from wakeline.sources.common import EXTERNAL, Lineage, string_leaves, task_table
+from wakeline.sources.common import EXTERNAL, Lineage, readable, string_leaves, task_table
 
 # How a description links to a file or to another job's output.
 LINK = "$dnanexus_link"
@@ -44,6 +44,8 @@ def ingest_job_describes(jobs: DataFrame, files: DataFrame) -> Lineage:
     reference to a job or stage of this analysis is an edge to it; one that
     names nothing here goes to coverage, since what fed that input is unknown.
     """
+    jobs, refused = readable(jobs)
+    files, refused_files = readable(files)
     rows = jobs.select("run_id", F.from_json("value", JOB).alias("j"), *[F.get_json_object("value", f"$.{c}").alias(c) for c in (*VIEWS, "output")]).select(
         "run_id", F.col("j.id").alias("task"), "j", *VIEWS, "output")
     known = files.select("run_id", F.from_json("value", FILE).alias("f")).select(
@@ -77,14 +79,14 @@ def ingest_job_describes(jobs: DataFrame, files: DataFrame) -> Lineage:
         "by", F.when(F.col("kind") == "job", F.col("ref")).otherwise(F.col("staged"))).join(here, ["run_id", "by"], "left")
     good = F.coalesce(F.col("here") & (F.col("by") != F.col("task")), F.lit(False))
     from_refs = placed.where(good).select(
-        "run_id", F.lit(3000000000).cast("bigint").alias("edge_ix"), F.col("task").alias("consumer"), F.col("by").alias("producer"),
+        "run_id", (F.row_number().over(Window.partitionBy("run_id", "task").orderBy("kind", "ref", "field")) + F.lit(3000000000)).alias("edge_ix"), F.col("task").alias("consumer"), F.col("by").alias("producer"),
         F.when(F.col("field") != "", F.col("field")).otherwise(F.col("ref")).alias("filename"),
         F.when(F.col("field") != "", F.concat_ws(":", "ref", "field")).otherwise(F.col("ref")).alias("target"))
     coverage = placed.where(~good).groupBy("run_id", "task").agg(F.count("*").alias("references")).withColumn(
         "note", F.lit("references name no job in this analysis"))
     outputs = file_links(string_leaves(rows, "output", "run_id", "task")).select("run_id", "task", "value").distinct().join(
         known, ["run_id", "value"], "left").select("run_id", "task", F.coalesce("name", "value").alias("file"))
-    return Lineage(tasks, from_files.unionByName(from_refs), outputs, coverage)
+    return Lineage(tasks, from_files.unionByName(from_refs), outputs, coverage, refused=refused.unionByName(refused_files))
 
 
 NODE = ("id string, status string, cost double, price double, startTime string, resolutionTime string, "
@@ -97,6 +99,10 @@ def ingest_execution_graph(nodes: DataFrame, workflows: DataFrame, literals: Dat
     Tables out of execution nodes (run_id, value), workflows (run_id, value)
     and literal maps (run_id, task, side, value) with side inputs or outputs.
     """
+    nodes, refused = readable(nodes)
+    workflows, refused_workflows = readable(workflows)
+    literals, refused_literals = readable(literals, "task")
+    refused = refused.unionByName(refused_workflows).unionByName(refused_literals)
     shown = workflows.select("run_id", F.from_json("value", WORKFLOW).alias("w"))
     rows = nodes.select("run_id", F.from_json("value", NODE).alias("n")).join(shown, "run_id", "left")
     word = lambda *cs: F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in cs])
@@ -111,4 +117,5 @@ def ingest_execution_graph(nodes: DataFrame, workflows: DataFrame, literals: Dat
     paths = string_leaves(literals, "value", "run_id", "task", "side").where(F.startswith("value", F.lit(scheme))).groupBy(
         "run_id", "task", "side", F.col("value").alias("path")).agg(F.min("ix").alias("edge_ix"))
     made = paths.where("side = 'outputs'").select("run_id", "task", "path")
-    return Lineage(tasks, path_edges(paths.where("side = 'inputs'").drop("side"), made), made.select("run_id", "task", basename(F.col("path")).alias("file")))
+    return Lineage(tasks, path_edges(paths.where("side = 'inputs'").drop("side"), made), made.select("run_id", "task", basename(F.col("path")).alias("file")),
+                   refused=refused)

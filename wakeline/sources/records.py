@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wakeline.functions.instants import instant
 from wakeline.functions.text import basename
 from wakeline.operators.triggers import normalise_status
-from wakeline.sources.common import EXTERNAL, Lineage, task_table
+from wakeline.sources.common import EXTERNAL, Lineage, readable, task_table
 
 ARTIFACT = "array<struct<id: string, path: string, size: bigint, sha256: string, labels: map<string,variant>>>"
 RECORD = ("run string, task struct<id: string, definition_id: string, name: string, status: string, started_at: string, finished_at: string>, "
@@ -32,6 +32,7 @@ def ingest_run_records(records: DataFrame, declared: DataFrame, runs: DataFrame)
     digest; a task that merely passed its input through did not make it, so
     that falls back to the declared edge, as does an input without a digest.
     """
+    records, refused = readable(records, "record_ix")
     rows = records.select("record_ix", F.from_json("value", RECORD).alias("r")).select(
         "record_ix", F.col("r.run").alias("run_id"), F.col("r.task.id").alias("id"), F.concat_ws("/", "r.run", "r.task.id").alias("task"), "r")
     wrote = rows.select("record_ix", "run_id", "task", F.posexplode("r.outputs").alias("ix", "a"))
@@ -63,11 +64,11 @@ def ingest_run_records(records: DataFrame, declared: DataFrame, runs: DataFrame)
                    F.expr("substring(r.working_dir, length(root) + 1)"))
     tasks = task_table(
         placed, run_id=F.col("run_id"), task=F.col("task"), name=F.coalesce("r.task.name", "id"), process=F.coalesce("r.task.definition_id", "id"),
-        container=F.when((kind != "") & (digest != ""), F.concat(kind, F.lit("@"), F.substring(digest, 1, 12))).otherwise(kind),
+        container=F.when((kind != "") & (digest != ""), F.concat(kind, F.lit("@"), digest)).otherwise(kind),
         status=normalise_status(F.col("r.task.status")), engine_status=F.col("r.task.status"), script=F.try_element_at("r.code", F.lit(1))["path"],
         workdir=F.col("r.working_dir"), target=F.col("r.target.location_id"), workpath=below, labels=merged,
         metrics=F.when(took.isNotNull(), F.create_map(F.lit("duration_s"), took)))
     outputs = wrote.where(F.coalesce("a.path", F.lit("")) != "").select(
         "run_id", "task", basename(F.col("a.path")).alias("file"), F.col("a.size").alias("size"),
         F.when(F.coalesce("a.sha256", F.lit("")) != "", F.concat(F.lit("sha256:"), "a.sha256")).alias("digest"))
-    return Lineage(tasks, edges, outputs)
+    return Lineage(tasks, edges, outputs, refused=refused)

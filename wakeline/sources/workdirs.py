@@ -25,10 +25,11 @@ def ingest_weblog(lines: DataFrame) -> DataFrame:
                       **{c: held(c) for c in ("name", "process", "container", "workdir", "script")})
 
 
-def edges_from_link_inventory(links: DataFrame, roots: DataFrame) -> DataFrame:
+def edges_from_link_inventory(links: DataFrame, roots: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     Edges from links (run_id, task, path, link_target, edge_ix) under each
-    run's work root (run_id, root): the task whose folder holds the target.
+    run's work root (run_id, root): the task of `tasks` (run_id, task, workdir)
+    whose folder holds the target; a folder of no known task names itself.
     Staged and engine-made files and anything outside the root are EXTERNAL, a
     path too short to name a task is NULL, and a task's own links are dropped.
     """
@@ -36,9 +37,12 @@ def edges_from_link_inventory(links: DataFrame, roots: DataFrame) -> DataFrame:
     under = F.startswith("link_target", F.concat("root", F.lit("/")))
     parts = F.split(F.expr("substring(link_target, length(root) + 2)"), "/")
     staged = (parts[0] == "tmp") | F.exists(parts, lambda p: p.startswith("stage-"))
-    producer = (
-        F.when(~under | staged, EXTERNAL)
-        .when(F.size(parts) >= 2, F.concat_ws("/", parts[0], F.substring(F.try_element_at(parts, F.lit(2)), 1, 6))))
+    folder = F.concat_ws("/", parts[0], F.try_element_at(parts, F.lit(2)))
+    placed = placed.withColumn("folder", F.when(under & ~staged & (F.size(parts) >= 2), folder)).withColumn(
+        "outside", ~under | staged).withColumn("workdir", F.concat_ws("/", "root", "folder"))
+    homes = tasks.where(F.coalesce("workdir", F.lit("")) != "").groupBy("run_id", F.regexp_replace("workdir", "/+$", "").alias("workdir")).agg(F.min("task").alias("home"))
+    placed = placed.join(homes, ["run_id", "workdir"], "left")
+    producer = F.when(F.col("outside"), EXTERNAL).when(F.col("folder").isNotNull(), F.coalesce("home", "folder"))
     edges = placed.select("run_id", "edge_ix", F.col("task").alias("consumer"), producer.alias("producer"),
                           F.col("path").alias("filename"), F.col("link_target").alias("target"))
     return edges.where(~F.col("producer").eqNullSafe(F.col("consumer")))
