@@ -82,7 +82,12 @@ def decide(spark, sf):
 def impact(spark, sf):
     return _flat(_plan(spark, sf)).select(
         "trigger_id", "run_id", "task", "process", "contribution", "storage", "scope", "released", "mode",
-        "action", "rule", "possible", "class_asserted_by", F.array_join("evidence_path", ">").alias("evidence_path"))
+        "action", "rule", "possible", "class_asserted_by", "evidence", "container", "script")
+
+
+def impact_paths(spark, sf):
+    """How each trigger got to each task that it did not enter at."""
+    return _plan(spark, sf).where("evidence_path IS NOT NULL").select("trigger_id", "run_id", "task", F.array_join("evidence_path", ">").alias("evidence_path"))
 
 
 def plan_actions(spark, sf):
@@ -122,7 +127,7 @@ def unexpanded_calls(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    classify, assert_class, bad_overrides, settle_storage, decide, impact, plan_actions, plan_cost, rollup_by_process,
+    classify, assert_class, bad_overrides, settle_storage, decide, impact, impact_paths, plan_actions, plan_cost, rollup_by_process,
     rollup_by_target, headline, what_if, graph_notes, unexpanded_calls)}
 
 # ------------------------------------------------------------------ oracles
@@ -161,21 +166,24 @@ CLASSIFIED = """classified AS (SELECT t.run_id, t.task, CASE WHEN script <> '' A
   FROM tasks t JOIN sightings s ON t.task = s.task),"""
 OVER = "overrides AS (" + OVERRIDES + "),"
 # The flagship, whole: closure with paths per trigger, exclusivity per nation, class, storage, decision.
-PLAN = FWD + """paths(trigger_id, task, path) USING KEY (trigger_id, task) AS (
+TRIGGER_PATHS = FWD + """paths(trigger_id, task, path) USING KEY (trigger_id, task) AS (
   SELECT trigger_id, task, [task] FROM trigger_entries
   UNION
   SELECT p.trigger_id, f.next, list_append(min(p.path), f.next) FROM paths p JOIN fwd f ON p.task = f.task
   WHERE NOT EXISTS (SELECT 1 FROM recurring.paths r WHERE r.trigger_id = p.trigger_id AND r.task = f.next)
-  GROUP BY p.trigger_id, f.next),
+  GROUP BY p.trigger_id, f.next),"""
+PLAN = FWD + """paths(trigger_id, task) AS (SELECT trigger_id, task FROM trigger_entries
+  UNION SELECT p.trigger_id, f.next FROM paths p JOIN fwd f ON p.task = f.task),
 sole AS (SELECT task, count(*) AS n FROM paths WHERE trigger_id LIKE 'nation:%' GROUP BY task),
 """ + OVER + CLASSIFIED + SETTLED.replace("NOT published_checked", "true") + """
 facts AS (SELECT p.trigger_id, p.task, t.process, t.target, t.okey, t.price, g.mode,
   COALESCE(CASE WHEN o.contribution = 'SEPARABLE' THEN 'SEPARABLE' END, c.contribution) AS contribution,
   CASE WHEN o.contribution = 'SEPARABLE' THEN o.asserted_by END AS class_asserted_by,
-  s.storage, c.released, CASE WHEN g.mode = 'remove' AND sole.n = 1 THEN 'exclusive' ELSE 'shared' END AS scope,
-  CASE WHEN len(path) > 1 THEN array_to_string(path, '>') END AS evidence_path
+  s.storage, c.released, CASE WHEN g.mode = 'remove' AND sole.n = 1 THEN 'exclusive' ELSE 'shared' END AS scope, t.container, t.script,
+  concat(CASE WHEN o.contribution <> c.contribution THEN concat('class SEPARABLE asserted by sheet (by evidence ', c.contribution, '); ') ELSE '' END,
+    c.evidence, CASE WHEN seen.storage IS NULL THEN '; storage not checked' ELSE '' END, substring(s.evidence, 5)) AS evidence
   FROM paths p JOIN triggers g ON p.trigger_id = g.trigger_id JOIN tasks t ON p.task = t.task
-  JOIN classified c ON p.task = c.task JOIN settled s ON p.task = s.task LEFT JOIN sole ON p.task = sole.task
+  JOIN classified c ON p.task = c.task JOIN settled s ON p.task = s.task JOIN sightings seen ON p.task = seen.task LEFT JOIN sole ON p.task = sole.task
   LEFT JOIN overrides o ON o.kind = g.kind AND o.process = t.process AND o.contribution = 'SEPARABLE'),
 """ + decided("facts", "trigger_id, task") + """
 plan AS (SELECT f.*, v.action, v.rule, v.possible, COALESCE(v.action, 'UNDETERMINED') AS verdict FROM facts f JOIN verdicts v USING (trigger_id, task)),"""
@@ -193,7 +201,10 @@ ORACLES = {
     "settle_storage": oracle("SELECT run_id, task, storage, evidence FROM settled", "sightings", extra=SETTLED),
     "decide": oracle("SELECT 'r0' AS run_id, * FROM verdicts", extra="facts AS (" + FACTS + ")," + decided("facts", "task")),
     "impact": oracle("""SELECT trigger_id, 'r0' AS run_id, task, process, contribution, storage, scope, released, mode,
-        action, rule, possible, class_asserted_by, evidence_path FROM plan""", *_P, extra=PLAN, recursive=True),
+        action, rule, possible, class_asserted_by, evidence, CASE WHEN action = 'REGENERATE' THEN container END AS container,
+        CASE WHEN action = 'REGENERATE' THEN script END AS script FROM plan""", *_P, extra=PLAN, recursive=True),
+    "impact_paths": oracle("SELECT trigger_id, 'r0' AS run_id, task, array_to_string(path, '>') AS evidence_path FROM paths WHERE len(path) > 1",
+                           "edges", "trigger_entries", extra=TRIGGER_PATHS, recursive=True),
     "plan_actions": oracle("SELECT trigger_id, verdict, count(*) AS tasks FROM plan GROUP BY ALL", *_P, extra=PLAN, recursive=True),
     "plan_cost": oracle("""SELECT trigger_id, verdict, 'price' AS metric,
         CAST(sum(CAST(price AS DECIMAL(28,6))) FILTER (WHERE okey % 5 <> 0) AS DOUBLE) AS total,

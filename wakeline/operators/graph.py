@@ -35,13 +35,18 @@ def _step(frontier: DataFrame, forward: DataFrame) -> DataFrame:
     return frontier.join(forward, NODE).select("run_id", F.col("next").alias("task"), *carried)
 
 
-def reach(entries: DataFrame, edges: DataFrame) -> DataFrame:
+def written_forward(edges: DataFrame) -> DataFrame:
+    """The forward edges as a written table, for several closures over the same edges."""
+    return cut(forward_edges(edges), "forward")[0]
+
+
+def reach(entries: DataFrame, edges: DataFrame, forward: DataFrame | None = None) -> DataFrame:
     """
     Every (subject, run_id, task) reachable from `entries` of the same shape,
-    entries included.
+    entries included. `forward` is `written_forward` of the edges, if at hand.
     """
     keys = ["subject", *NODE]
-    forward, _ = cut(forward_edges(edges), "forward")
+    forward = forward or written_forward(edges)
     log = RoundLog(edges.sparkSession, "reach")
     fresh, rows = log.add(entries.select(keys).distinct())
     while rows:
@@ -54,7 +59,7 @@ def reach(entries: DataFrame, edges: DataFrame) -> DataFrame:
 STEP = "\x00"
 
 
-def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
+def evidence_paths(entries: DataFrame, edges: DataFrame, forward: DataFrame | None = None) -> DataFrame:
     """
     (subject, run_id, task, hops, path): one shortest chain from an entry to
     each reached task, the smallest in element order among the shortest.
@@ -65,7 +70,7 @@ def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
     the shuffle.
     """
     keys = ["subject", *NODE]
-    forward, _ = cut(forward_edges(edges), "forward")
+    forward = forward or written_forward(edges)
     start = entries.select(keys).distinct().withColumn("hops", F.lit(0)).withColumn("path", F.col("task"))
     log, level = RoundLog(edges.sparkSession, "paths"), 0
     fresh, rows = log.add(start)
@@ -80,7 +85,7 @@ def evidence_paths(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return log.rows().withColumn("path", F.split("path", STEP))
 
 
-def sole_subject(peers: DataFrame, edges: DataFrame) -> DataFrame:
+def sole_subject(peers: DataFrame, edges: DataFrame, forward: DataFrame | None = None) -> DataFrame:
     """
     (kind, run_id, task, subject) from `peers` of the same columns: which
     single subject of a kind reaches each task, NULL where several do.
@@ -90,7 +95,7 @@ def sole_subject(peers: DataFrame, edges: DataFrame) -> DataFrame:
     one, or by several, so it changes at most twice.
     """
     keys = ["kind", *NODE]
-    forward, _ = cut(forward_edges(edges), "forward")
+    forward = forward or written_forward(edges)
 
     def by_node(rows: DataFrame) -> DataFrame:
         # `several` is already known for some rows; otherwise two ends that differ show it.
