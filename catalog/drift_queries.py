@@ -111,13 +111,14 @@ def stitch_runs(spark, sf):
 
 def stitched_reach(spark, sf):
     edges, outputs = _docs(spark, sf)
-    whole = stitch.one_graph(stitch.stitch_runs(edges, stitch.bridges(edges, outputs)))
+    whole = stitch.joined_graph(edges, outputs)
     entries = outputs.select(F.col("run_id").alias("subject"), F.lit("*").alias("run_id"), F.concat_ws(":", "run_id", "task").alias("task"))
-    return graph.reach(entries, whole).groupBy("subject").agg(F.count("*").alias("reached"))
+    reached = graph.reach(entries, whole).where(~F.startswith("task", F.lit(stitch.DIGEST_NODE)))
+    return reached.groupBy("subject").agg(F.count("*").alias("reached"))
 
 
 def ambiguous_bridges(spark, sf):
-    return stitch.ambiguous_bridges(stitch.bridges(*_docs(spark, sf)))
+    return stitch.ambiguous_bridges(*_docs(spark, sf))
 
 
 def digest_coverage(spark, sf):

@@ -97,10 +97,11 @@ def published_copies_by_digest(outputs: DataFrame, published: DataFrame, resolve
     """
     known = outputs.where(recorded(F.col("digest"))).select(*NODE, "file", "digest")
     copies = published.where(recorded(F.col("digest"))).select("run_id", "digest", "path", F.col("size").alias("digested_size"))
-    found = known.join(copies, ["run_id", "digest"]).withColumn(
-        "named", basename(F.col("path")) == basename(F.col("file")))
-    best = found.groupBy(*NODE, "file").agg(F.max("named").alias("best"))
-    found = found.join(best, [*NODE, "file"]).where(F.col("named") == F.col("best"))
+    # By digest and name first: a digest that many outputs and copies share meets itself only where no name agrees.
+    known, copies = known.withColumn("name", basename(F.col("file"))), copies.withColumn("name", basename(F.col("path")))
+    by_name = ["run_id", "digest", "name"]
+    found = known.join(copies, by_name).unionByName(
+        known.join(copies.select(by_name).distinct(), by_name, "left_anti").join(copies.drop("name"), ["run_id", "digest"]))
     if results is None:
         return found.select(*NODE, "file", "path", F.lit("unverified").alias("held"))
     inodes = work.where("NOT is_dir").select("run_id", F.col("path").alias("work_path"), F.col("inode").alias("work_inode"))
