@@ -6,20 +6,23 @@ from catalog.tables import oracle, staged, table
 from wakeline.operators import drift as d
 from wakeline.operators import graph, stitch
 
-ONE_PAIR = "pair_id = 'p0'"
-
 
 def _pairs(spark, sf):
     return table(spark, sf, "pairs")
 
 
+def _asked(spark, sf):
+    """All pairs but the refused ones."""
+    pairs = _pairs(spark, sf)
+    return pairs.join(d.refused_pairs(pairs).select("pair_id"), "pair_id", "left_anti")
+
+
 def _side(spark, sf, name):
-    return d.sides(_pairs(spark, sf).where(ONE_PAIR), table(spark, sf, name))
+    return d.sides(_asked(spark, sf), table(spark, sf, name))
 
 
-def _drift(spark, sf, pairs=None):
-    pairs = _pairs(spark, sf).where(ONE_PAIR) if pairs is None else pairs
-    return d.drift(pairs, *[table(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs")])
+def _drift(spark, sf):
+    return d.drift(_asked(spark, sf), *[table(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs")])
 
 
 def _items(spark, sf):
@@ -29,38 +32,38 @@ def _items(spark, sf):
 def input_signature(spark, sf):
     (_, tasks), (_, edges), (_, outputs) = (_side(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs"))
     signed = d.input_signature(edges, outputs, tasks)
-    same = signed.groupBy("inputs").agg(F.count("*").alias("tasks"))
-    return signed.join(same, "inputs", "left").select("task", F.col("inputs").isNull().alias("unknown"), "tasks")
+    same = signed.groupBy("pair_id", "inputs").agg(F.count("*").alias("tasks"))
+    return signed.join(same, ["pair_id", "inputs"], "left").select("pair_id", "task", F.col("inputs").isNull().alias("unknown"), "tasks")
 
 
 def output_signature(spark, sf):
     _, outputs = _side(spark, sf, "run_outputs")
-    return d.output_signature(outputs, ("out-1.*",)).select("task", F.col("outputs").isNull().alias("unknown"))
+    return d.output_signature(outputs, ("out-1.*",)).select("pair_id", "task", F.col("outputs").isNull().alias("unknown"))
 
 
 def pair_tasks(spark, sf):
     (tb, ta), (eb, ea), (ob, oa) = (_side(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs"))
-    return d.pair_tasks((tb, eb, ob), (ta, ea, oa)).select("name", "before", "after", F.col("note").isNotNull().alias("unpaired"))
+    return d.pair_tasks((tb, eb, ob), (ta, ea, oa)).select("pair_id", "name", "before", "after", F.col("note").isNotNull().alias("unpaired"))
 
 
 def drift_verdicts(spark, sf):
-    return _items(spark, sf).select("task", "before", "after", "process", "verdict", "cause", "n_follows")
+    return _items(spark, sf).select("pair_id", "task", "before", "after", "process", "verdict", "cause", "n_follows")
 
 
 def drift_cause(spark, sf):
-    return _items(spark, sf).where("verdict = 'DRIFTED'").select("task", "cause", "inputs_changed", "first_input")
+    return _items(spark, sf).where("verdict = 'DRIFTED'").select("pair_id", "task", "cause", "inputs_changed", "first_input")
 
 
 def drift_files(spark, sf):
-    return _drift(spark, sf).files.select("task", "file")
+    return _drift(spark, sf).files.select("pair_id", "task", "file")
 
 
 def drift_follows(spark, sf):
-    return _drift(spark, sf).follows.select("task", "producer")
+    return _drift(spark, sf).follows.select("pair_id", "task", "producer")
 
 
 def drift_inputs(spark, sf):
-    return _drift(spark, sf).inputs.select("task", "filename")
+    return _drift(spark, sf).inputs.select("pair_id", "task", "filename")
 
 
 def drift_summary(spark, sf):
@@ -68,14 +71,12 @@ def drift_summary(spark, sf):
 
 
 def drift_by_cause(spark, sf):
-    return d.drift_by_cause(_items(spark, sf)).groupBy("verdict", "cause", "process").agg(
+    return d.drift_by_cause(_items(spark, sf)).groupBy("pair_id", "verdict", "cause", "process").agg(
         F.sum("tasks").alias("tasks"), F.count("*").alias("input_sets"))
 
 
 def fleet_drift(spark, sf):
-    pairs = _pairs(spark, sf)
-    asked = pairs.join(d.refused_pairs(pairs).select("pair_id"), "pair_id", "left_anti")
-    return d.drift_summary(_drift(spark, sf, asked).items)
+    return d.drift_summary(_drift(spark, sf).items)
 
 
 def refused_pairs(spark, sf):
@@ -205,24 +206,33 @@ INDEX = """named AS (SELECT run_id, regexp_extract(path, '[^/]*$') AS name, CASE
 idx AS (SELECT *, count(*) OVER (PARTITION BY run_id, name, size, is_dir) AS candidates FROM named),"""
 _D = ("doc_edges", "doc_outputs")
 
+
+
+def both_ways(body: str, **options) -> str:
+    """SQL over every asked pair; in `body` an @ stands for the comparison of the pair's runs in its order."""
+    return oracle(f"""SELECT pair_id, i.* EXCLUDE (before_run) FROM pairs JOIN (SELECT 'rb' AS before_run, * FROM ({body.replace('@', 'f_')})
+        UNION ALL SELECT 'ra', * FROM ({body.replace('@', 'k_')})) i USING (before_run) WHERE before_session <> after_session""",
+                  *RUNS, "pairs", extra=FORTH + BACK, **options)
+
+
 ORACLES = {
-    "input_signature": oracle("""SELECT t.task, t.sig IS NULL AS unknown, CASE WHEN t.sig IS NOT NULL THEN count(*) OVER (PARTITION BY t.sig) END AS tasks
-        FROM (SELECT t.task, CASE WHEN s.task IS NULL THEN [] ELSE s.inputs END AS sig FROM run_tasks t
-              LEFT JOIN f_sig s ON s.run_id = t.run_id AND s.task = t.task WHERE t.run_id = 'ra') t""", *RUNS, extra=FORTH),
-    "output_signature": oracle("""SELECT task, count(digest) < count(*) AS unknown FROM run_outputs
-        WHERE run_id = 'ra' AND file <> 'out-1.dat' GROUP BY task""", "run_outputs"),
-    "pair_tasks": oracle("SELECT name, before, after, unpaired FROM f_paired", *RUNS, extra=FORTH),
-    "drift_verdicts": oracle("SELECT task, before, after, process, verdict, cause, n_follows FROM f_items", *RUNS, extra=FORTH),
-    "drift_cause": oracle("SELECT task, cause, inputs_changed, first_input FROM f_items WHERE verdict = 'DRIFTED'", *RUNS, extra=FORTH),
-    "drift_files": oracle("""SELECT y.task, y.file FROM f_base b JOIN run_outputs y ON y.task = b.after
+    "input_signature": oracle("""SELECT pair_id, task, sig IS NULL AS unknown, CASE WHEN sig IS NOT NULL THEN count(*) OVER (PARTITION BY pair_id, sig) END AS tasks
+        FROM (SELECT p.pair_id, t.task, CASE WHEN s.task IS NULL THEN [] ELSE s.inputs END AS sig FROM pairs p JOIN run_tasks t ON t.run_id = p.after_run
+              LEFT JOIN f_sig s ON s.run_id = t.run_id AND s.task = t.task WHERE before_session <> after_session) t""", *RUNS, "pairs", extra=FORTH),
+    "output_signature": oracle("""SELECT pair_id, task, count(digest) < count(*) AS unknown FROM run_outputs o JOIN pairs p ON o.run_id = p.after_run
+        WHERE file <> 'out-1.dat' AND before_session <> after_session GROUP BY ALL""", "run_outputs", "pairs"),
+    "pair_tasks": both_ways("SELECT name, before, after, unpaired FROM @paired"),
+    "drift_verdicts": both_ways("SELECT task, before, after, process, verdict, cause, n_follows FROM @items"),
+    "drift_cause": both_ways("SELECT task, cause, inputs_changed, first_input FROM @items WHERE verdict = 'DRIFTED'"),
+    "drift_files": both_ways("""SELECT y.task, y.file FROM @base b JOIN run_outputs y ON y.task = b.after
         LEFT JOIN run_outputs x ON x.task = b.before AND x.file = y.file
-        WHERE state = 'DIFF' AND x.digest IS DISTINCT FROM y.digest""", *RUNS, extra=FORTH),
-    "drift_follows": oracle("""SELECT u.after AS task, producer FROM f_up u JOIN f_met m ON m.after = u.after
-        WHERE differs OR (state = 'DIFF' AND nd = 0)""", *RUNS, extra=FORTH),
-    "drift_inputs": oracle("SELECT task, filename FROM f_inputs", *RUNS, extra=FORTH),
-    "drift_summary": oracle("SELECT 'p0' AS pair_id, verdict, count(*) AS tasks FROM f_items GROUP BY verdict", *RUNS, extra=FORTH),
-    "drift_by_cause": oracle("""SELECT verdict, cause, process, count(*) AS tasks, count(DISTINCT coalesce(names, [])) AS input_sets
-        FROM f_items GROUP BY ALL""", *RUNS, extra=FORTH),
+        WHERE state = 'DIFF' AND x.digest IS DISTINCT FROM y.digest"""),
+    "drift_follows": both_ways("""SELECT u.after AS task, producer FROM @up u JOIN @met m ON m.after = u.after
+        WHERE differs OR (state = 'DIFF' AND nd = 0)"""),
+    "drift_inputs": both_ways("SELECT task, filename FROM @inputs"),
+    "drift_summary": both_ways("SELECT verdict, count(*) AS tasks FROM @items GROUP BY verdict"),
+    "drift_by_cause": both_ways("""SELECT verdict, cause, process, count(*) AS tasks, count(DISTINCT coalesce(names, [])) AS input_sets
+        FROM @items GROUP BY ALL"""),
     "fleet_drift": oracle("""SELECT pair_id, verdict, count(*) AS tasks FROM pairs JOIN
         (SELECT 'rb' AS before_run, verdict FROM f_items UNION ALL SELECT 'ra', verdict FROM k_items) i USING (before_run)
         WHERE before_session <> after_session GROUP BY ALL""", *RUNS, "pairs", extra=FORTH + BACK),

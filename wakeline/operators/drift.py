@@ -54,15 +54,12 @@ def output_digest_lookup(outputs: DataFrame) -> DataFrame:
     return full.unionByName(base).groupBy("pair_id", "producer", "name").agg(F.min_by("digest", "pick").alias("digest"))
 
 
-def input_signature(edges: DataFrame, outputs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """
-    (pair_id, task, inputs): the bag of digests each wanted task consumed, NULL
-    when any input lacks one and the empty bag when it consumed nothing.
-    """
+def input_digests(edges: DataFrame, outputs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pair_id, task, digest): one row per input of each wanted task, digest NULL where nobody recorded one."""
     lookup = output_digest_lookup(outputs)
     read = edges.join(wanted.select("pair_id", F.col("task").alias("consumer")), ["pair_id", "consumer"], "left_semi")
     base = basename(F.col("filename"))
-    read = (
+    return (
         read.select("pair_id", "consumer", "producer", "filename",
                     F.when(base != F.col("filename"), base).alias("base"),
                     F.when(recorded(F.col("digest")), F.col("digest")).alias("own"))
@@ -72,12 +69,28 @@ def input_signature(edges: DataFrame, outputs: DataFrame, wanted: DataFrame) ->
               ["pair_id", "producer", "base"], "left")
         .select("pair_id", F.col("consumer").alias("task"), F.coalesce("own", "by_name", "by_base").alias("digest"))
     )
-    bags = read.groupBy(PAIR).agg(
+
+
+def input_signature(edges: DataFrame, outputs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """
+    (pair_id, task, inputs): the bag of digests each wanted task consumed, NULL
+    when any input lacks one and the empty bag when it consumed nothing. Equal
+    bags make a candidate; `same_inputs` settles it.
+    """
+    bags = input_digests(edges, outputs, wanted).groupBy(PAIR).agg(
         F.when(F.count("digest") == F.count(F.lit(1)), bag(F.col("digest"))).alias("inputs"), F.lit(True).alias("fed"))
     return wanted.select(PAIR).join(bags, PAIR, "left").select(
         *PAIR, F.when(F.col("fed"), F.col("inputs")).otherwise(F.lit(EMPTY_BAG)).alias("inputs"))
 
 
+def same_inputs(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The `pairs` (pair_id, before, after, ..) whose input digests (pair_id, task, digest) agree one by one, with their multiplicities."""
+    key = ["pair_id", "before", "after", "digest"]
+    count = lambda rows, side: rows.withColumnRenamed("task", side).join(pairs.select(*key[:3]), ["pair_id", side]).groupBy(key).agg(F.count("*").alias(f"n_{side}"))
+    differ = count(before, "before").join(count(after, "after"), key, "full").where(~F.col("n_before").eqNullSafe(F.col("n_after")))
+    return pairs.join(differ.select(*key[:3]).distinct(), key[:3], "left_anti")
+
+
 def pair_tasks(before: tuple, after: tuple) -> DataFrame:
     """
     (pair_id, name, before, after, note) from two sides (tasks, edges, outputs).
@@ -102,8 +115,10 @@ def pair_tasks(before: tuple, after: tuple) -> DataFrame:
         signed = wanted.join(input_signature(side[1], side[2], wanted), PAIR).where("inputs IS NOT NULL")
         return signed.groupBy(*name, "inputs").agg(F.count("*").alias("n"), F.min("task").alias(alias)).where("n = 1").drop("n")
 
-    signed, _ = cut(alone(before, b, "before").join(alone(after, a, "after"), [*name, "inputs"]).select(
-        *name, "before", "after"), "signed-pairs")
+    alike, _ = cut(alone(before, b, "before").join(alone(after, a, "after"), [*name, "inputs"]).select(
+        *name, "before", "after"), "alike-pairs")
+    inputs_of = lambda side, end: input_digests(side[1], side[2], alike.select("pair_id", F.col(end).alias("task")))
+    signed, _ = cut(same_inputs(alike, inputs_of(before, "before"), inputs_of(after, "after")), "signed-pairs")
 
     left_b = b.join(signed.select("pair_id", F.col("before").alias("task")), PAIR, "left_anti")
     left_a = a.join(signed.select("pair_id", F.col("after").alias("task")), PAIR, "left_anti")
@@ -156,16 +171,22 @@ def drift(pairs: DataFrame, tasks: DataFrame, edges: DataFrame, outputs: DataFra
     """
     (tb, ta), (eb, ea), (ob, oa) = (sides(pairs, t) for t in (tasks, edges, outputs))
     paired = pair_tasks((tb, eb, ob), (ta, ea, oa))
-    signed_b = output_signature(ob, ignore).select("pair_id", F.col("task").alias("before"), F.col("outputs").alias("sb"), F.lit(True).alias("wrote_b"))
-    signed_a = output_signature(oa, ignore).select("pair_id", F.col("task").alias("after"), F.col("outputs").alias("sa"), F.lit(True).alias("wrote_a"))
-    sb = F.when(F.col("wrote_b"), F.col("sb")).otherwise(F.lit(EMPTY_BAG))
-    sa = F.when(F.col("wrote_a"), F.col("sa")).otherwise(F.lit(EMPTY_BAG))
+    paired, _ = cut(paired, "drift-pairs")
+    # File by file: the verdict, and the files that differ, follow from the same rows; no hash of a set decides.
+    ends = paired.where("before IS NOT NULL AND after IS NOT NULL").select("pair_id", "before", "after")
+    wrote = lambda o, side: o.where(~ignored(F.col("file"), ignore)).groupBy(
+        "pair_id", F.col("task").alias(side), "file").agg(F.max_by("digest", "file_ix").alias(f"digest_{side}")).join(ends, ["pair_id", side]).withColumn(f"in_{side}", F.lit(True))
+    compared_files, _ = cut(wrote(ob, "before").join(wrote(oa, "after"), ["pair_id", "before", "after", "file"], "full"), "drift-files")
+    blank = lambda side: F.col(f"in_{side}").isNotNull() & ~F.coalesce(recorded(F.col(f"digest_{side}")), F.lit(False))
+    unequal = ~F.col("digest_after").eqNullSafe(F.col("digest_before"))
+    told = compared_files.groupBy("pair_id", "before", "after").agg(
+        F.count_if(blank("before") | blank("after")).alias("blanks"), F.count_if(unequal).alias("unequal"))
     state = (
         F.when(F.col("note").isNotNull(), "UNPAIRED").when(F.col("before").isNull(), "ADDED")
-        .when(F.col("after").isNull(), "REMOVED").when(sb.isNull() | sa.isNull(), "NODIGEST")
-        .when(sb == sa, "SAME").otherwise("DIFF"))
+        .when(F.col("after").isNull(), "REMOVED").when(F.col("blanks") > 0, "NODIGEST")
+        .when(F.col("unequal") > 0, "DIFF").otherwise("SAME"))
     base, _ = cut(
-        paired.join(signed_b, ["pair_id", "before"], "left").join(signed_a, ["pair_id", "after"], "left")
+        paired.join(told, ["pair_id", "before", "after"], "left")
         .select("pair_id", "name", "before", "after", F.coalesce("after", "before").alias("task"), state.alias("state")), "drift-base")
 
     # Producers of the after run that differ, or that could not be compared.
@@ -225,13 +246,8 @@ def drift(pairs: DataFrame, tasks: DataFrame, edges: DataFrame, outputs: DataFra
     after_rows = items.where("after IS NOT NULL").join(about(ta), PAIR, "left")
     before_rows = items.where("after IS NULL").join(about(tb), PAIR, "left")
 
-    digests = lambda o, side: o.where(~ignored(F.col("file"), ignore)).groupBy(
-        "pair_id", F.col("task").alias(side), "file").agg(F.max_by("digest", "file_ix").alias(f"digest_{side}"))
-    files = (
-        digests(oa, "after").join(diff, ["pair_id", "after"])
-        .join(digests(ob, "before"), ["pair_id", "before", "file"], "left")
-        .where(~F.col("digest_after").eqNullSafe(F.col("digest_before")))
-        .select("pair_id", F.col("after").alias("task"), "file"))
+    files = compared_files.where(F.col("in_after") & unequal).join(diff, ["pair_id", "before", "after"]).select(
+        "pair_id", F.col("after").alias("task"), "file")
     # A task that differs follows its drifted producers, or failing those its unverified ones.
     follows = upstream.join(met, ["pair_id", "after"]).where(
         F.col("differs") | ((F.col("state") == "DIFF") & (F.col("n_differ") == 0))
