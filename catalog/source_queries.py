@@ -111,7 +111,7 @@ def refused_assertions(spark, sf):
 # ------------------------------------------------------------- lineage store
 
 def _history(spark, sf):
-    lines = run_sql(spark, sf, "SELECT n_nationkey % 5 AS n, n_nationkey FROM {nation}").where("n_nationkey < 8").select(
+    lines = run_sql(spark, sf, "SELECT n_nationkey % 5 AS n, n_nationkey FROM {nation}").select(
         F.expr("CASE WHEN n_nationkey < 5 THEN concat('.lineage/.history/run', n) WHEN n_nationkey = 5 THEN '.lineage/.history/.DS_Store' ELSE concat('.lineage/.history/bad', n_nationkey) END").alias("path"),
         F.expr("""CASE WHEN n_nationkey <= 5 THEN concat('2024-01-0', n + 1, '\t', 'name', n, '\t', 's', CAST(n >= 3 AS INT), '\tlid://run', n, '\n') ELSE 'junk' END""").alias("value"))
     return lineage_store.parse_history(lines)
@@ -128,7 +128,7 @@ def _store(spark, sf):
       named_struct('path', concat('/work/', fid, '/sub/out.txt'), 'size', k, 'checksum', {mode('k')})))""").alias("value"))
     copies = jobs.select(F.expr("concat('run', k % 5, '/results/', k, '.txt/.data.json')").alias("path"), F.expr(f"""to_json(named_struct('kind', 'FileOutput', 'spec',
       named_struct('size', k, 'checksum', {mode('k')})))""").alias("value"))
-    ran = run_sql(spark, sf, "SELECT n_nationkey AS n FROM {nation}").where("n < 5").select(F.expr("concat('run', n, '/.data.json')").alias("path"), F.expr(
+    ran = run_sql(spark, sf, "SELECT n_nationkey AS n FROM {nation}").select(F.expr("concat('run', n, '/.data.json')").alias("path"), F.expr(
         """to_json(named_struct('kind', 'WorkflowRun', 'spec', named_struct('name', concat('name', n), 'metadata', named_struct('nextflow', named_struct('version', CASE WHEN n % 2 = 0 THEN '26.10.0-edge' ELSE '25.10.1' END)))))""").alias("value"))
     return lineage_store.ingest_lineage_store(tasks.unionByName(written).unionByName(copies).unionByName(ran), _history(spark, sf))
 

@@ -155,8 +155,9 @@ def decide(facts: DataFrame, decisions: DataFrame, by: str | None = None) -> Dat
     `by` names a column of both sides for facts decided under several tables.
     """
     known = facts.withColumn("_class", F.when(F.col("contribution").isin(*CLASSES), F.col("contribution")).otherwise("IRREDUCIBLE"))
-    table = F.broadcast(decisions.select(
-        *([by] if by else []), *[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "action", "rule", "reason", "possible"))
+    table = decisions.select(*([by] if by else []), *[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "action", "rule", "reason", "possible")
+    if not by:  # one policy is 324 rows whatever the data; with several, Spark decides by their size
+        table = F.broadcast(table)
     pairs = [known["_class"] == table["_contribution"]] + [known[f].eqNullSafe(table[f"_{f}"]) for f in VERIFIABLE]
     if by:
         pairs.append(known[by].eqNullSafe(table[by]))

@@ -15,43 +15,43 @@ TASK_FIELDS = ("name", "process", "container", "status", "script", "workdir")
 EDGE_FIELDS = ("consumer", "producer", "filename", "target")
 
 
-def _found(df: DataFrame, bad, table: str, key, problem) -> DataFrame:
-    return df.where(bad).select("run_id", F.lit(table).alias("source"), key.cast("string").alias("key"),
-                                (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"))
+def _each(df: DataFrame, table: str, key, tests: dict, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(run_id, source, key, problem) for every test a row fails and every field it lacks, in one pass over the table."""
+    failed = [F.when(F.coalesce(bad, F.lit(False)), F.lit(problem)) for problem, bad in tests.items()]
+    failed += [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in fields]
+    return df.select("run_id", F.lit(table).alias("source"), key.cast("string").alias("key"), F.explode(F.array_compact(F.array(*failed))).alias("problem"))
 
 
 def contract_violations(tasks: DataFrame, edges: DataFrame, outputs: DataFrame, published: DataFrame | None = None) -> DataFrame:
-    """(run_id, source, key, problem): one row per broken rule, none when the tables conform. Extra columns are allowed."""
-    task, edge, file = F.col("task"), F.col("edge_ix"), F.concat_ws("/", "task", "file")
+    """
+    (run_id, source, key, problem): one row per broken rule, none when the
+    tables conform. Extra columns are allowed. Each table is read once for the
+    rules about single rows; only repeats and references shuffle.
+    """
+    task, file = F.col("task"), F.concat_ws("/", "task", "file")
     status = F.coalesce("status", F.lit(""))
     rooted = F.startswith("workpath", F.lit("/")) | F.col("workpath").rlike(r"(^|/)\.\.(/|$)")
     negative = F.exists(F.map_values("metrics"), lambda v: v.isNull() | (v < 0))
-    missing = lambda df, cols, table, key: df.select("run_id", key.alias("key"), F.explode(F.array_compact(F.array(*[
-        F.when(F.col(c).isNull(), F.lit(c)) for c in cols]))).alias("field")).select(
-        "run_id", F.lit(table).alias("source"), F.col("key").cast("string").alias("key"), F.concat("field", F.lit(" is missing")).alias("problem"))
-    known = tasks.select(*NODE)
-    side = lambda c: edges.join(known.withColumnRenamed("task", c), ["run_id", c], "left_anti")
-    stray = outputs.select("run_id", "task", "file").join(known, NODE, "left_anti")
-    repeated = tasks.groupBy(NODE).agg(F.count("*").alias("n"))
     bad_digest = F.col("digest").isNotNull() & ~well_formed(F.col("digest"))
+    known = tasks.select("run_id", "task", F.lit(True).alias("known")).distinct()
+    repeated = tasks.groupBy(NODE).agg(F.count("*").alias("n")).where("n > 1")
+    ends = edges.select("run_id", "edge_ix", F.explode(F.array(
+        F.struct(F.lit("consumer").alias("end"), F.col("consumer").alias("task")), F.struct(F.lit("producer").alias("end"), F.col("producer").alias("task")))).alias("_side")).select(
+        "run_id", "edge_ix", "_side.end", "_side.task").where((F.col("end") == "consumer") | ~F.col("task").eqNullSafe(F.lit(EXTERNAL)))
+    strangers = ends.join(known, NODE, "left").where("known IS NULL")
+    stray = outputs.select(*NODE, "file").join(known, NODE, "left").where("known IS NULL")
+    found = lambda df, table, key, problem: df.select("run_id", F.lit(table).alias("source"), key.cast("string").alias("key"), problem.alias("problem"))
     rows = [
-        missing(tasks, TASK_FIELDS, "tasks", task),
-        _found(repeated, F.col("n") > 1, "tasks", task, "task:repeated"),
-        _found(tasks, F.coalesce(rooted, F.lit(False)), "tasks", task, "workpath:escapes"),
-        _found(tasks, status != F.upper(status), "tasks", task, "status:case"),
-        _found(tasks, F.coalesce(negative, F.lit(False)), "tasks", task, "metrics:value"),
-        _found(tasks, F.exists(F.map_values("labels"), lambda v: v.isNull()), "tasks", task, "labels:value"),
-        missing(edges, EDGE_FIELDS, "edges", edge),
-        _found(side("consumer"), F.lit(True), "edges", edge, "consumer:unknown"),
-        _found(side("producer"), ~F.col("producer").eqNullSafe(EXTERNAL), "edges", edge, "producer:unknown"),
-        _found(edges, F.col("consumer").eqNullSafe(F.col("producer")), "edges", edge, "edge:self"),
-        _found(edges, bad_digest, "edges", edge, "digest:form"),
-        _found(stray, F.lit(True), "outputs", file, "outputs:unknown"),
-        _found(outputs, F.col("file").isNull(), "outputs", task, "outputs:unnamed"),
-        _found(outputs, bad_digest, "outputs", file, "digest:form"),
+        _each(tasks, "tasks", task, {"workpath:escapes": rooted, "status:case": status != F.upper(status), "metrics:value": negative,
+                                     "labels:value": F.exists(F.map_values("labels"), lambda v: v.isNull())}, TASK_FIELDS),
+        found(repeated, "tasks", task, F.lit("task:repeated")),
+        _each(edges, "edges", F.col("edge_ix"), {"edge:self": F.col("consumer").eqNullSafe(F.col("producer")), "digest:form": bad_digest}, EDGE_FIELDS),
+        found(strangers, "edges", F.col("edge_ix"), F.concat("end", F.lit(":unknown"))),
+        found(stray, "outputs", file, F.lit("outputs:unknown")),
+        _each(outputs, "outputs", F.when(F.col("file").isNull(), task).otherwise(file), {"outputs:unnamed": F.col("file").isNull(), "digest:form": bad_digest}),
     ]
     if published is not None:
-        rows.append(_found(published, bad_digest, "published", F.col("path"), "digest:form"))
+        rows.append(_each(published, "published", F.col("path"), {"digest:form": bad_digest}))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -74,8 +74,9 @@ def match_field(tasks: DataFrame, needles: DataFrame, field: str) -> DataFrame:
     """
     Tasks whose field contains the needle, case and all: (trigger_id, run_id, task).
 
-    Each distinct text offers its 1-, 2- and 3-letter pieces, of which it must
-    hold the needle's first; the whole needle is tested on what that leaves.
+    Each distinct text offers its 1-, 2- and 3-letter pieces under a number of
+    its own, of which it must hold the needle's first. Only texts that this
+    leaves are fetched, and the whole needle is tested on them.
     """
     lead = F.least(F.length("needle"), F.lit(3))
     wanted = needles.where("needle <> ''").withColumn("piece", F.expr("substring(needle, 1, 3)"))
@@ -83,11 +84,10 @@ def match_field(tasks: DataFrame, needles: DataFrame, field: str) -> DataFrame:
     pieces = F.array_distinct(F.flatten(F.transform(
         sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1),
                                      lambda i: F.substring(F.col("text"), i, n)))))
-    texts = tasks.select(F.col(field).alias("text")).where("text <> ''").distinct()
-    hits = (
-        texts.select("text", F.explode(pieces).alias("piece")).join(wanted, "piece")
-        .where(F.contains("text", "needle") & (F.length("piece") == lead)).select("trigger_id", "text").distinct()
-    )
+    texts = tasks.select(F.col(field).alias("text")).where("text <> ''").distinct().withColumn("number", F.xxhash64("text"))
+    maybe = texts.select("number", F.explode(pieces).alias("piece")).join(wanted, "piece").where(
+        F.length("piece") == lead).select("number", "trigger_id", "needle").distinct()
+    hits = texts.join(maybe, "number").where(F.contains("text", "needle")).select("trigger_id", "text").distinct()
     return tasks.select(*NODE, F.col(field).alias("text")).join(hits, "text").select("trigger_id", *NODE)
 
 
@@ -113,7 +113,11 @@ def label_rows(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def match_label(tasks: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Tasks carrying labels[key] = value, for wanted (trigger_id, key, value)."""
-    return label_rows(tasks, edges).join(wanted, ["key", "value"]).select("trigger_id", *NODE)
+    asked = wanted.select("trigger_id", "key", "value")
+    own = tasks.select(*NODE, F.explode("labels")).join(asked, ["key", "value"])
+    touched = edges.select("run_id", "consumer", "producer", F.explode("labels")).join(asked, ["key", "value"]).select(
+        "trigger_id", "run_id", F.explode(F.array("consumer", "producer")).alias("task")).where(F.col("task").isNotNull() & (F.col("task") != EXTERNAL))
+    return own.select("trigger_id", *NODE).unionByName(touched).distinct()
 
 
 def with_tag(tasks: DataFrame) -> DataFrame:
