@@ -73,7 +73,28 @@ def witness(spark, sf):
 
 
 def bundle_integrity(spark, sf):
-    return e.bundle_integrity(verify_log_window(spark, sf), witness(spark, sf))
+    """Every check there is, one row per bundle."""
+    return e.bundle_integrity(*(check(spark, sf) for check in (
+        verify_files, verify_log_window, witness, verify_policy, verify_replay, verify_gate, verify_decision)))
+
+
+def bundles_rechained(spark, sf):
+    """The log window of every bundle from the document that seals it."""
+    entries = _tampered(spark, sf).withColumn("bundle", F.expr(WINDOW))
+    sealed = entries.groupBy("bundle").agg(F.to_json(F.collect_list(F.struct(
+        "seq", "effective_from", "recorded_at", "actor", "event_type", "subject", "body", "prev_hash", "hash"))).alias("content"))
+    return e.verify_log_window(e.bundled_entries(sealed.withColumn("name", F.lit("events.json"))), _anchors(spark, sf))
+
+
+def bundles_replayed(spark, sf):
+    """Every plan from the document that seals it, under the policies sealed in the bundles."""
+    lines = _items(spark, sf).groupBy("bundle").agg(F.collect_list(F.struct(
+        "task", "contribution", "storage", "scope", "released", "mode", "action", "rule", "possible")).alias("plan"))
+    counts = _header_counts(spark, sf).groupBy("bundle").agg(F.map_from_entries(F.collect_list(F.struct("verdict", "tasks"))).alias("actions"))
+    heads = _plans(spark, sf).join(lines, "bundle").join(counts, "bundle")
+    sealed = heads.select("bundle", F.lit("plan.json").alias("name"), F.to_json(F.struct(*[c for c in heads.columns if c != "bundle"])).alias("content"))
+    plans, items, said = e.bundled_plans(sealed)
+    return e.verify_replay(plans, items, said, policy.sealed_decisions(_sealed_policies(spark, sf)))
 
 
 def _items(spark, sf):
@@ -104,7 +125,8 @@ def _decisions(spark):
 
 
 def verify_replay(spark, sf):
-    return e.verify_replay(_plans(spark, sf), _items(spark, sf).drop("reason", "decided"), _header_counts(spark, sf), _decisions(spark))
+    return e.verify_replay(_plans(spark, sf), _items(spark, sf).drop("reason", "decided"), _header_counts(spark, sf),
+                           policy.sealed_decisions(_sealed_policies(spark, sf)))
 
 
 def replay_lines(spark, sf):
@@ -112,14 +134,17 @@ def replay_lines(spark, sf):
     return e.replay(items, _decisions(spark)).where("NOT agrees").select("bundle", "task", "sealed_action", "sealed_rule", "action", "rule")
 
 
-def verify_policy(spark, sf):
+def _sealed_policies(spark, sf):
     # Each bundle seals the table as indented text; one in five seals the other one.
     import json
     one, two = (json.dumps(p, indent=2) for p in (policy.V1, V2))
     n = F.substring("bundle", 2, 9).cast("int")
-    sealed = _plans(spark, sf).select("bundle", F.when(n % 5 == 0, F.when(n % 2 == 0, two).otherwise(one)).otherwise(
+    return _plans(spark, sf).select("bundle", F.when(n % 5 == 0, F.when(n % 2 == 0, two).otherwise(one)).otherwise(
         F.when(n % 2 == 0, one).otherwise(two)).alias("content"))
-    return e.verify_policy(_plans(spark, sf), sealed)
+
+
+def verify_policy(spark, sf):
+    return e.verify_policy(_plans(spark, sf), _sealed_policies(spark, sf))
 
 
 def verify_gate(spark, sf):
@@ -205,7 +230,7 @@ def manifest_table(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    load_bundles, verify_files, verify_log_window, witness, bundle_integrity, verify_replay, replay_lines, verify_policy, verify_gate,
+    load_bundles, verify_files, verify_log_window, witness, bundle_integrity, bundles_rechained, bundles_replayed, verify_replay, replay_lines, verify_policy, verify_gate,
     verify_decision, merge_entries, log_conflicts, log_timeline, verdict_lookup, was_affected, plan_summary, gate_result, bundle_listing,
     incident_summary, unknowns_rollup, manifest_table)}
 
@@ -261,8 +286,6 @@ ORACLES = {
                                 "new_facts", extra=WINDOWS, recursive=True),
     "witness": oracle("SELECT bundle, 'witness' AS check, problem IS NULL AS ok, coalesce(problem, 'live log has it') AS detail FROM witnessed",
                       "new_facts", extra=WINDOWS, recursive=True),
-    "bundle_integrity": oracle("""SELECT bundle, count(*) AS checks, count(problem) AS failed, count(problem) = 0 AS all_passed FROM
-        (SELECT bundle, problem FROM logcheck UNION ALL SELECT bundle, problem FROM witnessed) GROUP BY bundle""", "new_facts", extra=WINDOWS, recursive=True),
     "verify_replay": oracle("SELECT bundle, 'replay' AS check, problem IS NULL AS ok, coalesce(problem, concat(items, ' items same')) AS detail FROM replayed", extra=ITEMS),
     "replay_lines": oracle("SELECT bundle, task, action AS sealed_action, rule AS sealed_rule, action2 AS action, rule2 AS rule FROM items WHERE off", extra=ITEMS),
     "verify_policy": oracle("""SELECT bundle, 'policy' AS check, n % 5 <> 0 AS ok, CASE WHEN n % 5 = 0 THEN 'policy:differs'
@@ -296,3 +319,8 @@ ORACLES = {
           WHEN n > 0 AND n % 3 <> 0 THEN 'window:unnamed' END AS problem
         FROM (SELECT *, doc_id % 40 AS n, concat(CASE WHEN doc_id % 50 = 0 THEN 'a/' ELSE '' END, 'doc-', doc_id) AS name FROM documents)"""),
 }
+
+# Documents in between change nothing; and one row per bundle over all checks.
+ORACLES |= {"bundles_rechained": ORACLES["verify_log_window"], "bundles_replayed": ORACLES["verify_replay"]}
+ORACLES["bundle_integrity"] = "SELECT bundle, count(*) AS checks, count(*) FILTER (NOT ok) AS failed, bool_and(ok) AS all_passed FROM (" + " UNION ALL BY NAME ".join(
+    f"SELECT bundle, ok FROM ({ORACLES[c]})" for c in ("verify_files", "verify_log_window", "witness", "verify_policy", "verify_replay", "verify_gate", "verify_decision")) + ") GROUP BY bundle"

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,16 +136,39 @@ def _row(policy, facts):
     return None, None, reason, dict(sorted(by_action.items()))
 
 
+DECISIONS = ("policy string, policy_hash string, contribution string, storage string, scope string, "
+             "released boolean, mode string, action string, rule string, reason string, possible map<string,string>")
+
+
+def _rows(policy: dict) -> list[tuple]:
+    domain = [VALUES["contribution"]] + [(*VALUES[f], None) for f in VERIFIABLE]
+    return [(policy["version"], fingerprint(policy), *point, *_row(policy, dict(zip(DIMENSIONS, point)))) for point in product(*domain)]
+
+
 def decision_table(spark: SparkSession, *policies: dict) -> DataFrame:
     """(policy, policy_hash, dimensions..., action, rule, reason, possible): 324 rows per policy."""
-    domain = [VALUES["contribution"]] + [(*VALUES[f], None) for f in VERIFIABLE]
-    rows = [
-        (policy["version"], fingerprint(policy), *point, *_row(policy, dict(zip(DIMENSIONS, point))))
-        for policy in map(validate, policies or (V1,)) for point in product(*domain)
-    ]
-    return spark.createDataFrame(
-        rows, "policy string, policy_hash string, contribution string, storage string, scope string, "
-              "released boolean, mode string, action string, rule string, reason string, possible map<string,string>")
+    return spark.createDataFrame([row for policy in map(validate, policies or (V1,)) for row in _rows(policy)], DECISIONS)
+
+
+def sealed_decisions(sealed: DataFrame) -> DataFrame:
+    """
+    The decision table of every distinct policy among sealed texts (content),
+    compiled in tasks, one text at a time. A text that is no valid policy has
+    no rows, so nothing sealed under it is ever confirmed.
+    """
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(),) * 5 + (pa.bool_(),) + (pa.string(),) * 4 + (pa.map_(pa.string(), pa.string()),)
+        names = [part.split()[0] for part in DECISIONS.split(", ")]
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                try:
+                    rows = _rows(validate(json.loads(text)))
+                except (TypeError, ValueError):
+                    continue
+                columns = [[list(x.items()) if isinstance(x, dict) else x for x in column] for column in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return sealed.select("content").distinct().mapInArrow(compiled, DECISIONS).dropDuplicates(["policy_hash", *DIMENSIONS])
 
 
 def decide(facts: DataFrame, decisions: DataFrame, by: str | None = None) -> DataFrame:
