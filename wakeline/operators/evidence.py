@@ -188,13 +188,20 @@ def witness(anchors: DataFrame, live: DataFrame) -> DataFrame:
 
 @F.pandas_udf(StringType())
 def canonical_text(document: pd.Series) -> pd.Series:
-    """One small JSON document in canonical form."""
-    return document.map(lambda d: json.dumps(json.loads(d), sort_keys=True, separators=(",", ":"), ensure_ascii=True))
+    """One small JSON document in canonical form; NULL for what is none."""
+    def one(text):
+        try:
+            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return document.map(one)
 
 
 def verify_policy(plans: DataFrame, policies: DataFrame) -> DataFrame:
-    """The table a plan cites by hash is the one sealed beside it; `policies` is (bundle, content)."""
-    actual = policies.select("bundle", F.sha2(canonical_text("content"), 256).alias("actual"))
+    """The table a plan cites by hash is the one sealed beside it; `policies` is (bundle, content). Each distinct text is read once."""
+    texts = policies.select("content").distinct().select(F.sha2("content", 256).alias("text"), F.sha2(canonical_text("content"), 256).alias("actual"))
+    actual = policies.select("bundle", F.sha2("content", 256).alias("text")).join(texts, "text").drop("text")
     rows = plans.select("bundle", "policy_hash").join(actual, "bundle", "left")
     problem = F.when(~F.coalesce(F.col("policy_hash") == F.col("actual"), F.lit(False)), "policy:differs")
     return _check(rows, "policy", problem, F.lit("policy:same"))
