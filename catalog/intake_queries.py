@@ -6,7 +6,7 @@ from catalog.tables import oracle, run_sql, staged, table
 from wakeline.operators import intake as t
 from wakeline.operators import quality, triggers
 
-# What people wrote, with something of the run named in three of four.
+# What people wrote (a conversation's other turns are answers, not incidents), with something of the run named in three of four.
 INCIDENTS = """SELECT concat(conv_id, '-', turn) AS incident, 'r0' AS run_id, conv_id AS c, concat(text, CASE conv_id % 4
   WHEN 0 THEN concat(' We saw it in part-', conv_id * 4 % 200, '.dat, again.') WHEN 1 THEN concat(' Withdraw NATION_', conv_id % 25, ' now') WHEN 2 THEN ' The building-kit and AUTOMOBILE' ELSE '' END) AS text
 FROM {conversations} WHERE role = 'user'"""

@@ -72,6 +72,15 @@ def refused_graphs(spark, sf):
     return _both(graphs.read_graphs(_spoiled(spark, sf, "concat('g', k)", """'{"tasks":{"a":{"name":"x"}}}'""")))
 
 
+def graphs_from_files(spark, sf):
+    """One graph document per nation, written as files and read from their folder; some are torn."""
+    root = scratch_path(spark, "graph-files")
+    text = F.expr("""CASE WHEN k % 7 = 3 THEN '{"tasks":' ELSE concat('{"tasks":{"', n_name, '":{"name":"', n_name, '"}}}') END""")
+    run_sql(spark, sf, "SELECT n_nationkey AS k, n_name FROM {nation}").select("k", text.alias("value")).repartition(1).write.partitionBy("k").text(root)
+    documents = common.read_tree(spark, root, "part-*").select(F.concat(F.lit("g"), F.regexp_extract("path", r"k=(\d+)", 1)).alias("run_id"), "value")
+    return _both(graphs.read_graphs(documents))
+
+
 def refused_crates(spark, sf):
     doc = """concat('{"@graph":[{"@id":"#task/', fid, '","@type":"CreateAction","name":"S"}]}')"""
     return _both(crates.ingest_rocrate(_spoiled(spark, sf, "concat('g', k)", doc)))
@@ -403,7 +412,7 @@ def write_plan(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    refused_graphs, refused_crates, refused_rules, refused_calls, refused_records, refused_job_describes, refused_execution_graph,
+    refused_graphs, graphs_from_files, refused_crates, refused_rules, refused_calls, refused_records, refused_job_describes, refused_execution_graph,
     refused_assertions, hash_files, read_graphs_tasks, read_graphs_edges, read_graphs_outputs, read_assertions, parse_history, ingest_lineage_store_tasks,
     ingest_lineage_store_edges, ingest_lineage_store_outputs, ingest_lineage_store_published, mark_superseded, trusted_digest, ingest_weblog,
     edges_from_link_inventory, missing_directories, ingest_rocrate_tasks, ingest_rocrate_edges, ingest_rule_metadata_tasks,
@@ -448,6 +457,8 @@ def _refusals(run, good, bad, extra="FALSE"):
 
 ORACLES = {
     "refused_graphs": _refusals("concat('g', k)", "'a'", "concat('g', k)"),
+    "graphs_from_files": """SELECT concat('g', n_nationkey) AS run_id, CASE WHEN n_nationkey % 7 = 3 THEN concat('g', n_nationkey) ELSE n_name END AS what,
+        CASE WHEN n_nationkey % 7 = 3 THEN 'not a JSON object' ELSE 'task' END AS said FROM nation""",
     "refused_crates": _refusals("concat('g', k)", "concat(substring(fid, 1, 2), '/', substring(fid, 3))", "concat('g', k)"),
     "refused_rules": _refusals("'r0'", "concat('r/o', k)", "concat('o', k)", "k % 41 = 0"),
     "refused_calls": _refusals("concat('g', k)", "'wf.a'", "concat('g', k)"),
