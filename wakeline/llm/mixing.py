@@ -137,8 +137,10 @@ class Mix:
     def slots(self) -> DataFrame:
         """(shard, position, source_no, slot, block): what stands at every output position."""
         chunk = 1 << 14
+        total = self.sources.agg(F.sum("slots")).first()[0] or 0
         parts = self.sources.where("slots > 0").select("source_no", "blocks", "slots", "first", "positions", F.explode(F.sequence(
-            F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.lit(chunk)))).alias("chunk")).repartition("source_no", "chunk")
+            F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.lit(chunk)))).alias("chunk")).repartition(
+                max(1, -(-total // (4 * chunk))), "source_no", "chunk")
         rows = parts.select("source_no", "blocks", "first", "positions", F.explode(F.sequence(
             F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("slots")) - 1)).alias("slot"))
         rows = rows.withColumn("place", F.col("first") + F.col("slot"))
