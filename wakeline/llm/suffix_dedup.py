@@ -187,7 +187,7 @@ def _bucketed(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder by its k1 and k2, as many files as there are shuffle partitions."""
     spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, "k1", "k2").option("path", scratch_path(spark, name)).saveAsTable(name)
+    df.write.bucketBy(n, "k1", "k2").option("compression", "zstd").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -207,7 +207,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> tuple[
                     [pa.array(hashed.view(np.int64)), pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array(place.astype(np.int32))], ["bucket", "k1", "k2", "place"])
 
     first, _ = cut(_known(docs, text).mapInArrow(of, "bucket long, k1 long, k2 long, place int"), "suffix-anchors")
-    shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # Written, so that the join has plain shuffles on both sides and a bucket that many texts share is split.
+    shared, _ = cut(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "suffix-shared")
     lists = first.join(shared, "bucket").groupBy("k1", "k2").agg(F.collect_set(F.col("place") - F.lit(width - 1)).alias("starts"))
     texts = _known(docs, text).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
     texts = _bucketed(texts.join(lists, ["k1", "k2"]))
