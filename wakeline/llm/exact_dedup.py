@@ -60,8 +60,12 @@ def members(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts:
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, one per distinct text, with all their columns: the largest id; of equal ids any one row, the same in every run."""
-    order = F.struct(F.col(id_col).alias("a"), F.to_json(F.struct("*")).alias("b"))
-    best = _combine(docs, text, {"row": F.struct("*"), "rank": order},
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    # The text travels once, as the key; beside it only the other columns and whether it was null.
+    row = F.struct(F.struct(*others).alias("others"), F.col(text).isNull().alias("blank"))
+    rank = F.struct(F.col(id_col).alias("a"), F.to_json(F.struct(*others)).alias("b"), F.col(text).isNotNull().alias("c"))
+    best = _combine(docs, text, {"row": row, "rank": rank},
                     {"best": F.max_by("row", "rank"), "top": F.max("rank")},
                     {"best": F.max_by("best", "top")}, salts)
-    return best.select("best.*")
+    return best.select(*(
+        F.when(~F.col("best.blank"), F.col("body")).alias(c) if c == text else F.col(f"best.others.`{c}`").alias(c) for c in docs.columns))
