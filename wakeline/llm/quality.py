@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import cut, flat, rows_by, text_of
 
 #: Bytes of text that are worked on at once, and that a pack holds.
-PACK = 4 << 20
+PACK = 2 << 20
 #: Bytes of text in a block, at least.
-BLOCK = 64 << 20
+BLOCK = 16 << 20
 TEXT_PER_MODEL = 8
 FEW_BYTES = 64 << 20
 #: Rows of the model in one part.
