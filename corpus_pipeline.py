@@ -47,8 +47,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
-    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source")))
-    return back.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source"), exact="exact")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), "exact")
 
 
 STAGES = [

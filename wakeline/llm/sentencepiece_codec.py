@@ -36,7 +36,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .common import cut
 
@@ -273,9 +273,13 @@ def _giant_ids(giants: DataFrame, model: str, chunk: int) -> DataFrame:
     return parts.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda s: s["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text: str = "text", out: str = "ids") -> DataFrame:
-    """The rows of `docs` with their whole text's ids in `out`, and in `out`_chunks how many chunks it was."""
-    columns = [c for c in docs.columns if c not in (out, f"{out}_chunks")]
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text: str = "text", out: str = "ids", exact: str | None = None) -> DataFrame:
+    """
+    The rows of `docs` with their whole text's ids in `out`, and in `out`_chunks
+    how many chunks it was. `exact` names a column for whether the ids decode
+    to the text again, decoded while they are at hand.
+    """
+    columns = [c for c in docs.columns if c not in (out, f"{out}_chunks", exact)]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text).cast("string").alias("body")).withColumn(
         "giant", F.coalesce(F.length("body") > chunk, F.lit(False)))
 
@@ -286,17 +290,24 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text: str =
                 part = batch.slice(at, 512)
                 bodies = part.column("body").to_pylist()
                 ids = sp.encode([b or "" for b in bodies], num_threads=1)
+                back = sp.decode(ids, num_threads=1) if exact else bodies
+                same = pa.array([b is None or b == t for b, t in zip(bodies, back)], pa.bool_())
                 ids = pa.array([None if b is None else i for b, i in zip(bodies, ids)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), ids, pa.array([1] * len(part), pa.int32())], ["row", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), ids, pa.array([1] * len(part), pa.int32()), same], ["row", "ids", "n", "same"])
 
-    schema = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("n", IntegerType())])
+    schema = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("n", IntegerType()), StructField("same", BooleanType())])
     small = rows.where("NOT giant").select("row", "body").mapInArrow(short, schema)
     large = rows.where("giant").withColumn("key", F.sha2("body", 256))
     found = _giant_ids(large.select("key", "body").dropDuplicates(["key"]), model, chunk)
     sized = large.select("row", "key", F.ceil((F.length("body") + 1) / F.lit(chunk)).cast("int").alias("n"))
     giants = sized.join(found, "key").select("row", "ids", "n")
+    if exact:
+        giants = decode(giants, model).withColumn("same", F.col("decoded").eqNullSafe(F.col(f"row.`{text}`").cast("string"))).drop("decoded")
+    else:
+        giants = giants.withColumn("same", F.lit(True))
     both = small.unionByName(giants)
-    return both.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), F.col("ids").alias(out), F.col("n").alias(f"{out}_chunks"))
+    return both.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), F.col("ids").alias(out), F.col("n").alias(f"{out}_chunks"),
+                       *([F.col("same").alias(exact)] if exact else []))
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
