@@ -31,6 +31,7 @@ may have any name. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,9 +81,8 @@ def pages_of(ids: np.ndarray, vectors: np.ndarray, page: int = PAGE) -> Iterator
         # a pivot with many near vectors, perhaps all equal, takes several pages
         for at in range(0, len(own), page):
             rows, away = own[by[at:at + page]], to_center[by[at:at + page]]
-            lengths = np.sqrt(squares[rows])
             yield {"root": root, "center": center, "parent": float(np.sqrt(((center - root) ** 2).sum())), "radius": float(away.max()),
-                   "longest": float(lengths.max()), "ids": ids[rows], "flat": vectors[rows].ravel(), "away": away, "lengths": lengths}
+                   "longest": float(np.sqrt(squares[rows].max())), "ids": ids[rows], "flat": vectors[rows].ravel(), "away": away}
 
 
 def _pivots(real: np.ndarray, n: int) -> np.ndarray:
@@ -102,21 +102,26 @@ def _most(size: float, longest, least):
 class Tree:
     """The pages of one tree, ready for best-first search."""
 
-    def __init__(self, pages: list[dict]):
-        self.pages = [(p["ids"], p["flat"].reshape(len(p["ids"]), -1), p["away"], p["lengths"]) for p in pages]
+    def __init__(self, pages: list[dict], exact: bool = True):
+        self.source = pages
+        # Where products of doubles are whole numbers without rounding, they are the scores.
+        largest = max(float(p["longest"]) for p in pages)
+        self.exact = exact and largest ** 2 < 2 ** 50
+        kind = np.float64 if self.exact else np.int64
+        self.pages = [(p["ids"], p["flat"].reshape(len(p["ids"]), -1).astype(kind), p["away"]) for p in pages]
         self.root = pages[0]["root"]
         self.centers = np.stack([p["center"] for p in pages])
         self.parents, self.radii, self.longest = (np.array([p[n] for p in pages]) for n in ("parent", "radius", "longest"))
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, id) of other ids, and how many vectors were computed."""
-        width = max(self.centers.shape[1], len(query))
-        if self.centers.shape[1] < width:
-            query = query[:self.centers.shape[1]]  # what lies beyond meets zeros only
+        query = query[:self.centers.shape[1]]  # what lies beyond meets zeros only
         query = np.pad(query, (0, self.centers.shape[1] - len(query)))
         q = query.astype(np.float64)
         size = float((q ** 2).sum())
-        to_root = np.sqrt(((q - self.root) ** 2).sum())
+        if self.exact and size >= 2 ** 50:
+            return Tree(self.source, exact=False).search(own, query, k)
+        to_root = math.sqrt(((q - self.root) ** 2).sum())
         bound = _most(size, self.longest, np.maximum(np.abs(to_root - self.parents) - self.radii, 0))
         to_center = np.full(len(bound), np.nan)
         best: list[tuple[int, int]] = []
@@ -125,35 +130,39 @@ class Tree:
             page = waiting[0]
             if low is not None and bound[page] < low:
                 break
-            if np.isnan(to_center[page]):
-                some = waiting[np.isnan(to_center[waiting])][:16]
-                to_center[some] = np.sqrt(((self.centers[some] - q) ** 2).sum(axis=1))
+            if to_center[page] != to_center[page]:
+                some = waiting[np.isnan(to_center[waiting])][:16 if low is None else 64]
+                away = self.centers[some] - q
+                to_center[some] = np.sqrt(np.einsum("ij,ij->i", away, away))
                 bound[some] = np.minimum(bound[some], _most(size, self.longest[some], np.maximum(to_center[some] - self.radii[some], 0)))
                 waiting = waiting[np.argsort(-bound[waiting], kind="stable")]
                 continue
             waiting = waiting[1:]
-            ids, vectors, away, lengths = self.pages[page]
-            may = ids != own
+            ids, vectors, away = self.pages[page]
+            start, stop = 0, len(ids)
             if low is not None:
-                may &= _most(size, lengths, np.abs(to_center[page] - away)) >= low
-            rows = np.flatnonzero(may)
-            computed += len(rows)
-            scores = vectors[rows] @ query
-            if low is not None:
-                rows, scores = rows[scores >= low], scores[scores >= low]
-            elif len(rows) > k:
-                few = np.lexsort((ids[rows], -scores))[:k]
-                rows, scores = rows[few], scores[few]
-            best = sorted([*best, *zip(scores.tolist(), ids[rows].tolist())], key=lambda x: (-x[0], x[1]))[:k]
-            low = best[-1][0] if len(best) == k else None
+                # entries lie by their distance to the page's vector: those that may reach `low` are a run of them
+                most = size + self.longest[page] ** 2
+                reach = math.sqrt(max(0.0, most - 2 * (low - SLACK * most - 1)))
+                start, stop = away.searchsorted(to_center[page] - reach), away.searchsorted(to_center[page] + reach, "right")
+            computed += int(stop - start)
+            scores = vectors[start:stop] @ (q if self.exact else query)
+            ids = ids[start:stop]
+            rows = np.flatnonzero((scores >= low) & (ids != own)) if low is not None else np.flatnonzero(ids != own)
+            if low is None:
+                rows = rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
+            if len(rows):
+                found = [(int(s), i) for s, i in zip(scores[rows].tolist(), ids[rows].tolist())]
+                best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
+                low = best[-1][0] if len(best) == k else None
         return best, computed
 
 
 _PAGE = ("tree int, kind int, part int, root array<double>, center array<double>, parent double, radius double, longest double, "
-         "ids array<long>, flat array<long>, away array<double>, lengths array<double>")
+         "ids array<long>, flat array<long>, away array<double>")
 _FIELDS = [("tree", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("root", pa.list_(pa.float64())), ("center", pa.list_(pa.float64())),
            ("parent", pa.float64()), ("radius", pa.float64()), ("longest", pa.float64()), ("ids", pa.list_(pa.int64())), ("flat", pa.list_(pa.int64())),
-           ("away", pa.list_(pa.float64())), ("lengths", pa.list_(pa.float64()))]
+           ("away", pa.list_(pa.float64()))]
 
 
 def build(vectors: DataFrame, tree: int = TREE, page: int = PAGE) -> tuple[DataFrame, int]:
@@ -192,7 +201,7 @@ def search(pages: DataFrame, trees: int, asked: DataFrame, k: int = 5, queries:
                 if (here := row["tree"].as_py()) != number:
                     number, rows, index = here, [], None
                 if row["kind"].as_py() == 0:
-                    rows.append({n: row[n].values.to_numpy(zero_copy_only=False) for n in ("root", "center", "ids", "flat", "away", "lengths")} | {
+                    rows.append({n: row[n].values.to_numpy(zero_copy_only=False) for n in ("root", "center", "ids", "flat", "away")} | {
                         n: row[n].as_py() for n in ("parent", "radius", "longest")})
                     continue
                 if not rows:
