@@ -152,6 +152,57 @@ def test_blocks_in_parts_lose_nothing(spark, monkeypatch):
     assert {r.component for r in simhash.near_groups(docs).collect()} == {0}
 
 
+def brute_near(rows, similarity=0.8):
+    """The smallest id that links by whole sets of five words reach."""
+    sets = {i: {tuple(w[a:a + 5]) for a in range(max(1, len(w) - 4))} for i, w in ((i, text.split()) for i, text in rows)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("likeness,linked", [(0.78, False), (0.80, True), (0.82, True)])
+def test_near_pairs_are_decided_by_whole_sets(spark, likeness, linked):
+    """Pairs of 450 shingles, 900 * likeness / (1 + likeness) of them shared, rounded to the side of 0.8 that is asked for."""
+    rows = []
+    for i in range(60):
+        text = [f"w{i}x{j}" for j in range(454)]
+        same = round(900 * likeness / (1 + likeness)) + 4
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:same] + [f"v{i}x{j}" for j in range(454 - same)]))]
+    want = brute_near(rows)
+    assert all((want[2 * i + 1] == 2 * i) == linked for i in range(60))
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component for r in got} == want
+
+
+def test_candidates_that_fail_hide_no_link(spark, monkeypatch):
+    """Near copies around the bound in one block, whose first links fail while others hold; blocks in parts too."""
+    import random
+    monkeypatch.setattr(simhash, "WHOLE", 5)
+    rng = random.Random(6)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{j}" for j in range(300)]
+        for i in range(12):
+            text = list(base)
+            for j in rng.sample(range(300), rng.randint(3, 9)):
+                text[j] = f"g{g}c{i}x{j}"
+            rows.append((len(rows), " ".join(text)))
+    want = brute_near(rows)
+    assert len(set(want.values())) > 12
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component for r in got} == want
+
+
 def brute_suffix(texts, length):
     seen = Counter(t[p:p + length] for t in texts for p in range(len(t) - length + 1))
     out = []

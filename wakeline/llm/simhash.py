@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -204,43 +204,109 @@ def groups(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42, i
 
 
 #: Minima of a sketch, of which each band takes a few in full; the others count by their lowest byte.
-MINIMA, BANDS, IN_BAND = 256, 16, 4
-#: Bits that two texts of the least similarity may differ in: nine in a thousand such pairs differ in more.
-SPREAD = 17
-#: Members of a block that are compared at once.
-MEMBERS = 2048
+MINIMA, BANDS, IN_BAND = 256, 24, 4
+#: Candidates: bits that a pair may differ in, and the share of equal minima that it has at least. Two texts of a similarity of 0.8 differ
+#: in 10 bits (deviation 3) and agree in 0.8 of the minima (deviation 0.025), so both leave out no more than a few in a million.
+SPREAD, LEAST = 26, 0.6
+#: What the orders multiply by: odd, and without a rule between them, which would let orders agree or differ together.
+TURNS = np.array([xxhash.xxh64_intdigest(i.to_bytes(2, "little")) | 1 for i in range(MINIMA)], np.uint64)
+#: Members of a block that are compared at once, by sketches and by whole sets.
+MEMBERS, WHOLE = 2048, 256
+#: Bytes of digests that are broadcast.
+FEW_BYTES = 64 << 20
+
+
+def shingles(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of a text's distinct shingles, sorted."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    some = map(b" ".join, zip(*(words[j:] for j in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.sort(np.fromiter(set(map(partial(xxhash.xxh64_intdigest, seed=seed), some)), dtype="<u8"))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity; two empty ones are equal."""
+    least, most = sorted((len(a), len(b)))
+    if not most:
+        return True
+    if least / most < similarity:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (least + most - both) >= similarity
 
 
 def sketch(text: bytes, shingle: int, seed: int = 42) -> tuple[int, np.ndarray]:
     """The fingerprint over a text's distinct shingles, and the minima of as many orders of them."""
-    words = text.translate(LOWER).split()
-    if not words:
+    hashes = shingles(text, shingle, seed)
+    if not len(hashes):
         return 0, np.zeros(MINIMA, np.uint64)
-    digest = partial(xxhash.xxh64_intdigest, seed=seed)
-    some = map(b" ".join, zip(*(words[j:] for j in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(set(map(digest, some)), dtype="<u8")
     ones = np.zeros(64, np.int64)
     least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    turns = (2 * np.arange(MINIMA, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), 1 << 12):
         here = hashes[at:at + (1 << 12)]
         ones += np.unpackbits(here.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        least = np.minimum(least, ((here ^ (here >> np.uint64(29)))[:, None] * turns).min(axis=0))
+        least = np.minimum(least, ((here ^ (here >> np.uint64(29)))[:, None] * TURNS).min(axis=0))
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]), least
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int, text: str) -> DataFrame:
+    """(digest, shingles): the whole sorted sets of the texts whose digest is in `wanted`."""
+    wanted, n = cut(wanted, "near-wanted")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x.as_buffer().to_pybytes(), shingle, seed).tobytes() for x in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.binary())], ["digest", "shingles"])
+
+    rows = docs.select(F.xxhash64(text_of(text)).alias("digest"), text_of(text).alias("body"))
+    rows = rows.join(F.broadcast(wanted) if 16 * n <= FEW_BYTES else wanted, "digest", "left_semi")
+    return cut(rows.mapInArrow(of, "digest long, shingles binary").dropDuplicates(["digest"]), "near-sets")[0]
+
+
+def _dealt(blocks: DataFrame, by: list[str], members: int) -> DataFrame:
+    """`blocks` (digest, n and the columns `by`) with parts a and b: every two members of a block of n meet in one pair of parts."""
+    parts = F.ceil(F.col("n") / F.lit(members)).cast("long")
+    return blocks.withColumn("own", F.pmod("digest", parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(
+        "digest", *by, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+
+def _linked(stream: DataFrame, by: list[str], similarity: float | None) -> DataFrame:
+    """(u, v): links that join the members of each block; by sketches alone, or with `similarity` those of other roots by their whole sets."""
+    values = ["digest", "fp", "lows"] if similarity is None else ["digest", "fp", "lows", "root", "shingles"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, members = None, []
+        for batch in batches:
+            names = zip(*(batch.column(x).to_pylist() for x in by))
+            for name, member in zip(names, zip(*(batch.column(x).to_pylist() for x in values))):
+                if name != block:
+                    yield _near(members, similarity)
+                    block, members = name, []
+                members.append(member)
+        yield _near(members, similarity)
+
+    return stream.repartition(*by).sortWithinPartitions(*by, "digest").select(*by, *values).mapInArrow(compare, "u long, v long")
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """
-    (id, fp, digest, component) where texts whose sets of shingles have a
+    (id, fp, digest, component, root) where texts whose sets of shingles have a
     Jaccard similarity of `similarity` or more are linked.
 
-    So many bits differ at such a similarity that bands of the fingerprint
-    find no candidates. Blocks are therefore equal bands of minima; inside a
-    block the bit-sliced comparison leaves the pairs within `SPREAD` bits, and
-    of those the share of equal minima decides. At a similarity of 0.8 a pair
-    misses all blocks once in 5,000 times, and the share is off by 0.025 or
-    less in two of three cases. A block of more than `MEMBERS` is compared by
-    pairs of parts, each pair a task of its own.
+    Sketches only find candidates, the whole sets decide. So many bits differ
+    at such a similarity that bands of the fingerprint find no candidates;
+    blocks are therefore equal bands of minima, and inside a block the
+    bit-sliced comparison and the share of equal minima leave candidates with
+    room on both (`SPREAD`, `LEAST`). At a similarity of 0.8 a pair misses all
+    blocks three times in a million.
+
+    Of the candidates first the links that would join them are decided by the
+    whole sets. Where that leaves a block's candidates in more than one group,
+    every pair of candidates of different groups in it is decided too, in the
+    block, which hands on no more links than it has members. A block of more
+    than `MEMBERS` (`WHOLE` with sets) is compared by pairs of parts, each pair
+    a task of its own. Sets are made again of the candidates' texts only.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +321,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
                 batch.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column("digest"), pa.array(lows, pa.binary()),
                 pa.array([np.array(k, np.uint64).view(np.int64).tolist() for k in keys], pa.list_(pa.int64()))], ["id", "fp", "digest", "lows", "keys"])
 
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(c)] for c in ("one", "two"))
+            hit = pa.array([alike(a, b, similarity) for a, b in zip(*sets)], pa.bool_())
+            yield batch.select(["u", "v"]).filter(hit)
+
     rows = docs.select(F.col(id_col).alias("id"), text_of(text).alias("body"), F.xxhash64(text_of(text)).alias("digest"))
     kind = rows.schema["id"].dataType.simpleString()
     prints, _ = cut(rows.mapInArrow(of, f"id {kind}, fp long, digest long, lows binary, keys array<long>"), "near-prints")
@@ -262,34 +334,35 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     shared = keyed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found, _ = cut(keyed.join(shared, ["c", "key"]), "near-blocks")
     once = prints.join(found.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("fp").alias("fp"), F.first("lows").alias("lows"))
-    parts = F.ceil(F.col("n") / F.lit(MEMBERS)).cast("long")
-    dealt = found.withColumn("own", F.pmod("digest", parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select(
-        "digest", "c", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    by = ["c", "key", "a", "b"]
+    drawn, _ = cut(_linked(_dealt(found, ["c", "key"], MEMBERS).join(once, "digest"), by, None).distinct(), "near-drawn")
+    sets = _sets(docs, drawn.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), shingle, seed, text)
+    both = drawn.join(sets.select(F.col("digest").alias("u"), F.col("shingles").alias("one")), "u").join(
+        sets.select(F.col("digest").alias("v"), F.col("shingles").alias("two")), "v")
+    edges, _ = cut(both.select("u", "v", "one", "two").mapInArrow(decide, "u long, v long"), "near-edges")
+
+    may = components(drawn, "near-may").select(F.col("node").alias("digest"), F.col("root").alias("may"))
+    so_far = components(edges, "near-so-far").select(F.col("node").alias("digest"), "root")
+    state, _ = cut(may.join(so_far, "digest", "left").select("digest", "may", F.coalesce("root", "digest").alias("root")), "near-state")
+    split = state.groupBy("may").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("may")
+    state = state.join(split, "may", "left_semi")
+    apart = found.select("digest", "c", "key").join(state, "digest")
+    mixed = apart.groupBy("c", "key", "may").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = apart.select("digest", "c", "key", "may").join(mixed.select("c", "key", "may", "n"), ["c", "key", "may"])
+    stream = _dealt(blocks, ["c", "key", "may"], WHOLE).join(once, "digest").join(state.select("digest", "root"), "digest").join(sets, "digest")
+    edges = edges.unionByName(_linked(stream, ["c", "key", "may", "a", "b"], similarity))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members = None, []
-        for batch in batches:
-            names = list(zip(*(batch.column(x).to_pylist() for x in ("c", "key", "a", "b"))))
-            for name, digest, fp, lows in zip(names, batch.column("digest").to_pylist(), batch.column("fp").to_pylist(), batch.column("lows").to_pylist()):
-                if name != block:
-                    yield _near(members, similarity)
-                    block, members = name, []
-                members.append((digest, fp & (1 << 64) - 1, lows))
-        yield _near(members, similarity)
-
-    stream = dealt.join(once, "digest").repartition("c", "key", "a", "b").sortWithinPartitions("c", "key", "a", "b", "digest")
-    edges = stream.select("c", "key", "a", "b", "digest", "fp", "lows").mapInArrow(compare, "u long, v long")
     roots = components(edges, "near-links").withColumnRenamed("node", "digest")
     classes = prints.groupBy("digest").agg(F.min("id").alias("least"))
     named = classes.join(roots, "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     named, _ = cut(named, "near-roots")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named, _ = cut(named.join(least, "root").select("digest", "component"), "near-named")
-    return prints.select("id", "fp", "digest").join(named, "digest").select("id", "fp", "digest", "component")
+    named, _ = cut(named.join(least, "root").select("digest", "component", "root"), "near-named")
+    return prints.select("id", "fp", "digest").join(named, "digest").select("id", "fp", "digest", "component", "root")
 
 
-def _near(members: list[tuple[int, int, bytes]], similarity: float) -> pa.RecordBatch:
-    """Links that join the members of a block whose sketches agree."""
+def _near(members: list[tuple], similarity: float | None) -> pa.RecordBatch:
+    """Links that join the candidates of a block (digest, fp, lows), or with a similarity those (with root, shingles) whose sets have it."""
     u, v = [], []
     if len(members) > 1:
         lows = np.stack([np.frombuffer(m[2], np.uint8) for m in members])
@@ -301,14 +374,20 @@ def _near(members: list[tuple[int, int, bytes]], similarity: float) -> pa.Record
                 x = root[x]
             return x
 
-        for i, j in within([m[1] for m in members], SPREAD):
-            a, b = find(i), find(j)
-            if a != b:
-                agree = float((lows[i] == lows[j]).mean())
-                if (agree - 1 / 256) / (1 - 1 / 256) >= similarity:
-                    root[max(a, b)] = min(a, b)
-                    u.append(members[i][0])
-                    v.append(members[j][0])
+        if similarity is not None:
+            sets, first = [np.frombuffer(m[4], "<u8") for m in members], {}
+            for i, m in enumerate(members):
+                root[i] = first.setdefault(m[3], i)
+        for i, pairs in groupby(within([m[1] & (1 << 64) - 1 for m in members], SPREAD), lambda pair: pair[0]):
+            others = [j for _, j in pairs if find(i) != find(j)]
+            if others:
+                agree = ((lows[others] == lows[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                for j in np.array(others)[agree >= LEAST].tolist():
+                    a, b = find(i), find(j)
+                    if a != b and (similarity is None or alike(sets[i], sets[j], similarity)):
+                        root[max(a, b)] = min(a, b)
+                        u.append(members[i][0])
+                        v.append(members[j][0])
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
