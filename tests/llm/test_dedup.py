@@ -144,6 +144,21 @@ def test_near_survivors_of_odd_rows(spark):
     assert 1 in ids and None not in ids and 15 in ids
 
 
+def test_near_survivors_are_one_of_each_group(spark):
+    """Other texts without an id, or with an id that stands already, are documents of their own."""
+    rows = [(r[0], r[1]) for r in odd_rows()] + [(None, words(300, 80)), (None, words(301, 80)), (None, words(301, 80)), (16, words(302, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = brute_near(list(enumerate(t or "" for _, t in rows)))
+    best = {}
+    for k, (i, text) in enumerate(rows):
+        named = (i is None, i or 0, xxhash.xxh64_intdigest(text or "", 42) ^ 1 << 63)  # signed, as Spark has it
+        best[near[k]] = min(best.get(near[k], named), named)
+    want = Counter(r for k, r in enumerate(rows) if best[near[k]] == (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest(r[1] or "", 42) ^ 1 << 63))
+    got = Counter((r.doc_id, r.text) for r in simhash.survivors(docs).collect())
+    assert got == want
+    assert got[None, words(300, 80)] == 1 and got[None, words(301, 80)] == 2 and sum(i == 16 for i, _ in got.elements()) == 3
+
+
 def test_blocks_in_parts_lose_nothing(spark, monkeypatch):
     text = words(77, 300).split()
     rows = [(i, " ".join([*text[:i], f"w{i}", *text[i + 1:]])) for i in range(40)]
@@ -154,7 +169,8 @@ def test_blocks_in_parts_lose_nothing(spark, monkeypatch):
 
 def brute_near(rows, similarity=0.8):
     """The smallest id that links by whole sets of five words reach."""
-    sets = {i: {tuple(w[a:a + 5]) for a in range(max(1, len(w) - 4))} for i, w in ((i, text.split()) for i, text in rows)}
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    sets = {i: {tuple(w[a:a + 5]) for a in range(max(1, len(w) - 4))} for i, w in ((i, text.encode().translate(lower).split()) for i, text in rows)}
     root = {i: i for i in sets}
 
     def find(x):

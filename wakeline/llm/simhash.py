@@ -394,9 +394,10 @@ def _near(members: list[tuple], similarity: float | None) -> pa.RecordBatch:
 def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """
     The rows of `docs` that stay: of each near group the row with the smallest
-    id; rows that repeat id and text count as one document and all stay, rows
-    without an id in a group that has none too.
+    id, in a group without ids the text with the smallest digest; of texts that
+    repeat that id in one group the one with the smallest digest. Rows that
+    repeat id and text count as one document and all stay.
     """
     groups_ = near_groups(docs, shingle, similarity, seed, id_col, text)
-    keep = groups_.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id").agg(F.min("digest").alias("digest"))
-    return rows_by(docs, keep, "left_semi", id_col, text)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
+    return rows_by(docs, groups_.groupBy("root").agg(first).select("first.*"), "left_semi", id_col, text)
