@@ -135,6 +135,29 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got.values())
 
 
+def test_limits_are_of_all_trusted_texts(spark):
+    """Each trusted text scored without its own fold, a document by all of them; a small language is not held to its few texts alone."""
+    texts = {i: words(i, 12) for i in range(30)} | {100 + i: words(i, 12, "de") for i in range(3)}
+    langs = {i: "de" if i >= 100 else "en" for i in texts}
+    docs = spark.createDataFrame([(i, t, langs[i]) for i, t in texts.items()] + [(200, words(200, 12), "en")], "doc_id long, text string, lang string")
+    got = {r.id: r for r in quality.classify(docs, spark.createDataFrame([(i,) for i in texts], "doc_id long"), quantile=0.9).collect()}
+    digests = {r.doc_id: r.d for r in docs.select("doc_id", F.xxhash64("text").alias("d")).collect()}
+    fold = {i: digests[i] % quality.FOLDS for i in texts}
+    models = {k: Brute([t.encode() for i, t in texts.items() if fold[i] != k], 4) for k in set(fold.values())}
+    said = {i: -models[fold[i]].log(t.encode()) / len(t.encode()) for i, t in texts.items()}
+
+    def limit(ids):
+        found = sorted(said[i] for i in ids)
+        return found[math.ceil(0.9 * len(found)) - 1]
+
+    en, de = limit(i for i in texts if i < 100), max(limit(i for i in texts if i >= 100), limit(texts))
+    assert abs(math.log(got[200].threshold) - en) < 2e-3 and abs(math.log(got[100].threshold) - de) < 2e-3
+    whole = Brute([t.encode() for t in texts.values()], 4)
+    for i in (0, 101, 200):
+        text = (texts.get(i) or words(200, 12)).encode()
+        assert abs(math.log(got[i].perplexity) + whole.log(text) / len(text)) < 1e-3
+
+
 def test_quality_without_trust(spark):
     docs = odd_docs(spark)
     nobody = spark.createDataFrame([], "doc_id long")

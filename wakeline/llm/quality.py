@@ -1,10 +1,13 @@
 """
 Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams,
 trained on all trusted texts, whose perplexity rejects documents above a
-quantile of the trusted documents of their language.
+quantile of the trusted documents of their language. A text that a model has
+seen says nothing of unseen ones, so the quantiles are taken over the scores
+that all trusted texts get by models without their own of `FOLDS` folds; equal
+texts are in one fold.
 
 Counting: every task counts the n-grams of its trusted texts and hands on one
-row per n-gram. Lower orders are continuation counts of the next higher one.
+row per n-gram and fold; a model without a fold has the counts of all less the fold's. Lower orders are continuation counts of the next higher one.
 Discounts, back-off weights and probabilities come from joins of these count
 tables on contexts and suffixes, sharded by key.
 
@@ -20,8 +23,9 @@ and ids are shuffled together.
 
 Defined cases: a null or empty text has no perplexity and is rejected. A null
 language is a language of its own. A language without trusted documents takes
-the quantile of all trusted documents; without any, nothing is rejected but
-empty texts. Rows that repeat an id are scored each. Ids without a document,
+the quantile of all trusted documents; one with fewer than 1 / (1 - quantile)
+of them, whose quantile is but their largest, takes the larger of the two.
+Without any, or where all are one text, nothing is rejected but empty texts. Rows that repeat an id are scored each. Ids without a document,
 null ids and repeated ids among the trusted ones have no effect. Other columns
 may have any name.
 """
@@ -47,7 +51,8 @@ FEW_BYTES = 64 << 20
 PART = 1 << 16
 #: Steps of the logarithm per byte in which quantiles are taken.
 STEP = 1e-4
-HELD = 5
+#: Folds of the trusted texts, and the fold of the model that leaves none out.
+FOLDS, ALL = 5, -1
 
 
 def _slices(ends: np.ndarray, most: int = PACK) -> Iterator[tuple[int, int]]:
@@ -81,20 +86,35 @@ def _merge(a, b):
 
 
 def count_grams(texts: DataFrame, order: int, body: str = "body") -> DataFrame:
-    """(key, n): how often each n-gram occurs; each task adds up its own first."""
+    """(fold, key, n): how often each n-gram occurs in the texts of a fold (fold, and the text); each task adds up its own first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        totals = {}
         for batch in batches:
-            data, ends = flat(batch.column(0))
-            for a, b in _slices(ends):
-                if ends[b] > ends[a]:
-                    here = np.unique(grams(data[ends[a]:ends[b]], ends[a:b + 1] - ends[a], order), return_counts=True)
-                    total = _merge(total, (here[0], here[1].astype(np.int64)))
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1])], ["key", "n"])
+            for fold, piece in _by_fold(batch):
+                data, ends = flat(piece.column(body))
+                for a, b in _slices(ends):
+                    if ends[b] > ends[a]:
+                        here = np.unique(grams(data[ends[a]:ends[b]], ends[a:b + 1] - ends[a], order), return_counts=True)
+                        totals[fold] = _merge(totals.get(fold), (here[0], here[1].astype(np.int64)))
+        for fold, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total[0]), fold, np.int32)), pa.array(total[0].view(np.int64)), pa.array(total[1])], ["fold", "key", "n"])
 
-    return texts.select(body).mapInArrow(of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("fold", body).mapInArrow(of, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
+
+
+def _by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    folds = batch.column("fold").to_numpy()
+    for fold in np.unique(folds).tolist():
+        yield fold, batch.filter(pa.array(folds == fold))
+
+
+def without_each(counts: DataFrame) -> DataFrame:
+    """(fold, key, n) of all texts, and of all but those of each fold."""
+    own = {k: F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)) for k in range(FOLDS)}
+    sums = counts.groupBy("key").agg(F.sum("n").alias("n"), *(x.alias(f"n{k}") for k, x in own.items()))
+    rows = [F.struct(F.lit(ALL).alias("fold"), F.col("n"))] + [F.struct(F.lit(k).alias("fold"), (F.col("n") - F.col(f"n{k}")).alias("n")) for k in own]
+    return sums.select("key", F.explode(F.array(*rows)).alias("r")).select("r.fold", "key", "r.n").where("n > 0")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -111,28 +131,36 @@ def train(texts: DataFrame, order: int = 4, body: str = "body") -> tuple[DataFra
     the logarithm of an n-gram's probability, kind 1 that of a context's
     weight for the next lower order.
     """
-    counts, _ = cut(count_grams(texts, order, body), "kn-counts")
+    model, size = _trained(count_grams(texts.select(F.lit(ALL).alias("fold"), body), order, body), order)
+    return model.drop("fold"), size
+
+
+def _trained(counts: DataFrame, order: int) -> tuple[DataFrame, int]:
+    """A model for each fold of the counts (fold, key, n), as (fold, level, kind, key, value), and the number of rows."""
+    counts, _ = cut(counts, "kn-counts")
     levels = {order: counts}
     for m in range(order - 1, 0, -1):
         suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * m) - 1))
-        levels[m] = cut(levels[m + 1].groupBy(suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), f"kn-continuations-{m}")[0]
+        levels[m] = cut(levels[m + 1].groupBy("fold", suffix.alias("key")).agg(F.count(F.lit(1)).alias("n")), f"kn-continuations-{m}")[0]
     parts, lower = [], None
     for m in range(1, order + 1):
-        few = levels[m].agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
-        d = discounts(*few)
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        few = levels[m].groupBy("fold").agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).collect()
+        off = F.lit(0.5)
+        for fold, *seen in few:
+            d = discounts(*seen)
+            off = F.when(F.col("fold") == fold, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(off)
         context = F.shiftrightunsigned("key", 8)
-        contexts = levels[m].groupBy(context.alias("context")).agg((F.sum(off) / F.sum("n")).alias("weight"), F.sum("n").alias("total"))
-        rows = levels[m].withColumn("context", context).join(contexts, "context")
+        contexts = levels[m].groupBy("fold", context.alias("context")).agg((F.sum(off) / F.sum("n")).alias("weight"), F.sum("n").alias("total"))
+        rows = levels[m].withColumn("context", context).join(contexts, ["fold", "context"])
         if lower is None:
             rows = rows.withColumn("below", F.lit(1 / 256))
         else:
-            rows = rows.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1))).join(lower, "suffix")
-        likely = rows.select("key", ((F.col("n") - off) / F.col("total") + F.col("weight") * F.col("below")).alias("p"))
+            rows = rows.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1))).join(lower, ["fold", "suffix"])
+        likely = rows.select("fold", "key", ((F.col("n") - off) / F.col("total") + F.col("weight") * F.col("below")).alias("p"))
         likely = cut(likely, f"kn-level-{m}")[0]
-        lower = likely.select(F.col("key").alias("suffix"), F.col("p").alias("below"))
-        parts.append(likely.select(F.lit(m).alias("level"), F.lit(0).alias("kind"), "key", F.log("p").cast("float").alias("value")))
-        parts.append(contexts.where("weight > 0").select(F.lit(m).alias("level"), F.lit(1).alias("kind"), F.col("context").alias("key"), F.log("weight").cast("float").alias("value")))
+        lower = likely.select("fold", F.col("key").alias("suffix"), F.col("p").alias("below"))
+        parts.append(likely.select("fold", F.lit(m).alias("level"), F.lit(0).alias("kind"), "key", F.log("p").cast("float").alias("value")))
+        parts.append(contexts.where("weight > 0").select("fold", F.lit(m).alias("level"), F.lit(1).alias("kind"), F.col("context").alias("key"), F.log("weight").cast("float").alias("value")))
     model = parts[0]
     for p in parts[1:]:
         model = model.unionByName(p)
@@ -168,45 +196,67 @@ class Scorer:
         return sums[ends[1:]] - sums[ends[:-1]]
 
 
-def _packed(rows: DataFrame, blocks: int) -> DataFrame:
-    """(block, kind, part, data): the texts with id, lang and digest as compressed packs, dealt to blocks."""
+def _packed(rows: DataFrame, places: dict[int, tuple[int, int]]) -> DataFrame:
+    """(block, kind, part, data): the texts with id, lang and digest as compressed packs, dealt to their fold's blocks (the first, how many)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            _, ends = flat(batch.column("body"))
-            for a, b in _slices(ends):
-                sink = pa.BufferOutputStream()
-                piece = batch.slice(a, b - a)
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-                    out.write_batch(piece)
-                block = int(np.bitwise_xor.reduce(piece.column("digest").to_numpy(zero_copy_only=False).astype(np.int64))) % blocks
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([2], pa.int32()), pa.array([0], pa.int32()),
-                                                  pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "kind", "part", "data"])
+            for fold, rows_ in _by_fold(batch):
+                first, blocks = places[fold]
+                _, ends = flat(rows_.column("body"))
+                for a, b in _slices(ends):
+                    sink = pa.BufferOutputStream()
+                    piece = rows_.slice(a, b - a)
+                    with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                        out.write_batch(piece)
+                    block = first + int(np.bitwise_xor.reduce(piece.column("digest").to_numpy(zero_copy_only=False).astype(np.int64))) % blocks
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([2], pa.int32()), pa.array([0], pa.int32()),
+                                                      pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "kind", "part", "data"])
 
     return rows.mapInArrow(of, "block int, kind int, part int, data binary")
 
 
-def _model_parts(model: DataFrame, size: int, blocks: int) -> DataFrame:
-    """(block, kind, part, data): the model in packed parts, one copy for each block."""
+def _model_parts(model: DataFrame, size: int, places: dict[int, tuple[int, int]]) -> DataFrame:
+    """(block, kind, part, data): the models in packed parts, one copy for each block of their fold."""
     parts = max(1, -(-size // PART))
 
     def pack(table: pa.Table) -> pa.Table:
         levels, kinds = table["level"].to_numpy().astype("<i4"), table["kind"].to_numpy().astype("<i4")
         body = b"".join((levels.tobytes(), kinds.tobytes(), table["key"].to_numpy().astype("<i8").tobytes(), table["value"].to_numpy().astype("<f4").tobytes()))
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "data": pa.array([body], pa.binary())})
+        return pa.table({"fold": pa.array([table["fold"][0].as_py()], pa.int32()), "part": pa.array([table["part"][0].as_py()], pa.int32()), "data": pa.array([body], pa.binary())})
 
     keyed = model.withColumn("part", F.pmod(F.xxhash64("level", "kind", "key"), F.lit(parts)).cast("int"))
-    packs = keyed.groupBy("part").applyInArrow(pack, "part int, data binary")
-    return packs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "part", "data")
+    packs = keyed.groupBy("fold", "part").applyInArrow(pack, "fold int, part int, data binary")
+    at = F.lit(None).cast("array<int>")
+    for fold, (first, blocks) in places.items():
+        at = F.when(F.col("fold") == fold, F.sequence(F.lit(first), F.lit(first + blocks - 1))).otherwise(at)
+    return packs.select(F.explode(at).alias("block"), F.lit(1).alias("kind"), "part", "data")
 
 
 def scores(docs: DataFrame, model: DataFrame, size: int, order: int = 4, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(id, lang, digest, bytes, logp): the log probability of every row's whole text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(text_of(text)).alias("digest"), text_of(text).alias("body"))
+    rows = _rows(docs, id_col, text, lang).withColumn("fold", F.lit(ALL))
+    return _scored(rows, model.withColumn("fold", F.lit(ALL)), size, order, _bytes(docs, text), [ALL]).drop("fold")
+
+
+def _rows(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(text_of(text)).alias("digest"), text_of(text).alias("body"))
+
+
+def _bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
+
+
+def _scored(rows: DataFrame, model: DataFrame, size: int, order: int, total: int, folds: list[int]) -> DataFrame:
+    """(id, lang, digest, bytes, logp, fold) for `rows` (id, lang, digest, body, fold), each by its fold's model; `size` rows in all, `total` bytes in fold ALL."""
     kind = rows.schema["id"].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
-    blocks = max(1, -(-total // max(BLOCK, TEXT_PER_MODEL * 20 * size)))
+    blocks = max(1, -(-total // max(BLOCK, TEXT_PER_MODEL * 20 * -(-size // len(folds)))))
+    places, owner = {}, []
+    for fold in folds:
+        n = blocks if fold == ALL else -(-blocks // FOLDS)
+        places[fold] = (len(owner), n)
+        owner += [fold] * n
 
     def load(parts: list[bytes]) -> Scorer:
         cols = [[], [], [], []]
@@ -239,21 +289,23 @@ def scores(docs: DataFrame, model: DataFrame, size: int, order: int = 4, id_col:
                 pack = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches()[0]
                 body, ends = flat(pack.column("body"))
                 logs = scorer.logs(body, ends) if scorer.tables else np.zeros(len(pack))
-                yield pa.RecordBatch.from_arrays([pack.column("id"), pack.column("lang"), pack.column("digest"), pa.array(np.diff(ends)), pa.array(logs)], ["id", "lang", "digest", "bytes", "logp"])
+                yield pa.RecordBatch.from_arrays([
+                    pack.column("id"), pack.column("lang"), pack.column("digest"), pa.array(np.diff(ends)), pa.array(logs),
+                    pa.array(np.full(len(pack), owner[here], np.int32))], ["id", "lang", "digest", "bytes", "logp", "fold"])
 
-    both = _packed(rows, blocks).unionByName(_model_parts(model, size, blocks))
+    both = _packed(rows, places).unionByName(_model_parts(model, size, places))
     streams = both.repartition(F.col("block")).sortWithinPartitions("block", "kind", "part")
-    return streams.mapInArrow(of, f"id {kind}, lang string, digest long, bytes long, logp double")
+    return streams.mapInArrow(of, f"id {kind}, lang string, digest long, bytes long, logp double, fold int")
 
 
 def quantiles(scored: DataFrame, q: float) -> DataFrame:
-    """(lang, limit) with a row for lang null and all=true over all: the smallest step that a share `q` of the trusted rows reaches."""
+    """(lang, limit, of) with a row for lang null and all=true over all: the smallest step that a share `q` of the trusted rows reaches, and how many they are."""
     steps = scored.select("lang", F.lit(False).alias("all"), "step").unionByName(scored.select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("all"), "step"))
     counts = steps.groupBy("all", "lang", "step").agg(F.count(F.lit(1)).alias("n"))
     one = Window.partitionBy("all", "lang")
     below = F.sum("n").over(one.orderBy("step"))
     return counts.withColumn("below", below).withColumn("of", F.sum("n").over(one)).where(F.col("below") >= F.ceil(q * F.col("of"))).groupBy(
-        "all", "lang").agg(F.min("step").alias("limit"))
+        "all", "lang").agg(F.min("step").alias("limit"), F.max("of").alias("of"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, order: int = 4, quantile: float = 0.99, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -265,16 +317,18 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = 4, quantile: floa
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
     ids, n = cut(ids, "trusted")
     side = F.broadcast(ids) if 16 * n <= FEW_BYTES else ids
-    held = F.pmod(F.col("digest"), F.lit(HELD)) == 0
-    good = docs.select(F.col(id_col).alias("id"), text_of(text).alias("body")).where(
-        F.pmod(F.xxhash64("body"), F.lit(HELD)) != 0).join(side, F.col("id") == F.col("trusted_id"), "left_semi")
-    model, size = train(good, order)
-    scored, _ = cut(scores(docs, model, size, order, id_col, text, lang).withColumn(
-        "step", F.when(F.lit(size > 0) & (F.col("bytes") > 0), F.ceil(-F.col("logp") / F.col("bytes") / F.lit(STEP)).cast("long"))), "kn-scores")
-    known = scored.where(F.col("step").isNotNull() & held).join(side, F.col("id") == F.col("trusted_id"), "left_semi")
+    rows = _rows(docs, id_col, text, lang)
+    good = rows.join(side, F.col("id") == F.col("trusted_id"), "left_semi").withColumn("fold", F.pmod("digest", F.lit(FOLDS)).cast("int"))
+    model, size = _trained(without_each(count_grams(good, order)), order)
+    folds = [r["fold"] for r in model.select("fold").distinct().collect()]
+    both = rows.withColumn("fold", F.lit(ALL)).unionByName(good)
+    scored, _ = cut(_scored(both, model, size, order, _bytes(docs, text), [ALL, *range(FOLDS)]).withColumn(
+        "step", F.when(F.col("fold").isin(folds) & (F.col("bytes") > 0), F.ceil(-F.col("logp") / F.col("bytes") / F.lit(STEP)).cast("long"))), "kn-scores")
+    known, scored = scored.where((F.col("fold") != ALL) & F.col("step").isNotNull()), scored.where(F.col("fold") == ALL)
     limits = cut(quantiles(known, quantile), "kn-limits")[0]
     every = limits.where("`all`").agg(F.max("limit")).first()[0]
-    own = limits.where("NOT `all`").select(F.col("lang").alias("l"), "limit")
+    few = F.col("of") < (round(1 / (1 - quantile), 6) if quantile < 1 else 1)
+    own = limits.where("NOT `all`").select(F.col("lang").alias("l"), F.when(few, F.greatest(F.col("limit"), F.lit(every).cast("long"))).otherwise(F.col("limit")).alias("limit"))
     joined = scored.join(own, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("limit", F.coalesce("limit", F.lit(every).cast("long")))
     return joined.select(
         "id", "digest", "lang", F.when(F.col("step").isNotNull(), F.exp(-F.col("logp") / F.col("bytes"))).alias("perplexity"),
