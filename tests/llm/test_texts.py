@@ -264,6 +264,19 @@ def brute_totals(stand):
     return out
 
 
+def test_token_counts_cover_every_row(spark):
+    """Also rows that repeat an id, whose texts may differ."""
+    from wakeline.llm import queries
+    folder = scratch_path(spark, "tables")
+    odd_docs(spark).select("doc_id", "text", "source", "lang").write.parquet(f"{folder}/documents.parquet")
+    count = token_rollups._encoding(token_rollups.RANKS).encode_ordinary
+    want = {}
+    for _, text, lang, source, _ in odd_rows():
+        docs, tokens = want.get((source, lang), (0, 0))
+        want[source, lang] = docs + 1, tokens + len(count(text or ""))
+    assert {(r.source, r.lang): (r.docs, r.tokens) for r in queries.op9_token_counts(spark, folder).collect()} == want
+
+
 def test_rollup_follows_changes(spark):
     rollup = token_rollups.Rollup(spark, scratch_path(spark, "rollup"))
     schema = "op string, doc_id long, seq long, text string, source string, lang string, digest string"

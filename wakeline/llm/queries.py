@@ -67,7 +67,7 @@ def op8_sentencepiece(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     totals = token_rollups.Rollup(spark, scratch_path(spark, "token-rollup"))
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    totals.commit(docs.select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), "*"), "first")
+    totals.commit(token_rollups.apart(docs).select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), "*"), "first")
     return totals.totals()
 
 

@@ -22,7 +22,8 @@ is a group of its own. An insert or revision of an id that stands replaces it;
 deleting one that does not stand does nothing. Of several changes of one id in
 a batch the one with the largest `seq` counts, of equal ones any one, the same
 in each run. Rows without an id cannot be revised: they only ever insert, each
-by itself. Other columns may have any name. An empty batch changes nothing.
+by itself. `apart` makes rows that repeat an id such rows, where a table holds
+documents and not versions of them. Other columns may have any name. An empty batch changes nothing.
 """
 
 from __future__ import annotations
@@ -38,13 +39,15 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VERSION = "byte_bpe_50k"
 # Fixed value: how this vocabulary splits a text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Bytes of repeated ids that are broadcast.
+FEW_BYTES = 64 << 20
 _JOURNAL = "doc_id string, source string, lang string, version string, tokens bigint, sign int"
 _ROLLUP = "source string, lang string, version string, docs bigint, tokens bigint"
 
@@ -70,6 +73,13 @@ def counted(rows: DataFrame, body: str = "body", ranks: str = RANKS) -> DataFram
     return rows.mapInArrow(of, fields.add("tokens", "long"))
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """`docs` without the ids that more than one row has: those rows are documents of their own, none a version of another."""
+    twice, n = cut(docs.groupBy(F.col("doc_id").alias("twice")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 AND twice IS NOT NULL").select("twice"), "repeated-ids")
+    rows = docs.join(F.broadcast(twice) if 16 * n <= FEW_BYTES else twice, F.col("doc_id") == F.col("twice"), "left")
+    return rows.withColumn("doc_id", F.when(F.col("twice").isNull(), F.col("doc_id"))).drop("twice")
+
+
 @dataclass
 class Rollup:
     """Totals under `root`, a folder that all executors share, for one tokenizer version."""
