@@ -1,5 +1,5 @@
 """
-Suffix-array dedup by bucket-pointer refinement: removes every byte covered by
+Suffix dedup by refinement of block digests, in place of bucket pointers: removes every byte covered by
 a string of `length` bytes that also starts anywhere else.
 
 Only suffixes that can matter are bucketed. Every string of `length` bytes
