@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exact_dedup, langid, mixing, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, token_rollups, topk
+from . import exact_dedup, langid, merkle, mixing, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, token_rollups, topk
 from .common import documents, scratch_path
 
 
@@ -76,6 +76,10 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_fingerprints(spark, sf_dir):
+    return merkle.neighbours(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "op11_fingerprints": op11_fingerprints,
     "pipeline": pipeline,
 }
 
@@ -108,6 +113,48 @@ def _secret_spans(kind, no, pattern, group, least):
 _ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + (
     """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
 
+
+def _tree_sql(text):
+    """A text's sections as DuckDB sees them: see merkle.tree."""
+    pieces = f"flatten(list_transform(regexp_extract_all(p, '{merkle.SENTENCE}'), lambda s: regexp_extract_all(s, '{merkle.PIECE}')))"
+    paragraph = f"left(sha256(p), {merkle.WIDE}) || array_to_string(list_transform({pieces}, lambda x: left(md5(x), {merkle.NARROW})), '')"
+    return f"""list_transform(regexp_extract_all({text}, '{merkle.SECTION}'), lambda n:
+        array_to_string(list_transform(regexp_extract_all(n, '{merkle.PARAGRAPH}'), lambda p: {paragraph}), ','))"""
+
+
+def _root_sql(tree):
+    return f"""sha256(array_to_string(list_transform({tree}, lambda n:
+        md5(array_to_string(list_transform(string_split(n, ','), lambda p: left(p, {merkle.WIDE})), ''))), ''))"""
+
+
+def _held_sql(nodes):
+    return f"coalesce(list_sum(list_transform({nodes}, lambda n: list_sum(list_transform(string_split(n, ','), lambda p: (length(p) - {merkle.WIDE}) // {merkle.NARROW})))), 0)"
+
+
+def _likeness_sql(rows, left, right, name):
+    """`rows` with how alike two trees are, one level after the other: see merkle.likeness."""
+    only = "list_filter(list_distinct({0}), lambda x: NOT list_contains({1}, x))"
+    opened = "list_distinct(flatten(list_transform({0}, lambda n: string_split(n, ','))))"
+    pieces = f"list_distinct(flatten(list_transform({{0}}, lambda p: regexp_extract_all(substr(p, {merkle.WIDE + 1}), '.{{{{{merkle.NARROW}}}}}'))))"
+    return f"""
+        SELECT * EXCLUDE (l0, r0, l1, r1, l2, r2, same), CASE WHEN {_root_sql(left)} = {_root_sql(right)} THEN 1.0::DOUBLE ELSE
+            2 * (same + len(list_intersect(l2, r2))) / (2 * (same + len(list_intersect(l2, r2)))
+                + len({only.format("l2", "r2")}) + len({only.format("r2", "l2")})) END AS {name}
+        FROM (SELECT * REPLACE (same + {_held_sql("list_intersect(l1, r1)")} AS same),
+                  {pieces.format(only.format("l1", "r1"))} AS l2, {pieces.format(only.format("r1", "l1"))} AS r2
+              FROM (SELECT *, {_held_sql("list_intersect(l0, r0)")} AS same,
+                        {opened.format(only.format("l0", "r0"))} AS l1, {opened.format(only.format("r0", "l0"))} AS r1
+                    FROM (SELECT *, {left} AS l0, {right} AS r0 FROM ({rows}))))"""
+
+
+_NEXT_SQL = f"""
+    SELECT doc_id, length(body)::BIGINT AS n_chars, edited, {_tree_sql("body")} AS tree, {_tree_sql("edited")} AS edited_tree, {_tree_sql("next_body")} AS next_tree
+    FROM (SELECT doc_id, body, next_body, left(body, length(body) - length(body) // 3) || left(next_body, length(body) // 3) AS edited
+          FROM (SELECT doc_id, body, coalesce(lead(body) OVER w, first(body) OVER w) AS next_body
+                FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)
+                WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, sha256(body) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))"""
+
+
 ORACLES = {
     "op1_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
@@ -129,4 +176,7 @@ ORACLES = {
         g AS (SELECT body, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256
         FROM d JOIN g USING (body)""",
+    "op11_fingerprints": f"""
+        SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_root_sql("tree")} AS fingerprint, {_root_sql("edited_tree")} AS edited_fingerprint, near_edited, near_next
+        FROM ({_likeness_sql(_likeness_sql(_NEXT_SQL, "tree", "edited_tree", "near_edited"), "tree", "next_tree", "near_next")})""",
 }
