@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exact_dedup, langid, merkle, mixing, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup, token_rollups, topk
+from . import exact_dedup, langid, merkle, mixing, negatives, quality, secret_scan, sentencepiece_codec, simhash, spelling, suffix_dedup, token_rollups, topk
 from .common import documents, scratch_path
 
 
@@ -80,6 +80,17 @@ def op11_fingerprints(spark, sf_dir):
     return merkle.neighbours(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = negatives.members(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    seventh = F.pmod("vec_id", F.lit(7)) == 0
+    index = negatives.Index(rows.withColumn("label", F.when(seventh, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))))
+    return negatives.mine(index, index.rows.where("vec_id % 100 = 0"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -96,6 +107,8 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
     "op11_fingerprints": op11_fingerprints,
+    "op12_spelling": op12_spelling,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": pipeline,
 }
 
@@ -179,4 +192,34 @@ ORACLES = {
     "op11_fingerprints": f"""
         SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_root_sql("tree")} AS fingerprint, {_root_sql("edited_tree")} AS edited_fingerprint, near_edited, near_next
         FROM ({_likeness_sql(_likeness_sql(_NEXT_SQL, "tree", "edited_tree", "near_edited"), "tree", "next_tree", "near_next")})""",
+    # The CRC-32 of a run's bytes from the polynomial; near words share a word with one code point deleted, or one is the other's.
+    "op12_spelling": """
+        WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+        r AS (SELECT coalesce(doc_id::VARCHAR, '') AS i, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]{7,}')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        b AS (SELECT run, list_transform(regexp_extract_all(hex(encode(i || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM r),
+        h AS (SELECT run, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM b, t),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+        v AS (SELECT word, count(*)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+        k AS (SELECT DISTINCT word, unnest(list_append(list_transform(range(length(word)), lambda p: left(word, p) || substr(word, p + 2)), word)) AS key FROM v),
+        -- words of two lengths that share a key: one is the other with a code point deleted, or both have one deleted (then their lengths are equal)
+        q AS (SELECT DISTINCT a.word AS a, b.word AS b FROM k a JOIN k b USING (key)
+              WHERE a.word <> b.word AND (length(a.word) <> length(b.word) OR len(list_filter(range(1, 1 + length(a.word)), lambda i: a.word[i] <> b.word[i])) = 1)),
+        f AS (SELECT a AS word, count(*)::BIGINT AS n_near, min({m: -n, w: b}) AS best FROM q JOIN v ON v.word = b GROUP BY a),
+        g AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * n THEN best.w END AS form, CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n
+              FROM v LEFT JOIN f USING (word)),
+        s AS (SELECT word, word AS here, 0 AS step FROM g UNION ALL SELECT s.word, g.form, step + 1 FROM s JOIN g ON g.word = s.here WHERE g.form IS NOT NULL)
+        SELECT g.word, form, root, n, n_near, form_n FROM g JOIN (SELECT word, arg_max(here, step) AS root FROM s GROUP BY word) USING (word)""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                       list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_sum(list_transform(range(1, 1 + len(a.v)), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+              FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS no FROM s WHERE alike) WHERE no <= 5),
+        n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
