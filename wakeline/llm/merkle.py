@@ -4,8 +4,8 @@ DataFrame operations only.
 
 A paragraph is a line, a section up to eight lines and the blank lines after
 them. A paragraph's node is the first 128 bits of its SHA-256, followed by 32
-bits for each of its pieces (runs of 16 code points within a sentence), so an
-edit inside a paragraph is seen beside what it left alone. A section's hash is
+bits for each of its pieces (up to 24 code points of a sentence, and what ends
+it), so an edit inside a paragraph is seen beside what it left alone. A section's hash is
 the MD5 of its paragraphs' hashes, the root, which is the fingerprint, the
 SHA-256 of the sections' hashes. `tree` gives the nodes of a text, `root` the
 fingerprint of a tree.
@@ -41,8 +41,7 @@ from .common import cut, text_of
 #: Lines and their ends: up to eight in a section, with the blank lines that follow.
 SECTION = r"(?:[^\n]+\n?){1,8}\n*|\n+"
 PARAGRAPH = r"[^\n]*\n|[^\n]+"
-SENTENCE = r"[^.!?]+[.!?]*|[.!?]+"
-PIECE = "(?s).{1,16}"
+PIECE = r"[^\n.!?]{1,24}[\n.!?]*|[\n.!?]+"
 #: Hexadecimal digits of a paragraph's and of a piece's hash.
 WIDE, NARROW = 32, 8
 #: Rows with one id and text that one task returns at a time.
@@ -54,8 +53,7 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def _paragraph(text: Column) -> Column:
-    pieces = F.flatten(F.transform(_all(text, SENTENCE), lambda s: _all(s, PIECE)))
-    return F.concat(F.left(F.sha2(text, 256), F.lit(WIDE)), F.array_join(F.transform(pieces, lambda p: F.left(F.md5(p), F.lit(NARROW))), ""))
+    return F.concat(F.left(F.sha2(text, 256), F.lit(WIDE)), F.array_join(F.transform(_all(text, PIECE), lambda p: F.left(F.md5(p), F.lit(NARROW))), ""))
 
 
 def tree(text: Column) -> Column:
@@ -82,13 +80,12 @@ def _pieces_of(paragraphs: Column) -> Column:
 def _held(nodes: Column) -> Column:
     """How many pieces nodes hold: of a section as many as its paragraphs do."""
     def count(node):
-        paragraphs = F.length(node) - F.length(F.translate(node, ",", "")) + 1
-        return F.floor((F.length(node) - paragraphs + 1 - paragraphs * WIDE) / NARROW)
+        return F.floor((F.length(node) + 1 - F.size(F.split(node, ",")) * (WIDE + 1)) / NARROW)
     return F.aggregate(F.transform(nodes, count), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
-def _with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """`df` with how alike the trees in two of its columns are, level by level; the levels are columns only on the way."""
+def _with_likeness(df: DataFrame, left: str, right: str, equal: Column, name: str) -> DataFrame:
+    """`df` with how alike the trees in two of its columns are, level by level, or 1 where their roots are `equal`; the levels are columns only on the way."""
     own = df.columns
     for level, opened in (("section", None), ("paragraph", _opened), ("piece", _pieces_of)):
         a, b = (F.col(left), F.col(right)) if opened is None else (opened(F.col("only a")), opened(F.col("only b")))
@@ -98,13 +95,12 @@ def _with_likeness(df: DataFrame, left: str, right: str, name: str) -> DataFrame
         df = df.withColumns({f"same {level}": worth, "only a": F.array_except("a", "b"), "only b": F.array_except("b", "a")})
     same = F.lit(2) * (F.col("same section") + F.col("same paragraph") + F.col("same piece"))
     apart = F.size("only a") + F.size("only b")
-    equal = root(F.col(left)) == root(F.col(right))
     return df.select(*own, F.when(equal, F.lit(1.0)).otherwise(same / (same + apart)).alias(name))
 
 
 def likeness(trees: DataFrame, left: str, right: str) -> DataFrame:
     """The rows of `trees` with `likeness` (0 to 1) of the trees in columns `left` and `right`. No other column is read."""
-    return _with_likeness(trees.select(F.struct("*").alias("row"), F.col(left).alias("l"), F.col(right).alias("r")), "l", "r", "likeness").select("row.*", "likeness")
+    return _with_likeness(trees.select(F.struct("*").alias("row"), F.col(left).alias("l"), F.col(right).alias("r")), "l", "r", root(F.col("l")) == root(F.col("r")), "likeness").select("row.*", "likeness")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,19 +157,23 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         return F.xxhash64(i, sha).alias("key"), F.concat_ws(":", sha, i).alias("name")
     texts = rows.select(*key(F.col("id"), F.col("sha")), "body").groupBy("key", "name").agg(F.first("body").alias("body"))
     links = links.select(*key(F.col("id"), F.col("sha")), "id", "copies", "next", "prev")
-    here = texts.join(links, ["key", "name"]).withColumn("tree", tree(F.col("body")))
+    here = texts.join(links, ["key", "name"]).withColumn("tree", tree(F.col("body"))).withColumn("fingerprint", root(F.col("tree")))
     taken = here.select(
-        *key(F.col("prev.id"), F.col("prev.sha")), F.left("body", F.floor(F.col("prev.n") / 3).cast("int")).alias("head"), F.col("tree").alias("next_tree"))
+        *key(F.col("prev.id"), F.col("prev.sha")),
+        F.struct(F.left("body", F.floor(F.col("prev.n") / 3).cast("int")).alias("head"), "tree", "fingerprint").alias("following"))
     third = F.floor(F.length("body") / 3).cast("int")
     # Of copies all but the last are followed by a copy.
-    last = F.array(F.struct(F.lit(1).cast("long").alias("times"), "head", "next_tree"))
-    others = F.struct((F.col("copies") - 1).alias("times"), F.left("body", third).alias("head"), F.col("tree").alias("next_tree"))
+    last = F.array(F.struct(F.lit(1).cast("long").alias("times"), "following"))
+    others = F.struct((F.col("copies") - 1).alias("times"), F.struct(F.left("body", third).alias("head"), "tree", "fingerprint").alias("following"))
     both = here.join(taken, ["key", "name"]).withColumn("case", F.explode(F.when(F.col("copies") > 1, F.array_append(last, others)).otherwise(last)))
-    edited = F.concat(F.left("body", F.length("body") - third), F.col("case.head"))
-    both = both.select("id", F.length("body").cast("long").alias("n_chars"), "tree", edited.alias("edited"), F.col("case.next_tree").alias("next_tree"), F.col("case.times").alias("times"))
-    both = both.select("*", F.sha2("edited", 256).alias("edited_sha256"), root(F.col("tree")).alias("fingerprint"), tree(F.col("edited")).alias("edited_tree")).drop("edited")
-    both = _with_likeness(both, "tree", "edited_tree", "near_edited").withColumn("edited_fingerprint", root(F.col("edited_tree"))).drop("edited_tree")
-    both = _with_likeness(both, "tree", "next_tree", "near_next").drop("tree", "next_tree")
+    edited = F.concat(F.left("body", F.length("body") - third), F.col("case.following.head"))
+    both = both.select("id", F.length("body").cast("long").alias("n_chars"), "fingerprint", "tree", edited.alias("edited"), F.col("case.times").alias("times"),
+                       F.col("case.following.tree").alias("next_tree"), F.col("case.following.fingerprint").alias("next_fingerprint"))
+    both = both.withColumns({"edited_sha256": F.sha2("edited", 256), "edited_tree": tree(F.col("edited"))}).drop("edited")
+    both = both.withColumn("edited_fingerprint", root(F.col("edited_tree")))
+    for name in ("edited", "next"):
+        equal = F.col("fingerprint") == F.col(f"{name}_fingerprint")
+        both = _with_likeness(both, "tree", f"{name}_tree", equal, f"near_{name}").drop(f"{name}_tree")
     # Copies of a hot row are written out by many tasks.
     some = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))
     dealt = both.withColumn("part", F.explode(some)).repartition("fingerprint", "part")

@@ -129,7 +129,7 @@ _ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c
 
 def _tree_sql(text):
     """A text's sections as DuckDB sees them: see merkle.tree."""
-    pieces = f"flatten(list_transform(regexp_extract_all(p, '{merkle.SENTENCE}'), lambda s: regexp_extract_all(s, '{merkle.PIECE}')))"
+    pieces = f"regexp_extract_all(p, '{merkle.PIECE}')"
     paragraph = f"left(sha256(p), {merkle.WIDE}) || array_to_string(list_transform({pieces}, lambda x: left(md5(x), {merkle.NARROW})), '')"
     return f"""list_transform(regexp_extract_all({text}, '{merkle.SECTION}'), lambda n:
         array_to_string(list_transform(regexp_extract_all(n, '{merkle.PARAGRAPH}'), lambda p: {paragraph}), ','))"""
