@@ -33,7 +33,7 @@ def _segments(spark, sf):
 
 def _radius(spark, sf):
     entries, edges = _segments(spark, sf)
-    return graph.blast_radius(graph.reach(entries, edges))
+    return graph.Closure(entries, graph.numbered(edges)).radius()
 
 
 def forward_edges(spark, sf):

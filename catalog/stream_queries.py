@@ -50,11 +50,13 @@ def stream_gate(spark, sf):
 
 
 def stream_gate_moving(spark, sf):
-    # Half of the facts are dated into the far future and must wait.
-    facts = table(spark, sf, "facts").drop("ets").withColumn("arrival", -F.col("seq")).withColumn(
-        "effective_from", F.when(F.col("seq") % 2 == 0, "2999-01-01").otherwise(F.col("effective_from")))
-    return _upserts(spark, stream_gate_now(_stream(facts, "arrival", "subject", "facts"), ["error"], ["purchase"], timer=False), "subject").select(
-        "subject", "status", "seq", "event_type")
+    """Half of the facts take effect three days after they were recorded, and fall due by themselves as the log's clock passes them."""
+    facts = table(spark, sf, "facts").drop("ets").withColumn("clock", F.to_timestamp("recorded_at"))
+    later = F.date_format(F.col("clock") + F.expr("INTERVAL 3 DAYS"), "yyyy-MM-dd'T'HH:mm:ss")
+    facts = facts.withColumn("effective_from", F.when(F.col("seq") % 2 == 0, later).otherwise(F.col("effective_from"))).withColumn("arrival", F.unix_micros("clock"))
+    # Two files come at one time, so the clock of one may be a slice behind the other's.
+    waiting = stream_gate_now(_stream(facts, "arrival", "subject", "facts"), ["error"], ["purchase"], clock="clock", delay="12 days")
+    return _upserts(spark, waiting, "subject").select("subject", "status", "seq", "event_type")
 
 
 def stream_verify_chain(spark, sf):
@@ -71,6 +73,11 @@ ORACLES = {
     "stream_gate": oracle("""SELECT subject, CASE event_type WHEN 'error' THEN 'BLOCKED' ELSE 'CLEARED' END AS status, seq, event_type, effective_from, actor
         FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ets DESC, seq DESC) AS n FROM facts WHERE event_type IN ('error', 'purchase') AND ets < TIMESTAMP '2024-01-16') WHERE n = 1""", "facts"),
     "stream_gate_moving": oracle("""SELECT subject, CASE event_type WHEN 'error' THEN 'BLOCKED' ELSE 'CLEARED' END AS status, seq, event_type
-        FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ets DESC, seq DESC) AS n FROM facts WHERE event_type IN ('error', 'purchase') AND seq % 2 = 1) WHERE n = 1""", "facts"),
+        FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY due DESC, seq DESC) AS n
+              FROM (SELECT *, CAST(substring(recorded_at, 1, 19) AS TIMESTAMP) AS clock,
+                        CASE WHEN seq % 2 = 0 THEN CAST(substring(recorded_at, 1, 19) AS TIMESTAMP) + INTERVAL 3 DAY ELSE ets END AS due FROM facts)
+              WHERE event_type IN ('error', 'purchase')
+                AND due <= (SELECT max(CAST(substring(recorded_at, 1, 19) AS TIMESTAMP)) FROM facts) - INTERVAL 12 DAY)
+        WHERE n = 1""", "facts"),
     "stream_verify_chain": "SELECT log_id, entries, broken_at, reason FROM (" + LEDGER_ORACLES["verify_chain_tampered"] + ")",
 }

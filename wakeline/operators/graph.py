@@ -2,14 +2,18 @@
 Reachability over edges recorded backwards, consumer to producer.
 
 Everything is keyed by run, so one job answers for many runs and many
-subjects. A closure grows by levels: each round joins the newest rows with the
-edges and drops what was seen before. Each round's rows are written once to
-the shared folder, so the plan stays short and no round depends on an
-executor that may be gone.
+subjects. Tasks are numbered once (`numbered`), in the order of their names,
+and the loops see nothing but numbers. A closure keeps one row per task with
+its subjects as a set of bits; a round moves the rows whose bits changed along
+the edges, joins what arrives by bitwise OR, and drops what the task had. Each
+round's rows are written once to the shared folder, so the plan stays short
+and no round depends on an executor that may be gone.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,12 @@ from wakeline.session import RoundLog, cut
 
 EXTERNAL = "EXTERNAL"
 NODE = ["run_id", "task"]
+#: Subjects that share a row of a task: 64 bits in each of so many words.
+WORDS = 16
+#: Rows that one task numbers.
+NUMBERED = 1 << 20
+#: Levels of a path whose order is kept by names before it is made a number again.
+LEVELS = 8
 
 
 def forward_edges(edges: DataFrame) -> DataFrame:
@@ -29,63 +39,157 @@ def forward_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def _step(frontier: DataFrame, forward: DataFrame) -> DataFrame:
-    """The frontier's rows moved one edge forward; every other column travels along."""
-    carried = [c for c in frontier.columns if c not in NODE]
-    return frontier.join(forward, NODE).select("run_id", F.col("next").alias("task"), *carried)
+@dataclass
+class Numbered:
+    """`nodes` (run_id, task, node) numbers the ends of all forward edges by their names' order; `forward` (node, next) are the edges."""
+
+    nodes: DataFrame
+    forward: DataFrame
+
+    def entered(self, entries: DataFrame) -> DataFrame:
+        """`entries` with the number of their task; tasks without a forward edge have none, and stay alone."""
+        return entries.join(self.nodes, NODE, "left")
+
 
+def numbered(edges: DataFrame) -> Numbered:
+    """The graph of `edges` as numbers, written once, for several closures over it."""
+    named, _ = cut(forward_edges(edges), "forward")
+    ends = named.select("run_id", "task").unionByName(named.select("run_id", F.col("next").alias("task"))).distinct()
+    ordered = ends.repartitionByRange("task", "run_id").sortWithinPartitions("task", "run_id")
+    nodes, _ = cut(ordered.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    to = nodes.select("run_id", F.col("task").alias("next"), F.col("node").alias("to"))
+    forward, _ = cut(named.join(nodes, NODE).join(to, ["run_id", "next"]).select("node", F.col("to").alias("next")), "edges")
+    return Numbered(nodes, forward)
 
-def written_forward(edges: DataFrame) -> DataFrame:
-    """The forward edges as a written table, for several closures over the same edges."""
-    return cut(forward_edges(edges), "forward")[0]
 
+def _numbers(rows: DataFrame, name: str, label: str) -> tuple[DataFrame, int]:
+    """(name, no) for each distinct value of a column, dense but for the ends of runs of `NUMBERED`; and how many there are."""
+    distinct, n = cut(rows.select(name).distinct(), label)
+    tasks = -(-n // NUMBERED) or 1
+    return cut(distinct.repartition(tasks).withColumn("no", F.monotonically_increasing_id()), label)[0], n
 
-def reach(entries: DataFrame, edges: DataFrame, forward: DataFrame | None = None) -> DataFrame:
+
+class Closure:
+    """
+    Which subjects reach which tasks. `bits` has a row (node, block, w0, w1, ..)
+    for a task and a block of 64 * `words` subjects, once for each round in
+    which it got some of them; the sets of one task's rounds are disjoint.
+    """
+
+    def __init__(self, entries: DataFrame, graph: Numbered):
+        entries = entries.select("subject", *NODE).distinct()
+        self.graph = graph
+        self.subjects, n = _numbers(entries, "subject", "subjects")
+        self.words = min(WORDS, max(1, -(-n // 64)))
+        starts, _ = cut(graph.entered(entries).join(self.subjects, "subject"), "starts")
+        self.alone = starts.where("node IS NULL").select("subject", *NODE)
+        size = 64 * self.words
+        names = [f"w{j}" for j in range(self.words)]
+        place = F.col("no") % size
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+        log = RoundLog(entries.sparkSession, "closure")
+        fresh, rows = log.add(self._joined(starts.where("node IS NOT NULL").select(
+            "node", F.floor(F.col("no") / size).alias("block"), *(F.when(F.floor(place / 64) == j, one).otherwise(F.lit(0).cast("long")).alias(w) for j, w in enumerate(names)))))
+        self.rounds = [rows]
+        while rows:
+            arriving, rows = cut(self._joined(fresh.join(graph.forward, "node").drop("node").withColumnRenamed("next", "node")), "arriving")
+            if not rows:
+                break
+            # Only the sets of tasks that something arrives at are looked up.
+            had = self._joined(log.rows().join(arriving.select("node", "block"), ["node", "block"], "left_semi"))
+            had = had.select("node", "block", *(F.col(w).alias(f"had {w}") for w in names))
+            new = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"had {w}"), F.lit(0).cast("long")))).alias(w) for w in names]
+            changed = arriving.join(had, ["node", "block"], "left").select("node", "block", *new)
+            fresh, rows = log.add(changed.where(" OR ".join(f"{w} <> 0" for w in names)))
+            self.rounds.append(rows)
+        self.bits = log.rows()
+
+    def _joined(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node", "block").agg(*(F.bit_or(f"w{j}").alias(f"w{j}") for j in range(self.words)))
+
+    def _listed(self, rows: DataFrame, *more: str) -> DataFrame:
+        """(subject, run_id, task, ..) of the bits of `rows`."""
+        word = rows.select("node", "block", *more, F.posexplode(F.array(*(f"w{j}" for j in range(self.words)))).alias("j", "w")).where("w <> 0")
+        here = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("w"), i).bitwiseAND(F.lit(1)) != 0)
+        each = word.select("node", *more, (F.col("block") * (64 * self.words) + F.col("j") * 64).alias("first"), F.explode(here).alias("i"))
+        named = each.select("node", *more, (F.col("first") + F.col("i")).alias("no")).join(self.subjects, "no").join(self.graph.nodes, "node")
+        return named.select("subject", *NODE, *more)
+
+    def reached(self) -> DataFrame:
+        """(subject, run_id, task), entries included."""
+        return self._listed(self.bits).unionByName(self.alone)
+
+    def radius(self) -> DataFrame:
+        """(subject, run_id, task, exclusive): a task is exclusive when only one subject reaches it, which its bits say before any subject is listed."""
+        held = sum((F.bit_count(f"w{j}") for j in range(self.words)), F.lit(0)).cast("long")
+        total = self.bits.groupBy("node").agg(F.sum(held).alias("total")).select("node", (F.col("total") == 1).alias("exclusive"))
+        alone = blast_radius(self.alone)
+        return self._listed(self.bits.join(total, "node"), "exclusive").unionByName(alone.select("subject", *NODE, "exclusive"))
+
+
+def reach(entries: DataFrame, edges: DataFrame, graph: Numbered | None = None) -> DataFrame:
     """
     Every (subject, run_id, task) reachable from `entries` of the same shape,
-    entries included. `forward` is `written_forward` of the edges, if at hand.
+    entries included. `graph` is `numbered` of the edges, if at hand.
     """
-    keys = ["subject", *NODE]
-    forward = forward or written_forward(edges)
-    log = RoundLog(edges.sparkSession, "reach")
-    fresh, rows = log.add(entries.select(keys).distinct())
-    while rows:
-        fresh, rows = log.add(_step(fresh, forward).select(keys).distinct().join(log.rows(), keys, "left_anti"))
-    return log.rows()
+    return Closure(entries, graph or numbered(edges)).reached()
 
 
-# Stands between the tasks of a path while it grows. It sorts before any other
-# character, so paths compare as text exactly as they do task by task.
-STEP = "\x00"
+def _bytes(number):
+    """A number of eight bytes whose order is the number's."""
+    return F.unhex(F.lpad(F.hex(number), 16, "0"))
 
 
-def evidence_paths(entries: DataFrame, edges: DataFrame, forward: DataFrame | None = None) -> DataFrame:
+def evidence_paths(entries: DataFrame, edges: DataFrame, graph: Numbered | None = None) -> DataFrame:
     """
     (subject, run_id, task, hops, path): one shortest chain from an entry to
     each reached task, the smallest in element order among the shortest.
     Entries carry the path of themselves and hops 0.
 
-    The smallest path to a node extends the smallest path to its predecessor,
-    so one candidate per node and level is enough; the minimum is taken before
-    the shuffle.
+    The smallest path to a task extends the smallest path to its predecessor,
+    so a round needs no path but its rank among those of its level: `key`, the
+    rank of the path `LEVELS` levels ago and the numbers of the tasks since,
+    which are in the order of their names. Every `LEVELS` levels a distributed
+    sort makes the keys ranks again. A round adds (level, task, predecessor);
+    paths are put together once at the end by pointer doubling.
     """
+    graph = graph or numbered(edges)
     keys = ["subject", *NODE]
-    forward = forward or written_forward(edges)
-    start = entries.select(keys).distinct().withColumn("hops", F.lit(0)).withColumn("path", F.col("task"))
-    log, level = RoundLog(edges.sparkSession, "paths"), 0
-    fresh, rows = log.add(start)
+    entries = entries.select(keys).distinct()
+    numbers, _ = _numbers(entries, "subject", "subjects")
+    starts, _ = cut(graph.entered(entries).join(numbers, "subject"), "starts")
+    log, level = RoundLog(edges.sparkSession, "levels"), 0
+    fresh, rows = log.add(starts.where("node IS NOT NULL").select(
+        "no", "node", F.lit(0).alias("hops"), F.lit(None).cast("long").alias("before"), _bytes("node").alias("key")))
     while rows:
         level += 1
-        moved = (
-            _step(fresh.drop("hops"), forward).groupBy(keys).agg(F.min("path").alias("path"))
-            .join(log.rows().select(keys), keys, "left_anti")
-            .select(*keys, F.lit(level).alias("hops"), F.concat_ws(STEP, "path", "task").alias("path"))
-        )
+        moved = fresh.join(graph.forward, "node").groupBy("no", "next").agg(F.min(F.struct("key", "node")).alias("best"))
+        moved = moved.withColumnRenamed("next", "node").join(log.rows().select("no", "node"), ["no", "node"], "left_anti")
+        moved = moved.select("no", "node", F.lit(level).alias("hops"), F.col("best.node").alias("before"), F.concat("best.key", _bytes("node")).alias("key"))
+        if level % LEVELS == 0:
+            moved, _ = cut(moved, "ranked")
+            moved = moved.repartitionByRange("key").sortWithinPartitions("key").withColumn("key", _bytes(F.monotonically_increasing_id()))
         fresh, rows = log.add(moved)
-    return log.rows().withColumn("path", F.split("path", STEP))
-
-
-def sole_subject(peers: DataFrame, edges: DataFrame, forward: DataFrame | None = None) -> DataFrame:
+    paths = _paths(log.rows().drop("key"), graph.nodes, level)
+    alone = starts.where("node IS NULL").select(*keys, F.lit(0).alias("hops"), F.array("task").alias("path"))
+    return paths.join(numbers, "no").select(*keys, "hops", "path").unionByName(alone)
+
+
+def _paths(steps: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+    """(no, run_id, task, hops, path) of (no, node, hops, before): in each round a path of 2^k tasks is put before the one that it leads to."""
+    ahead = "ahead"
+    rows, _ = cut(steps.join(nodes, "node").select("no", "node", *NODE, "hops", F.col("before").alias(ahead), F.array("task").alias("path")), "paths")
+    span = 1
+    while span < levels:
+        told = rows.select("no", F.col("node").alias(ahead), F.col(ahead).alias("further"), F.col("path").alias("head"))
+        # A path of one level knows its one task; whatever leads on from an entry is whole.
+        rows, _ = cut(rows.join(told, ["no", ahead], "left").select(
+            "no", "node", *NODE, "hops", F.col("further").alias(ahead), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")), "paths")
+        span *= 2
+    return rows.drop("node", ahead)
+
+
+def sole_subject(peers: DataFrame, edges: DataFrame, graph: Numbered | None = None) -> DataFrame:
     """
     (kind, run_id, task, subject) from `peers` of the same columns: which
     single subject of a kind reaches each task, NULL where several do.
@@ -94,29 +198,37 @@ def sole_subject(peers: DataFrame, edges: DataFrame, forward: DataFrame | None =
     task instead of one per subject and task: a task is unreached, reached by
     one, or by several, so it changes at most twice.
     """
-    keys = ["kind", *NODE]
-    forward = forward or written_forward(edges)
+    keys = ["kind", "node"]
+    graph = graph or numbered(edges)
+    peers = peers.select("kind", *NODE, "subject").distinct()
+    numbers, _ = _numbers(peers, "subject", "subjects")
+    starts, _ = cut(graph.entered(peers).join(numbers, "subject"), "starts")
 
     def by_node(rows: DataFrame) -> DataFrame:
         # `several` is already known for some rows; otherwise two ends that differ show it.
-        ends = rows.groupBy(keys).agg(
-            F.min("subject").alias("low"), F.max("subject").alias("high"), F.max("several").alias("known"))
+        ends = rows.groupBy(keys).agg(F.min("no").alias("low"), F.max("no").alias("high"), F.max("several").alias("known"))
         several = F.col("known") | (F.col("low") != F.col("high"))
-        return ends.select(*keys, F.when(~several, F.col("low")).alias("subject"), several.alias("several"))
+        return ends.select(*keys, F.when(~several, F.col("low")).alias("no"), several.alias("several"))
 
     log = RoundLog(edges.sparkSession, "sole")
-    fresh, rows = log.add(by_node(peers.select(*keys, "subject").withColumn("several", F.lit(False))))
+    fresh, rows = log.add(by_node(starts.where("node IS NOT NULL").select(*keys, "no").withColumn("several", F.lit(False))))
     while rows:
-        arriving = by_node(_step(fresh, forward))
-        told = by_node(log.rows()).select(*keys, F.col("subject").alias("was"), F.col("several").alias("was_several"))
+        arriving, rows = cut(by_node(fresh.join(graph.forward, "node").drop("node").withColumnRenamed("next", "node")), "arriving")
+        if not rows:
+            break
+        told = by_node(log.rows().join(arriving.select(keys), keys, "left_semi")).select(
+            *keys, F.col("no").alias("was"), F.col("several").alias("was_several"))
         unmet = F.col("was_several").isNull()
         changed = (
             arriving.join(told, keys, "left")
-            .where(unmet | (~F.col("was_several") & (F.col("several") | (F.col("subject") != F.col("was")))))
-            .select(*keys, F.when(unmet, F.col("subject")).alias("subject"), (~unmet | F.col("several")).alias("several"))
+            .where(unmet | (~F.col("was_several") & (F.col("several") | (F.col("no") != F.col("was")))))
+            .select(*keys, F.when(unmet, F.col("no")).alias("no"), (~unmet | F.col("several")).alias("several"))
         )
         fresh, rows = log.add(changed)
-    return by_node(log.rows()).select(*keys, "subject")
+    ended = by_node(log.rows()).join(graph.nodes, "node").join(numbers, "no", "left").select("kind", *NODE, "subject")
+    alone = starts.where("node IS NULL").groupBy("kind", *NODE).agg(
+        F.when(F.min("subject") == F.max("subject"), F.min("subject")).alias("subject"))
+    return ended.unionByName(alone)
 
 
 def blast_radius(reached: DataFrame) -> DataFrame:

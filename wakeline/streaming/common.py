@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_keyed_state(groups: GroupedData, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+    """What a processor with states of its own makes of a stream's groups, for update mode. Such states live in RocksDB, beside the executor and in the checkpoint."""
+    groups._df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return groups.transformWithStateInPandas(processor, schema, "update", time_mode)
 
 
 def start_upserts(changes: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

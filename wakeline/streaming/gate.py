@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import json
-import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wakeline.operators.ledger import BLOCKED, CLEARED, check_types, decisive_facts
+from wakeline.streaming.common import with_keyed_state
 
 DECISION = "subject string, status string, seq bigint, event_type string, effective_from string"
-STATE = "at bigint, seq bigint, event_type string, effective_from string, pending string"
+FACT = "at bigint, seq bigint, event_type string, effective_from string"
 
 
 def stream_gate(entries: DataFrame, blocking, clearing, as_of: str) -> DataFrame:
@@ -30,44 +29,72 @@ def stream_gate(entries: DataFrame, blocking, clearing, as_of: str) -> DataFrame
     return latest.select("subject", F.when(F.col("f.event_type").isin(*blocking), BLOCKED).otherwise(CLEARED).alias("status"), "f.*")
 
 
-def stream_gate_now(entries: DataFrame, blocking, clearing, timer: bool = True) -> DataFrame:
+class _Due(StatefulProcessor):
+    """
+    The latest decisive fact of a subject, and an entry for each fact that waits for its time. A timer is set for
+    every waiting fact, so none is looked at before it is due.
+    """
+
+    def __init__(self, blocking, clock: bool):
+        self.blocks, self.clock = frozenset(blocking), clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", FACT)
+        self.waiting = handle.getMapState("waiting", "at bigint, seq bigint", "event_type string, effective_from string")
+
+    def _now(self, timers) -> int:
+        return timers.getCurrentWatermarkInMs() if self.clock else timers.getCurrentProcessingTimeInMs()
+
+    def _settled(self, key, facts: list[tuple]) -> Iterator[pd.DataFrame]:
+        held = self.current.get()
+        was = tuple(held) if held is not None else None
+        best = max([*facts, *([was] if was else [])], key=lambda f: (f[0], f[1]), default=None)
+        if best is None or best == was:
+            return
+        self.current.update(best)
+        yield pd.DataFrame({"subject": [key[0]], "status": [BLOCKED if best[2] in self.blocks else CLEARED], "seq": [best[1]],
+                            "event_type": [best[2]], "effective_from": [best[3]]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, due = self._now(timerValues), []
+        for batch in rows:
+            for at, seq, event_type, effective_from in batch[["at", "seq", "event_type", "effective_from"]].itertuples(index=False, name=None):
+                fact = (int(at), int(seq), event_type, effective_from)
+                # Facts' instants are in microseconds, timers in milliseconds.
+                if fact[0] <= now * 1000:
+                    due = [max([*due, fact])]
+                else:
+                    self.waiting.updateValue(fact[:2], fact[2:])
+                    self.handle.registerTimer(-(-fact[0] // 1000))
+        yield from self._settled(key, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs())
+        due = [(*map(int, k), *v) for k, v in self.waiting.iterator() if k[0] <= now * 1000]
+        for fact in due:
+            self.waiting.removeKey(fact[:2])
+        yield from self._settled(key, due)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_gate_now(entries: DataFrame, blocking, clearing, clock: str | None = None, delay: str = "0 seconds") -> DataFrame:
     """
     Latest decisive fact per subject as of the present, for update mode. A
-    future-dated fact waits in its subject's state until its time comes; a
-    plain maximum would let it win too early. State is one fact per subject
-    and those still waiting.
+    future-dated fact waits in its subject's state and takes effect by itself
+    when its time comes; a plain maximum would let it win too early.
 
-    With `timer` a waiting fact takes effect by itself; a query with a timer
-    never runs out of work, so one that is run to its end goes without, and
-    looks at what waits when the subject is next heard of.
+    The present is the machine's time, and such a query never runs out of
+    work; or, with `clock`, what that column of the entries (when each was
+    recorded) says, less `delay`, so a replay decides what the log's own time
+    decided. `delay` must cover how much the clock's order and the order of
+    arrival differ: what comes later than that is dropped by the stream.
     """
     check_types(blocking, clearing)
-    blocks = frozenset(blocking)
-
-    def settle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (None, None, None, None, "[]")
-        current = tuple(held[:4]) if held[0] is not None else None
-        now = state.getCurrentProcessingTimeMs() if timer else int(time.time() * 1000)
-        # Facts' instants are in microseconds. Only what is not yet due is kept back.
-        later, best = [], current
-        for facts in ([tuple(f) for f in json.loads(held[4])], *(
-                b[["at", "seq", "event_type", "effective_from"]].itertuples(index=False, name=None) for b in batches)):
-            for fact in facts:
-                if fact[0] > now * 1000:
-                    later.append((int(fact[0]), int(fact[1]), fact[2], fact[3]))
-                elif best is None or (fact[0], fact[1]) > (best[0], best[1]):
-                    best = fact
-        changed = best is not None and best != current
-        kept = (int(best[0]), int(best[1]), best[2], best[3]) if best else (None, None, None, None)
-        state.update((*kept, json.dumps(later)))
-        if timer and later:
-            state.setTimeoutDuration(max(1, min(f[0] for f in later) // 1000 - now))
-        if changed:
-            yield pd.DataFrame({"subject": [key[0]], "status": [BLOCKED if best[2] in blocks else CLEARED], "seq": [best[1]],
-                                "event_type": [best[2]], "effective_from": [best[3]]})
-
+    if clock is not None:
+        entries = entries.withWatermark(clock, delay)
     facts = decisive_facts(entries, blocking, clearing).select(
-        "subject", F.unix_micros("effective_ts").alias("at"), "seq", "event_type", "effective_from")
-    return facts.groupBy("subject").applyInPandasWithState(
-        settle, DECISION, STATE, "update",
-        GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
+        "subject", F.unix_micros("effective_ts").alias("at"), "seq", "event_type", "effective_from", *([clock] if clock else []))
+    return with_keyed_state(facts.groupBy("subject"), _Due(blocking, clock is not None), DECISION, "EventTime" if clock else "ProcessingTime")
