@@ -4,7 +4,7 @@ DataFrame operations only.
 
 A paragraph is a line, a section up to eight lines and the blank lines after
 them. A paragraph's node is the first 128 bits of its SHA-256, followed by 32
-bits for each of its pieces (up to 24 code points of a sentence, and what ends
+bits for each of its pieces (up to 32 code points of a sentence, and what ends
 it), so an edit inside a paragraph is seen beside what it left alone. A section's hash is
 the MD5 of its paragraphs' hashes, the root, which is the fingerprint, the
 SHA-256 of the sections' hashes. `tree` gives the nodes of a text, `root` the
@@ -41,7 +41,7 @@ from .common import cut, text_of
 #: Lines and their ends: up to eight in a section, with the blank lines that follow.
 SECTION = r"(?:[^\n]+\n?){1,8}\n*|\n+"
 PARAGRAPH = r"[^\n]*\n|[^\n]+"
-PIECE = r"[^\n.!?]{1,24}[\n.!?]*|[\n.!?]+"
+PIECE = r"[^\n.!?]{1,32}[\n.!?]*|[\n.!?]+"
 #: Hexadecimal digits of a paragraph's and of a piece's hash.
 WIDE, NARROW = 32, 8
 #: Rows with one id and text that one task returns at a time.
@@ -154,7 +154,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     links = _in_order(rows.select("id", "sha", F.length("body").alias("n")))
     # Ids may be null: two columns that are not stand for the key.
     def key(i, sha):
-        return F.xxhash64(i, sha).alias("key"), F.concat_ws(":", sha, i).alias("name")
+        return F.xxhash64(i, sha).alias("key"), F.concat(F.unhex(sha), F.coalesce(i.cast("string"), F.lit("")).cast("binary")).alias("name")
     texts = rows.select(*key(F.col("id"), F.col("sha")), "body").groupBy("key", "name").agg(F.first("body").alias("body"))
     links = links.select(*key(F.col("id"), F.col("sha")), "id", "copies", "next", "prev")
     here = texts.join(links, ["key", "name"]).withColumn("tree", tree(F.col("body"))).withColumn("fingerprint", root(F.col("tree")))
@@ -176,7 +176,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
         both = _with_likeness(both, "tree", f"{name}_tree", equal, f"near_{name}").drop(f"{name}_tree")
     # Copies of a hot row are written out by many tasks.
     some = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))
-    dealt = both.withColumn("part", F.explode(some)).repartition("fingerprint", "part")
+    dealt = both.withColumn("part", F.explode(some)).repartition("id", "part")
     n = F.least(F.lit(COPIES), F.col("times") - F.col("part") * COPIES).cast("int")
     return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), n))).select(
         "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
