@@ -17,10 +17,6 @@ def _asked(spark, sf):
     return pairs.join(d.refused_pairs(pairs).select("pair_id"), "pair_id", "left_anti")
 
 
-def _side(spark, sf, name):
-    return d.sides(_asked(spark, sf), table(spark, sf, name))
-
-
 def _drift(spark, sf):
     return d.drift(_asked(spark, sf), *[table(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs")])
 
@@ -29,21 +25,23 @@ def _items(spark, sf):
     return staged(spark, sf, "drift-items", lambda: _drift(spark, sf).items)
 
 
+def _after(spark, sf, signatures):
+    """What the after run of every asked pair says of its tasks."""
+    return d.sides(_asked(spark, sf), signatures)[1]
+
+
 def input_signature(spark, sf):
-    (_, tasks), (_, edges), (_, outputs) = (_side(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs"))
-    signed = d.input_signature(edges, outputs, tasks)
-    same = signed.groupBy("pair_id", "inputs").agg(F.count("*").alias("tasks"))
-    return signed.join(same, ["pair_id", "inputs"], "left").select("pair_id", "task", F.col("inputs").isNull().alias("unknown"), "tasks")
+    signed = d.input_signature(table(spark, sf, "run_edges"), table(spark, sf, "run_outputs"), table(spark, sf, "run_tasks"))
+    return _after(spark, sf, signed).select("pair_id", "task", "inputs")
 
 
 def output_signature(spark, sf):
-    _, outputs = _side(spark, sf, "run_outputs")
-    return d.output_signature(outputs, ("out-1.*",)).select("pair_id", "task", F.col("outputs").isNull().alias("unknown"))
+    return _after(spark, sf, d.output_signature(table(spark, sf, "run_outputs"), ("out-1.*",))).select("pair_id", "task", "outputs")
 
 
 def pair_tasks(spark, sf):
-    (tb, ta), (eb, ea), (ob, oa) = (_side(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs"))
-    return d.pair_tasks((tb, eb, ob), (ta, ea, oa)).select("pair_id", "name", "before", "after", F.col("note").isNotNull().alias("unpaired"))
+    paired = d.pair_tasks(_asked(spark, sf), *(table(spark, sf, f"run_{n}") for n in ("tasks", "edges", "outputs")))
+    return paired.select("pair_id", "name", "before", "after", F.col("note").isNotNull().alias("unpaired"))
 
 
 def drift_verdicts(spark, sf):
@@ -215,12 +213,22 @@ def both_ways(body: str, **options) -> str:
                   *RUNS, "pairs", extra=FORTH + BACK, **options)
 
 
+def _bag(text: str) -> str:
+    """The count of some texts and the sums of the first four words of their SHA-256."""
+    words = ", ".join(f"coalesce(sum(('0x' || substr(sha256({text}), {8 * k + 1}, 8))::BIGINT), 0)::HUGEINT::VARCHAR" for k in range(4))
+    return f"concat_ws(':', count({text})::VARCHAR, {words})"
+
+
 ORACLES = {
-    "input_signature": oracle("""SELECT pair_id, task, sig IS NULL AS unknown, CASE WHEN sig IS NOT NULL THEN count(*) OVER (PARTITION BY pair_id, sig) END AS tasks
-        FROM (SELECT p.pair_id, t.task, CASE WHEN s.task IS NULL THEN [] ELSE s.inputs END AS sig FROM pairs p JOIN run_tasks t ON t.run_id = p.after_run
-              LEFT JOIN f_sig s ON s.run_id = t.run_id AND s.task = t.task WHERE before_session <> after_session) t""", *RUNS, "pairs", extra=FORTH),
-    "output_signature": oracle("""SELECT pair_id, task, count(digest) < count(*) AS unknown FROM run_outputs o JOIN pairs p ON o.run_id = p.after_run
-        WHERE file <> 'out-1.dat' AND before_session <> after_session GROUP BY ALL""", "run_outputs", "pairs"),
+    "input_signature": oracle(f"""SELECT pair_id, t.task, CASE WHEN s.task IS NULL THEN '0:0:0:0:0' WHEN s.whole THEN s.sig END AS inputs
+        FROM pairs p JOIN run_tasks t ON t.run_id = p.after_run LEFT JOIN (
+            SELECT e.run_id, consumer AS task, count(d) = count(*) AS whole, {_bag("d")} AS sig
+            FROM (SELECT e.run_id, consumer, coalesce(e.digest, o.digest) AS d FROM run_edges e LEFT JOIN run_outputs o
+                  ON o.run_id = e.run_id AND o.task = producer AND o.file = filename) e GROUP BY ALL) s
+        ON s.run_id = t.run_id AND s.task = t.task WHERE before_session <> after_session""", *RUNS, "pairs"),
+    "output_signature": oracle(f"""SELECT pair_id, task, CASE WHEN count(digest) = count(*) THEN {_bag("concat(file, chr(10), digest)")} END AS outputs
+        FROM run_outputs o JOIN pairs p ON o.run_id = p.after_run
+        WHERE file <> 'out-1.dat' AND before_session <> after_session GROUP BY pair_id, task""", "run_outputs", "pairs"),
     "pair_tasks": both_ways("SELECT name, before, after, unpaired FROM @paired"),
     "drift_verdicts": both_ways("SELECT task, before, after, process, verdict, cause, n_follows FROM @items"),
     "drift_cause": both_ways("SELECT task, cause, inputs_changed, first_input FROM @items WHERE verdict = 'DRIFTED'"),

@@ -1,10 +1,12 @@
 """
 Where two runs of a workflow part ways, and why, for many pairs of runs.
 
-A side of a comparison is a table keyed by pair_id. Lists of digests are
-compared as fixed-width bags, so a task or a name with very many rows is
-summed before the shuffle and never gathered. What a reader wants listed
-(changed files, changed inputs, tasks followed) comes as rows of its own.
+What one run says about a task (what it read, what it wrote, what fed it) is
+worked out once per run, however many pairs the run is in; a pair then joins
+rows of one per task. Lists of digests are compared as fixed-width bags, so a
+task or a name with very many rows is summed before the shuffle and never
+gathered. What a reader wants listed (changed files, changed inputs, tasks
+followed) comes as rows of its own.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.digests import bag, recorded
 from wakeline.functions.text import basename, ignored, short_process
-from wakeline.operators.graph import EXTERNAL
+from wakeline.operators.graph import EXTERNAL, NODE, forward_edges
 from wakeline.session import cut
 
 # Output names that are bookkeeping, and the bag of nothing.
 BOOKKEEPING = ("versions.yml",)
-EMPTY_BAG = "0:0:0"
+EMPTY_BAG = "0:0:0:0:0"
 UNPAIRED = "ambiguous name"
 
 PAIR = ["pair_id", "task"]
@@ -41,84 +43,72 @@ def refused_pairs(pairs: DataFrame) -> DataFrame:
 
 def output_digest_lookup(outputs: DataFrame) -> DataFrame:
     """
-    (pair_id, producer, name, digest): a producer's digest under a file's full
+    (run_id, producer, name, digest): a producer's digest under a file's full
     name, else under its basename. The last record of a full name and the
     first of a basename count.
     """
     known = outputs.where(recorded(F.col("digest")))
     order = F.col("file_ix")
     pick = lambda rank, place: F.struct(F.lit(rank).alias("rank"), place.alias("place")).alias("pick")
-    own = ["pair_id", F.col("task").alias("producer")]
+    own = ["run_id", F.col("task").alias("producer")]
     full = known.select(*own, F.col("file").alias("name"), "digest", pick(0, -order))
     base = known.where(F.contains("file", F.lit("/"))).select(*own, basename(F.col("file")).alias("name"), "digest", pick(1, order))
-    return full.unionByName(base).groupBy("pair_id", "producer", "name").agg(F.min_by("digest", "pick").alias("digest"))
+    return full.unionByName(base).groupBy("run_id", "producer", "name").agg(F.min_by("digest", "pick").alias("digest"))
 
 
 def input_digests(edges: DataFrame, outputs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(pair_id, task, digest): one row per input of each wanted task, digest NULL where nobody recorded one."""
+    """(run_id, task, digest): one row per input of each wanted task, digest NULL where nobody recorded one."""
     lookup = output_digest_lookup(outputs)
-    read = edges.join(wanted.select("pair_id", F.col("task").alias("consumer")), ["pair_id", "consumer"], "left_semi")
+    read = edges.join(wanted.select("run_id", F.col("task").alias("consumer")), ["run_id", "consumer"], "left_semi")
     base = basename(F.col("filename"))
     return (
-        read.select("pair_id", "consumer", "producer", "filename",
+        read.select("run_id", "consumer", "producer", "filename",
                     F.when(base != F.col("filename"), base).alias("base"),
                     F.when(recorded(F.col("digest")), F.col("digest")).alias("own"))
-        .join(lookup.select("pair_id", "producer", F.col("name").alias("filename"), F.col("digest").alias("by_name")),
-              ["pair_id", "producer", "filename"], "left")
-        .join(lookup.select("pair_id", "producer", F.col("name").alias("base"), F.col("digest").alias("by_base")),
-              ["pair_id", "producer", "base"], "left")
-        .select("pair_id", F.col("consumer").alias("task"), F.coalesce("own", "by_name", "by_base").alias("digest"))
+        .join(lookup.select("run_id", "producer", F.col("name").alias("filename"), F.col("digest").alias("by_name")),
+              ["run_id", "producer", "filename"], "left")
+        .join(lookup.select("run_id", "producer", F.col("name").alias("base"), F.col("digest").alias("by_base")),
+              ["run_id", "producer", "base"], "left")
+        .select("run_id", F.col("consumer").alias("task"), F.coalesce("own", "by_name", "by_base").alias("digest"))
     )
 
 
 def input_signature(edges: DataFrame, outputs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
-    (pair_id, task, inputs): the bag of digests each wanted task consumed, NULL
-    when any input lacks one and the empty bag when it consumed nothing. Equal
-    bags make a candidate; `same_inputs` settles it.
+    (run_id, task, inputs): the bag of digests each wanted task consumed, NULL
+    when any input lacks one and the empty bag when it consumed nothing.
     """
-    bags = input_digests(edges, outputs, wanted).groupBy(PAIR).agg(
+    bags = input_digests(edges, outputs, wanted).groupBy(NODE).agg(
         F.when(F.count("digest") == F.count(F.lit(1)), bag(F.col("digest"))).alias("inputs"), F.lit(True).alias("fed"))
-    return wanted.select(PAIR).join(bags, PAIR, "left").select(
-        *PAIR, F.when(F.col("fed"), F.col("inputs")).otherwise(F.lit(EMPTY_BAG)).alias("inputs"))
+    return wanted.select(NODE).join(bags, NODE, "left").select(
+        *NODE, F.when(F.col("fed"), F.col("inputs")).otherwise(F.lit(EMPTY_BAG)).alias("inputs"))
 
 
-def same_inputs(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """The `pairs` (pair_id, before, after, ..) whose input digests (pair_id, task, digest) agree one by one, with their multiplicities."""
-    key = ["pair_id", "before", "after", "digest"]
-    count = lambda rows, side: rows.withColumnRenamed("task", side).join(pairs.select(*key[:3]), ["pair_id", side]).groupBy(key).agg(F.count("*").alias(f"n_{side}"))
-    differ = count(before, "before").join(count(after, "after"), key, "full").where(~F.col("n_before").eqNullSafe(F.col("n_after")))
-    return pairs.join(differ.select(*key[:3]).distinct(), key[:3], "left_anti")
-
-
-def pair_tasks(before: tuple, after: tuple) -> DataFrame:
+def pair_tasks(pairs: DataFrame, tasks: DataFrame, edges: DataFrame, outputs: DataFrame) -> DataFrame:
     """
-    (pair_id, name, before, after, note) from two sides (tasks, edges, outputs).
+    (pair_id, name, before, after, note) for pairs of runs of these tables.
 
     Unique names pair by name. Repeated names pair where one task on each side
     has the same input signature; one leftover on each side pairs by
     elimination; the rest stays unpaired and says so.
     """
     name = ["pair_id", "name"]
-
-    def live(side):
-        return side[0].where(~F.coalesce(F.col("superseded"), F.lit(False))).select(*PAIR, F.coalesce("name", F.lit("")).alias("name"))
-
-    b, a = live(before), live(after)
-    counts = (
-        b.groupBy(name).agg(F.count("*").alias("nb"))
-        .join(a.groupBy(name).agg(F.count("*").alias("na")), name, "full").na.fill(0, ["nb", "na"]))
+    live = tasks.where(~F.coalesce(F.col("superseded"), F.lit(False))).select(*NODE, F.coalesce("name", F.lit("")).alias("name"))
+    b, a = sides(pairs, live)
+    nb, na = sides(pairs, live.groupBy("run_id", "name").agg(F.count("*").alias("n")))
+    counts = nb.withColumnRenamed("n", "nb").join(na.withColumnRenamed("n", "na"), name, "full").na.fill(0, ["nb", "na"])
+    counts, _ = cut(counts, "drift-names")
     repeated = counts.where((F.col("nb") > 1) | (F.col("na") > 1)).select(*name)
 
-    def alone(side, tasks, alias):
-        wanted = tasks.join(repeated, name, "left_semi")
-        signed = wanted.join(input_signature(side[1], side[2], wanted), PAIR).where("inputs IS NOT NULL")
-        return signed.groupBy(*name, "inputs").agg(F.count("*").alias("n"), F.min("task").alias(alias)).where("n = 1").drop("n")
-
-    alike, _ = cut(alone(before, b, "before").join(alone(after, a, "after"), [*name, "inputs"]).select(
-        *name, "before", "after"), "alike-pairs")
-    inputs_of = lambda side, end: input_digests(side[1], side[2], alike.select("pair_id", F.col(end).alias("task")))
-    signed, _ = cut(same_inputs(alike, inputs_of(before, "before"), inputs_of(after, "after")), "signed-pairs")
+    # Which task of a run alone has a name and inputs is the run's to say, not the pair's.
+    ends = pairs.select("pair_id", F.explode(F.array("before_run", "after_run")).alias("run_id")).distinct()
+    asked = live.join(ends.join(repeated, "pair_id").select("run_id", "name").distinct(), ["run_id", "name"], "left_semi")
+    asked, _ = cut(asked, "drift-asked")
+    signed = asked.join(input_signature(edges, outputs, asked), NODE).where("inputs IS NOT NULL")
+    alone, _ = cut(signed.groupBy("run_id", "name", "inputs").agg(F.count("*").alias("n"), F.min("task").alias("task")).where("n = 1").drop("n"), "drift-alone")
+    one_b, one_a = sides(pairs, alone)
+    signed, _ = cut(one_b.withColumnRenamed("task", "before").join(one_a.withColumnRenamed("task", "after"), [*name, "inputs"]).join(
+        repeated, name, "left_semi").select(*name, "before", "after"), "drift-signed")
 
     left_b = b.join(signed.select("pair_id", F.col("before").alias("task")), PAIR, "left_anti")
     left_a = a.join(signed.select("pair_id", F.col("after").alias("task")), PAIR, "left_anti")
@@ -137,19 +127,22 @@ def pair_tasks(before: tuple, after: tuple) -> DataFrame:
     )
 
 
+def written_files(outputs: DataFrame, ignore=BOOKKEEPING) -> DataFrame:
+    """(run_id, task, file, digest) after ignore globs; the last record of a file counts."""
+    return outputs.where(~ignored(F.col("file"), ignore)).groupBy(*NODE, "file").agg(F.max_by(F.struct("digest"), "file_ix")["digest"].alias("digest"))
+
+
 def output_signature(outputs: DataFrame, ignore=BOOKKEEPING) -> DataFrame:
-    """(pair_id, task, outputs): the bag of (file, digest) after ignore globs, NULL if any lacks a digest."""
-    kept = outputs.where(~ignored(F.col("file"), ignore)).groupBy(*PAIR, "file").agg(
-        F.max_by("digest", "file_ix").alias("digest"))
+    """(run_id, task, outputs): the bag of (file, digest) after ignore globs, NULL if any lacks a digest."""
     known = recorded(F.col("digest"))
-    return kept.groupBy(PAIR).agg(F.when(
-        F.count_if(known) == F.count(F.lit(1)), bag(F.concat_ws("\n", "file", "digest"))).alias("outputs"))
+    return written_files(outputs, ignore).groupBy(NODE).agg(F.when(
+        F.count_if(known) == F.count(F.lit(1)), bag(F.concat_ws("\n", "file", "digest"))).alias("outputs"), F.lit(True).alias("wrote"))
 
 
 def external_inputs(edges: DataFrame) -> DataFrame:
-    """(pair_id, task, filename, digest) of outside inputs; the last edge of a name counts."""
+    """(run_id, task, filename, digest) of outside inputs; the last edge of a name counts."""
     return edges.where(F.col("producer") == EXTERNAL).groupBy(
-        "pair_id", F.col("consumer").alias("task"), "filename").agg(
+        "run_id", F.col("consumer").alias("task"), "filename").agg(
         F.max_by(F.struct("digest"), "edge_ix")["digest"].alias("digest"))
 
 
@@ -169,49 +162,49 @@ def drift(pairs: DataFrame, tasks: DataFrame, edges: DataFrame, outputs: DataFra
     drifted, downstream or unsettled, and all three weigh the same on what
     they feed, so looking at the direct producers settles it.
     """
-    (tb, ta), (eb, ea), (ob, oa) = (sides(pairs, t) for t in (tasks, edges, outputs))
-    paired = pair_tasks((tb, eb, ob), (ta, ea, oa))
-    paired, _ = cut(paired, "drift-pairs")
-    # File by file: the verdict, and the files that differ, follow from the same rows; no hash of a set decides.
-    ends = paired.where("before IS NOT NULL AND after IS NOT NULL").select("pair_id", "before", "after")
-    wrote = lambda o, side: o.where(~ignored(F.col("file"), ignore)).groupBy(
-        "pair_id", F.col("task").alias(side), "file").agg(F.max_by("digest", "file_ix").alias(f"digest_{side}")).join(ends, ["pair_id", side]).withColumn(f"in_{side}", F.lit(True))
-    compared_files, _ = cut(wrote(ob, "before").join(wrote(oa, "after"), ["pair_id", "before", "after", "file"], "full"), "drift-files")
-    blank = lambda side: F.col(f"in_{side}").isNotNull() & ~F.coalesce(recorded(F.col(f"digest_{side}")), F.lit(False))
-    unequal = ~F.col("digest_after").eqNullSafe(F.col("digest_before"))
-    told = compared_files.groupBy("pair_id", "before", "after").agg(
-        F.count_if(blank("before") | blank("after")).alias("blanks"), F.count_if(unequal).alias("unequal"))
+    runs = pairs.select(F.explode(F.array("before_run", "after_run")).alias("run_id")).distinct()
+    tasks, edges, outputs = (t.join(runs, "run_id", "left_semi") for t in (tasks, edges, outputs))
+    tb, ta = sides(pairs, tasks)
+    paired = pair_tasks(pairs, tasks, edges, outputs).join(pairs.select("pair_id", "before_run", "after_run"), "pair_id")
+
+    def by_end(rows: DataFrame, side: str, **names: str) -> DataFrame:
+        """Rows of a run's tasks, as rows of a pair's one side."""
+        return rows.select(F.col("run_id").alias(f"{side}_run"), F.col("task").alias(side), *(F.col(old).alias(new) for old, new in names.items()))
+
+    signed, _ = cut(output_signature(outputs, ignore), "drift-outputs")
+    keys = {side: [f"{side}_run", side] for side in ("before", "after")}
+    paired = paired.join(by_end(signed, "before", outputs="was", wrote="wrote_before"), keys["before"], "left").join(
+        by_end(signed, "after", outputs="now", wrote="wrote_after"), keys["after"], "left")
+    # A task that wrote nothing has the empty bag; one that wrote something without a digest has none.
+    bag_of = lambda c, wrote: F.when(F.col(wrote), F.col(c)).otherwise(F.lit(EMPTY_BAG))
+    was, now = bag_of("was", "wrote_before"), bag_of("now", "wrote_after")
     state = (
         F.when(F.col("note").isNotNull(), "UNPAIRED").when(F.col("before").isNull(), "ADDED")
-        .when(F.col("after").isNull(), "REMOVED").when(F.col("blanks") > 0, "NODIGEST")
-        .when(F.col("unequal") > 0, "DIFF").otherwise("SAME"))
-    base, _ = cut(
-        paired.join(told, ["pair_id", "before", "after"], "left")
-        .select("pair_id", "name", "before", "after", F.coalesce("after", "before").alias("task"), state.alias("state")), "drift-base")
+        .when(F.col("after").isNull(), "REMOVED").when(was.isNull() | now.isNull(), "NODIGEST")
+        .when(was != now, "DIFF").otherwise("SAME"))
+    base, _ = cut(paired.select("pair_id", "before_run", "after_run", "name", "before", "after", F.coalesce("after", "before").alias("task"), state.alias("state")), "drift-base")
 
     # Producers of the after run that differ, or that could not be compared.
     troubled = base.where(F.col("after").isNotNull() & F.col("state").isin("DIFF", "NODIGEST", "UNPAIRED")).select(
-        "pair_id", F.col("after").alias("producer"), (F.col("state") == "DIFF").alias("differs"))
-    feeds = ea.where(F.col("producer").isNotNull() & (F.col("producer") != EXTERNAL) & (F.col("producer") != F.col("consumer"))).select(
-        "pair_id", "producer", F.col("consumer").alias("after")).distinct()
+        "pair_id", "after_run", F.col("after").alias("producer"), (F.col("state") == "DIFF").alias("differs"))
+    feeds = forward_edges(edges).select(F.col("run_id").alias("after_run"), F.col("task").alias("producer"), F.col("next").alias("after"))
     compared = base.where(F.col("state").isin("SAME", "DIFF")).select("pair_id", "after", "state")
-    upstream = feeds.join(troubled, ["pair_id", "producer"]).join(compared, ["pair_id", "after"])
+    upstream, _ = cut(troubled.join(feeds, ["after_run", "producer"]).drop("after_run").join(compared, ["pair_id", "after"]), "drift-upstream")
     met = upstream.groupBy("pair_id", "after").agg(
         F.count_if("differs").alias("n_differ"), F.count_if(~F.col("differs")).alias("n_unknown"))
 
-    was, now = external_inputs(eb), external_inputs(ea)
-    diff = base.where(F.col("state") == "DIFF").select("pair_id", "before", "after")
+    diff = base.where(F.col("state") == "DIFF").select("pair_id", "before_run", "after_run", "before", "after")
+    outside, _ = cut(external_inputs(edges), "drift-outside")
     inputs = (
-        now.withColumnRenamed("task", "after").join(diff, ["pair_id", "after"])
-        .join(was.select("pair_id", F.col("task").alias("before"), "filename", F.col("digest").alias("was")),
-              ["pair_id", "before", "filename"], "left")
+        diff.join(by_end(outside, "after", filename="filename", digest="digest"), keys["after"])
+        .join(by_end(outside, "before", filename="filename", digest="was"), [*keys["before"], "filename"], "left")
         .where(~F.col("digest").eqNullSafe(F.col("was"))).select("pair_id", "after", "filename"))
     changed = inputs.groupBy("pair_id", "after").agg(
         F.count("*").alias("inputs_changed"), F.min("filename").alias("first_input"), bag(F.col("filename")).alias("inputs_key"))
     recipe = lambda t, side: t.select(
         "pair_id", F.col("task").alias(side), *[F.coalesce(c, F.lit("")).alias(f"{c}_{side}") for c in ("container", "script")])
     causes = (
-        diff.join(recipe(tb, "before"), ["pair_id", "before"]).join(recipe(ta, "after"), ["pair_id", "after"])
+        diff.select("pair_id", "before", "after").join(recipe(tb, "before"), ["pair_id", "before"]).join(recipe(ta, "after"), ["pair_id", "after"])
         .join(changed, ["pair_id", "after"], "left"))
     shown = lambda c: F.when(F.col(c) == "", "?").otherwise(F.col(c))
     causes = causes.select(
@@ -246,8 +239,11 @@ def drift(pairs: DataFrame, tasks: DataFrame, edges: DataFrame, outputs: DataFra
     after_rows = items.where("after IS NOT NULL").join(about(ta), PAIR, "left")
     before_rows = items.where("after IS NULL").join(about(tb), PAIR, "left")
 
-    files = compared_files.where(F.col("in_after") & unequal).join(diff, ["pair_id", "before", "after"]).select(
-        "pair_id", F.col("after").alias("task"), "file")
+    wrote = written_files(outputs, ignore)
+    files = (
+        diff.join(by_end(wrote, "after", file="file", digest="digest"), keys["after"])
+        .join(by_end(wrote, "before", file="file", digest="was"), [*keys["before"], "file"], "left")
+        .where(~F.col("digest").eqNullSafe(F.col("was"))).select("pair_id", F.col("after").alias("task"), "file"))
     # A task that differs follows its drifted producers, or failing those its unverified ones.
     follows = upstream.join(met, ["pair_id", "after"]).where(
         F.col("differs") | ((F.col("state") == "DIFF") & (F.col("n_differ") == 0))
