@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.canonical import GENESIS, event_hash, json_string
 from wakeline.functions.instants import date_only, in_effect, instant
+from wakeline.session import cut
 
 BLOCKED, CLEARED, UNKNOWN = "BLOCKED", "CLEARED", "UNKNOWN"
 POLICY_ADOPTED = "PolicyAdopted"
@@ -214,9 +215,10 @@ def policy_in_force(entries: DataFrame, dates: DataFrame, event_type: str = POLI
     (log_id, as_of, version, policy_hash, seq) for every asked (log_id, as_of):
     the latest adoption in effect, NULL where there is none.
 
-    An as-of join in two steps, so a long log is not one task's work: the
-    latest within the asked day, else the last one of an earlier day. Only one
-    row per day takes part in the second step.
+    An as-of join by ranges: adoptions and questions are sorted together and
+    cut into ranges of one size, whatever a log or a day holds. Each range
+    answers its own questions, and hands the last adoption of each log on to
+    the ranges after it; that table has a row per log and one per range.
     """
     what = F.struct("version", "policy_hash", "seq")
     made = adoptions(entries, event_type).where("effective_ts IS NOT NULL").select(
@@ -227,13 +229,14 @@ def policy_in_force(entries: DataFrame, dates: DataFrame, event_type: str = POLI
     asked = dates.select("log_id", "as_of").distinct().select(
         "log_id", "as_of", at.alias("at"), turn.alias("turn"), F.lit(None).cast("bigint").alias("seq"),
         F.lit(None).cast(made.schema["found"].dataType).alias("found"))
-    rows = made.unionByName(asked).withColumn("day", F.to_date("at"))
-    running = Window.partitionBy("log_id", "day").orderBy("at", "turn", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    within = rows.withColumn("same_day", F.last("found", ignorenulls=True).over(running)).where("as_of IS NOT NULL")
-    days = rows.groupBy("log_id", "day").agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.struct("at", "seq"))).alias("last"))
-    before = Window.partitionBy("log_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("log_id", "day", F.last("last", ignorenulls=True).over(before).alias("earlier"))
-    return within.join(days, ["log_id", "day"], "left").withColumn("found", F.coalesce("same_day", "earlier")).select(
+    rows = made.unionByName(asked).repartitionByRange("log_id", "at", "turn", "seq", "as_of")
+    rows, _ = cut(rows.withColumn("range", F.spark_partition_id()), "as-of")
+    running = Window.partitionBy("range", "log_id").orderBy("at", "turn", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumn("here", F.last("found", ignorenulls=True).over(running)).where("as_of IS NOT NULL")
+    last = rows.groupBy("log_id", "range").agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.struct("at", "seq"))).alias("last"))
+    before = Window.partitionBy("log_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select("log_id", "range", F.last("last", ignorenulls=True).over(before).alias("earlier"))
+    return within.join(handed, ["log_id", "range"], "left").withColumn("found", F.coalesce("here", "earlier")).select(
         "log_id", "as_of", "found.version", "found.policy_hash", "found.seq")
 
 

@@ -70,17 +70,38 @@ def storage_state(resolved: DataFrame) -> DataFrame:
                            .otherwise("DESTROYED").alias("storage"))
 
 
+def folder_bytes(files: DataFrame) -> DataFrame:
+    """
+    (run_id, rel, bytes) of every folder that holds one of `files` (run_id,
+    path, size) at any depth. Files are summed by their folder first; then, from
+    the deepest level up, a folder hands its total to the one above it, so a
+    folder is written once, however deep its files lie.
+    """
+    parent = lambda path: F.regexp_replace(path, "/[^/]*$", "")
+    depth = lambda path: F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    own = files.where(F.contains("path", F.lit("/"))).groupBy("run_id", parent(F.col("path")).alias("rel")).agg(F.sum("size").alias("bytes"))
+    own, n = cut(own.withColumn("depth", depth(F.col("rel"))), "folders")
+    log, above = RoundLog(files.sparkSession, "folder-bytes"), None
+    # One row: the deepest level.
+    for level in range(own.agg(F.max("depth")).first()[0] if n else -1, -1, -1):
+        here = own.where(F.col("depth") == level).select("run_id", "rel", "bytes")
+        if above is not None:
+            here = here.unionByName(above).groupBy("run_id", "rel").agg(F.sum("bytes").alias("bytes"))
+        here, _ = log.add(here)
+        above = here.select("run_id", parent(F.col("rel")).alias("rel"), "bytes")
+    return log.rows() if n else own.select("run_id", "rel", "bytes")
+
+
 def dir_bytes(resolved: DataFrame, work: DataFrame, object_store: bool = False) -> DataFrame:
     """
     (run_id, task, bytes) freed by removing each directory: files with one
     link and no symlink; on an object store every object. A file counts for
-    every directory above it, found by an equi-join on its ancestors.
+    every directory above it.
     """
     files = work.where("NOT is_dir")
     if not object_store:
         files = files.where((F.col("links") == 1) & F.col("link_target").isNull())
-    sizes = files.select("run_id", "size", F.explode(ancestors(F.col("path"))["folder"]).alias("rel")).groupBy(
-        "run_id", "rel").agg(F.sum("size").alias("bytes"))
+    sizes = folder_bytes(files.select("run_id", "path", "size"))
     return resolved.where("on_disk").join(sizes, ["run_id", "rel"], "left").select(
         *NODE, F.coalesce("bytes", F.lit(0)).alias("bytes"))
 

@@ -70,23 +70,33 @@ def match_container(tasks: DataFrame, needles: DataFrame) -> DataFrame:
     return tasks.select(*NODE, "container").join(hits, "container").select("trigger_id", *NODE, "how")
 
 
+def _pieces(text, sizes):
+    """The distinct pieces of a text that have one of `sizes` letters."""
+    of_size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0)), F.lit(1)), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.when(F.length(text) >= n, of_size(n)).otherwise(F.array().cast("array<string>")))))
+
+
 def match_field(tasks: DataFrame, needles: DataFrame, field: str) -> DataFrame:
     """
     Tasks whose field contains the needle, case and all: (trigger_id, run_id, task).
 
-    Each distinct text offers its 1-, 2- and 3-letter pieces under a number of
-    its own, of which it must hold the needle's first. Only texts that this
-    leaves are fetched, and the whole needle is tested on them.
+    An index lists, under a number for each distinct text, the letter pieces of
+    it that any needle has too. A needle asks by the one of its pieces that
+    fewest texts hold; only the texts that this leaves are fetched, and the
+    whole needle is tested on them. Needles of one or two letters are a piece.
     """
+    wanted = needles.where("needle <> ''")
     lead = F.least(F.length("needle"), F.lit(3))
-    wanted = needles.where("needle <> ''").withColumn("piece", F.expr("substring(needle, 1, 3)"))
-    sizes = F.sequence(F.lit(1), F.least(F.length("text"), F.lit(3)))
-    pieces = F.array_distinct(F.flatten(F.transform(
-        sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1),
-                                     lambda i: F.substring(F.col("text"), i, n)))))
+    asked, _ = cut(wanted.select("trigger_id", "needle", F.explode(_pieces(F.col("needle"), F.array(lead))).alias("piece")), "needle-pieces")
     texts = tasks.select(F.col(field).alias("text")).where("text <> ''").distinct().withColumn("number", F.xxhash64("text"))
-    maybe = texts.select("number", F.explode(pieces).alias("piece")).join(wanted, "piece").where(
-        F.length("piece") == lead).select("number", "trigger_id", "needle").distinct()
+    all_sizes = F.array(*(F.lit(n) for n in (1, 2, 3)))
+    held, _ = cut(texts.select("number", F.explode(_pieces(F.col("text"), all_sizes)).alias("piece")).join(
+        asked.select("piece").distinct(), "piece", "left_semi"), "text-pieces")
+    counts = held.groupBy("piece").agg(F.count("*").alias("texts"))
+    # A needle with a piece that no text holds stands nowhere.
+    rarest = asked.join(counts, "piece", "left").groupBy("trigger_id", "needle").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "piece")).alias("r")).where("r.texts > 0").select("trigger_id", "needle", "r.piece")
+    maybe = held.join(rarest, "piece").select("number", "trigger_id", "needle")
     hits = texts.join(maybe, "number").where(F.contains("text", "needle")).select("trigger_id", "text").distinct()
     return tasks.select(*NODE, F.col(field).alias("text")).join(hits, "text").select("trigger_id", *NODE)
 
@@ -103,14 +113,6 @@ def match_external_input(edges: DataFrame, needles: DataFrame) -> DataFrame:
     return read.join(hits, "name").select("trigger_id", *NODE, "name", "companion")
 
 
-def label_rows(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, task, key, value): labels on a task, or on any artifact it consumed or produced."""
-    own = tasks.select(*NODE, F.explode("labels"))
-    touched = edges.select("run_id", F.explode(F.array("consumer", "producer")).alias("task"), "labels").where(
-        F.col("task").isNotNull() & (F.col("task") != EXTERNAL)).select(*NODE, F.explode("labels"))
-    return own.unionByName(touched).distinct()
-
-
 def match_label(tasks: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """Tasks carrying labels[key] = value, for wanted (trigger_id, key, value)."""
     asked = wanted.select("trigger_id", "key", "value")
@@ -142,16 +144,24 @@ def entries_by_tag(tasks: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def entries_by_path_mention(tasks: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, run_id, task) for every id that stands in the tag between separators or its ends."""
+    """
+    (id, run_id, task) for every id that stands in the tag between separators
+    or its ends. A tag offers runs of as many parts as any id has, so it is
+    read once for each such number.
+    """
     tagged = with_tag(tasks)
-    size = F.length("tag")
-    is_cut = lambda i: F.substring(F.col("tag"), i, F.lit(1)).rlike(PATH_SEPARATORS)
-    places = F.sequence(F.lit(1), size)
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.filter(places, is_cut), lambda i: i + 1))
-    ends = F.concat(F.filter(places, is_cut), F.array(size + 1))
-    spans = F.flatten(F.transform(starts, lambda a: F.transform(
-        F.filter(ends, lambda b: b > a), lambda b: F.substring(F.col("tag"), a, b - a))))
-    hits = tagged.select("tag").distinct().select("tag", F.explode(F.array_distinct(spans)).alias("id")).join(ids, "id")
+    parts = lambda c: F.size(F.split(c, PATH_SEPARATORS))
+    # One row: the numbers of parts that occur among the ids.
+    sizes = ids.select(parts(F.col("id")).alias("n")).distinct().agg(F.collect_set("n").alias("sizes"))
+    places = F.sequence(F.lit(1), F.length("tag"))
+    cuts = F.filter(places, lambda i: F.substring(F.col("tag"), i, F.lit(1)).rlike(PATH_SEPARATORS))
+    tags = tagged.select("tag").distinct().select("tag", cuts.alias("cuts")).select(
+        "tag", F.concat(F.array(F.lit(1)), F.transform("cuts", lambda i: i + 1)).alias("starts"),
+        F.concat("cuts", F.array(F.length("tag") + 1)).alias("ends"))
+    run = lambda n, k: F.substring(F.col("tag"), F.get("starts", k), F.get("ends", k + n - 1) - F.get("starts", k))
+    runs = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.size("starts")), lambda n: F.transform(
+        F.sequence(F.lit(0), F.size("starts") - n), lambda k: run(n, k))))
+    hits = tags.crossJoin(F.broadcast(sizes)).select("tag", F.explode(F.array_distinct(runs)).alias("id")).join(ids, "id")
     return tagged.join(hits, "tag").select("id", *NODE)
 
 
