@@ -93,3 +93,44 @@ def test_evidence_path_is_the_first_a_sorted_breadth_first_walk_finds(spark):
 def test_runs_do_not_touch(spark):
     both = edges(spark, [("a", "b")], "r1").unionByName(edges(spark, [("b", "c")], "r2"))
     assert got(graph.reach(entries(spark, [("s", "a")], "r1"), both), "task") == [("a",), ("b",)]
+
+
+def test_many_subjects_share_a_row_of_a_task(spark, monkeypatch):
+    rng = random.Random(11)
+    nodes = [f"t{i}" for i in range(40)]
+    pairs = [(a, b) for a, b in ((rng.choice(nodes), rng.choice(nodes)) for _ in range(70)) if a != b]
+    starts = [(f"S{i:03}", rng.choice(nodes)) for i in range(150) for _ in range(2)] + [("S000", "lonely"), ("S001", "lonely"), ("S002", "single")]
+    want = {(s, t) for s in {s for s, _ in starts} for t in closure(pairs, [n for x, n in starts if x == s])}
+    held = {t: {s for s, n in want if n == t} for _, t in want}
+    for words in (16, 1):
+        monkeypatch.setattr(graph, "WORDS", words)
+        found = graph.Closure(entries(spark, starts), graph.numbered(edges(spark, pairs)))
+        assert found.words == min(3, words)
+        assert {tuple(r) for r in found.reached().select("subject", "task").collect()} == want
+        radius = found.radius().collect()
+        assert len(radius) == len(want) and all(r.exclusive == (len(held[r.task]) == 1) for r in radius)
+
+
+def test_rows_of_a_round_do_not_follow_the_subjects(spark):
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(4)] + [(f"a{i}", f"b{i}") for i in range(5)]
+    rounds = [graph.Closure(entries(spark, [(f"S{i}", "a0") for i in range(n)]), graph.numbered(edges(spark, pairs))).rounds for n in (1, 60)]
+    assert rounds[0] == rounds[1] and rounds[0][:3] == [1, 2, 2]
+
+
+def test_paths_of_more_levels_than_a_key_keeps(spark):
+    # Two ways at every level; names are dealt so that the smaller way changes from level to level.
+    rng, depth = random.Random(5), 2 * graph.LEVELS + 3
+    names = [[f"{rng.randrange(10**6):06}" for _ in range(3)] for _ in range(depth + 1)]
+    pairs = [(a, b) for up, down in zip(names, names[1:]) for a in up for b in down if rng.random() < 0.7 or a == up[0]]
+    best = {n: [n] for n in names[0]}
+    expected, level = dict(best), best
+    while level:
+        arriving = {}
+        for p, c in pairs:
+            if p in level and c not in expected:
+                arriving[c] = min(arriving.get(c, [chr(0x10ffff)]), level[p] + [c])
+        expected |= arriving
+        level = arriving
+    df = graph.evidence_paths(entries(spark, [("s", n) for n in names[0]] + [("s", "alone")]), edges(spark, pairs))
+    assert {r.task: list(r.path) for r in df.collect()} == expected | {"alone": ["alone"]}
+    assert {r.task: r.hops for r in df.collect()}[names[depth][0]] == depth

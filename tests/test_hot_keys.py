@@ -29,3 +29,38 @@ def test_ambiguous_bridges(spark):
     edges, outputs = fixture(spark)
     found = stitch.bridges(edges, outputs).where("candidates > 1").select("digest", "producer_run", "producer").distinct()
     assert {tuple(r) for r in stitch.ambiguous_bridges(edges, outputs).collect()} == {tuple(r) for r in found.collect()}
+
+
+def test_adoptions_of_one_moment_are_cut_into_ranges(spark):
+    from wakeline.operators import ledger
+    columns = "log_id string, seq bigint, event_type string, subject string, body string, effective_from string, recorded_at string, actor string, hash string"
+    rows = [("hot", i, ledger.POLICY_ADOPTED, f"v{i}", "{}", "2024-03-01T10:00:00Z" if i < 900 else f"2024-03-{i - 898:02}", "", "", "") for i in range(1, 905)]
+    rows += [(f"log{i}", 1, ledger.POLICY_ADOPTED, "w", "{}", "2024-01-01", "", "", "") for i in range(20)]
+    asked = [("hot", d) for d in ("2024-02-29", "2024-03-01T10:00:00Z", "2024-03-01", "2024-03-04", "2024-12-31")] + [("log7", "2024-06-01"), ("none", "2024-06-01")]
+    found = ledger.policy_in_force(spark.createDataFrame(rows, columns), spark.createDataFrame(asked, "log_id string, as_of string"))
+    got = {(r.log_id, r.as_of): r.version for r in found.collect()}
+    assert got == {("hot", "2024-02-29"): None, ("hot", "2024-03-01T10:00:00Z"): "v899", ("hot", "2024-03-01"): "v899", ("hot", "2024-03-04"): "v902",
+                   ("hot", "2024-12-31"): "v904", ("log7", "2024-06-01"): "w", ("none", "2024-06-01"): None}
+
+
+def test_a_folder_is_written_once_however_deep_its_files_lie(spark):
+    import random
+    from collections import Counter
+    from wakeline.operators import reclaim
+    rng, want = random.Random(2), Counter()
+    files = [("r", "/".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) + f"/f{i}", rng.randint(1, 9)) for i in range(300)] + [("r", "top", 5), ("s", "a/f", 1)]
+    for run, path, size in files:
+        parts = path.split("/")[:-1]
+        for n in range(1, len(parts) + 1):
+            want[run, "/".join(parts[:n])] += size
+    rows = reclaim.folder_bytes(spark.createDataFrame(files, "run_id string, path string, size bigint")).collect()
+    assert len(rows) == len(want) and {(r.run_id, r.rel): r.bytes for r in rows} == want
+    assert reclaim.folder_bytes(spark.createDataFrame([("r", "top", 5)], "run_id string, path string, size bigint")).count() == 0
+
+
+def test_ids_of_several_parts_are_found_in_a_tag(spark):
+    from wakeline.operators import triggers
+    tasks = spark.createDataFrame([("r", "1", "ALIGN (x/S_1-b.c)"), ("r", "2", "ALIGN (S_1)"), ("r", "3", "ALIGN")], "run_id string, task string, name string")
+    ids = spark.createDataFrame([("S_1",), ("S_1-b",), ("c",), ("x/S",), ("1-b.c.d",), ("x",)], "id string")
+    found = {(r.id, r.task) for r in triggers.entries_by_path_mention(tasks, ids).collect()}
+    assert found == {("S_1", "1"), ("S_1-b", "1"), ("c", "1"), ("x/S", "1"), ("x", "1"), ("S_1", "2")}

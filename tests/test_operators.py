@@ -148,3 +148,15 @@ def test_graph_documents_and_receipts_as_files(spark, tmp_path):
     for _ in range(2):  # a job that runs again writes the same receipt
         graphs.write_receipt(approved, str(tmp_path / "receipt"), "first")
     assert [r.task for r in spark.read.json(str(tmp_path / "receipt")).collect()] == ["a"]
+
+
+def test_a_window_follows_its_head():
+    from wakeline.streaming.chain import follow
+    window = [(3, "b", "c", True), (2, "a", "b", True)]
+    assert follow(window, 1, "a") == (None, None, 2, "c")
+    assert follow(window, 0, "0" * 64)[:3] == (2, "sequence", 0)
+    assert follow([(2, "x", "b", True)], 1, "a")[:3] == (2, "link", 0)
+    assert follow([*window, (4, "c", "d", False)], 1, "a")[:3] == (4, "content", 2)
+    assert follow([*window, (3, "b", "c", True)], 1, "a")[:3] == (3, "sequence", 1)
+    assert follow([(None, "a", "b", True)], 1, "a")[:3] == (0, "sequence", 0)
+    assert follow([], 1, "a") == (None, None, 0, "a")
