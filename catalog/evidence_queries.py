@@ -18,7 +18,8 @@ DECISIONS = """SELECT concat('c', conv_id, '-', turn) AS bundle, CASE WHEN conv_
 FROM {conversations}"""
 RECORDS = """SELECT concat('c', conv_id, '-', turn) AS bundle, {H}(text) AS incident, concat('q', conv_id % 6) AS request_sha256, 's1' AS settings_hash FROM {conversations}"""
 DECIDED_PLANS = """SELECT concat('c', conv_id, '-', turn) AS bundle, concat('kind:', conv_id % 9 % 6) AS trigger FROM {conversations} WHERE conv_id % 4 < 2"""
-ASKED = """SELECT concat('b', CASE WHEN o_orderkey % 9 = 0 THEN (o_orderkey + 1) % 50 ELSE o_orderkey % 50 END) AS bundle, concat('o', o_orderkey) AS task FROM {orders}"""
+# A bundle seals a run of 300 tasks, so it stays of one size and their number follows the tables.
+ASKED = """SELECT concat('b', CAST(floor(CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey + 1 ELSE o_orderkey END / 300) AS BIGINT)) AS bundle, concat('o', o_orderkey) AS task FROM {orders}"""
 COPIES = """SELECT concat('m', CASE WHEN twice = 0 THEN seq % 3 ELSE (seq + 1) % 3 END) AS bundle, seq, effective_from, recorded_at, actor, event_type, subject, body,
   CASE WHEN twice = 1 AND seq % 50 = 0 THEN concat(hash, 'x') ELSE hash END AS hash FROM (SELECT *, {each:0, 1} AS twice FROM {T:facts} q) f"""
 
@@ -103,7 +104,7 @@ def _items(spark, sf):
 
 def _items_made(spark, sf):
     items = policy.decide(run_sql(spark, sf, FACTS), policy.decision_table(spark))
-    return items.withColumn("bundle", F.expr("concat('b', CAST(substring(task, 2) AS BIGINT) % 50)"))
+    return items.withColumn("bundle", F.expr("concat('b', CAST(floor(CAST(substring(task, 2) AS BIGINT) / 300) AS BIGINT))"))
 
 
 def _plans(spark, sf):
@@ -216,7 +217,7 @@ def unknowns_rollup(spark, sf):
     sealed = ledger.gate(run_sql(spark, sf, "SELECT concat('u', c_custkey) AS subject FROM {customer}"), table(spark, sf, "facts"),
                          ["error"], ["purchase"], "2024-01-14").withColumn("bundle", F.lit("g0"))
     notes = table(spark, sf, "edges").where("target LIKE '%://%'").select(
-        F.expr("concat('b', CAST(substring(consumer, 2) AS BIGINT) % 50)").alias("bundle"), F.concat(F.lit("remote "), "flag").alias("note")).distinct()
+        F.expr("concat('b', CAST(floor(CAST(substring(consumer, 2) AS BIGINT) / 300) AS BIGINT))").alias("bundle"), F.concat(F.lit("remote "), "flag").alias("note")).distinct()
     return e.unknowns_rollup(_items(spark, sf), sealed, notes)
 
 
@@ -251,7 +252,7 @@ witnessed AS (SELECT bundle, CASE WHEN user_no % 13 = 12 THEN 'head unrecorded'
 _SECOND = ("CASE rule0 WHEN 'R3' THEN 'QUARANTINE' WHEN 'R7' THEN 'PURGE' ELSE " + ACTION.replace("{r}", "rule0") + " END",
            "CASE rule0 WHEN 'R7' THEN 'R7b' ELSE rule0 END", "second")
 ITEMS = "facts AS (" + FACTS + ")," + decided("facts", "task") + decided("facts", "task", *_SECOND) + """
-numbered AS (SELECT v.*, CAST(substring(v.task, 2) AS BIGINT) % 50 AS n, w.action AS action2, w.rule AS rule2, w.possible AS possible2 FROM verdicts v JOIN second w USING (task)),
+numbered AS (SELECT v.*, CAST(floor(CAST(substring(v.task, 2) AS BIGINT) / 300) AS BIGINT) AS n, w.action AS action2, w.rule AS rule2, w.possible AS possible2 FROM verdicts v JOIN second w USING (task)),
 items AS (SELECT *, concat('b', n) AS bundle, n % 2 = 1 AND (action IS DISTINCT FROM action2 OR rule IS DISTINCT FROM rule2 OR possible IS DISTINCT FROM possible2) AS off FROM numbered),
 lines AS (SELECT bundle, any_value(n) AS n, count(*) AS items, count(*) FILTER (WHERE off) AS bad FROM items GROUP BY bundle),
 replayed AS (SELECT bundle, CASE WHEN bad > 0 THEN concat(bad, ' of ', items, ' items differ') WHEN n % 10 = 4 THEN concat('header:', items + 1, ' items:', items)
@@ -312,7 +313,7 @@ ORACLES = {
     "unknowns_rollup": oracle("""SELECT note, count(*) AS bundles, CAST(sum(n) AS BIGINT) AS count FROM (
         SELECT 'verdicts withheld' AS note, bundle, count(*) AS n FROM items WHERE action IS NULL GROUP BY bundle
         UNION ALL SELECT 'subjects unknown', 'g0', count(*) FROM customer c WHERE concat('u', c_custkey) NOT IN (SELECT subject FROM again WHERE bundle = 'g2')
-        UNION ALL SELECT DISTINCT concat('remote ', flag), concat('b', CAST(substring(consumer, 2) AS BIGINT) % 50), 1 FROM edges WHERE target LIKE '%://%') GROUP BY note""",
+        UNION ALL SELECT DISTINCT concat('remote ', flag), concat('b', CAST(floor(CAST(substring(consumer, 2) AS BIGINT) / 300) AS BIGINT)), 1 FROM edges WHERE target LIKE '%://%') GROUP BY note""",
         "edges", extra=ITEMS + FACTS_LOG + GATED),
     "manifest_table": oracle("""SELECT concat('b', doc_id % 40) AS bundle, name, sha256(text) AS sha256, CAST(30 AS BIGINT) AS head_seq, n AS since_seq,
         CASE WHEN name LIKE '%/%' THEN 'name:unsafe' WHEN n > 30 THEN 'window:past-head' WHEN n > 0 AND n % 2 = 1 THEN 'window:gap'

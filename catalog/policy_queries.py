@@ -80,9 +80,14 @@ def decide(spark, sf):
 
 
 def impact(spark, sf):
+    """What follows for every task that a trigger reached."""
     return _flat(_plan(spark, sf)).select(
-        "trigger_id", "run_id", "task", "process", "contribution", "storage", "scope", "released", "mode",
-        "action", "rule", "possible", "class_asserted_by", "evidence", "container", "script")
+        "trigger_id", "run_id", "task", "process", "contribution", "storage", "scope", "released", "mode", "action", "rule", "possible")
+
+
+def impact_evidence(spark, sf):
+    """On what each of these rests, and how the task is made again."""
+    return _plan(spark, sf).select("trigger_id", "run_id", "task", "class_asserted_by", "evidence", "container", "script")
 
 
 def impact_paths(spark, sf):
@@ -127,7 +132,7 @@ def unexpanded_calls(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    classify, assert_class, bad_overrides, settle_storage, decide, impact, impact_paths, plan_actions, plan_cost, rollup_by_process,
+    classify, assert_class, bad_overrides, settle_storage, decide, impact, impact_evidence, impact_paths, plan_actions, plan_cost, rollup_by_process,
     rollup_by_target, headline, what_if, graph_notes, unexpanded_calls)}
 
 # ------------------------------------------------------------------ oracles
@@ -201,7 +206,8 @@ ORACLES = {
     "settle_storage": oracle("SELECT run_id, task, storage, evidence FROM settled", "sightings", extra=SETTLED),
     "decide": oracle("SELECT 'r0' AS run_id, * FROM verdicts", extra="facts AS (" + FACTS + ")," + decided("facts", "task")),
     "impact": oracle("""SELECT trigger_id, 'r0' AS run_id, task, process, contribution, storage, scope, released, mode,
-        action, rule, possible, class_asserted_by, evidence, CASE WHEN action = 'REGENERATE' THEN container END AS container,
+        action, rule, possible FROM plan""", *_P, extra=PLAN, recursive=True),
+    "impact_evidence": oracle("""SELECT trigger_id, 'r0' AS run_id, task, class_asserted_by, evidence, CASE WHEN action = 'REGENERATE' THEN container END AS container,
         CASE WHEN action = 'REGENERATE' THEN script END AS script FROM plan""", *_P, extra=PLAN, recursive=True),
     "impact_paths": oracle("SELECT trigger_id, 'r0' AS run_id, task, array_to_string(path, '>') AS evidence_path FROM paths WHERE len(path) > 1",
                            "edges", "trigger_entries", extra=TRIGGER_PATHS, recursive=True),

@@ -73,11 +73,14 @@ def refused_graphs(spark, sf):
 
 
 def graphs_from_files(spark, sf):
-    """One graph document per nation, written as files and read from their folder; some are torn."""
+    """A graph document for every hundred orders, written as files by many tasks and read from their folder; some are torn."""
     root = scratch_path(spark, "graph-files")
-    text = F.expr("""CASE WHEN k % 7 = 3 THEN '{"tasks":' ELSE concat('{"tasks":{"', n_name, '":{"name":"', n_name, '"}}}') END""")
-    run_sql(spark, sf, "SELECT n_nationkey AS k, n_name FROM {nation}").select("k", text.alias("value")).repartition(1).write.partitionBy("k").text(root)
-    documents = common.read_tree(spark, root, "part-*").select(F.concat(F.lit("g"), F.regexp_extract("path", r"k=(\d+)", 1)).alias("run_id"), "value")
+    orders = run_sql(spark, sf, "SELECT CAST(floor(o_orderkey / 100) AS BIGINT) AS k, o_orderkey, o_orderpriority FROM {orders}")
+    made = orders.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat(F.lit("o"), "o_orderkey"), F.struct(F.col("o_orderpriority").alias("name"))))).alias("tasks"))
+    text = F.when(F.col("k") % 7 == 3, '{"tasks":').otherwise(F.to_json(F.struct("tasks")))
+    made.select("k", text.alias("value")).write.partitionBy("k").text(root)
+    documents = graphs.graphs_in(spark, root, "part-*", r"^.*k=|/.*$").withColumn("run_id", F.concat(F.lit("g"), "run_id"))
     return _both(graphs.read_graphs(documents))
 
 
@@ -143,7 +146,12 @@ def _store(spark, sf):
 
 
 def parse_history(spark, sf):
-    return _history(spark, sf)
+    """A history file for every customer: some of another form, some not the engine's."""
+    fields = "concat('2024-01-0', 1 + c_custkey % 9, '\t', c_name, '\t', 's', c_custkey % 5, '\tlid://run', c_custkey, '\n')"
+    lines = run_sql(spark, sf, "SELECT c_custkey, c_name FROM {customer}").select(
+        F.expr("concat('.lineage/.history/', CASE WHEN c_custkey % 13 = 0 THEN '.' ELSE '' END, 'run', c_custkey)").alias("path"),
+        F.expr(f"CASE WHEN c_custkey % 11 = 0 THEN 'junk' ELSE {fields} END").alias("value"))
+    return lineage_store.parse_history(lines)
 
 
 def ingest_lineage_store_tasks(spark, sf):
@@ -376,10 +384,12 @@ def digest_files(spark, sf):
 
 
 def hash_files(spark, sf):
-    """One file per nation, hashed where it lies: those above 110 bytes from the mount, the others as values."""
+    """A file for every twenty documents, hashed where it lies: those above 64 KiB from the mount, the others as values."""
     root = scratch_path(spark, "hash-files").replace("file://", "").replace("file:", "")
-    run_sql(spark, sf, "SELECT n_nationkey AS k, repeat(n_name, 1 + n_nationkey) AS value FROM {nation}").repartition(1).write.partitionBy("k").text(root)
-    found = files.hash_files(spark, root, mount=root, whole=110)
+    texts = run_sql(spark, sf, "SELECT CAST(floor(doc_id / 20) AS BIGINT) AS k, doc_id, coalesce(text, '') AS text FROM {documents}")
+    inside = texts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d")).select("k", F.array_join("d.text", "\n").alias("value"))
+    inside.write.partitionBy("k").text(root)
+    found = files.hash_files(spark, root, mount=root, whole=1 << 16)
     return found.select(F.regexp_extract("path", r"k=(\d+)", 1).cast("bigint").alias("k"), "size", "digest", "problem")
 
 
@@ -404,6 +414,17 @@ def library_ids(spark, sf):
     return files.library_ids(run_sql(spark, sf, "SELECT CASE WHEN p_partkey % 7 = 0 THEN concat('# ', p_name) WHEN p_partkey % 7 = 1 THEN 'CCO' ELSE concat('CCO  m', p_partkey, ' ', p_name) END AS value FROM {part}"))
 
 
+def write_receipt(spark, sf):
+    """What was approved for removal, as one folder per removal; a job that runs again replaces its own."""
+    plan = policy.decide(run_sql(spark, sf, FACTS), policy.decision_table(spark)).where("action IN ('DESTROY', 'PURGE')").select("run_id", "task", "action")
+    odd = F.expr("CAST(substring(task, 2) AS BIGINT) % 17 = 0")
+    approved = plan.withColumn("refused", F.when(odd, "copy-gone"))
+    path = scratch_path(spark, "receipts")
+    for action in ("DESTROY", "PURGE", "PURGE"):
+        graphs.write_receipt(approved.where(F.col("action") == action), path, action.lower())
+    return spark.read.schema("run_id string, task string, action string, removal string").json(path)
+
+
 def write_plan(spark, sf):
     plan = policy.decide(run_sql(spark, sf, FACTS), policy.decision_table(spark)).select("run_id", "task", "action", "rule")
     path = scratch_path(spark, "plan")
@@ -419,7 +440,7 @@ QUERIES = {f.__name__: f for f in (
     ingest_rule_metadata_edges, digests_from_consumers, decode_key, ingest_call_metadata_tasks, ingest_call_metadata_edges,
     ingest_run_records_tasks, ingest_run_records_edges, ingest_job_describes_tasks, ingest_job_describes_edges,
     ingest_job_describes_coverage, ingest_execution_graph_tasks, ingest_execution_graph_edges, longest_parent_producer, run_catalog,
-    resolve_runs, merge_sidecar_digests, digest_files, digest_counts, read_launch_sheet, refused_labels, library_ids, write_plan)}
+    resolve_runs, merge_sidecar_digests, digest_files, digest_counts, read_launch_sheet, refused_labels, library_ids, write_plan, write_receipt)}
 
 # ------------------------------------------------------------------ oracles
 
@@ -457,8 +478,8 @@ def _refusals(run, good, bad, extra="FALSE"):
 
 ORACLES = {
     "refused_graphs": _refusals("concat('g', k)", "'a'", "concat('g', k)"),
-    "graphs_from_files": """SELECT concat('g', n_nationkey) AS run_id, CASE WHEN n_nationkey % 7 = 3 THEN concat('g', n_nationkey) ELSE n_name END AS what,
-        CASE WHEN n_nationkey % 7 = 3 THEN 'not a JSON object' ELSE 'task' END AS said FROM nation""",
+    "graphs_from_files": """SELECT concat('g', o_orderkey // 100) AS run_id, concat('o', o_orderkey) AS what, 'task' AS said FROM orders WHERE o_orderkey // 100 % 7 <> 3
+        UNION ALL SELECT DISTINCT concat('g', o_orderkey // 100), concat('g', o_orderkey // 100), 'not a JSON object' FROM orders WHERE o_orderkey // 100 % 7 = 3""",
     "refused_crates": _refusals("concat('g', k)", "concat(substring(fid, 1, 2), '/', substring(fid, 3))", "concat('g', k)"),
     "refused_rules": _refusals("'r0'", "concat('r/o', k)", "concat('o', k)", "k % 41 = 0"),
     "refused_calls": _refusals("concat('g', k)", "'wf.a'", "concat('g', k)"),
@@ -466,8 +487,8 @@ ORACLES = {
     "refused_job_describes": _refusals("'r0'", "concat('job-', k)", _TEXT),
     "refused_execution_graph": _refusals("'r0'", "concat('n', k)", _TEXT),
     "refused_assertions": oracle(f"SELECT concat('g', k) AS run_id, concat('g', k) AS path, 'not a JSON object' AS problem FROM ({JOBS}) jobs WHERE {_BAD}"),
-    "hash_files": """SELECT n_nationkey::BIGINT AS k, octet_length(encode(v)) + 1 AS size, concat('sha256:', sha256(concat(v, chr(10)))) AS digest, NULL::VARCHAR AS problem
-        FROM (SELECT n_nationkey, repeat(n_name, 1 + n_nationkey) AS v FROM nation)""",
+    "hash_files": """SELECT k, octet_length(encode(v)) + 1 AS size, concat('sha256:', sha256(concat(v, chr(10)))) AS digest, NULL::VARCHAR AS problem
+        FROM (SELECT (doc_id // 20)::BIGINT AS k, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS v FROM documents GROUP BY 1)""",
     "read_graphs_tasks": oracle("""SELECT concat('g', k) AS run_id, 'a' AS task, concat('A (C', c, ')') AS name, 'x:1' AS container, 'COMPLETED' AS status, k % 3 = 0 AS superseded, CAST(k * 0.5 AS DOUBLE) AS cost FROM jobs
         UNION ALL SELECT concat('g', k), 'b', 'B', '', '', false, 1.0 FROM jobs""", extra=J),
     "read_graphs_edges": oracle("""SELECT concat('g', k) AS run_id, CAST(0 AS BIGINT) AS edge_ix, 'b' AS consumer, 'a' AS producer, 'out.txt' AS filename, NULL AS digest FROM jobs
@@ -476,7 +497,8 @@ ORACLES = {
         UNION ALL SELECT concat('g', k), 'a', 'log.txt', NULL, NULL FROM jobs""", extra=J),
     "read_assertions": oracle("""SELECT concat('r', k) AS run_id, concat('o', k) AS task, concat('second ', c) AS what, 'z' AS asserted_by, '2024-01-03' AS date FROM jobs
         UNION ALL SELECT concat('r', k), concat('o', p), 'other', 'y', '2024-01-02' FROM jobs WHERE p <> k""", extra=J),
-    "parse_history": oracle("SELECT concat('run', n) AS run, concat('2024-01-0', n + 1) AS timestamp, concat('name', n) AS name, concat('s', CAST(n >= 3 AS INT)) AS session FROM (SELECT n_nationkey AS n FROM nation WHERE n_nationkey < 5)"),
+    "parse_history": """SELECT concat('run', c_custkey) AS run, concat('2024-01-0', 1 + c_custkey % 9) AS timestamp, c_name AS name, concat('s', c_custkey % 5) AS session
+        FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey % 11 <> 0""",
     "ingest_lineage_store_tasks": oracle(f"""SELECT session AS run_id, {SELF} AS task, concat('STEP (C', c, ')') AS name, 'STEP' AS process, concat('/work/', fid) AS workdir, {SELF} AS workpath,
         k % 5 < newest AND fid NOT IN (SELECT pfid FROM jobs) AS superseded FROM named""", extra=STALE),
     "ingest_lineage_store_edges": oracle(f"""SELECT {SESSION} AS run_id, {SELF} AS consumer, {PARENT} AS producer, 'sub/out.txt' AS filename, concat('lid://', pfid, '/sub/out.txt') AS target, NULL AS digest FROM jobs
@@ -546,5 +568,7 @@ ORACLES = {
     "read_launch_sheet": oracle("SELECT DISTINCT nation AS label, nation AS owner FROM s UNION SELECT sample, nation FROM s", extra="s AS (SELECT trim(nation) AS nation, sample FROM (" + SHEET + "))"),
     "refused_labels": oracle("SELECT sample AS label, count(DISTINCT nation) AS owners FROM s GROUP BY sample HAVING count(DISTINCT nation) > 1", extra="s AS (" + SHEET + ")"),
     "library_ids": oracle("SELECT DISTINCT concat('m', p_partkey) AS id FROM part WHERE p_partkey % 7 > 1"),
+    "write_receipt": oracle("""SELECT 'r0' AS run_id, task, action, lower(action) AS removal FROM verdicts
+        WHERE action IN ('DESTROY', 'PURGE') AND CAST(substring(task, 2) AS BIGINT) % 17 <> 0""", extra="facts AS (" + FACTS + ")," + decided("facts", "task")),
     "write_plan": oracle("SELECT 'r0' AS run_id, task, action, rule FROM verdicts", extra="facts AS (" + FACTS + ")," + decided("facts", "task")),
 }

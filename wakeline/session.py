@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "wakeline") -> SparkSession:
     """A local session for tests and the bench. On a cluster the caller brings its own."""
     cores = os.cpu_count() if cpus == "*" else int(cpus)
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -22,6 +22,9 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "wakelin
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return spark
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -32,19 +35,11 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """
-    The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-    Only a local master may fall back to a fresh folder under /tmp: on a
-    cluster a machine-local folder would be lost with its machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder every executor can reach: what ``spark.checkpoint.dir`` names, else the checkpoint folder its owner set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

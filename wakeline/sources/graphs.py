@@ -18,9 +18,9 @@ GRAPH = (f"tasks map<string, struct<{TASK.replace(' string', ': string').replace
          "published map<string, struct<size: bigint, digest: string>>, coverage array<string>")
 
 
-def graphs_in(spark: SparkSession, root: str) -> DataFrame:
-    """(run_id, value): every graph document of a folder, named after its file."""
-    return read_tree(spark, root, "*.json").select(F.regexp_replace("path", r"^.*/|\.json$", "").alias("run_id"), "value")
+def graphs_in(spark: SparkSession, root: str, pattern: str = "*.json", around: str = r"^.*/|\.json$") -> DataFrame:
+    """(run_id, value): every graph document of a folder, named by its path without what `around` matches."""
+    return read_tree(spark, root, pattern).select(F.regexp_replace("path", around, "").alias("run_id"), "value")
 
 
 def read_graphs(documents: DataFrame) -> Lineage:

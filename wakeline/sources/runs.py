@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.functions.digests import recorded
 
 
 def run_catalog(runs: DataFrame) -> DataFrame:
@@ -52,8 +51,3 @@ def merge_sidecar_digests(outputs: DataFrame, sidecar: DataFrame) -> DataFrame:
     ours = F.startswith(F.coalesce("digest", F.lit("")), F.lit("sha256:"))
     both = outputs.withColumn("listed", F.lit(True)).join(sidecar.select(*key, F.col("digest").alias("kept")), key, "full")
     return both.withColumn("digest", F.when(ours, F.col("digest")).otherwise(F.coalesce("kept", "digest"))).drop("kept", "listed")
-
-
-def sidecar_of(outputs: DataFrame) -> DataFrame:
-    """The sha256 digests worth keeping beside an engine's record."""
-    return outputs.where(recorded(F.col("digest")) & F.startswith("digest", F.lit("sha256:"))).select("run_id", "task", "file", "digest")
