@@ -21,8 +21,10 @@ that a third of all texts share is one class, however many share it.
 
 Cores and hulls are compared by BLAKE2b digests, of 64 and 128 bits; the last
 round's hull is the string itself. Texts are known by two XXH64 values, and
-equal texts are looked at once. Texts with shared anchors are written once,
-bucketed by those values, so the rounds join them without moving them.
+equal texts are looked at once. Which texts share an anchor is known from ids
+alone, and marked in a map of bounded size before any text moves; these texts
+are written once, bucketed by those values, so the rounds join them without
+moving them.
 
 Defined cases: a null text is the empty text. Texts shorter than `length` lose
 nothing. Null and repeated ids are rows of their own; rows with equal texts of
@@ -46,6 +48,8 @@ from .common import cut, flat, scratch_path, text_of
 
 LENGTH = 400
 FAN = 16
+#: Bits of the map of texts that share an anchor.
+MARKS = 1 << 24
 #: Bytes of text that are hashed at once.
 PART = 2 << 20
 
@@ -191,6 +195,19 @@ def _bucketed(df: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """
+    The rows whose k1 falls on a marked bit of a map of `MARKS` bits that `keys` mark: all that are asked for, and
+    few others while the marked are few beside the bits. The map has at most MARKS / 64 rows, and is what is sent
+    to every task, so most texts that nobody asks for leave theirs never.
+    """
+    place = F.pmod("k1", F.lit(MARKS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    word = F.call_function("div", place, F.lit(64))
+    marks = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.join(F.broadcast(marks), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """
     (texts, spans): the distinct texts (k1, k2, body, copies) that share an
@@ -209,8 +226,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> tuple[
     first, _ = cut(_known(docs, text).mapInArrow(of, "bucket long, k1 long, k2 long, place int"), "suffix-anchors")
     # Written, so that the join has plain shuffles on both sides and a bucket that many texts share is split.
     shared, _ = cut(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "suffix-shared")
-    lists = first.join(shared, "bucket").groupBy("k1", "k2").agg(F.collect_set(F.col("place") - F.lit(width - 1)).alias("starts"))
-    texts = _known(docs, text).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
+    lists, _ = cut(first.join(shared, "bucket").groupBy("k1", "k2").agg(F.collect_set(F.col("place") - F.lit(width - 1)).alias("starts")), "suffix-lists")
+    texts = _asked_for(_known(docs, text), lists).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
     texts = _bucketed(texts.join(lists, ["k1", "k2"]))
 
     spans, rows, size, parent = [], texts, width, 0
@@ -233,21 +250,23 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> tuple[
     return texts.select("k1", "k2", "body", "copies"), every
 
 
-def remaining(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """What is left of a text without its spans (start, end), and how many runs went."""
-    kept, at, runs, end = [], 0, 0, -1
+def remaining(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text without its spans (start, end), and the runs that went."""
+    runs: list[list[int]] = []
     for a, b in sorted(spans):
-        if a > end:
-            kept.append(raw[at:a])
-            runs += 1
-        end = max(end, b)
-        at = end
-    kept.append(raw[at:])
-    return b"".join(kept), runs
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    ends = [0, *(x for run in runs for x in run), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2])), [tuple(r) for r in runs]
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row of `docs`, and with `with_bytes` the kept bytes too."""
+    """
+    (id, n_bytes, n_removed, n_spans, kept_sha256, removed) for every row of `docs`, and with `with_bytes` the kept
+    bytes too. `removed` lists the removed runs as start:end in bytes, joined by commas; null if there are none.
+    """
     texts, spans = repeats(docs, length, text)
     lists = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
@@ -259,15 +278,16 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 cover = [(0, len(raw))] if copies > 1 and len(raw) >= length else [(max(0, s["start"]), s["start"] + s["size"] - 1 + length) for s in found or []]
                 out.append((*remaining(raw, cover), len(raw)))
             yield pa.RecordBatch.from_arrays([
-                batch.column("k1"), batch.column("k2"), pa.array([n - len(k) for k, _, n in out], pa.int64()), pa.array([r for _, r, _ in out], pa.int64()),
-                pa.array([sha256(k).hexdigest() for k, _, _ in out], pa.string()), pa.array([k if with_bytes else None for k, _, _ in out], pa.binary())],
-                ["k1", "k2", "n_removed", "n_spans", "sha", "kept"])
+                batch.column("k1"), batch.column("k2"), pa.array([n - len(k) for k, _, n in out], pa.int64()), pa.array([len(r) for _, r, _ in out], pa.int64()),
+                pa.array([sha256(k).hexdigest() for k, _, _ in out], pa.string()),
+                pa.array([",".join(f"{a}:{b}" for a, b in r) or None for _, r, _ in out], pa.string()), pa.array([k if with_bytes else None for k, _, _ in out], pa.binary())],
+                ["k1", "k2", "n_removed", "n_spans", "sha", "removed", "kept"])
 
-    found = texts.join(lists, ["k1", "k2"], "left").mapInArrow(of, "k1 long, k2 long, n_removed long, n_spans long, sha string, kept binary")
+    found = texts.join(lists, ["k1", "k2"], "left").mapInArrow(of, "k1 long, k2 long, n_removed long, n_spans long, sha string, removed string, kept binary")
     found, _ = cut(found, "suffix-found")
     body = F.col("body")
     rows = _known(docs, text, F.col(id_col).alias("id")).select(
         "id", "k1", "k2", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"), *([body.cast("binary").alias("raw")] if with_bytes else []))
     return rows.join(found, ["k1", "k2"], "left").select(
         "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("sha", "whole").alias("kept_sha256"), *([F.coalesce("kept", "raw").alias("kept_bytes")] if with_bytes else []))
+        F.coalesce("sha", "whole").alias("kept_sha256"), "removed", *([F.coalesce("kept", "raw").alias("kept_bytes")] if with_bytes else []))
