@@ -103,6 +103,14 @@ def bridges(spark, sf):
         "run_id", "edge_ix", "consumer", "producer_run", "producer", "digest", "target", "candidates")
 
 
+def bridge_classes(spark, sf):
+    return stitch.bridge_classes(*_docs(spark, sf)).classes.withColumnsRenamed({"lefts": "readers", "rights": "producers"})
+
+
+def size_classes(spark, sf):
+    return stitch.size_classes(table(spark, sf, "outputs"), results_index(spark, sf)).classes.withColumnsRenamed({"lefts": "outputs", "rights": "copies"})
+
+
 def stitch_runs(spark, sf):
     edges, outputs = _docs(spark, sf)
     return stitch.stitch_runs(edges, stitch.bridges(edges, outputs))
@@ -134,7 +142,7 @@ def published_copies_by_size(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     input_signature, output_signature, pair_tasks, drift_verdicts, drift_cause, drift_files, drift_follows, drift_inputs,
-    drift_summary, drift_by_cause, fleet_drift, refused_pairs, coverage_of, digest_index, published_index, bridges, stitch_runs,
+    drift_summary, drift_by_cause, fleet_drift, refused_pairs, coverage_of, digest_index, published_index, bridges, bridge_classes, size_classes, stitch_runs,
     stitched_reach, ambiguous_bridges, digest_coverage, results_index, published_copies_by_size)}
 
 
@@ -250,6 +258,12 @@ ORACLES = {
     "digest_index": oracle("SELECT digest, run_id, task, file FROM run_outputs WHERE digest IS NOT NULL", "run_outputs"),
     "published_index": oracle("SELECT digest, run_id, path FROM published WHERE digest IS NOT NULL", "published"),
     "bridges": oracle("SELECT run_id, edge_ix, consumer, producer_run, producer, digest, target, candidates FROM found", *_D, extra=BRIDGES),
+    "bridge_classes": oracle("""SELECT digest, readers, producers, pairs FROM
+        (SELECT digest, count(DISTINCT (run_id, edge_ix)) AS readers, count(*) AS pairs FROM found GROUP BY digest)
+        JOIN (SELECT digest, count(*) AS producers FROM made GROUP BY digest) USING (digest)""", *_D, extra=BRIDGES),
+    "size_classes": oracle("""SELECT run_id, name, size, outputs, copies, outputs * copies AS pairs FROM
+        (SELECT run_id, file AS name, size, count(*) AS outputs FROM outputs GROUP BY ALL)
+        JOIN (SELECT run_id, name, size, count(*) AS copies FROM idx WHERE NOT is_dir GROUP BY ALL) USING (run_id, name, size)""", "outputs", "inventory", extra=INDEX),
     "stitch_runs": oracle("SELECT * FROM stitched", *_D, extra=BRIDGES),
     "stitched_reach": oracle("""SELECT subject, count(*) AS reached FROM reached GROUP BY subject""", *_D, extra=BRIDGES + """
         hop AS (SELECT DISTINCT concat(producer_run, ':', producer) AS task, concat(run_id, ':', consumer) AS next FROM found),

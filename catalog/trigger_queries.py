@@ -94,6 +94,10 @@ def entries_by_library(spark, sf):
     return t.entries_by_library(table(spark, sf, "edges"), run_sql(spark, sf, LIBRARY))
 
 
+def library_classes(spark, sf):
+    return t.library_classes(table(spark, sf, "edges"), run_sql(spark, sf, LIBRARY)).classes.withColumnsRenamed({"lefts": "tasks", "rights": "ids"})
+
+
 def normalise_status(spark, sf):
     return table(spark, sf, "tasks").select("run_id", "task", t.normalise_status(F.col("engine_status")).alias("status"))
 
@@ -113,7 +117,7 @@ def companion_notes(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     match_container, match_field, match_external_input, match_label, parse_specs, resolve_triggers, trigger_guards,
-    pending_triggers, entries_by_tag, entries_by_path_mention, entries_by_library, normalise_status, ignore_globs,
+    pending_triggers, entries_by_tag, entries_by_path_mention, entries_by_library, library_classes, normalise_status, ignore_globs,
     name_only_notes, companion_notes)}
 
 _IMAGE = """img AS (
@@ -175,6 +179,9 @@ ORACLES = {
     "entries_by_library": oracle("""SELECT id, run_id, task FROM (
         SELECT DISTINCT id, run_id, consumer AS task, filename FROM edges JOIN lib USING (filename)
         WHERE producer = 'EXTERNAL')""", "edges", extra="lib AS (" + LIBRARY + ")"),
+    "library_classes": oracle("""SELECT filename, tasks, ids, tasks * ids AS pairs FROM
+        (SELECT filename, count(DISTINCT (run_id, consumer)) AS tasks FROM edges WHERE producer = 'EXTERNAL' GROUP BY filename)
+        JOIN (SELECT filename, count(DISTINCT id) AS ids FROM lib GROUP BY filename) USING (filename)""", "edges", extra="lib AS (" + LIBRARY + ")"),
     "normalise_status": oracle("""SELECT run_id, task, CASE engine_status WHEN 'DONE' THEN 'COMPLETED'
         WHEN 'FAILED' THEN 'FAILED' ELSE 'UNKNOWN' END AS status FROM tasks""", "tasks"),
     "ignore_globs": oracle("SELECT run_id, task, file FROM outputs WHERE file = 'out-0.dat'", "outputs"),

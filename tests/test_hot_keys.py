@@ -64,3 +64,34 @@ def test_ids_of_several_parts_are_found_in_a_tag(spark):
     ids = spark.createDataFrame([("S_1",), ("S_1-b",), ("c",), ("x/S",), ("1-b.c.d",), ("x",)], "id string")
     found = {(r.id, r.task) for r in triggers.entries_by_path_mention(tasks, ids).collect()}
     assert found == {("S_1", "1"), ("S_1-b", "1"), ("c", "1"), ("x/S", "1"), ("x", "1"), ("S_1", "2")}
+
+
+def test_classes_of_a_hot_key_stay_linear_and_count_exactly(spark):
+    from wakeline.operators import classes
+    left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i}", i) for i in range(300)] + [(None, -1)], "key string, a int")
+    right = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(200)] + [(None, -1)], "key string, b int")
+    both = classes.factored(left, right, ["key"])
+    counts = {r.key: (r.lefts, r.rights, r.pairs) for r in both.classes.collect()}
+    assert counts["hot"] == (100, 100, 10000) and len(counts) == 1 + sum(1 for i in range(0, 200, 2) if i % 3)
+    assert both.left.count() + both.right.count() <= 500
+    for part in (7, 1000):
+        pairs = [tuple(r) for r in both.pairs(part).select("key", "a", "b").collect()]
+        assert sorted(pairs) == sorted(tuple(r) for r in left.join(right, "key").select("key", "a", "b").collect())
+
+
+def test_bridge_classes_say_what_bridges_list(spark):
+    edges, outputs = fixture(spark)
+    listed = stitch.bridges(edges, outputs)
+    said = stitch.bridge_classes(edges, outputs)
+    assert {r.digest: r.pairs for r in said.classes.collect()} == {r.digest: r["count"] for r in listed.groupBy("digest").count().collect()}
+    assert said.left.count() + said.right.count() <= edges.count() + outputs.count()
+
+
+def test_starts_of_sorted_ids(spark):
+    import random
+    from wakeline.sources import runs
+    rng = random.Random(9)
+    keys = {"".join(rng.choice("abé\U0001F600") for _ in range(rng.randint(1, 6))) for _ in range(400)}
+    requests = {"".join(rng.choice("abé\U0001F600") for _ in range(rng.randint(1, 4))) for _ in range(60)} | {"a", "ab", "zz"}
+    found = runs.begun_by(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(r,) for r in requests], "request string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r, k) for r in requests for k in keys if k.startswith(r))

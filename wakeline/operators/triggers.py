@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.text import basename, dotted_prefixes, image_parts, version_agrees
+from wakeline.operators.classes import Factored, factored
 from wakeline.operators.graph import EXTERNAL, NODE
 from wakeline.session import cut
 
@@ -165,11 +166,16 @@ def entries_by_path_mention(tasks: DataFrame, ids: DataFrame) -> DataFrame:
     return tagged.join(hits, "tag").select("id", *NODE)
 
 
-def entries_by_library(edges: DataFrame, library: DataFrame) -> DataFrame:
-    """(id, run_id, task): every id of a library file (filename, id) enters where the file was read."""
+def library_classes(edges: DataFrame, library: DataFrame) -> Factored:
+    """Tasks that read a library file and the ids in it, per file and unexpanded: (filename, lefts, rights, pairs)."""
     read = edges.where(F.col("producer") == EXTERNAL).select(
         "filename", "run_id", F.col("consumer").alias("task")).distinct()
-    return read.join(library.distinct(), "filename").select("id", *NODE)
+    return factored(read, library.select("filename", "id").distinct(), ["filename"])
+
+
+def entries_by_library(edges: DataFrame, library: DataFrame) -> DataFrame:
+    """(id, run_id, task): every id of a library file (filename, id) enters where the file was read."""
+    return library_classes(edges, library).pairs().select("id", *NODE)
 
 
 def resolve_triggers(triggers: DataFrame, tasks: DataFrame, edges: DataFrame,
