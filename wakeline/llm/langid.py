@@ -40,7 +40,7 @@ SEED = 2026
 MOST_LANGUAGES = 10_000
 #: Letters of text that are worked on at once.
 PART = 1 << 21
-#: A text longer than this is counted in pieces, which overlap by two letters.
+#: Letters of one text that are looked at at once.
 PIECE = 1 << 20
 
 
@@ -69,51 +69,64 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def codes(text: str) -> np.ndarray:
-    """The lower-cased text's letters with single spaces between runs and at both ends."""
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    is_letter = _letters()[raw]
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
-    keep[0] = True
-    return np.where(is_letter, raw, 32)[keep].astype(np.int64)
+def codes(text: str) -> Iterator[np.ndarray]:
+    """
+    The lower-cased text's letters with single spaces between runs and at both ends, in pieces that overlap by two,
+    so that every trigram of the whole text lies in one piece.
+    """
+    low, carried, after_letter = f" {text.lower()} ", np.zeros(0, np.int64), True
+    for at in range(0, len(low), PIECE):
+        raw = np.frombuffer(low[at:at + PIECE].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        is_letter = _letters()[raw]
+        # of what is not a letter the first stands for its run
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]
+        keep[0] |= after_letter
+        after_letter = bool(is_letter[-1])
+        piece = np.concatenate([carried, np.where(is_letter, raw, 32)[keep].astype(np.int64)])
+        yield piece
+        carried = piece[-2:]
+
+
+def _parts(texts: list[str]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(row, piece) for the pieces of some texts, in lists of bounded length."""
+    part, size = [], 0
+    for i, text in enumerate(texts):
+        for piece in codes(text):
+            if len(piece) < 3:
+                continue
+            if part and size + len(piece) > PART:
+                yield part
+                part, size = [], 0
+            part.append((i, piece))
+            size += len(piece)
+    if part:
+        yield part
 
 
 def _trigrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, texts by trigrams counts, the trigrams) for runs of texts of bounded length."""
-    lists = []
-    for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text)), PIECE):
-            lists.append((i, codes(text[max(0, at - 2):at + PIECE])))
-    at = 0
-    while at < len(lists):
-        to, size = at, 0
-        while to < len(lists) and (to == at or size + len(lists[to][1]) <= PART):
-            size += len(lists[to][1])
-            to += 1
-        part = [x for x in lists[at:to] if len(x[1]) > 2]
-        if part:
-            first = part[0][0]
-            joined = np.concatenate([c for _, c in part])
-            ends = np.cumsum([len(c) for _, c in part])
-            row = np.repeat([i - first for i, _ in part], np.diff(ends, prepend=0))
-            alphabet, dense = np.unique(joined, return_inverse=True)
-            k = len(alphabet)
-            key = (dense[:-2] * k + dense[1:-1]) * k + dense[2:]
-            inside = np.ones(len(key) + 2, dtype=bool)
-            inside[ends - 1] = inside[ends - 2] = False
-            inside = inside[:-2]
-            key, row = key[inside], row[:-2][inside]
-            if k ** 3 <= 1 << 24:
-                seen = np.zeros(k ** 3, dtype=bool)
-                seen[key] = True
-                used = np.flatnonzero(seen)
-                number = np.cumsum(seen) - 1
-                column = number[key]
-            else:
-                used, column = np.unique(key, return_inverse=True)
-            yield first, row, column, np.stack([alphabet[used // (k * k)], alphabet[used // k % k], alphabet[used % k]], axis=1)
-        at = to
+    for part in _parts(texts):
+        first = part[0][0]
+        joined = np.concatenate([c for _, c in part])
+        ends = np.cumsum([len(c) for _, c in part])
+        row = np.repeat([i - first for i, _ in part], np.diff(ends, prepend=0))
+        alphabet, dense = np.unique(joined, return_inverse=True)
+        k = len(alphabet)
+        key = (dense[:-2] * k + dense[1:-1]) * k + dense[2:]
+        inside = np.ones(len(key) + 2, dtype=bool)
+        inside[ends - 1] = inside[ends - 2] = False
+        inside = inside[:-2]
+        key, row = key[inside], row[:-2][inside]
+        if k ** 3 <= 1 << 24:
+            seen = np.zeros(k ** 3, dtype=bool)
+            seen[key] = True
+            used = np.flatnonzero(seen)
+            number = np.cumsum(seen) - 1
+            column = number[key]
+        else:
+            used, column = np.unique(key, return_inverse=True)
+        yield first, row, column, np.stack([alphabet[used // (k * k)], alphabet[used // k % k], alphabet[used % k]], axis=1)
 
 
 def _vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
