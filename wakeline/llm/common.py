@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, scratch_path
 
-__all__ = ["components", "cut", "documents", "flat", "rows_by", "scratch_path", "text_of"]
+__all__ = ["components", "cut", "documents", "flat", "marked", "rows_by", "scratch_path", "text_of"]
 
 #: Runs of anything but white space of the ASCII range, as a Java pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +38,26 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0]:ends[-1]], ends - ends[0]
 
 
+#: Bits of the map of marked keys.
+MARKS = 1 << 24
+
+
+def marked(rows: DataFrame, key, keys: DataFrame) -> DataFrame:
+    """
+    The rows whose `key` (a number) falls on a bit of a map of `MARKS` bits that the numbers `keys` (key) mark: all
+    that have one of them, and few others while the marked are few beside the bits. The map has at most MARKS / 64
+    rows, and is what is sent to every task, so most rows that nobody asks for never leave theirs.
+    """
+    def place(c):
+        at = F.pmod(c, F.lit(MARKS))
+        return F.call_function("div", at, F.lit(64)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    word, bit = place(F.col("key"))
+    marks = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    word, bit = place(key)
+    found = rows.select(F.struct("*").alias("row"), word.alias("at"), bit.alias("bit")).join(F.broadcast(marks), F.col("at") == F.col("word"))
+    return found.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("row.*")
+
+
 def rows_by(docs: DataFrame, decided: DataFrame, how: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with (left_semi) or without (left_anti) their id and text's XXH64 in `decided` (id, digest); any column names."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.xxhash64(text_of(text)).alias("d"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import marked, text_of
 
 # The kinds in their order, what each matches, and the shortest match that counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -112,10 +112,14 @@ class Ledger:
         rows = docs.select(F.col(path).cast("string").alias("path"), text_of(text).alias("body")).withColumn("blob", F.sha2("body", 256))
         rows.select(F.lit(commit).alias("commit"), "path", "blob").write.mode("overwrite").parquet(f"{self.root}/versions/{name}")
         seen = self.scanned().where(F.col("rules") == rules).select("blob")
-        unseen = rows.groupBy("blob").agg(F.first("body").alias("body")).join(seen, "blob", "left_anti")
+        # Digests tell what is new; only bodies that may be new leave their task.
+        new = self.spark.read.parquet(f"{self.root}/versions/{name}").select("blob").distinct().join(seen, "blob", "left_anti")
+        new.select(F.lit(rules).alias("rules"), "blob").write.mode("overwrite").parquet(f"{self.root}/new/{name}")
+        new = self.spark.read.parquet(f"{self.root}/new/{name}").select("blob")
+        bodies = marked(rows.select("blob", "body"), F.xxhash64("blob"), new.select(F.xxhash64("blob").alias("key")))
+        unseen = bodies.groupBy("blob").agg(F.first("body").alias("body")).join(new, "blob", "left_semi")
         scan(unseen).select(F.lit(rules).alias("rules"), "blob", "spans").write.mode("overwrite").parquet(f"{self.root}/findings/{name}")
-        of_commit = self.spark.read.parquet(f"{self.root}/versions/{name}").select("blob").distinct().join(seen, "blob", "left_anti")
-        of_commit.select(F.lit(rules).alias("rules"), "blob").write.mode("overwrite").parquet(f"{self.root}/scanned/{name}")
+        new.select(F.lit(rules).alias("rules"), "blob").write.mode("overwrite").parquet(f"{self.root}/scanned/{name}")
 
     def by_path(self, docs: DataFrame, rules: str = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
         """(path, blob, spans) for every row of `docs`, spans empty where the blob has none."""

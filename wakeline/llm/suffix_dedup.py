@@ -44,12 +44,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flat, scratch_path, text_of
+from .common import cut, flat, marked, scratch_path, text_of
 
 LENGTH = 400
 FAN = 16
-#: Bits of the map of texts that share an anchor.
-MARKS = 1 << 24
 #: Bytes of text that are hashed at once.
 PART = 2 << 20
 
@@ -195,19 +193,6 @@ def _bucketed(df: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _asked_for(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """
-    The rows whose k1 falls on a marked bit of a map of `MARKS` bits that `keys` mark: all that are asked for, and
-    few others while the marked are few beside the bits. The map has at most MARKS / 64 rows, and is what is sent
-    to every task, so most texts that nobody asks for leave theirs never.
-    """
-    place = F.pmod("k1", F.lit(MARKS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    word = F.call_function("div", place, F.lit(64))
-    marks = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    return rows.join(F.broadcast(marks), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """
     (texts, spans): the distinct texts (k1, k2, body, copies) that share an
@@ -227,7 +212,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> tuple[
     # Written, so that the join has plain shuffles on both sides and a bucket that many texts share is split.
     shared, _ = cut(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "suffix-shared")
     lists, _ = cut(first.join(shared, "bucket").groupBy("k1", "k2").agg(F.collect_set(F.col("place") - F.lit(width - 1)).alias("starts")), "suffix-lists")
-    texts = _asked_for(_known(docs, text), lists).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
+    texts = marked(_known(docs, text), F.col("k1"), lists.select(F.col("k1").alias("key"))).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
     texts = _bucketed(texts.join(lists, ["k1", "k2"]))
 
     spans, rows, size, parent = [], texts, width, 0

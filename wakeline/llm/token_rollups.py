@@ -8,10 +8,14 @@ to one; the rollup keeps their sums by source, language and tokenizer version,
 so totals are the sum of all batches' deltas and no document is counted again.
 
 A batch is committed under a name. Its files are written first; it counts from
-the moment its marker exists, which is created once and atomically. A batch
-that failed on the way leaves files that nothing reads; doing it again under
-the same name counts once, and doing a committed one again does nothing.
-`compact` folds committed deltas of the rollup into one.
+the moment its marker exists. Markers are numbered; one is written aside and
+then renamed into the place of its number, which fails if that is taken, so a
+marker is whole or not there, and of batches that run at once the later one
+finds its place taken and works out its changes again from what then stands.
+A batch that failed on the way leaves files that nothing reads; doing it again
+under the same name counts once, and doing a committed one again does nothing.
+`compact` folds the committed deltas into one, and the journal into what stands.
+The store must rename atomically.
 
 Counting is one pass over whole texts inside tasks; a group's sums are formed
 in the tasks before they are shuffled, so a source with a third of all rows is
@@ -93,34 +97,42 @@ class Rollup:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def committed(self) -> dict[str, str]:
-        """The folder of every batch that counts."""
-        fs, where = self._fs(f"{self.root}/markers/*")
-        found = {}
-        for x in fs.globStatus(where) or []:
+    def _markers(self, kind: str) -> list[list[str]]:
+        """What the markers of a kind say, in the order of their numbers."""
+        fs, where = self._fs(f"{self.root}/{kind}/*")
+        found = []
+        for x in sorted(fs.globStatus(where) or [], key=lambda x: x.getPath().getName()):
             stream = fs.open(x.getPath())
             try:
-                found[x.getPath().getName()] = stream.readUTF()
+                found.append(stream.readUTF().split("\n"))
             finally:
                 stream.close()
         return found
 
+    def committed(self) -> dict[str, str]:
+        """The folder of every batch that counts, in the order of their commits."""
+        return dict(self._markers("markers"))
+
     def _read(self, table: str, schema: str, only: dict[str, str] | None = None) -> DataFrame:
         paths = sorted(f"{p}/{table}" for p in set((self.committed() if only is None else only).values()))
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def standing(self) -> DataFrame:
-        """What stands: (doc_id, source, lang, version, tokens)."""
+        """What stands: (doc_id, source, lang, version, tokens), from the last fold and the journals after it."""
         columns = ("doc_id", "source", "lang", "version", "tokens")
-        sums = self._read("journal", _JOURNAL).where("doc_id IS NOT NULL").groupBy(*columns).agg(F.sum("sign").alias("n"))
+        folded, rest = self._folded()
+        rows = self._read("journal", _JOURNAL, rest).where("doc_id IS NOT NULL")
+        if folded:
+            rows = rows.unionByName(self.spark.read.schema(_JOURNAL).parquet(f"{folded}/standing"))
+        sums = rows.groupBy(*columns).agg(F.sum("sign").alias("n"))
         return sums.where("n > 0").select(*columns)
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens): the sum of all committed deltas, groups without documents left out."""
-        folded = self._folded()
-        deltas = self._read("delta", _ROLLUP, folded[1])
-        if folded[0]:
-            deltas = deltas.unionByName(self.spark.read.schema(_ROLLUP).parquet(folded[0]))
+        folded, rest = self._folded()
+        deltas = self._read("delta", _ROLLUP, rest)
+        if folded:
+            deltas = deltas.unionByName(self.spark.read.schema(_ROLLUP).parquet(f"{folded}/totals"))
         return deltas.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def commit(self, changes: DataFrame, batch: str) -> bool:
@@ -130,6 +142,8 @@ class Rollup:
         """
         if batch in self.committed():
             return False
+        if "/" in batch or "\n" in batch:
+            raise ValueError("a batch's name has no slash and no line end")
         rows = changes.select("op", F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("long").alias("seq"),
                               F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_of().alias("body"))
         rows = counted(rows, "body", self.ranks).withColumn("version", F.lit(self.version))
@@ -140,53 +154,56 @@ class Rollup:
         named = rows.where("doc_id IS NOT NULL").withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
         free = rows.where("doc_id IS NULL AND op <> 'delete'")
         new = named.where("op <> 'delete'").unionByName(free).select("doc_id", "source", "lang", "version", "tokens", F.lit(1).alias("sign"))
-        old = self.standing().where(F.col("version") == self.version).join(named.select("doc_id"), "doc_id", "left_semi")
-        signed = old.select("doc_id", "source", "lang", "version", "tokens", F.lit(-1).alias("sign")).unionByName(new)
-        signed.write.parquet(f"{path}/journal")
-        delta = self.spark.read.schema(_JOURNAL).parquet(f"{path}/journal").groupBy("source", "lang", "version").agg(
-            F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-        delta.coalesce(1).write.parquet(f"{path}/delta")
-        return self._mark("markers", batch, path)
-
-    def _mark(self, kind: str, name: str, path: str) -> bool:
-        """Create a marker that names a folder; false where another one came first."""
-        fs, where = self._fs(f"{self.root}/{kind}/{name}")
+        while batch not in (before := self.committed()):
+            turn = f"{path}/{len(before)}"
+            old = self.standing().where(F.col("version") == self.version).join(named.select("doc_id"), "doc_id", "left_semi")
+            signed = old.select("doc_id", "source", "lang", "version", "tokens", F.lit(-1).alias("sign")).unionByName(new)
+            signed.write.mode("overwrite").parquet(f"{turn}/journal")
+            delta = self.spark.read.schema(_JOURNAL).parquet(f"{turn}/journal").groupBy("source", "lang", "version").agg(
+                F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
+            delta.coalesce(1).write.mode("overwrite").parquet(f"{turn}/delta")
+            if self._mark("markers", f"{len(before):012}", batch, turn):
+                return True
+        return False
+
+    def _mark(self, kind: str, name: str, *said: str) -> bool:
+        """Put a marker that says something in its place; false where another one came first."""
+        jvm = self.spark._jvm
+        fs, aside = self._fs(f"{self.root}/aside/{jvm.java.util.UUID.randomUUID().toString()}")
+        place = self._fs(f"{self.root}/{kind}/{name}")[1]
+        out = fs.create(aside, False)
+        out.writeUTF("\n".join(said))
+        out.close()
+        fs.mkdirs(place.getParent())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            out = fs.create(where, False)
-        except Exception:  # noqa: BLE001  the store says in its own words that it exists
-            if not fs.exists(where):
+            files.rename(fs.makeQualified(aside), fs.makeQualified(place), never)
+        except Exception:  # noqa: BLE001  the store says in its own words that the place is taken
+            if not fs.exists(place):
                 raise
             return False
-        out.writeUTF(path)
-        out.close()
         return True
 
     def _folded(self) -> tuple[str | None, dict[str, str]]:
         """The folder of the last fold, if any, and the batches it does not hold."""
-        batches = self.committed()
-        fs, where = self._fs(f"{self.root}/folds/*")
-        folds = sorted(fs.globStatus(where) or [], key=lambda x: int(x.getPath().getName()))
+        batches, folds = self.committed(), self._markers("folds")
         if not folds:
             return None, batches
-        stream = fs.open(folds[-1].getPath())
-        try:
-            path = stream.readUTF()
-        finally:
-            stream.close()
-        held = {r["batch"] for r in self.spark.read.parquet(f"{path}/held").collect()}
-        return f"{path}/totals", {b: p for b, p in batches.items() if b not in held}
-
-    def compact(self) -> None:
-        """Fold the deltas committed so far into one table."""
-        batches = self.committed()
+        path, held = folds[-1][0], int(folds[-1][1])
+        return path, dict(list(batches.items())[held:])
+
+    def compact(self) -> bool:
+        """Fold the deltas committed so far into one table and the journals into what stands; false if another fold came first."""
+        number, batches = len(self._markers("folds")), self.committed()
         path = f"{self.root}/folded/{self.spark._jvm.java.util.UUID.randomUUID().toString()}"
-        folds, where = self._fs(f"{self.root}/folds/*")
-        number = len(folds.globStatus(where) or [])
         before, rest = self._folded()
-        rest = {b: p for b, p in rest.items() if b in batches}
-        sums = self._read("delta", _ROLLUP, rest)
+        held = {b: p for b, p in rest.items() if b in batches}
+        sums, rows = self._read("delta", _ROLLUP, held), self._read("journal", _JOURNAL, held).where("doc_id IS NOT NULL")
         if before:
-            sums = sums.unionByName(self.spark.read.schema(_ROLLUP).parquet(before))
+            sums = sums.unionByName(self.spark.read.schema(_ROLLUP).parquet(f"{before}/totals"))
+            rows = rows.unionByName(self.spark.read.schema(_JOURNAL).parquet(f"{before}/standing"))
         sums.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{path}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.parquet(f"{path}/held")
-        self._mark("folds", str(number), path)
+        standing = rows.groupBy("doc_id", "source", "lang", "version", "tokens").agg(F.sum("sign").cast("int").alias("sign")).where("sign > 0")
+        standing.select("doc_id", "source", "lang", "version", "tokens", "sign").write.parquet(f"{path}/standing")
+        return self._mark("folds", f"{number:012}", path, str(len(batches)))
