@@ -311,8 +311,8 @@ ORACLES = {
         UNION ALL SELECT bundle, 'gate', NULL, 'STOP', NULL, problem IS NULL FROM gated
         UNION ALL SELECT bundle, 'decision', 'none', 'dismissed', actor, problem IS NULL FROM decisions""", extra=ITEMS + FACTS_LOG + GATED + DECIDED),
     "unknowns_rollup": oracle("""SELECT note, count(*) AS bundles, CAST(sum(n) AS BIGINT) AS count FROM (
-        SELECT 'verdicts withheld' AS note, bundle, count(*) AS n FROM items WHERE action IS NULL GROUP BY bundle
-        UNION ALL SELECT 'subjects unknown', 'g0', count(*) FROM customer c WHERE concat('u', c_custkey) NOT IN (SELECT subject FROM again WHERE bundle = 'g2')
+        SELECT 'no verdict' AS note, bundle, count(*) AS n FROM items WHERE action IS NULL GROUP BY bundle
+        UNION ALL SELECT 'no status', 'g0', count(*) FROM customer c WHERE concat('u', c_custkey) NOT IN (SELECT subject FROM again WHERE bundle = 'g2')
         UNION ALL SELECT DISTINCT concat('remote ', flag), concat('b', CAST(floor(CAST(substring(consumer, 2) AS BIGINT) / 300) AS BIGINT)), 1 FROM edges WHERE target LIKE '%://%') GROUP BY note""",
         "edges", extra=ITEMS + FACTS_LOG + GATED),
     "manifest_table": oracle("""SELECT concat('b', doc_id % 40) AS bundle, name, sha256(text) AS sha256, CAST(30 AS BIGINT) AS head_seq, n AS since_seq,

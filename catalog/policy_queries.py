@@ -186,7 +186,7 @@ facts AS (SELECT p.trigger_id, p.task, t.process, t.target, t.okey, t.price, g.m
   CASE WHEN o.contribution = 'SEPARABLE' THEN o.asserted_by END AS class_asserted_by,
   s.storage, c.released, CASE WHEN g.mode = 'remove' AND sole.n = 1 THEN 'exclusive' ELSE 'shared' END AS scope, t.container, t.script,
   concat(CASE WHEN o.contribution <> c.contribution THEN concat('class SEPARABLE asserted by sheet (by evidence ', c.contribution, '); ') ELSE '' END,
-    c.evidence, CASE WHEN seen.storage IS NULL THEN '; storage not checked' ELSE '' END, substring(s.evidence, 5)) AS evidence
+    c.evidence, CASE WHEN seen.storage IS NULL THEN '; storage unlisted' ELSE '' END, substring(s.evidence, 5)) AS evidence
   FROM paths p JOIN triggers g ON p.trigger_id = g.trigger_id JOIN tasks t ON p.task = t.task
   JOIN classified c ON p.task = c.task JOIN settled s ON p.task = s.task JOIN sightings seen ON p.task = seen.task LEFT JOIN sole ON p.task = sole.task
   LEFT JOIN overrides o ON o.kind = g.kind AND o.process = t.process AND o.contribution = 'SEPARABLE'),

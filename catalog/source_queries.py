@@ -384,12 +384,12 @@ def digest_files(spark, sf):
 
 
 def hash_files(spark, sf):
-    """A file for every twenty documents, hashed where it lies: those above 64 KiB from the mount, the others as values."""
-    root = scratch_path(spark, "hash-files").replace("file://", "").replace("file:", "")
+    """A file for every twenty documents, hashed where it lies."""
+    root = scratch_path(spark, "hash-files")
     texts = run_sql(spark, sf, "SELECT CAST(floor(doc_id / 20) AS BIGINT) AS k, doc_id, coalesce(text, '') AS text FROM {documents}")
     inside = texts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d")).select("k", F.array_join("d.text", "\n").alias("value"))
     inside.write.partitionBy("k").text(root)
-    found = files.hash_files(spark, root, mount=root, whole=1 << 16)
+    found = files.hash_files(spark, root)
     return found.select(F.regexp_extract("path", r"k=(\d+)", 1).cast("bigint").alias("k"), "size", "digest", "problem")
 
 

@@ -124,19 +124,19 @@ def test_bundles_from_files(spark, tmp_path):
     assert {r.bundle for r in loaded.collect()} == {"good"}
 
 
-def test_files_hash_the_same_whole_or_in_pieces(spark, tmp_path):
+def test_files_of_any_size_are_hashed_in_pieces(spark, tmp_path):
+    inside = {"sub dir/a é.bin": b"x" * 3_000_000, "b%20c": b"y", "d": b"z"}
     (tmp_path / "sub dir").mkdir()
-    (tmp_path / "sub dir" / "a é.bin").write_bytes(b"x" * 3_000_000)
-    want = "sha256:" + hashlib.sha256(b"x" * 3_000_000).hexdigest()
-    small = files.hash_files(spark, str(tmp_path)).collect()
-    pieces = files.hash_files(spark, str(tmp_path), mount=str(tmp_path), whole=1000).collect()
-    refused = files.hash_files(spark, str(tmp_path), largest=1000).collect()
-    assert [tuple(r) for r in pieces] == [tuple(r) for r in small]
-    assert [(r.path, r.size, r.digest, r.problem) for r in refused] == [("sub dir/a é.bin", 3_000_000, None, "too large to read without a mount")]
-    listed = spark.createDataFrame([("a", str(tmp_path / "sub dir" / "a é.bin"))], "path string, local string")
-    large = files.hash_large(listed).collect()
-    assert [(r.path, r.size, r.digest) for r in small] == [("sub dir/a é.bin", 3_000_000, want)]
-    assert [(r.size, r.digest) for r in large] == [(3_000_000, want)]
+    for name, value in inside.items():
+        (tmp_path / name).write_bytes(value)
+    want = {(name, len(v), "sha256:" + hashlib.sha256(v).hexdigest(), None) for name, v in inside.items()}
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert {tuple(r) for r in files.hash_files(spark, root, tasks=2).collect()} == want
+    listed = files.hash_files(spark, str(tmp_path))
+    (tmp_path / "d").chmod(0)
+    (tmp_path / "d").unlink()
+    (tmp_path / "d").mkdir()
+    assert {r.path: r.problem is None for r in listed.collect()} == {"sub dir/a é.bin": True, "b%20c": True, "d": False}
 
 
 def test_graph_documents_and_receipts_as_files(spark, tmp_path):

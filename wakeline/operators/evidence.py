@@ -340,14 +340,14 @@ def incident_summary(anchors: DataFrame, plans: DataFrame, gates: DataFrame, dec
         "bundle", F.when(planned, "plan").when(decided, "decision").when(gated, "gate").otherwise("plan").alias("kind"),
         F.when(planned, F.col("asked")).when(decided, "none").alias("trigger"),
         F.when(planned, F.coalesce(figures, F.lit("asked"))).when(decided, "dismissed").when(gated, F.when(F.col("passed"), "PASS").otherwise("STOP")).alias("outcome"),
-        F.when(planned & decided, F.concat("actor", F.lit(", after it was held"))).when(~planned & decided, F.col("actor")).alias("by"), "all_passed")
+        F.when(planned & decided, F.concat("actor", F.lit(" (held before)"))).when(~planned & decided, F.col("actor")).alias("by"), "all_passed")
 
 
 def unknowns_rollup(items: DataFrame, gate_subjects: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(note, bundles, count): verdicts withheld, subjects unknown, and every stated limit with its number of bundles, most common first."""
-    withheld = items.where("action IS NULL").groupBy("bundle").agg(F.count("*").alias("n")).select(F.lit("verdicts withheld").alias("note"), "bundle", "n")
+    """(note, bundles, count): no verdict, no status, and every stated limit with its number of bundles, most common first."""
+    withheld = items.where("action IS NULL").groupBy("bundle").agg(F.count("*").alias("n")).select(F.lit("no verdict").alias("note"), "bundle", "n")
     unknown = gate_subjects.where(F.col("status") == ledger.UNKNOWN).groupBy("bundle").agg(F.count("*").alias("n")).select(
-        F.lit("subjects unknown").alias("note"), "bundle", "n")
+        F.lit("no status").alias("note"), "bundle", "n")
     limits = coverage.select("note", "bundle", F.lit(1).cast("bigint").alias("n"))
     return withheld.unionByName(unknown).unionByName(limits).groupBy("note").agg(
         F.count("*").alias("bundles"), F.sum("n").alias("count")).orderBy(F.desc("bundles"), "note")

@@ -87,13 +87,13 @@ def validate(policy) -> dict:
     need(len(set(ids)) == len(ids), "rule id used twice")
     for rule in policy["rules"]:
         where = f"rule {rule['id']!r}"
-        need(rule.get("action") in ACTIONS, f"{where} has unknown action {rule.get('action')!r}")
-        need(text(rule.get("reason")), f"{where} needs a reason")
-        need(isinstance(rule.get("when"), dict), f"{where} needs a 'when' object")
+        need(rule.get("action") in ACTIONS, f"{where}: action {rule.get('action')!r} not listed")
+        need(text(rule.get("reason")), f"{where}: reason absent")
+        need(isinstance(rule.get("when"), dict), f"{where}: when absent")
         for field, value in rule["when"].items():
-            need(field in DIMENSIONS, f"{where} tests unknown dimension {field!r}")
+            need(field in DIMENSIONS, f"{where}: no dimension {field!r}")
             need(any(type(value) is type(v) and value == v for v in VALUES[field]),
-                 f"{where} tests {field}={value!r}, which is not a possible value")
+                 f"{where}: {field} never is {value!r}")
     return policy
 
 

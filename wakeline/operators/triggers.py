@@ -220,9 +220,9 @@ def label_keys(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def check_triggers(triggers: DataFrame, keys: DataFrame, declared=(), removable=()) -> DataFrame:
     """
-    The batch with `problem`: NULL for a trigger that can be asked. An unknown
-    kind, an unknown mode, a missing value and a removal of something that can
-    only be traced are refused, each without failing the others.
+    The batch with `problem`: what keeps a trigger from being asked, its kind,
+    its mode or its value, and NULL where nothing does. One row's problem
+    leaves the rest of the batch as it is.
     """
     known = F.col("kind").isin(*declared, *ENGINE_KINDS) | F.col("known_key")
     problem = (

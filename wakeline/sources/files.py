@@ -4,60 +4,60 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.operators.graph import NODE
 
-# A file up to this size is read whole by one task; a larger one is streamed where executors mount it.
-WHOLE_UP_TO = 64 * 1024 * 1024
-# Fixed value: the largest file that Spark reads as one value.
-LARGEST_VALUE = (1 << 31) - 1
+# Bytes of a file that are held at a time.
+PIECE = 1 << 20
 
 
-def hash_files(spark: SparkSession, root: str, mount: str | None = None, whole: int = WHOLE_UP_TO, largest: int = LARGEST_VALUE) -> DataFrame:
-    """
-    (path, size, digest, problem) of every file under a root, whatever its
-    size. `mount` is where every executor sees the root as a folder: files
-    above `whole` bytes are streamed from there. Without it they are read as
-    one value, and those too large for that keep a row that says so.
-    """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path, size = _below(F.col("path"), root).alias("path"), F.col("length").alias("size")
-    most = whole if mount else largest
-    read = listed.where(F.col("length") <= most).select(
-        path, size, F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), F.lit(None).cast("string").alias("problem"))
-    above = listed.where(F.col("length") > most).select(path, size)
-    if mount is None:
-        return read.unionByName(above.withColumn("digest", F.lit(None).cast("string")).withColumn("problem", F.lit("too large to read without a mount")))
-    streamed = hash_large(above.withColumn("local", F.concat(F.lit(mount.rstrip("/") + "/"), "path")))
-    return read.unionByName(streamed.withColumn("problem", F.lit(None).cast("string")))
-
-
-def hash_large(files: DataFrame) -> DataFrame:
+def opened(path: str):
+    """A listed file as a stream, by the file system that its address names."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return LocalFileSystem().open_input_stream("/" + (rest if colon else path).lstrip("/"))
+    system, place = FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return system.open_input_stream(place)
+
+
+def hash_files(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """
-    (path, size, digest) of listed files (path, local), `local` being where
-    every executor mounts it; each file is read in pieces, so its size does not matter.
+    (path, size, digest, problem) of every file under a root. Spark lists the
+    files, and deals them to tasks; a task streams each of its files in pieces
+    through the file system its address names (local or mounted folders, HDFS,
+    S3, GCS), so one way does for all sizes. A file that cannot be read keeps
+    its row and says why. Spark's listing leaves out files without any bytes.
     """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        _below(F.col("path"), root).alias("below"), "path", "length")
+
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, local in batch[["path", "local"]].itertuples(index=False, name=None):
+            for below, path, length in batch[["below", "path", "length"]].itertuples(index=False, name=None):
                 seen, size = hashlib.sha256(), 0
-                with open(local, "rb") as handle:
-                    while piece := handle.read(1 << 20):
-                        seen.update(piece)
-                        size += len(piece)
-                rows.append((path, size, f"sha256:{seen.hexdigest()}"))
-            yield pd.DataFrame(rows, columns=["path", "size", "digest"])
+                try:
+                    with opened(path) as stream:
+                        while piece := stream.read(PIECE):
+                            seen.update(piece)
+                            size += len(piece)
+                    rows.append((below, size, f"sha256:{seen.hexdigest()}", None))
+                except (OSError, ValueError) as error:
+                    rows.append((below, length, None, type(error).__name__))
+            yield pd.DataFrame(rows, columns=["path", "size", "digest", "problem"])
 
-    return files.select("path", "local").repartition("path").mapInPandas(digest, "path string, size bigint, digest string")
+    dealt = listed.repartition(tasks, "path") if tasks else listed.repartition("path")
+    return dealt.mapInPandas(digest, "path string, size bigint, digest string, problem string")
 
 
 def _below(path, root: str):
-    return F.url_decode(F.regexp_replace(path, "^.*?\\Q" + root.split("://", 1)[-1].rstrip("/") + "\\E/", ""))
+    return F.regexp_replace(path, "^.*?\\Q" + root.split("://", 1)[-1].rstrip("/") + "\\E/", "")
 
 
 def digest_files(outputs: DataFrame, resolved: DataFrame, hashed: DataFrame) -> DataFrame:
