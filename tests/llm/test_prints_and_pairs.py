@@ -200,7 +200,7 @@ def brute_negatives(rows, positives=5, k=10):
     return out
 
 
-@pytest.mark.parametrize("scale", [60, 10 ** 8])
+@pytest.mark.parametrize("scale", [60, 400_000])
 def test_mined_negatives(spark, scale):
     rng = np.random.default_rng(scale)
     centers = rng.normal(size=(6, 5))

@@ -297,7 +297,8 @@ def mine(index: Index, anchors: DataFrame, positives: int = 5, negatives: int =
     """
     asked = anchors.select("key", F.col("vec_id").alias("own"), "label", "home", "v", F.array(F.lit(LOWEST)).alias("low"), F.array(F.lit(HIGHEST)).alias("high"))
     near, _ = cut(index.search(asked, positives, same=True).select("key", F.col("rank").alias("w"), F.col("vec_id").alias("positive_id"), F.col("score")), "positives")
-    least, most = -_floor_div(-F.col("score") * low, 100), _floor_div(F.col("score") * high, 100)
+    score = F.col("score").cast("decimal(20,0)")  # a hundred times a score need not fit 64 bits
+    least, most = -_floor_div(-score * low, 100), _floor_div(score * high, 100)
     windows = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("w", least.alias("low"), most.alias("high")))).alias("windows"))
     again = asked.drop("low", "high").join(windows, "key").withColumns({"low": F.col("windows.low"), "high": F.col("windows.high")})
     found = index.search(again, negatives, same=False).withColumns({"w": F.col("w") + 1, "negative_id": F.col("vec_id"), "negative_score": F.col("score")})
