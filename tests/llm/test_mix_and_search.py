@@ -137,6 +137,17 @@ def test_top_k_of_odd_vectors(spark):
     assert topk.search(pages, trees, topk.whole_vectors(docs)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_asked_each(spark):
+    whole = [(i, [i % 5, 3 - i % 4, i]) for i in range(30)]
+    vectors = spark.createDataFrame(whole, "vec_id long, v array<long>")
+    pages, trees = topk.build(vectors, tree=8, page=4)
+    asked = [(3, [1, 0, 0]), (3, [0, -1, -1]), (3, [1, 0, 0]), (4, [0, 0, 1])]
+    got = topk.search(pages, trees, spark.createDataFrame(asked, "vec_id long, v array<long>"), k=2, queries=2).collect()
+    want = [(q, n, i, s) for q, a in asked for n, (s, i) in enumerate(
+        [(-s, i) for s, i in sorted((-sum(x * y for x, y in zip(a, v)), i) for i, v in whole if i != q)[:2]], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_bounds_save_work():
     rng = np.random.default_rng(1)
     data = np.floor(256 * (np.repeat(rng.normal(size=(40, 16)), 50, axis=0) * 3 + rng.normal(size=(2000, 16)) * 0.05)).astype(np.int64)

@@ -24,8 +24,8 @@ equal vectors.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components
 take no part. Shorter vectors count as followed by zeros; an empty vector is
-all zeros. Rows without an id take no part. Rows that repeat an id are candidates each; as
-queries they are told apart by nothing, so ids asked for should be unique. Components and scores must fit 64 bits. Other columns
+all zeros. Rows without an id take no part. Rows that repeat an id are candidates each, and
+queries each, whose answers carry the one id. Components and scores must fit 64 bits. Other columns
 may have any name. An empty table gives an empty result.
 """
 
@@ -181,16 +181,17 @@ def build(vectors: DataFrame, tree: int = TREE, page: int = PAGE) -> tuple[DataF
 
 
 def search(pages: DataFrame, trees: int, asked: DataFrame, k: int = 5, queries: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of `asked` (vec_id, v) the k best rows of the index with another id."""
+    """(query_id, rank, vec_id, score): for each row of `asked` (vec_id, v) the k best rows of the index with another id, k for each row that repeats an id."""
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), queries):
                 part = batch.slice(at, queries)
                 vectors = _matrix(part.column("v"))
-                row = {"kind": 1, "part": 0, "ids": part.column("vec_id").to_pylist(), "flat": vectors.ravel().tolist()}
+                row = {"kind": 1, "part": 0, "ids": part.column("vec_id").to_pylist() + part.column("key").to_pylist(), "flat": vectors.ravel().tolist()}
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema([f for f in _FIELDS if f[0] != "tree"]))
 
-    blocks = asked.select("vec_id", "v").mapInArrow(block, _PAGE.removeprefix("tree int, "))
+    # A block's ids are its queries' own, then the numbers that tell their rows apart.
+    blocks = asked.select("vec_id", "v", F.monotonically_increasing_id().alias("key")).mapInArrow(block, _PAGE.removeprefix("tree int, "))
     everywhere = blocks.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +208,11 @@ def search(pages: DataFrame, trees: int, asked: DataFrame, k: int = 5, queries:
                 if not rows:
                     continue
                 index = index or Tree(rows)
-                ids, flat = row["ids"].values.to_numpy(), row["flat"].values.to_numpy()
-                out = [(own, i, s) for own, q in zip(ids.tolist(), flat.reshape(len(ids), -1)) for s, i in index.search(own, q, k)[0]]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+                ids, flat = row["ids"].values.to_numpy().reshape(2, -1), row["flat"].values.to_numpy()
+                out = [(key, own, i, s) for own, key, q in zip(*ids.tolist(), flat.reshape(ids.shape[1], -1)) for s, i in index.search(own, q, k)[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(4)], ["key", "query_id", "vec_id", "score"])
 
     stream = pages.unionByName(everywhere).repartition(trees, "tree").sortWithinPartitions("tree", "kind", "part")
-    found = stream.mapInArrow(of, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = stream.mapInArrow(of, "key long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
