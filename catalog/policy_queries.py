@@ -177,11 +177,12 @@ TRIGGER_PATHS = FWD + """paths(trigger_id, task, path) USING KEY (trigger_id, ta
   SELECT p.trigger_id, f.next, list_append(min(p.path), f.next) FROM paths p JOIN fwd f ON p.task = f.task
   WHERE NOT EXISTS (SELECT 1 FROM recurring.paths r WHERE r.trigger_id = p.trigger_id AND r.task = f.next)
   GROUP BY p.trigger_id, f.next),"""
-PLAN = FWD + """paths(trigger_id, task) AS (SELECT trigger_id, task FROM trigger_entries
-  UNION SELECT p.trigger_id, f.next FROM paths p JOIN fwd f ON p.task = f.task),
+PLAN = FWD + """spread(trigger_id, task) AS (SELECT trigger_id, task FROM trigger_entries
+  UNION SELECT p.trigger_id, f.next FROM spread p JOIN fwd f ON p.task = f.task),
+paths AS MATERIALIZED (SELECT * FROM spread),
 sole AS (SELECT task, count(*) AS n FROM paths WHERE trigger_id LIKE 'nation:%' GROUP BY task),
 """ + OVER + CLASSIFIED + SETTLED.replace("NOT published_checked", "true") + """
-facts AS (SELECT p.trigger_id, p.task, t.process, t.target, t.okey, t.price, g.mode,
+facts AS MATERIALIZED (SELECT p.trigger_id, p.task, t.process, t.target, t.okey, t.price, g.mode,
   COALESCE(CASE WHEN o.contribution = 'SEPARABLE' THEN 'SEPARABLE' END, c.contribution) AS contribution,
   CASE WHEN o.contribution = 'SEPARABLE' THEN o.asserted_by END AS class_asserted_by,
   s.storage, c.released, CASE WHEN g.mode = 'remove' AND sole.n = 1 THEN 'exclusive' ELSE 'shared' END AS scope, t.container, t.script,
@@ -190,8 +191,11 @@ facts AS (SELECT p.trigger_id, p.task, t.process, t.target, t.okey, t.price, g.m
   FROM paths p JOIN triggers g ON p.trigger_id = g.trigger_id JOIN tasks t ON p.task = t.task
   JOIN classified c ON p.task = c.task JOIN settled s ON p.task = s.task JOIN sightings seen ON p.task = seen.task LEFT JOIN sole ON p.task = sole.task
   LEFT JOIN overrides o ON o.kind = g.kind AND o.process = t.process AND o.contribution = 'SEPARABLE'),
-""" + decided("facts", "trigger_id, task") + """
-plan AS (SELECT f.*, v.action, v.rule, v.possible, COALESCE(v.action, 'UNDETERMINED') AS verdict FROM facts f JOIN verdicts v USING (trigger_id, task)),"""
+cases AS MATERIALIZED (SELECT *, row_number() OVER () AS case_no FROM (SELECT DISTINCT contribution, storage, scope, released, mode FROM facts)),
+""" + decided("cases", "case_no") + """
+plan AS (SELECT f.*, v.action, v.rule, v.possible, COALESCE(v.action, 'UNDETERMINED') AS verdict
+  FROM facts f JOIN cases c ON f.contribution = c.contribution AND f.storage IS NOT DISTINCT FROM c.storage AND f.scope = c.scope
+    AND f.released IS NOT DISTINCT FROM c.released AND f.mode = c.mode JOIN verdicts v USING (case_no)),"""
 _P = ("tasks", "edges", "triggers", "trigger_entries", "sightings")
 _LABEL = "COALESCE(action, regexp_replace(replace(possible, ',', ' or '), '=[^ ]*', '', 'g'))"
 
