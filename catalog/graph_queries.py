@@ -64,8 +64,8 @@ def evidence_paths(spark, sf):
 
 
 def reach_summary(spark, sf):
-    entries, _ = _segments(spark, sf)
-    return graph.reach_summary(entries, _radius(spark, sf))
+    entries, edges = _segments(spark, sf)
+    return graph.Closure(entries, graph.numbered(edges)).summary()
 
 
 def untouched(spark, sf):

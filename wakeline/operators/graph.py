@@ -23,6 +23,8 @@ EXTERNAL = "EXTERNAL"
 NODE = ["run_id", "task"]
 #: Subjects that share a row of a task: 64 bits in each of so many words.
 WORDS = 16
+#: A round is narrow when this many times its rows are fewer than all rows so far.
+NARROW = 16
 #: Rows that one task numbers.
 NUMBERED = 1 << 20
 #: Levels of a path whose order is kept by names before it is made a number again.
@@ -53,12 +55,13 @@ class Numbered:
 
 def numbered(edges: DataFrame) -> Numbered:
     """The graph of `edges` as numbers, written once, for several closures over it."""
-    named, _ = cut(forward_edges(edges), "forward")
-    ends = named.select("run_id", "task").unionByName(named.select("run_id", F.col("next").alias("task"))).distinct()
+    followed = edges.where(F.col("producer").isNotNull() & (F.col("producer") != EXTERNAL) & (F.col("producer") != F.col("consumer")))
+    ends = followed.select("run_id", F.explode(F.array("producer", "consumer")).alias("task")).distinct()
     ordered = ends.repartitionByRange("task", "run_id").sortWithinPartitions("task", "run_id")
     nodes, _ = cut(ordered.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    to = nodes.select("run_id", F.col("task").alias("next"), F.col("node").alias("to"))
-    forward, _ = cut(named.join(nodes, NODE).join(to, ["run_id", "next"]).select("node", F.col("to").alias("next")), "edges")
+    to = nodes.select("run_id", F.col("task").alias("consumer"), F.col("node").alias("next"))
+    by = nodes.select("run_id", F.col("task").alias("producer"), "node")
+    forward, _ = cut(followed.select("run_id", "producer", "consumer").join(by, ["run_id", "producer"]).join(to, ["run_id", "consumer"]).select("node", "next").distinct(), "edges")
     return Numbered(nodes, forward)
 
 
@@ -72,8 +75,7 @@ def _numbers(rows: DataFrame, name: str, label: str) -> tuple[DataFrame, int]:
 class Closure:
     """
     Which subjects reach which tasks. `bits` has a row (node, block, w0, w1, ..)
-    for a task and a block of 64 * `words` subjects, once for each round in
-    which it got some of them; the sets of one task's rounds are disjoint.
+    for a task and a block of 64 * `words` subjects of which any reach it.
     """
 
     def __init__(self, entries: DataFrame, graph: Numbered):
@@ -82,7 +84,7 @@ class Closure:
         self.subjects, n = _numbers(entries, "subject", "subjects")
         self.words = min(WORDS, max(1, -(-n // 64)))
         starts, _ = cut(graph.entered(entries).join(self.subjects, "subject"), "starts")
-        self.alone = starts.where("node IS NULL").select("subject", *NODE)
+        self.entered, self.alone = starts, starts.where("node IS NULL").select("subject", *NODE)
         size = 64 * self.words
         names = [f"w{j}" for j in range(self.words)]
         place = F.col("no") % size
@@ -92,39 +94,61 @@ class Closure:
             "node", F.floor(F.col("no") / size).alias("block"), *(F.when(F.floor(place / 64) == j, one).otherwise(F.lit(0).cast("long")).alias(w) for j, w in enumerate(names)))))
         self.rounds = [rows]
         while rows:
-            arriving, rows = cut(self._joined(fresh.join(graph.forward, "node").drop("node").withColumnRenamed("next", "node")), "arriving")
-            if not rows:
-                break
-            # Only the sets of tasks that something arrives at are looked up.
-            had = self._joined(log.rows().join(arriving.select("node", "block"), ["node", "block"], "left_semi"))
-            had = had.select("node", "block", *(F.col(w).alias(f"had {w}") for w in names))
+            moved = fresh.join(graph.forward, "node").drop("node").withColumnRenamed("next", "node")
+            if rows * NARROW < sum(self.rounds):
+                # What few tasks had is looked up for them alone.
+                arriving = self._joined(moved)
+                had = self._joined(log.rows().join(arriving.select("node", "block"), ["node", "block"], "left_semi"))
+                both = arriving.join(had.select("node", "block", *(F.col(w).alias(f"had {w}") for w in names)), ["node", "block"], "left")
+            else:
+                none = F.lit(0).cast("long")
+                both = moved.select("node", "block", *names, *(none.alias(f"had {w}") for w in names)).unionByName(
+                    log.rows().select("node", "block", *(none.alias(w) for w in names), *(F.col(w).alias(f"had {w}") for w in names)))
+                both = both.groupBy("node", "block").agg(*(F.bit_or(c).alias(c) for c in (*names, *(f"had {w}" for w in names))))
             new = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"had {w}"), F.lit(0).cast("long")))).alias(w) for w in names]
-            changed = arriving.join(had, ["node", "block"], "left").select("node", "block", *new)
-            fresh, rows = log.add(changed.where(" OR ".join(f"{w} <> 0" for w in names)))
+            fresh, rows = log.add(both.select("node", "block", *new).where(" OR ".join(f"{w} <> 0" for w in names)))
             self.rounds.append(rows)
-        self.bits = log.rows()
+        self.one_block = n <= size
+        self.bits, _ = cut(self._joined(log.rows()), "bits")
 
     def _joined(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("node", "block").agg(*(F.bit_or(f"w{j}").alias(f"w{j}") for j in range(self.words)))
 
     def _listed(self, rows: DataFrame, *more: str) -> DataFrame:
-        """(subject, run_id, task, ..) of the bits of `rows`."""
+        """(no, node, ..) of the bits of `rows`, no the subject's number."""
         word = rows.select("node", "block", *more, F.posexplode(F.array(*(f"w{j}" for j in range(self.words)))).alias("j", "w")).where("w <> 0")
         here = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("w"), i).bitwiseAND(F.lit(1)) != 0)
-        each = word.select("node", *more, (F.col("block") * (64 * self.words) + F.col("j") * 64).alias("first"), F.explode(here).alias("i"))
-        named = each.select("node", *more, (F.col("first") + F.col("i")).alias("no")).join(self.subjects, "no").join(self.graph.nodes, "node")
-        return named.select("subject", *NODE, *more)
+        return word.select("node", *more, (F.col("block") * (64 * self.words) + F.col("j") * 64).alias("first"), F.explode(here).alias("i")).select(
+            (F.col("first") + F.col("i")).alias("no"), "node", *more)
+
+    def _judged(self) -> DataFrame:
+        """The bits with `exclusive`: whether only one subject reaches the task."""
+        held = sum((F.bit_count(f"w{j}") for j in range(self.words)), F.lit(0)).cast("long")
+        if self.one_block:
+            return self.bits.withColumn("exclusive", held == 1)
+        total = self.bits.groupBy("node").agg(F.sum(held).alias("total")).select("node", (F.col("total") == 1).alias("exclusive"))
+        return self.bits.join(total, "node")
+
+    def _named(self, listed: DataFrame) -> DataFrame:
+        return listed.join(self.subjects, "no").join(self.graph.nodes, "node").drop("no", "node")
 
     def reached(self) -> DataFrame:
         """(subject, run_id, task), entries included."""
-        return self._listed(self.bits).unionByName(self.alone)
+        return self._named(self._listed(self.bits)).select("subject", *NODE).unionByName(self.alone)
 
     def radius(self) -> DataFrame:
         """(subject, run_id, task, exclusive): a task is exclusive when only one subject reaches it, which its bits say before any subject is listed."""
-        held = sum((F.bit_count(f"w{j}") for j in range(self.words)), F.lit(0)).cast("long")
-        total = self.bits.groupBy("node").agg(F.sum(held).alias("total")).select("node", (F.col("total") == 1).alias("exclusive"))
-        alone = blast_radius(self.alone)
-        return self._listed(self.bits.join(total, "node"), "exclusive").unionByName(alone.select("subject", *NODE, "exclusive"))
+        named = self._named(self._listed(self._judged(), "exclusive")).select("subject", *NODE, "exclusive")
+        return named.unionByName(blast_radius(self.alone).select("subject", *NODE, "exclusive"))
+
+    def summary(self) -> DataFrame:
+        """(subject, entry, affected, exclusive, shared): counted from the bits, no task is named."""
+        counts = self._listed(self._judged(), "exclusive").groupBy("no").agg(
+            F.count("*").alias("affected"), F.count_if("exclusive").alias("exclusive")).join(self.subjects, "no").drop("no")
+        alone = blast_radius(self.alone).groupBy("subject").agg(F.count("*").alias("affected"), F.count_if("exclusive").alias("exclusive"))
+        counts = counts.unionByName(alone).groupBy("subject").agg(F.sum("affected").alias("affected"), F.sum("exclusive").alias("exclusive"))
+        starts = self.entered.groupBy("subject").agg(F.count("*").alias("entry"))
+        return starts.join(counts, "subject").select("subject", "entry", "affected", "exclusive", (F.col("affected") - F.col("exclusive")).alias("shared"))
 
 
 def reach(entries: DataFrame, edges: DataFrame, graph: Numbered | None = None) -> DataFrame:
@@ -212,11 +236,14 @@ def sole_subject(peers: DataFrame, edges: DataFrame, graph: Numbered | None = No
 
     log = RoundLog(edges.sparkSession, "sole")
     fresh, rows = log.add(by_node(starts.where("node IS NOT NULL").select(*keys, "no").withColumn("several", F.lit(False))))
+    seen = rows
     while rows:
-        arriving, rows = cut(by_node(fresh.join(graph.forward, "node").drop("node").withColumnRenamed("next", "node")), "arriving")
-        if not rows:
-            break
-        told = by_node(log.rows().join(arriving.select(keys), keys, "left_semi")).select(
+        arriving = by_node(fresh.join(graph.forward, "node").drop("node").withColumnRenamed("next", "node"))
+        known = log.rows()
+        if rows * NARROW < seen:
+            # What few tasks had is looked up for them alone.
+            known = known.join(arriving.select(keys), keys, "left_semi")
+        told = by_node(known).select(
             *keys, F.col("no").alias("was"), F.col("several").alias("was_several"))
         unmet = F.col("was_several").isNull()
         changed = (
@@ -225,6 +252,7 @@ def sole_subject(peers: DataFrame, edges: DataFrame, graph: Numbered | None = No
             .select(*keys, F.when(unmet, F.col("no")).alias("no"), (~unmet | F.col("several")).alias("several"))
         )
         fresh, rows = log.add(changed)
+        seen += rows
     ended = by_node(log.rows()).join(graph.nodes, "node").join(numbers, "no", "left").select("kind", *NODE, "subject")
     alone = starts.where("node IS NULL").groupBy("kind", *NODE).agg(
         F.when(F.min("subject") == F.max("subject"), F.min("subject")).alias("subject"))
