@@ -31,6 +31,13 @@ def test_same_rows_as_duckdb(spark, sf_dir, name):
     assert ours == theirs
 
 
+@pytest.mark.parametrize("name, whole", [
+    ("impact", {"action", "rule", "possible", "class_asserted_by", "evidence", "container", "script", "evidence_path"})])
+def test_whole_answers_are_compared(spark, sf_dir, name, whole):
+    assert whole <= set(entry.queries()[name](spark, sf_dir).columns)
+    test_same_rows_as_duckdb(spark, sf_dir, name)
+
+
 def test_entry(spark, sf_dir):
     df = entry.entry(spark)
     assert df.limit(1).count() == 1
