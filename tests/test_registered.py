@@ -32,7 +32,8 @@ def test_same_rows_as_duckdb(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name, whole", [
-    ("impact", {"action", "rule", "possible", "class_asserted_by", "evidence", "container", "script", "evidence_path"})])
+    ("impact", {"action", "rule", "possible", "class_asserted_by", "evidence", "container", "script", "evidence_path"}),
+    ("input_signature", {"inputs", "unknown", "tasks"})])
 def test_whole_answers_are_compared(spark, sf_dir, name, whole):
     assert whole <= set(entry.queries()[name](spark, sf_dir).columns)
     test_same_rows_as_duckdb(spark, sf_dir, name)
