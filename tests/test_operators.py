@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.operators import drift, evidence, ledger, reclaim, stitch
-from wakeline.sources import files, graphs
+from wakeline.sources import crates, files, graphs
 from wakeline.streaming.common import latest_state, start_upserts
 from wakeline.streaming.gate import stream_gate_now
 
@@ -160,3 +160,13 @@ def test_a_window_follows_its_head():
     assert follow([*window, (3, "b", "c", True)], 1, "a")[:3] == (3, "sequence", 1)
     assert follow([(None, "a", "b", True)], 1, "a")[:3] == (0, "sequence", 0)
     assert follow([], 1, "a") == (None, None, 0, "a")
+
+
+def test_tools_of_all_crates_are_not_sent_to_every_task(spark, capsys):
+    doc = """{"@graph":[{"@id":"#task/abcd","@type":"CreateAction","name":"S","instrument":{"@id":"#t"}},{"@id":"#t","name":"one"},
+        {"@id":"#t","name":"two"},{"@id":"#task/ef","@type":"CreateAction","name":"U"}]}"""
+    found = crates.ingest_rocrate(spark.createDataFrame([("r", doc), (None, doc)], "run_id string, value string")).tasks
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    rows = [(r.run_id, r.task, r.container) for r in found.collect()]
+    assert sorted(rows, key=str) == sorted([("r", "ab/cd", "one"), ("r", "ab/cd", "two"), ("r", "ef/", ""), (None, "ab/cd", ""), (None, "ef/", "")], key=str)

@@ -31,8 +31,9 @@ def ingest_rocrate(documents: DataFrame) -> Lineage:
                              text('$.instrument["@id"]').alias("tool"), _ids("object").alias("read"), _ids("result").alias("made"))
     tools = entities.select("run_id", text('$["@id"]').alias("tool"), F.coalesce(
         F.when(text("$.containerImage") != "", text("$.containerImage")), text("$.name")).alias("container"))
+    # Entities of all documents come out of texts that look small to the planner, so both sides are sorted and none is sent to every task.
     tasks = task_table(
-        actions.join(tools, ["run_id", "tool"], "left"), run_id=F.col("run_id"), task=F.col("task"), name=F.col("name"),
+        actions.join(tools.hint("merge"), ["run_id", "tool"], "left"), run_id=F.col("run_id"), task=F.col("task"), name=F.col("name"),
         process=F.regexp_replace("name", r" \((?!.* \().*$", ""), container=F.col("container"))
 
     def cut(id_column):
