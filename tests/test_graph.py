@@ -1,5 +1,6 @@
 import random
 
+from wakeline import session
 from wakeline.operators import graph
 
 EDGES = "run_id string, consumer string, producer string"
@@ -134,3 +135,13 @@ def test_paths_of_more_levels_than_a_key_keeps(spark):
     df = graph.evidence_paths(entries(spark, [("s", n) for n in names[0]] + [("s", "alone")]), edges(spark, pairs))
     assert {r.task: list(r.path) for r in df.collect()} == expected | {"alone": ["alone"]}
     assert {r.task: r.hops for r in df.collect()}[names[depth][0]] == depth
+
+
+def test_a_path_is_written_once_however_many_levels(spark, monkeypatch):
+    deep, written = 20, []
+    add = session.RoundLog.add
+    monkeypatch.setattr(session.RoundLog, "add", lambda self, df: (lambda made: written.append(made[1] if "path" in df.columns else 0) or made)(add(self, df)))
+    line = edges(spark, [(f"t{i:02}", f"t{i + 1:02}") for i in range(deep)])
+    found = {(r.subject, r.task): r.path for r in graph.evidence_paths(entries(spark, [("s", "t00"), ("u", "t05")]), line).collect()}
+    assert found[("s", "t20")] == [f"t{i:02}" for i in range(21)] and found[("u", "t20")] == [f"t{i:02}" for i in range(5, 21)]
+    assert sum(written) == len(found) == 37
