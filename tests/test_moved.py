@@ -1,7 +1,7 @@
 import re
 
 from wakeline.functions.digests import short
-from wakeline.operators import reclaim, triggers
+from wakeline.operators import graph, reclaim, triggers
 
 W = "run_id string, path string, size bigint, links bigint, inode bigint, link_target string, is_dir boolean"
 
@@ -52,3 +52,30 @@ def test_entries_of_triggers_are_summed_up_without_a_sort(spark):
     assert sorted((r.trigger_id, r.task, r.how) for r in entries.collect()) == [
         ("c", "t", "exact"), ("c", "u", "name-only"), ("i", "t", "exact"), ("i", "u", "companion"), ("l", "t", "exact"), ("l", "u", "exact")]
     assert not re.search(r"SortAggregate\(key=\[trigger_id#\d+, run_id", plan_of(entries))
+
+
+def test_narrow_rounds_write_what_arrives_and_leave_the_log_in_place(spark, monkeypatch):
+    """One chain of six among many tasks that enter at once: from the second round on one task moves, and it may meet what entered."""
+    ends = [("r", f"e{i:02}") for i in range(60)]
+    chain = ["r0", "r1", "r2", "r3", "r4", "r5"]
+    edges = spark.createDataFrame(
+        [("r", b, a) for a, b in zip(chain, chain[1:])] + [("r", "e07", "r3"), ("r", "r1", "r4"), ("r", f"{ends[0][1]}", "e01")], "run_id string, consumer string, producer string")
+    entries = spark.createDataFrame([("s", *e) for e in ends] + [("s", "r", "r0"), ("u", "r", "r3")], "subject string, run_id string, task string")
+    edges = edges.unionByName(spark.createDataFrame([("r", f"x{i:02}", f"e{i:02}") for i in range(60)], edges.schema))
+    labels = []
+
+    def counted(df, label, cut=graph.cut):
+        labels.append(label)
+        return cut(df, label)
+
+    monkeypatch.setattr(graph, "cut", counted)
+    paths = {(r.subject, r.task): r.path for r in graph.evidence_paths(entries, edges).collect()}
+    assert "moved" in labels
+    assert paths["s", "r5"] == chain and paths["s", "e07"] == ["e07"] and paths["s", "r1"] == ["r0", "r1"]
+    assert paths["u", "r2"] == ["r3", "r4", "r1", "r2"] and paths["u", "x07"] == ["r3", "e07", "x07"] and len(paths) == 60 * 2 + 6 + 7
+    reached = {(r.subject, r.task) for r in graph.reach(entries, edges).collect()}
+    assert "arriving" in labels and reached == set(paths)
+    del labels[:]
+    sole = {r.task: r.subject for r in graph.sole_subject(entries.withColumn("kind", graph.F.lit("k")), edges).collect()}
+    assert "arriving" in labels
+    assert {t for t, s in sole.items() if s is None} == {t for s, t in paths if s == "u"} and sole["r0"] == "s" and len(sole) == 126
