@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.text import basename
+from wakeline.session import cut
 from wakeline.sources.common import EXTERNAL, Lineage, task_table
 
 # The scheme of a record, the checksum modes over content, the
@@ -69,6 +70,8 @@ def ingest_lineage_store(files: DataFrame, history: DataFrame) -> Lineage:
         F.substring_index(folder, "/", 1).alias("full"),
         F.when(F.contains(folder, F.lit("/")), F.regexp_replace(folder, "^[^/]*/", "")).otherwise("").alias("rel"),
         F.from_json("value", RECORD).alias("r")).select("full", "rel", "r.kind", "r.spec")
+    # Written once: every table is made of them, some several times, and a text costs more to parse than its record to read.
+    records, _ = cut(records, "store-records")
     runs = records.where("kind = 'WorkflowRun' AND rel = ''").select(
         F.col("full").alias("run"), trusted_version(F.col("spec.metadata.nextflow.version")).alias("truthful"))
     made = records.where("kind = 'TaskRun' AND rel = '' AND NOT contains(full, '#')").select(
