@@ -19,6 +19,7 @@ from wakeline.functions.canonical import GENESIS
 from wakeline.functions.instants import in_effect
 from wakeline.operators import ledger, policy
 from wakeline.operators.policy import UNDETERMINED
+from wakeline.session import grown
 
 # The manifest's name, the names it never lists, and its shape.
 MANIFEST = "manifest.json"
@@ -298,8 +299,8 @@ def verdict_lookup(asked: DataFrame, plans: DataFrame, items: DataFrame, rules:
     the plan's policy hash and the rule (policy_hash, rule, rule_reason). A
     task outside the plan is outside this trigger's radius, and no more.
     """
-    rows = asked.join(items.withColumn("in_plan", F.lit(True)), ["bundle", "task"], "left").join(
-        plans.select("bundle", "trigger", "policy_version", "policy_hash"), "bundle", "left")
+    rows = asked.join(grown(items.withColumn("in_plan", F.lit(True))), ["bundle", "task"], "left").join(
+        grown(plans.select("bundle", "trigger", "policy_version", "policy_hash")), "bundle", "left")
     return rows.join(rules, ["policy_hash", "rule"], "left").withColumn("in_plan", F.coalesce("in_plan", F.lit(False)))
 
 
