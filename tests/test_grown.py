@@ -26,3 +26,11 @@ def test_verdicts_are_looked_up_without_sending_the_items(spark, tmp_path):
     assert broadcasts(found) == 0
     assert sorted(map(str, ((r.bundle, r.task, r.in_plan, r.trigger, r.rule_action) for r in found.collect()))) == sorted(map(str, [
         *[("b1", "t1", True, "x", "PURGE")] * 4, ("b2", "t1", True, "y", None), ("b2", None, False, "y", None), (None, "t2", False, None, None), ("b3", "t1", False, None, None)]))
+
+
+def test_whether_a_task_was_affected_is_asked_without_sending_the_items(spark, tmp_path):
+    items = packed(spark, tmp_path, ITEMS, "bundle string, task string, action string, rule string")
+    found = evidence.was_affected(packed(spark, tmp_path, ASKED, "bundle string, task string"), items)
+    assert broadcasts(found) == 0
+    assert sorted((r.bundle or "", r.task or "", r.affected) for r in found.collect()) == [
+        ("", "t2", False), ("b1", "t1", True), ("b1", "t1", True), ("b2", "", False), ("b2", "t1", True), ("b3", "t1", False)]

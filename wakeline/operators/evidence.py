@@ -307,7 +307,7 @@ def verdict_lookup(asked: DataFrame, plans: DataFrame, items: DataFrame, rules:
 def was_affected(asked: DataFrame, items: DataFrame) -> DataFrame:
     """Asked (bundle, task) with whether the bundle's plan lists it."""
     listed = items.select("bundle", "task").distinct().withColumn("affected", F.lit(True))
-    return asked.join(listed, ["bundle", "task"], "left").withColumn("affected", F.coalesce("affected", F.lit(False)))
+    return asked.join(grown(listed), ["bundle", "task"], "left").withColumn("affected", F.coalesce("affected", F.lit(False)))
 
 
 def plan_summary(plans: DataFrame, items: DataFrame) -> DataFrame:
