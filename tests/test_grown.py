@@ -1,6 +1,7 @@
 """Joins of two tables that grow: files that look small are not sent to every executor by way of the driver."""
 
 from wakeline.operators import evidence
+from wakeline.sources import files
 
 
 def packed(spark, tmp_path, rows, schema):
@@ -34,3 +35,16 @@ def test_whether_a_task_was_affected_is_asked_without_sending_the_items(spark, t
     assert broadcasts(found) == 0
     assert sorted((r.bundle or "", r.task or "", r.affected) for r in found.collect()) == [
         ("", "t2", False), ("b1", "t1", True), ("b1", "t1", True), ("b2", "", False), ("b2", "t1", True), ("b3", "t1", False)]
+
+
+def test_files_are_digested_without_sending_the_listings(spark, tmp_path):
+    outputs = packed(spark, tmp_path, [("r", "t", "a", 1, "sha256:x"), ("r", "t", "b", 2, "bare"), ("r", "t", "c", 3, None), ("r", None, "a", 4, None), (None, "t", "b", 5, None)],
+                     "run_id string, task string, file string, size bigint, digest string")
+    resolved = packed(spark, tmp_path, [("r", "t", "w"), ("r", None, "w"), (None, "t", "w")], "run_id string, task string, rel string")
+    hashed = packed(spark, tmp_path, [("r", "w/a", 7, "sha256:a"), ("r", "w/b", 8, "sha256:b"), ("r", "w/b", 8, "sha256:b"), (None, "w/b", 9, "sha256:n")],
+                    "run_id string, path string, size bigint, digest string")
+    found = files.digest_files(outputs, resolved, hashed)
+    assert broadcasts(found) == 0 and broadcasts(files.digest_counts(found)) == 0
+    assert sorted((r.file, r.size, r.digest or "", r.how) for r in found.collect()) == [
+        ("a", 1, "sha256:x", "kept"), ("a", 4, "", "missing"), ("b", 5, "", "missing"), ("b", 8, "sha256:b", "hashed"), ("b", 8, "sha256:b", "hashed"), ("c", 3, "", "missing")]
+    assert [(r.run_id, r.hashed, r.kept, r.missing, r.bytes) for r in files.digest_counts(found).orderBy("run_id").collect()] == [(None, 0, 0, 1, 0), ("r", 2, 1, 2, 16)]

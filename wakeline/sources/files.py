@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.operators.graph import NODE
+from wakeline.session import grown
 
 # Bytes of a file that are held at a time.
 PIECE = 1 << 20
@@ -66,9 +67,9 @@ def digest_files(outputs: DataFrame, resolved: DataFrame, hashed: DataFrame) ->
     their task directories, and `how`: kept, hashed or missing. A digest
     already recorded stays, whatever its algorithm: it may join this run to others.
     """
-    placed = outputs.join(resolved.select(*NODE, "rel"), NODE, "left").withColumn("path", F.concat("rel", F.lit("/"), "file"))
+    placed = outputs.join(grown(resolved.select(*NODE, "rel")), NODE, "left").withColumn("path", F.concat("rel", F.lit("/"), "file"))
     found = hashed.select("run_id", "path", F.col("size").alias("_size"), F.col("digest").alias("_digest"))
-    rows = placed.join(found, ["run_id", "path"], "left")
+    rows = placed.join(grown(found), ["run_id", "path"], "left")
     kept = F.contains(F.coalesce("digest", F.lit("")), F.lit(":"))
     how = F.when(kept, "kept").when(F.col("_digest").isNotNull(), "hashed").otherwise("missing")
     return rows.select(*NODE, "file", F.when(how == "hashed", F.col("_size")).otherwise(F.col("size")).alias("size"),
