@@ -1,6 +1,13 @@
 """Joins of two tables that grow: files that look small are not sent to every executor by way of the driver."""
 
-from wakeline.operators import evidence
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from wakeline import session
+from wakeline.operators import evidence, graph, policy
+from wakeline.plans import impact
 from wakeline.sources import files
 
 
@@ -48,3 +55,62 @@ def test_files_are_digested_without_sending_the_listings(spark, tmp_path):
     assert sorted((r.file, r.size, r.digest or "", r.how) for r in found.collect()) == [
         ("a", 1, "sha256:x", "kept"), ("a", 4, "", "missing"), ("b", 5, "", "missing"), ("b", 8, "sha256:b", "hashed"), ("b", 8, "sha256:b", "hashed"), ("c", 3, "", "missing")]
     assert [(r.run_id, r.hashed, r.kept, r.missing, r.bytes) for r in files.digest_counts(found).orderBy("run_id").collect()] == [(None, 0, 0, 1, 0), ("r", 2, 1, 2, 16)]
+
+
+def test_few_rows_are_sent_and_many_are_shuffled(spark, monkeypatch):
+    rows = spark.range(5).withColumnRenamed("id", "a")
+    plan = lambda n: rows.join(session.sent(rows, n), "a")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(session, "SENT", 5)
+    assert "BroadcastHashJoin" in plan(5) and "SortMergeJoin" in plan(6) and "Broadcast" not in plan(6)
+
+
+GRAPH = [("r", f"n{i + 1}", f"n{i}") for i in range(5)] + [("r", f"x{i}", f"e{i}") for i in range(40)] + [("r", "x3", "n4")]
+ENTERED = [("s", "r", f"e{i}") for i in range(40)] + [("s", "r", "n0"), ("u", "r", "n3"), ("u", "r", "lone"), (None, "r", "n1")]
+
+
+def test_rounds_meet_the_rows_so_far_without_sending_them(spark, monkeypatch):
+    edges = spark.createDataFrame(GRAPH, "run_id string, consumer string, producer string")
+    entries = spark.createDataFrame(ENTERED, "subject string, run_id string, task string")
+    peers = entries.where("subject IS NOT NULL").withColumn("kind", F.lit("k"))
+    found = lambda: [sorted(map(str, df.collect())) for df in (graph.evidence_paths(entries, edges), graph.reach(entries, edges), graph.sole_subject(peers, edges))]
+    plans, add = [], graph.RoundLog.add
+
+    def told(log, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return add(log, df)
+
+    sent = found()
+    monkeypatch.setattr(graph.RoundLog, "add", told)
+    monkeypatch.setattr(session, "SENT", -1)
+    assert found() == sent and len(sent[0]) == len(sent[1]) == 40 * 2 + 6 + 3 + 2
+    rounds = [p for p in plans if "Join" in p]
+    assert sum("LeftAnti" in p for p in rounds) >= 5
+    assert not [p for p in rounds if re.search(r"BroadcastHashJoin \[(node|no|kind)#", p)]
+
+
+def test_a_plan_meets_its_tasks_without_sending_them(spark, tmp_path):
+    name = "run_id string, task string"
+    made = [("r", f"n{i}", "P", "i", "x") for i in range(4)] + [("r", "lone", "Q", "i", ""), (None, "n0", "P", "i", "x")]
+    tasks = packed(spark, tmp_path, made, name + ", process string, container string, script string").selectExpr("*", "task AS name", "'h' AS target", "map('c', 1.0D) AS metrics")
+    edges = spark.createDataFrame(GRAPH[:3], "run_id string, consumer string, producer string")
+    entries = spark.createDataFrame([("t", "r", "n0"), ("t", "r", "lone")], "trigger_id string, " + name)
+    triggers = spark.createDataFrame([("t", "k", "1", "remove")], "trigger_id string, kind string, value string, mode string")
+    peers = entries.join(triggers, "trigger_id").selectExpr("kind", "value AS subject", "run_id", "task")
+    storage = packed(spark, tmp_path, [("r", "n1", "WORM"), ("r", "lone", None)], name + ", storage string")
+    copies = packed(spark, tmp_path, [("r", "lone")], name)
+    said = packed(spark, tmp_path, [("r", "n2", "ref", "u", "d")], name + ", what string, asserted_by string, date string")
+    plans = []
+
+    def told(df, label, cut=impact.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, label)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(impact, "cut", told)
+        plan = impact.impact_plan(triggers, entries, tasks, edges, assertions=said, storage=storage, copies=copies, decisions=policy.decision_table(spark), peers=peers, paths=False)
+    joins = re.compile(r"BroadcastHashJoin \[(?:run_id|task|node)#")
+    assert len(plans) == 1 and not joins.search(plans[0]) and not joins.search(plan._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.task, r.storage or "", r.scope, r.released, r.evidence) for r in plan.collect()) == [
+        ("lone", "WRITABLE", "exclusive", False, "unknown: script; storage unlisted; copies stand"), ("n0", "", "exclusive", False, "recipe known; storage unlisted"),
+        ("n1", "WORM", "exclusive", False, "recipe known"), ("n2", "", "exclusive", True, "released (ref), by u on d; storage unlisted"),
+        ("n3", "", "exclusive", False, "recipe known; storage unlisted")]
