@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wakeline.functions.instants import instant
 from wakeline.functions.text import basename
 from wakeline.operators.triggers import normalise_status
+from wakeline.session import grown
 from wakeline.sources.calls import path_edges
 from wakeline.sources.common import EXTERNAL, Lineage, readable, string_leaves, task_table
 
@@ -64,19 +65,22 @@ def ingest_job_describes(jobs: DataFrame, files: DataFrame) -> Lineage:
     strings = string_leaves(views, "document", "run_id", "task", "view")
     here = rows.select("run_id", F.col("task").alias("by"), F.lit(True).alias("here"))
     read = file_links(strings).groupBy("run_id", "task", "value").agg(F.min(F.struct("view", "ix")).alias("first"))
-    from_files = read.join(known, ["run_id", "value"], "left").join(here, ["run_id", "by"], "left").select(
+    from_files = read.join(grown(known), ["run_id", "value"], "left").join(grown(here), ["run_id", "by"], "left").select(
         "run_id", (F.col("first.view").cast("bigint") * 1000000000 + F.col("first.ix")).alias("edge_ix"), F.col("task").alias("consumer"),
         F.when(F.col("here") & (F.col("by") != F.col("task")), F.col("by")).otherwise(EXTERNAL).alias("producer"),
         F.coalesce("name", "value").alias("filename"), F.col("value").alias("target"))
 
     # The view that left the fewest references open is the one whose leftovers count.
-    refs = job_references(strings, "run_id", "task", "view")
-    left = views.select("run_id", "task", "view").join(refs.groupBy("run_id", "task", "view").agg(F.count("*").alias("n")), ["run_id", "task", "view"], "left")
-    best = left.groupBy("run_id", "task").agg(F.min_by("view", F.struct(F.coalesce("n", F.lit(0)), F.col("view"))).alias("view"))
-    refs = refs.join(best, ["run_id", "task", "view"]).select("run_id", "task", "kind", "ref", "field").distinct()
+    # Views without any are counted beside the references, so documents are walked once and what they hold is moved to its task once.
+    none = [F.lit(None).cast("string").alias(c) for c in ("kind", "ref", "field")]
+    refs = job_references(strings, "run_id", "task", "view").unionByName(views.select("run_id", "task", "view", *none))
+    refs = refs.where("run_id IS NOT NULL AND task IS NOT NULL").repartition("run_id", "task")
+    refs = refs.withColumn("n", F.count("kind").over(Window.partitionBy("run_id", "task", "view")))
+    refs = refs.withColumn("best", F.min(F.struct("n", "view")).over(Window.partitionBy("run_id", "task")))
+    refs = refs.where("kind IS NOT NULL AND view = best.view").select("run_id", "task", "kind", "ref", "field").distinct()
     stages = rows.where(F.col("j.stage") != "").groupBy("run_id", F.col("j.stage").alias("ref")).agg(F.max("task").alias("staged"))
-    placed = refs.join(stages.withColumn("kind", F.lit("stage")), ["run_id", "kind", "ref"], "left").withColumn(
-        "by", F.when(F.col("kind") == "job", F.col("ref")).otherwise(F.col("staged"))).join(here, ["run_id", "by"], "left")
+    placed = refs.join(grown(stages.withColumn("kind", F.lit("stage"))), ["run_id", "kind", "ref"], "left").withColumn(
+        "by", F.when(F.col("kind") == "job", F.col("ref")).otherwise(F.col("staged"))).join(grown(here), ["run_id", "by"], "left")
     good = F.coalesce(F.col("here") & (F.col("by") != F.col("task")), F.lit(False))
     from_refs = placed.where(good).select(
         "run_id", (F.row_number().over(Window.partitionBy("run_id", "task").orderBy("kind", "ref", "field")) + F.lit(3000000000)).alias("edge_ix"), F.col("task").alias("consumer"), F.col("by").alias("producer"),
@@ -85,7 +89,7 @@ def ingest_job_describes(jobs: DataFrame, files: DataFrame) -> Lineage:
     coverage = placed.where(~good).groupBy("run_id", "task").agg(F.count("*").alias("references")).withColumn(
         "note", F.lit("references name no job in this analysis"))
     outputs = file_links(string_leaves(rows, "output", "run_id", "task")).select("run_id", "task", "value").distinct().join(
-        known, ["run_id", "value"], "left").select("run_id", "task", F.coalesce("name", "value").alias("file"))
+        grown(known), ["run_id", "value"], "left").select("run_id", "task", F.coalesce("name", "value").alias("file"))
     return Lineage(tasks, from_files.unionByName(from_refs), outputs, coverage, refused=refused.unionByName(refused_files))
 
 
